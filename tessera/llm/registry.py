@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, hilbert, mixing, simhash
+from . import exact_dedup, hilbert, language, mixing, quality, simhash, token_store
 
 
 def queries():
     return {
         "op1_hilbert_shards": hilbert.op1_hilbert_shards,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op4_language": language.op4_language,
         "op5_simhash": simhash.op5_simhash,
+        "op6_token_store": token_store.op6_token_store,
+        "op7_decision_list": quality.op7_decision_list,
         "op8_mix_to_weights": mixing.op8_mix_to_weights,
     }
 
