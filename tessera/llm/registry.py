@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, hilbert, language, mixing, pieces, quality, simhash, token_store
+from . import exact_dedup, hilbert, language, mixing, pieces, quality, simhash, surrogates, token_store
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op6_token_store": token_store.op6_token_store,
         "op7_decision_list": quality.op7_decision_list,
         "op8_mix_to_weights": mixing.op8_mix_to_weights,
+        "op9_surrogates": surrogates.op9_surrogates,
         "op10_pieces": pieces.op10_pieces,
     }
 
