@@ -100,3 +100,16 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, salt: str, how: str = "i
     """Join ``facts`` of :func:`group_facts` back to ``rows``; a hot key is dealt over its salts."""
     spread = facts.withColumn(salt, F.explode("__salts")).drop("__salts")
     return rows.join(spread, [key, salt], how)
+
+
+def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """:func:`staged`, with the path, for tables that :func:`discard` removes later."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a staged table that nothing will read again."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

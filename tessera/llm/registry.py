@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, hilbert, language, mixing, pieces, quality, simhash, surrogates, token_store
+from . import exact_dedup, hilbert, language, mixing, pieces, pitman_yor, quality, simhash, surrogates, token_store
 
 
 def queries():
     return {
         "op1_hilbert_shards": hilbert.op1_hilbert_shards,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_pitman_yor": pitman_yor.op3_pitman_yor,
         "op4_language": language.op4_language,
         "op5_simhash": simhash.op5_simhash,
         "op6_token_store": token_store.op6_token_store,
