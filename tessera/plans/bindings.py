@@ -6,11 +6,14 @@ user), line items for hint boxes, and so on; every row of a table is used.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evidence, path, raster, regions
 from ..settings import Settings
+from .staging import keep
 
 THUMB = 1600
 FULL = 16000
@@ -66,31 +69,38 @@ def full_size(found: DataFrame) -> DataFrame:
     return found.withColumns({c: (F.col(c) * (FULL // THUMB)).cast("int") for c in ("x1", "y1", "x2", "y2")})
 
 
-def steps(spark, d) -> DataFrame:
-    return path.trajectory(full_size(top(spark, d)), FULL, FULL, SETTINGS)
-
+class Chain:
+    """The stages from regions to checklists; each is computed once and kept."""
 
-def seen(spark, d) -> DataFrame:
-    """Steps with their regions and crop shares that follow from case and step."""
-    found = top(spark, d)
-    walk = path.trajectory(full_size(found), FULL, FULL, SETTINGS)
-    share = lambda a, b: ((F.col("case_id") * a + F.col("ord") * b) % 10001).cast("long")
-    crops = walk.select("case_id", "step_id", share(37, 911).alias("background"), share(53, 2903).alias("tissue"), share(29, 1409).alias("pale"))
-    return evidence.observed(walk, crops, found.select("case_id", "cluster_id", "l", "s", "d", "risk"))
+    def __init__(self, spark: SparkSession, d: str):
+        self.spark, self.d = spark, d
 
+    @cached_property
+    def top(self) -> DataFrame:
+        return keep(top(self.spark, self.d), "top")
 
-def hits(spark, d) -> DataFrame:
-    return evidence.hits(seen(spark, d), SETTINGS)
+    @cached_property
+    def steps(self) -> DataFrame:
+        return keep(path.trajectory(full_size(self.top), FULL, FULL, SETTINGS), "steps")
 
+    @cached_property
+    def hits(self) -> DataFrame:
+        """Findings of steps, with crop shares that follow from case and step."""
+        share = lambda a, b: ((F.col("case_id") * a + F.col("ord") * b) % 10001).cast("long")
+        crops = self.steps.select("case_id", "step_id", share(37, 911).alias("background"), share(53, 2903).alias("tissue"), share(29, 1409).alias("pale"))
+        return keep(evidence.hits(evidence.observed(self.steps, crops, self.top), SETTINGS), "hits")
 
-def checklist(spark, d) -> DataFrame:
-    merged = evidence.merge(hits(spark, d), "case_id")
-    everyone = cases(spark, d).unionByName(proposals(spark, d).select("case_id"))
-    return evidence.checklist(everyone, merged, evidence.criteria(spark))
+    @cached_property
+    def everyone(self) -> DataFrame:
+        return cases(self.spark, self.d).unionByName(self.top.select("case_id")).distinct()
 
+    @cached_property
+    def checklist(self) -> DataFrame:
+        return keep(evidence.checklist(self.everyone, evidence.merge(self.hits, "case_id"), evidence.criteria(self.spark)), "checklist")
 
-def suspicious(spark, d) -> DataFrame:
-    return top(spark, d).groupBy("case_id").agg(F.bool_or(F.col("l") == "serrated_suspicious_mucosa").alias("suspicious"))
+    @cached_property
+    def suspicious(self) -> DataFrame:
+        return self.top.groupBy("case_id").agg(F.bool_or(F.col("l") == "serrated_suspicious_mucosa").alias("suspicious"))
 
 
 def event_hits(spark, d) -> DataFrame:

@@ -79,7 +79,7 @@ def tiles(spark, d):
 
 def crop_window(spark, d):
     p = b.table(spark, d, "events").select(F.col("user_id").alias("case_id"), "event_id", (F.col("event_id") * 97 % 16000).cast("int").alias("px"), (F.col("event_id") * 61 % 16000).cast("int").alias("py"))
-    return raster.crop_window(p, evidence.drop_stops(b.steps(spark, d))).select("case_id", "step_id", "event_id")
+    return raster.crop_window(p, evidence.drop_stops(b.Chain(spark, d).steps)).select("case_id", "step_id", "event_id")
 
 
 def gate_order(spark, d):
@@ -88,19 +88,19 @@ def gate_order(spark, d):
 
 
 def hits_long(spark, d):
-    return b.hits(spark, d).select("case_id", "step_id", "layer", "criterion", "status")
+    return b.Chain(spark, d).hits.select("case_id", "step_id", "layer", "criterion", "status")
 
 
 def step_findings(spark, d):
     keys = ("case_id", "step_id", "background", "review_goal")
-    out = evidence.step_findings(b.hits(spark, d), *keys).na.fill("", ["serrated_findings", "ssl_like_findings", "dysplasia_findings"])
+    out = evidence.step_findings(b.Chain(spark, d).hits, *keys).na.fill("", ["serrated_findings", "ssl_like_findings", "dysplasia_findings"])
     mine = F.when(F.col("review_goal") == "serrated_lesion_assessment", F.col("serrated_findings")).when(F.col("review_goal") == "ssl_like_architecture_assessment", F.col("ssl_like_findings")).otherwise(F.col("dysplasia_findings"))
     return out.select(*keys, "serrated_findings", "ssl_like_findings", "dysplasia_findings", F.when(F.col("background") > 7000, F.concat(F.lit("Background-heavy crop at "), "step_id")).alias("conflict"),
                       evidence.decision(F.col("review_goal"), mine != "").alias("stage_decision"), evidence.wording(F.col("review_goal"), F.col("background")).alias("observation"))
 
 
 def confidence(spark, d):
-    n = b.hits(spark, d).groupBy("case_id", "step_id", "tissue", "pale", "s").agg(F.count_if(F.col("status") == "supporting").alias("support"))
+    n = b.Chain(spark, d).hits.groupBy("case_id", "step_id", "tissue", "pale", "s").agg(F.count_if(F.col("status") == "supporting").alias("support"))
     return n.select("case_id", "step_id", evidence.confidence(F.col("tissue"), F.col("pale"), F.col("support"), F.col("s")).alias("confidence"))
 
 
@@ -113,32 +113,48 @@ def event_checklist(spark, d):
 
 
 def completeness(spark, d):
-    return evidence.counts(b.checklist(spark, d)).select("case_id", "layer", metrics.four(F.col("assessed"), F.col("criteria")).alias("completeness"))
+    return evidence.counts(b.Chain(spark, d).checklist).select("case_id", "layer", metrics.four(F.col("assessed"), F.col("criteria")).alias("completeness"))
 
 
 def assessment(spark, d):
-    return assess.assess(evidence.counts(b.checklist(spark, d)), b.suspicious(spark, d))
+    chain = b.Chain(spark, d)
+    return assess.assess(evidence.counts(chain.checklist), chain.suspicious)
 
 
 def report_text(spark, d):
-    listed = b.checklist(spark, d)
-    return assess.report(assess.assess(evidence.counts(listed), b.suspicious(spark, d)), assess.supporting_lines(listed, FINDING))
+    chain = b.Chain(spark, d)
+    assessed = assess.assess(evidence.counts(chain.checklist), chain.suspicious)
+    return assess.report(assessed, assess.supporting_lines(chain.checklist, FINDING))
 
 
-def violations(spark, d):
-    everyone = b.checklist(spark, d).select("case_id").distinct()
+def _violations(chain):
     return audit.union([
-        audit.step_violations(b.steps(spark, d), 12000, 12000), audit.label_violations(b.top(spark, d)), audit.missing(everyone, evidence.drop_stops(b.steps(spark, d)), "no_observations"),
-        audit.support_warnings(evidence.counts(b.checklist(spark, d)))])
+        audit.step_violations(chain.steps, 12000, 12000), audit.label_violations(chain.top), audit.missing(chain.everyone, evidence.drop_stops(chain.steps), "no_observations"),
+        audit.support_warnings(evidence.counts(chain.checklist))])
+
+
+def violations(spark, d):
+    return _violations(b.Chain(spark, d))
 
 
 def audit_status(spark, d):
-    return audit.status(b.checklist(spark, d), violations(spark, d))
+    chain = b.Chain(spark, d)
+    return audit.status(chain.everyone, _violations(chain))
 
 
 def run_summary(spark, d):
-    walked = evidence.drop_stops(b.steps(spark, d)).groupBy("case_id").agg(F.count("*").alias("steps"))
-    return metrics.run_summary(audit_status(spark, d).join(walked, "case_id", "left"), ["steps", "errors"])
+    chain = b.Chain(spark, d)
+    walked = evidence.drop_stops(chain.steps).groupBy("case_id").agg(F.count("*").alias("steps"))
+    status = audit.status(chain.everyone, _violations(chain))
+    return metrics.run_summary(status.join(walked, "case_id", "left"), ["steps", "errors"])
+
+
+def trajectory(spark, d):
+    return b.Chain(spark, d).steps
+
+
+def checklist(spark, d):
+    return b.Chain(spark, d).checklist
 
 
 def layer_metrics(spark, d):
@@ -203,9 +219,9 @@ def last_line(spark, d):
 
 QUERIES = {
     "case_targets": case_targets, "last_order": last_order, "pilot_subset": pilot_subset, "pixel_masks": pixel_masks, "array_block_stats": array_block_stats, "grid_cells": b.cells, "regions": regions,
-    "region_fallback": b.proposals, "hint_overlap": hint_overlap, "region_scores": region_scores, "top_regions": top_regions, "trajectory": b.steps, "box_geometry": box_geometry, "tiles": tiles,
+    "region_fallback": b.proposals, "hint_overlap": hint_overlap, "region_scores": region_scores, "top_regions": top_regions, "trajectory": trajectory, "box_geometry": box_geometry, "tiles": tiles,
     "crop_window": crop_window, "gate_order": gate_order, "hits_long": hits_long, "step_findings": step_findings, "confidence": confidence, "keyword_hits": keyword_hits, "event_checklist": event_checklist,
-    "checklist": b.checklist, "completeness": completeness, "assessment": assessment, "report_text": report_text, "violations": violations, "audit_status": audit_status, "run_summary": run_summary,
+    "checklist": checklist, "completeness": completeness, "assessment": assessment, "report_text": report_text, "violations": violations, "audit_status": audit_status, "run_summary": run_summary,
     "layer_metrics": layer_metrics, "predictions": predictions, "timeline": timelines, "json_payload": json_payload, "content_cache": content_cache, "fallback_chain": fallback_chain, "retry_log": retry_log,
     "mode_plan": mode_plan, "box_spec": box_spec, "event_metrics": event_metrics, "last_line": last_line,
 }
