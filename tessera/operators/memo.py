@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import attach, group_facts, salt_of
+
 
 def content_key(*inputs: str | Column) -> Column:
     """SHA-1 of all inputs as canonical JSON: equal inputs, nulls included, give equal keys."""
@@ -23,8 +25,9 @@ def remember(cache: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
 
 def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Each row with the first row's order of its key, and whether it would hit a cache filled in order."""
-    first = rows.groupBy(key).agg(F.min(order).alias("first_seen"))
-    return rows.join(first, key).withColumn("hit", F.col(order) > F.col("first_seen"))
+    salted = rows.withColumn("__salt", salt_of(order))
+    first = group_facts(salted, key, "__salt", [F.min(order).alias("first_seen")])
+    return attach(salted, first, key, "__salt").drop("__salt").withColumn("hit", F.col(order) > F.col("first_seen"))
 
 
 def first_success(attempts: DataFrame, *keys: str, priority: str = "priority", output: str = "output") -> DataFrame:
