@@ -55,6 +55,27 @@ def lower_words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_LOWER).split() if text else []
 
 
+class Memo:
+    """Values of keys, made in lists when missing; keys of the last two generations are held."""
+
+    def __init__(self, make, size: int):
+        self.make, self.size, self.now, self.old = make, size, {}, {}
+
+    def hold(self, keys: set) -> dict:
+        """A dict that has all ``keys``; valid until the next call."""
+        if len(self.now) > self.size:
+            self.old, self.now = self.now, {}
+        missing, now, old = [], self.now, self.old
+        for k in keys.difference(now):
+            if (v := old.get(k)) is None:
+                missing.append(k)
+            else:
+                now[k] = v
+        if missing:
+            now.update(zip(missing, self.make(missing)))
+        return now
+
+
 def prefix(df: DataFrame, order: list[str], amount: str, name: str) -> DataFrame:
     """Add ``__rank`` (0-based) and ``__before`` (sum of ``amount`` of earlier rows).
 

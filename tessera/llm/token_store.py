@@ -15,6 +15,8 @@ Files under the store's path::
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import zlib
 
 import numpy as np
@@ -23,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions, prefix, read_table, words_of
+from .common import Memo, new_path, partitions, prefix, read_table, words_of
 
 END = 1
 #: Chunk lengths in ids: a cut on average every 2**CUT_BITS ids, within these bounds.
 CUT_BITS, LEAST, MOST = 8, 64, 1024
 FANOUT = 256
-#: Encoded words that a Python worker remembers at most.
-MEMO = 400_000
+#: Encoded words that a Python worker remembers, in each of two generations.
+MEMO = 250_000
 _SLICE = 200_000
 _held: dict[str, tuple] = {}
 
@@ -38,16 +40,40 @@ _held: dict[str, tuple] = {}
 class WordEncoder:
     """Ids of texts by a tokenizer whose pre-tokens never cross ASCII white space.
 
-    Encoding word by word then gives the ids of the whole text, and each
-    distinct word is encoded once while the memo holds it.
+    Encoding word by word then gives the ids of the whole text. A word of plain
+    Latin letters, digits and symbols is cut where the tokenizer's own pattern
+    cuts it, and its model encodes each run that the memo doesn't hold; any
+    other word goes through the whole tokenizer.
     """
 
+    #: Printable ASCII but the apostrophe (contractions), and the Latin-1 letters: NFC leaves them alone.
+    PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
+    RUNS = re.compile("[a-zß-öø-ÿ]+|[0-9]|\n|[^a-zß-öø-ÿ0-9\n]+")
+    LAST = "</w>"
+
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[bytes, bytes] = {}
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.words, self.runs = Memo(self._words, MEMO), Memo(self._runs, MEMO // 2)
+        self.end = np.array([END], dtype=self.kind).tobytes()
+        # the byte-level alphabet: printable Latin-1 stands for itself, the rest for 256 and on
+        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in seen and b != 32]
+        self.alphabet = {b: chr(256 + i) for i, b in enumerate(sorted([*rest, 32])) if b != 32}
+        spec = json.loads(self.tokenizer.to_str())
+        #: Does the tokenizer cut and normalise as RUNS supposes?
+        self.plain = (
+            spec["model"].get("end_of_word_suffix") == self.LAST and spec["model"]["type"] == "BPE"
+            and [n["type"] for n in spec["normalizer"].get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        )
+        #: The same model on runs that are cut and mapped already.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith(self.LAST)]] = True
 
     @staticmethod
     def of(path: str) -> WordEncoder:
@@ -55,18 +81,40 @@ class WordEncoder:
             _held[path] = WordEncoder(path)
         return _held[path]
 
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs: each ends with the one token that bears the suffix."""
+        out = []
+        for a in range(0, len(runs), 4_000):
+            text = " ".join(runs[a:a + 4_000])
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(self.alphabet)
+            ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
+            raw, w = ids.tobytes(), self.kind.itemsize
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * w).tolist()
+            out += [raw[x:y] for x, y in zip([0, *ends], ends)]
+        return out
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        text = [w.decode() for w in words]
+        plain = [self.plain and "<|" not in t and bool(self.PLAIN.fullmatch(t)) for t in text]
+        runs = self.RUNS.findall("\n".join([t for t, p in zip(text, plain) if p]).lower())
+        held = self.runs.hold(set(runs) - {"\n"})
+        done, parts = [], []
+        for r in [*runs, "\n"]:
+            if r == "\n":
+                done.append(b"".join(parts))
+                parts = []
+            else:
+                parts.append(held[r])
+        rest = [t for t, p in zip(text, plain) if not p]
+        others = iter([np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)])
+        easy = iter(done)
+        return [next(easy) if p else next(others) for p in plain]
+
     def encode(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        memo = self.memo
-        new = list({w for words in texts for w in words if w not in memo})
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list({w for words in texts for w in words})
-        for a in range(0, len(new), 5_000):
-            part = new[a:a + 5_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                memo[w] = np.array(e.ids, dtype=self.kind).tobytes()
-        end = np.array([END], dtype=self.kind).tobytes()
-        return [np.frombuffer(b"".join(map(memo.__getitem__, words)) + end, dtype=self.kind) for words in texts]
+        """Ids of each text's words, and the end."""
+        held = self.words.hold(set().union(*texts))
+        return [np.frombuffer(b"".join(map(held.__getitem__, words)) + self.end, dtype=self.kind) for words in texts]
 
 
 def _gear(ids: np.ndarray) -> np.ndarray:
