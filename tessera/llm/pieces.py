@@ -18,21 +18,28 @@ the same file, that library gives the same segmentation.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import attach, group_facts, partitions, read_table, salt_of, staged
+from .common import Memo, attach, group_facts, partitions, read_table, salt_of, staged
 
 SPACE = "▁"
 #: Texts over GIANT characters are cut into chunks of CHUNK; FAN matrices meet in one product.
-GIANT, CHUNK, FAN = 16_384, 8_192, 32
-#: Segments that a Python worker remembers at most.
-MEMO = 300_000
+GIANT, CHUNK, FAN = 65_536, 16_384, 32
+#: Segments that a Python worker remembers, in each of two generations.
+MEMO = 250_000
+_SLICE = 2_000_000
+#: Stands for a character that no piece has, so that the automaton sees it.
+STRANGE = "\uffff"
 NONE = -np.inf
 _held: dict[str, Vocabulary] = {}
 
@@ -65,7 +72,16 @@ class Vocabulary:
         self.step: dict[str, float | None] = {p[:k]: None for p in self.id for k in range(1, len(p))}
         self.step |= self.score  # a score, or None for what is only the start of pieces
         self.letters = {c for p in self.id for c in p}
-        self.memo: dict[str, tuple[bytes, float]] = {}
+        self.lone = "\n" not in self.letters  # then nothing crosses a line break
+        self.cut = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n" if self.lone else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        self.strange = re.compile("[^" + re.escape("".join(sorted(self.letters))) + "]")
+        self.automaton = ahocorasick.Automaton()
+        for p, w in self.score.items():
+            self.automaton.add_word(p, (len(p), w))
+        for c in (self.letters - set(self.score)) | {STRANGE}:
+            self.automaton.add_word(c, (1, self.unknown))
+        self.automaton.make_automaton()
+        self.memo = Memo(self._segments, MEMO)
 
     @staticmethod
     def of(path: str) -> Vocabulary:
@@ -107,15 +123,37 @@ class Vocabulary:
             end = a
         return out[::-1], end
 
+    def _segments(self, segments: list[str]) -> list[tuple[bytes, float]]:
+        """Ids (32-bit) and score of strings that begin and end at forced bounds.
+
+        One pass over all of them, with a character between that no piece has.
+        Of pieces that end together the automaton gives the longest first.
+        """
+        out = []
+        for a in range(0, len(segments), 20_000):
+            part = segments[a:a + 20_000]
+            s = STRANGE.join(part)
+            best, back = [0.0] + [NONE] * len(s), [0] * (len(s) + 1)
+            for e, (n, w) in self.automaton.iter(self.strange.sub(STRANGE, s)):
+                e += 1
+                if (b := best[e - n] + w) > best[e]:
+                    best[e], back[e] = b, e - n
+            sizes = [len(x) for x in part]
+            end = len(s)
+            found = []
+            for n in reversed(sizes):
+                first, at, ids = end - n, end, []
+                while at > first:
+                    i = self.id.get(s[back[at]:at])
+                    ids += [i] if i is not None else [self.byte[c] for c in reversed(s[back[at]:at].encode())]
+                    at = back[at]
+                found.append((array("i", ids[::-1]).tobytes(), best[end] - best[first]))
+                end = first - 1
+            out += reversed(found)
+        return out
+
     def segment(self, s: str) -> tuple[bytes, float]:
-        """Ids (32-bit) and score of a string that begins and ends at forced bounds."""
-        if (found := self.memo.get(s)) is None:
-            best = [0.0] + [NONE] * len(s)
-            back = self.forward(s, best, 0, len(s))
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            found = self.memo[s] = (np.array(self.trace(s, back, len(s))[0], "<i4").tobytes(), best[-1])
-        return found
+        return self.memo.hold({s})[s]
 
     def bounds(self, s: str) -> list[int]:
         """Places inside ``s`` that no piece crosses: before a run of spaces, and around a line break."""
@@ -124,34 +162,18 @@ class Vocabulary:
             if s[at - 1] != SPACE:
                 out.append(at)
             at = s.find(SPACE, at + 1)
-        if "\n" not in self.letters:
+        if self.lone:
             at = s.find("\n")
             while at >= 0:
                 out += [p for p in (at, at + 1) if 0 < p < len(s)]
                 at = s.find("\n", at + 1)
         return sorted(set(out))
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text."""
-        if not text:
-            return np.zeros(0, np.int32)
-        memo, lone, out, run = self.memo, "\n" not in self.letters, [], SPACE
-        for word in text.replace(SPACE, " ").split(" "):
-            if not word:
-                run += SPACE
-                continue
-            p, run = run + word, SPACE
-            if lone and "\n" in word:
-                for x in p.split("\n"):
-                    if x:
-                        out.append((memo.get(x) or self.segment(x))[0])
-                    out.append(self.segment("\n")[0])
-                out.pop()
-            else:
-                out.append((memo.get(p) or self.segment(p))[0])
-        if len(run) > 1:
-            out.append(self.segment(run[1:])[0])
-        return np.frombuffer(b"".join(out), "<i4")
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts."""
+        cut = [self.cut.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        held = self.memo.hold(set().union(*cut))
+        return [np.frombuffer(b"".join([held[x][0] for x in c]), "<i4") for c in cut]
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.bytes_of.__getitem__, ids))
@@ -183,7 +205,9 @@ class Vocabulary:
         else:  # every path passes both bounds, so rows differ by what leads to the first only
             a, b = ends
             tail = self._over(s, size, {b: 0.0}, b)[0][size:size + outs]
-            middle = sum(self.segment(p)[1] for p in self._split(s, a, b))
+            parts = self._split(s, a, b)
+            held = self.memo.hold(set(parts))
+            middle = sum(held[p][1] for p in parts)
             for d in range(min(r, a + 1)):
                 m[d, :len(tail)] = np.array(tail) + (self._over(s[:a], a, {d: 0.0}, d)[0][a] + middle)
         return m - m.max() if np.isfinite(m.max()) else m
@@ -213,7 +237,9 @@ class Vocabulary:
         a, b = ends
         head = self.trace(s, self._over(s[:a], a, {d: x for d, x in given.items() if d <= a})[1], a)[0]
         tail = self.trace(s, self._over(s, size, {b: 0.0}, b)[1], end)[0]
-        return pack(head) + b"".join(self.segment(p)[0] for p in self._split(s, a, b)) + pack(tail)
+        parts = self._split(s, a, b)
+        held = self.memo.hold(set(parts))
+        return pack(head) + b"".join([held[p][0] for p in parts]) + pack(tail)
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -314,6 +340,25 @@ def scan(rows: DataFrame, value: str, combine, state: str, start, spread) -> Dat
     return states
 
 
+def _whole(path: str):
+    def run(batches):
+        v = Vocabulary.of(path)
+        for b in batches:
+            texts = [t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            a, size = 0, 0
+            for i, t in enumerate(texts):  # slices of some million characters
+                size += len(t)
+                if size >= _SLICE or i == len(texts) - 1:
+                    ids = v.encode(texts[a:i + 1])
+                    ends = np.cumsum([0, *[len(x) for x in ids]], dtype=np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                    part = b.slice(a, i + 1 - a)
+                    yield pa.RecordBatch.from_arrays([*part.columns, lists], [*b.schema.names, "ids"])
+                    a, size = i + 1, 0
+
+    return run
+
+
 def encode(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """``docs`` with ids, an array of piece ids (null or empty text: none).
 
@@ -322,11 +367,6 @@ def encode(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK)
     """
     docs = docs.drop("ids")
 
-    @F.pandas_udf("array<int>")
-    def whole(texts: pd.Series) -> pd.Series:
-        v = Vocabulary.of(model)
-        return pd.Series([v.encode(t or "") for t in texts])
-
     @F.pandas_udf("binary")
     def before(s: pd.Series, n: pd.Series, v: pd.Series) -> pd.Series:
         voc = Vocabulary.of(model)
@@ -342,7 +382,8 @@ def encode(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK)
         return parts.map(lambda x: np.frombuffer(b"".join(x), "<i4"))
 
     is_giant = F.coalesce(F.length("text") > giant, F.lit(False))
-    small = docs.filter(~is_giant).withColumn("ids", whole("text"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    small = docs.filter(~is_giant).mapInArrow(_whole(model), schema)
     large = docs.filter(is_giant).withColumn("__key", F.sha2(F.col("text").cast("binary"), 256)).withColumn("__salt", salt_of("doc_id"))
     # equal texts are cut and scored once; the rest of the row waits outside
     texts = large.select(F.col("__key").alias("key"), "text").repartition(partitions(docs.sparkSession), "key").dropDuplicates(["key"])
