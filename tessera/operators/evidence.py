@@ -96,14 +96,14 @@ def step_findings(rows: DataFrame, *keys: str) -> DataFrame:
 
 def keyword_hits(text: DataFrame, key: str, column: str = "text", keywords: dict = KEYWORDS) -> DataFrame:
     """(key, criterion, status): supporting where the lower-cased text holds one of the words, else uncertain."""
-    low = F.lower(F.coalesce(F.col(column), F.lit("")))
-    rows = []
+    lowered = text.select(key, F.lower(F.coalesce(F.col(column), F.lit(""))).alias("__low"))
+    low, rows = F.col("__low"), []
     for name, words in keywords.items():
         found = F.lit(False)
         for w in words:
             found = found | F.contains(low, F.lit(w))
         rows.append(F.struct(F.lit(name).alias("criterion"), F.when(found, "supporting").otherwise("uncertain").alias("status")))
-    return text.select(key, F.explode(F.array(*rows)).alias("h")).select(key, "h.criterion", "h.status")
+    return lowered.select(key, F.explode(F.array(*rows)).alias("h")).select(key, "h.criterion", "h.status")
 
 
 def last_line(text: Column) -> Column:

@@ -14,7 +14,7 @@ from ..settings import Settings
 
 def _flood(grid: int, case: str):
     def run(cells: pd.DataFrame) -> pd.DataFrame:
-        """Spread the least place of the neighbourhood until nothing moves."""
+        """Spread the least place of the neighbourhood until nothing moves; number the places that are left."""
         y, x = cells["gy"].to_numpy(), cells["gx"].to_numpy()
         none = grid * grid
         root = np.full((grid + 2, grid + 2), none)
@@ -26,7 +26,8 @@ def _flood(grid: int, case: str):
             least[1:-1, 1:-1] = np.minimum.reduce(views)
             least[~on] = none
             if (least == root).all():
-                return cells.assign(root=root[y + 1, x + 1].astype("int32"))
+                own = root[y + 1, x + 1].astype("int32")
+                return cells.assign(root=own, component=np.unique(own, return_inverse=True)[1].astype("int32"))
             root = least
 
     return run
@@ -37,9 +38,8 @@ def connected(cells: DataFrame, settings: Settings, case: str = "case_id") -> Da
 
     A case has grid x grid cells at most, so a group is bounded.
     """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema.fields) + ", root int"
-    found = cells.groupBy(case).applyInPandas(_flood(settings.grid, case), schema)
-    return found.withColumn("component", F.dense_rank().over(Window.partitionBy(case).orderBy("root")) - 1)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema.fields) + ", root int, component int"
+    return cells.groupBy(case).applyInPandas(_flood(settings.grid, case), schema)
 
 
 def proposals(components: DataFrame, settings: Settings, width: int, height: int, case: str = "case_id") -> DataFrame:
