@@ -53,9 +53,9 @@ def retries(tries: DataFrame, keys: list[str], order: list[str], limit: int) ->
     return numbered.withColumn("__done", done).filter("__done = 0").drop("__done")
 
 
-def mode_plan(manual: Column, mode: Column) -> Column:
-    """Selector modes to try in order: manual boxes alone, auto as the model and then the rules, else the mode."""
-    return F.when(F.coalesce(manual, F.lit("")) != "", F.array(F.lit("manual"))).when(mode == "auto", F.array(F.lit("patho-r1"), F.lit("heuristic"))).otherwise(F.array(mode))
+def mode_plan(manual: Column, mode: Column, auto=("model", "heuristic")) -> Column:
+    """Selector modes to try in order: manual boxes alone, "auto" as the ``auto`` list, else the mode."""
+    return F.when(F.coalesce(manual, F.lit("")) != "", F.array(F.lit("manual"))).when(mode == "auto", F.array(*[F.lit(m) for m in auto])).otherwise(F.array(mode))
 
 
 def parse_boxes(spec: Column) -> Column:

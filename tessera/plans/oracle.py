@@ -220,7 +220,7 @@ SQL = {
     "retry_log": """WITH t AS (SELECT user_id, event_type, event_id, CASE WHEN value < 40 THEN 'ok' ELSE 'error' END AS status, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS attempt FROM events),
       u AS (SELECT *, coalesce(max((status = 'ok')::INT) OVER (PARTITION BY user_id, event_type ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM t WHERE attempt <= 2)
       SELECT user_id, event_type, event_id, status, attempt::INT AS attempt FROM u WHERE done = 0""",
-    "mode_plan": """SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'manual' WHEN l_linestatus = 'O' THEN 'patho-r1,heuristic' ELSE l_linestatus END AS modes FROM lineitem""",
+    "mode_plan": """SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'manual' WHEN l_linestatus = 'O' THEN 'model,heuristic' ELSE l_linestatus END AS modes FROM lineitem""",
     "box_spec": "SELECT l_orderkey, l_linenumber, i::INT AS box, (l_partkey % 100 + i)::INT AS x1, l_linenumber::INT AS y1, (l_partkey % 100 + i + 10)::INT AS x2, (l_linenumber + 20)::INT AS y2 FROM lineitem, range(2) t(i)",
     "event_metrics": f"SELECT {_four('sum(event_id % 500)', 'count(*)')} AS average_step_latency_ms, {_four('count(*) FILTER (value < 50)', 'count(*)')} AS cache_hit_rate, {_four('count(*) FILTER (event_type <> ' + chr(39) + 'error' + chr(39) + ')', 'count(*)')} AS success_rate FROM events",
     "last_line": r"SELECT doc_id, left(regexp_extract(coalesce(text, ''), '([^\n]*)\s*$', 1), 320) AS last_line FROM documents",

@@ -176,7 +176,7 @@ def test_cache_keys_and_lookup(spark):
 def test_boxes_and_modes(spark):
     r = value(spark, memo.parse_boxes(F.lit("1,2,3,4; ;5,x,7")), memo.mode_plan(F.lit("1,2,3,4"), F.lit("auto")), memo.mode_plan(F.lit(None), F.lit("auto")), memo.mode_plan(F.lit(""), F.lit("m")))
     assert [tuple(b) for b in r.c0] == [(1, 2, 3, 4), (5, None, 7, None)]
-    assert (r.c1, r.c2, r.c3) == (["manual"], ["patho-r1", "heuristic"], ["m"])
+    assert (r.c1, r.c2, r.c3) == (["manual"], ["model", "heuristic"], ["m"])
 
 
 def test_text_evidence(spark):
