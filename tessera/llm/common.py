@@ -5,14 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import SALTS, attach, group_facts, salt_of  # noqa: F401
+
 #: One run of the six ASCII white-space characters, and one word between them.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Hot keys are dealt over this many salts before a join.
-SALTS = 32
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -108,21 +108,6 @@ def prefix(df: DataFrame, order: list[str], amount: str, name: str) -> DataFrame
     )
 
 
-def salt_of(col: str) -> Column:
-    return F.pmod(F.xxhash64(col), F.lit(SALTS)).cast("int")
-
-
-def group_facts(rows: DataFrame, key: str, salt: str, aggs: list[Column]) -> DataFrame:
-    """Aggregates of each key, with the salts its rows use: (key, *aggs, __salts)."""
-    return rows.groupBy(key).agg(*aggs, F.collect_set(salt).alias("__salts"))
-
-
-def attach(rows: DataFrame, facts: DataFrame, key: str, salt: str, how: str = "inner") -> DataFrame:
-    """Join ``facts`` of :func:`group_facts` back to ``rows``; a hot key is dealt over its salts."""
-    spread = facts.withColumn(salt, F.explode("__salts")).drop("__salts")
-    return rows.join(spread, [key, salt], how)
-
-
 def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """:func:`staged`, with the path, for tables that :func:`discard` removes later."""
     path = new_path(df.sparkSession, name)
