@@ -25,16 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, new_path, partitions, prefix, read_table, words_of
+from .common import Memo, new_path, partitions, prefix, read_table
 
 END = 1
 #: Chunk lengths in ids: a cut on average every 2**CUT_BITS ids, within these bounds.
 CUT_BITS, LEAST, MOST = 8, 64, 1024
 FANOUT = 256
 #: Encoded words that a Python worker remembers, in each of two generations.
-MEMO = 250_000
+MEMO = 500_000
 _SLICE = 200_000
-_held: dict[str, tuple] = {}
+_COLUMNS = ["kind", "key", "doc_id", "n", "body"]
+_held: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
@@ -48,6 +49,7 @@ class WordEncoder:
 
     #: Printable ASCII but the apostrophe (contractions), and the Latin-1 letters: NFC leaves them alone.
     PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
+    LETTERS = re.compile("[a-zß-öø-ÿ]+")
     RUNS = re.compile("[a-zß-öø-ÿ]+|[0-9]|\n|[^a-zß-öø-ÿ0-9\n]+")
     LAST = "</w>"
 
@@ -95,26 +97,45 @@ class WordEncoder:
         return out
 
     def _words(self, words: list[bytes]) -> list[bytes]:
-        text = [w.decode() for w in words]
-        plain = [self.plain and "<|" not in t and bool(self.PLAIN.fullmatch(t)) for t in text]
-        runs = self.RUNS.findall("\n".join([t for t, p in zip(text, plain) if p]).lower())
-        held = self.runs.hold(set(runs) - {"\n"})
-        done, parts = [], []
-        for r in [*runs, "\n"]:
-            if r == "\n":
-                done.append(b"".join(parts))
-                parts = []
-            else:
-                parts.append(held[r])
-        rest = [t for t, p in zip(text, plain) if not p]
-        others = iter([np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)])
-        easy = iter(done)
-        return [next(easy) if p else next(others) for p in plain]
-
-    def encode(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """Ids of each text's words, and the end."""
+        """Ids of words; letters alone are a run, the other plain ones are cut."""
+        text = b"\n".join(words).decode().lower().split("\n")
+        out: list[bytes | None] = [None] * len(text)
+        alone, cut, rest = [], [], []
+        letters, plain = self.LETTERS.fullmatch, self.PLAIN.fullmatch if self.plain else (lambda t: None)
+        for i, t in enumerate(text):
+            (alone if letters(t) and self.plain else cut if plain(t) and "<|" not in t else rest).append(i)
+        if alone:
+            found = self._runs([text[i] for i in alone])
+            for i, x in zip(alone, found):
+                out[i] = x
+            self.runs.now.update(zip([text[i] for i in alone], found))
+        if cut:
+            runs = self.RUNS.findall("\n".join([text[i] for i in cut]))
+            held = self.runs.hold(set(runs) - {"\n"})
+            parts, at = [], iter(cut)
+            for r in runs:
+                if r == "\n":
+                    out[next(at)] = b"".join(parts)
+                    parts = []
+                else:
+                    parts.append(held[r])
+            out[next(at)] = b"".join(parts)
+        if rest:
+            for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i].decode() for i in rest], add_special_tokens=False)):
+                out[i] = np.array(e.ids, dtype=self.kind).tobytes()
+        return out
+
+    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
+        """Ids of each text's words, and the end, as bytes."""
         held = self.words.hold(set().union(*texts))
-        return [np.frombuffer(b"".join(map(held.__getitem__, words)) + self.end, dtype=self.kind) for words in texts]
+        return [b"".join(map(held.__getitem__, words)) + self.end for words in texts]
+
+
+def lowered(text: bytes | None) -> list[bytes]:
+    """Words of a text for an encoder that lower-cases: A-Z are lower-cased here, but for texts that may name a special token."""
+    if not text:
+        return []
+    return text.split() if b"<|" in text else text.lower().split()
 
 
 def _gear(ids: np.ndarray) -> np.ndarray:
@@ -126,10 +147,10 @@ def _gear(ids: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of ``ids``; the last is its length."""
-    ends, at, n = [], 0, len(ids)
-    for c in (np.flatnonzero(_gear(ids) >> np.uint32(32 - CUT_BITS) == 0) + 1).tolist() + [n]:
+def cuts(hits: list[int], n: int) -> list[int]:
+    """Ends of the chunks of ``n`` ids, given the places where the rolling hash says to cut; the last is n."""
+    ends, at = [], 0
+    for c in [*hits, n]:
         while c - at > MOST:
             at += MOST
             ends.append(at)
@@ -139,42 +160,62 @@ def cuts(ids: np.ndarray) -> list[int]:
     return ends
 
 
+def _cut_all(ids: np.ndarray, ends: np.ndarray):
+    """Chunk ends of each of several texts that lie in one array.
+
+    The hash is taken over all at once: no chunk ends within the first LEAST ids
+    of a text, and further on the hash's window lies inside the text.
+    """
+    hits = np.flatnonzero(_gear(ids) >> np.uint32(32 - CUT_BITS) == 0) + 1
+    starts = np.r_[0, ends[:-1]]
+    a, b = np.searchsorted(hits, starts, side="right"), np.searchsorted(hits, ends)
+    hits = hits.tolist()
+    for i, (x, y) in enumerate(zip(starts.tolist(), ends.tolist())):
+        yield cuts([h - x for h in hits[a[i]:b[i]]], y - x)
+
+
 def _pack(path: str):
     def run(batches):
         enc = WordEncoder.of(path)
-        seen: set[bytes] = set()
+        width, seen = enc.kind.itemsize, set()
 
         def packed(ids, texts):
-            out = []
-            for doc_id, all_ids in zip(ids, enc.encode(texts)):
+            chunks, recipes = [], []
+            done = enc.encode(texts)
+            ends = np.cumsum([len(x) // width for x in done])
+            every = np.frombuffer(b"".join(done), enc.kind)
+            for raw, places in zip(done, _cut_all(every, ends)):
                 recipe, a = [], 0
-                for b in cuts(all_ids):
-                    body = all_ids[a:b].tobytes()
+                for b in places:
+                    body = raw[a * width:b * width]
                     key = hashlib.blake2b(body, digest_size=16).digest()
-                    recipe.append((key, b - a))
+                    recipe += (key, (b - a).to_bytes(2, "little"))
                     if key not in seen:
                         seen.add(key)
-                        out.append(("chunk", key, None, None, body))
+                        chunks.append((key, body))
                     a = b
-                body = b"".join(k + n.to_bytes(2, "little") for k, n in recipe)
-                out.append(("recipe", hashlib.blake2b(body, digest_size=16).digest(), doc_id, len(all_ids), body))
+                recipes.append(b"".join(recipe))
             if len(seen) > 1_000_000:
                 seen.clear()  # only spares shuffle
-            kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["kind", "key", "doc_id", "n", "body"])
+            k = len(chunks)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(["chunk"] * k), pa.array([c[0] for c in chunks], pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([c[1] for c in chunks], pa.binary())], _COLUMNS)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(["recipe"] * len(ids)), pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in recipes], pa.binary()), pa.array(ids, pa.int64()),
+                pa.array([len(x) // width for x in done], pa.int64()), pa.array(recipes, pa.binary())], _COLUMNS)
 
         for b in batches:
             ids, texts, size = [], [], 0
-            for i in range(b.num_rows):
-                words = words_of(b.column(1)[i].as_py())
-                ids.append(b.column(0)[i].as_py())
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
+                words = lowered(text.as_py())
+                ids.append(doc_id)
                 texts.append(words)
                 size += len(words) + 20
                 if size >= _SLICE:
-                    yield packed(ids, texts)
+                    yield from packed(ids, texts)
                     ids, texts, size = [], [], 0
             if ids:
-                yield packed(ids, texts)
+                yield from packed(ids, texts)
 
     return run
 

@@ -250,7 +250,7 @@ def test_surrogates_stay_distinct(spark):
     extra = spark.range(9).select(F.lit("ipv4"), F.concat(F.lit("1.1.1."), F.col("id").cast("string")))
     values = values.union(extra)
     drawn = surrogates.draws(values, "k")
-    new = values.join(drawn, ["kind", "canon"], "left").withColumn("n", F.expr(surrogates.surrogate_sql("kind", "canon", "coalesce(draw, 0)", "k")))
+    new = surrogates.with_surrogate(values.join(drawn, ["kind", "canon"], "left").withColumn("draw", F.coalesce("draw", F.lit(0))), "k", "canon").withColumnRenamed("new", "n")
     assert new.select("n").distinct().count() == new.count() and new.join(values.select(F.col("canon").alias("n")), "n").isEmpty()
 
 
