@@ -75,6 +75,17 @@ class Memo:
             now.update(zip(missing, self.make(missing)))
         return now
 
+    def values(self, lists: list[list]) -> list[list]:
+        """The values of lists of keys."""
+        get = self.now.get
+        found = [list(map(get, keys)) for keys in lists]
+        holes = [[i for i, v in enumerate(f) if v is None] for f in found]
+        now = self.hold({keys[i] for keys, at in zip(lists, holes) for i in at})
+        for keys, f, at in zip(lists, found, holes):
+            for i in at:
+                f[i] = now[keys[i]]
+        return found
+
 
 def prefix(df: DataFrame, order: list[str], amount: str, name: str) -> DataFrame:
     """Add ``__rank`` (0-based) and ``__before`` (sum of ``amount`` of earlier rows).

@@ -36,7 +36,7 @@ SPACE = "▁"
 #: Texts over GIANT characters are cut into chunks of CHUNK; FAN matrices meet in one product.
 GIANT, CHUNK, FAN = 65_536, 16_384, 32
 #: Segments that a Python worker remembers, in each of two generations.
-MEMO = 150_000
+MEMO = 400_000
 _SLICE = 1_000_000
 _NEW = ["ids", "ids_crc32", "exact"]
 #: Stands for a character that no piece has, so that the automaton sees it.
@@ -124,8 +124,8 @@ class Vocabulary:
             end = a
         return out[::-1], end
 
-    def _segments(self, segments: list[str]) -> list[tuple[bytes, float]]:
-        """Ids (32-bit) and score of strings that begin and end at forced bounds.
+    def _segments(self, segments: list[str]) -> list[bytes]:
+        """Ids (32-bit) of strings that begin and end at forced bounds.
 
         One pass over all of them, with a character between that no piece has.
         Of pieces that end together the automaton gives the longest first.
@@ -148,14 +148,11 @@ class Vocabulary:
                     i = self.id.get(s[back[at]:at])
                     ids += [i] if i is not None else [self.byte[c] for c in reversed(s[back[at]:at].encode())]
                     at = back[at]
-                found.append((array("i", ids[::-1]).tobytes(), best[end] - best[first]))
+                found.append(array("i", ids[::-1]).tobytes())
                 end = first - 1
             out += reversed(found)
         return out
 
-    def segment(self, s: str) -> tuple[bytes, float]:
-        return self.memo.hold({s})[s]
-
     def bounds(self, s: str) -> list[int]:
         """Places inside ``s`` that no piece crosses: before a run of spaces, and around a line break."""
         out, at = [], s.find(SPACE, 1)
@@ -173,8 +170,7 @@ class Vocabulary:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts."""
         cut = [self.cut.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        held = self.memo.hold(set().union(*cut))
-        return [np.frombuffer(b"".join([held[x][0] for x in c]), "<i4") for c in cut]
+        return [np.frombuffer(b"".join(ids), "<i4") for ids in self.memo.values(cut)]
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.bytes_of.__getitem__, ids))
@@ -203,14 +199,11 @@ class Vocabulary:
             for d in range(min(r, size)):
                 row = self._over(s, size, {d: 0.0}, d)[0][size:size + outs]
                 m[d, :len(row)] = row
-        else:  # every path passes both bounds, so rows differ by what leads to the first only
+        else:  # every path passes both bounds; what lies between adds the same to all and so drops out
             a, b = ends
             tail = self._over(s, size, {b: 0.0}, b)[0][size:size + outs]
-            parts = self._split(s, a, b)
-            held = self.memo.hold(set(parts))
-            middle = sum(held[p][1] for p in parts)
             for d in range(min(r, a + 1)):
-                m[d, :len(tail)] = np.array(tail) + (self._over(s[:a], a, {d: 0.0}, d)[0][a] + middle)
+                m[d, :len(tail)] = np.array(tail) + self._over(s[:a], a, {d: 0.0}, d)[0][a]
         return m - m.max() if np.isfinite(m.max()) else m
 
     def _split(self, s: str, a: int, b: int) -> list[str]:
@@ -240,7 +233,7 @@ class Vocabulary:
         tail = self.trace(s, self._over(s, size, {b: 0.0}, b)[1], end)[0]
         parts = self._split(s, a, b)
         held = self.memo.hold(set(parts))
-        return pack(head) + b"".join([held[p][0] for p in parts]) + pack(tail)
+        return pack(head) + b"".join([held[p] for p in parts]) + pack(tail)
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:

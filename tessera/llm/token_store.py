@@ -32,7 +32,7 @@ END = 1
 CUT_BITS, LEAST, MOST = 8, 64, 1024
 FANOUT = 256
 #: Encoded words that a Python worker remembers, in each of two generations.
-MEMO = 500_000
+MEMO = 900_000
 _SLICE = 200_000
 _COLUMNS = ["kind", "key", "doc_id", "n", "body"]
 _held: dict[str, WordEncoder] = {}
@@ -127,8 +127,7 @@ class WordEncoder:
 
     def encode(self, texts: list[list[bytes]]) -> list[bytes]:
         """Ids of each text's words, and the end, as bytes."""
-        held = self.words.hold(set().union(*texts))
-        return [b"".join(map(held.__getitem__, words)) + self.end for words in texts]
+        return [b"".join(ids) + self.end for ids in self.words.values(texts)]
 
 
 def lowered(text: bytes | None) -> list[bytes]:
