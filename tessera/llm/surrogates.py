@@ -90,59 +90,63 @@ def _same_format(value: str, digest: str, keep: str = "false") -> str:
 
 
 def _luhn(number: str) -> str:
-    """SQL: the weighted digit sum of a number's digits, all but the last digit's own check."""
-    d = f"regexp_replace({number}, '[^0-9]', '')"
-    dig = f"CAST(substr({d}, length({d}) - i, 1) AS INT)"
-    return f"aggregate(sequence(0, length({d}) - 1), 0, (a, i) -> a + CASE WHEN i % 2 = 0 THEN {dig} WHEN {dig} > 4 THEN 2 * {dig} - 9 ELSE 2 * {dig} END) % 10"
+    """SQL: the weighted digit sum of a number, modulo ten; 0 where its check digit holds."""
+    digit = "CAST(substr(d, length(d) - i, 1) AS INT)"
+    total = f"aggregate(sequence(0, length(d) - 1), 0, (a, i) -> a + CASE WHEN i % 2 = 0 THEN {digit} WHEN {digit} > 4 THEN 2 * {digit} - 9 ELSE 2 * {digit} END) % 10"
+    return _let("d", f"regexp_replace({number}, '[^0-9]', '')", total)
 
 
-def _name(part: str, key: str, role: str, gender: str, draw: str) -> str:
-    """SQL for a name in the script of part: two syllables and an ending, a syllable more with each draw."""
-    dg = _digest(key, "'name'", f"'{role}'", gender, f"lower({part})", f"CAST({draw} AS STRING)")
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: body with name bound to value, which is so written and computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _name(part: str, key: str, role: str, gender: str) -> str:
+    """SQL for a name in the script of part: three syllables and an ending, a syllable more with each draw."""
     latin = "array(" + ", ".join(f"'{x}'" for x in NAME_LATIN) + ")"
-    cyr = "array(" + ", ".join(f"'{x}'" for x in NAME_CYRILLIC) + ")"
-    is_cyr = f"{part} RLIKE '\\\\p{{IsCyrillic}}'"
-    syll = f"element_at(CASE WHEN {is_cyr} THEN {cyr} ELSE {latin} END, {_draw(dg, 'k')} % CASE WHEN {is_cyr} THEN {len(NAME_CYRILLIC)} ELSE {len(NAME_LATIN)} END + 1)"
+    cyrillic = "array(" + ", ".join(f"'{x}'" for x in NAME_CYRILLIC) + ")"
 
     def end(g):
         a, b, c, d = ENDINGS[g]
-        return f"CASE WHEN {is_cyr} THEN CASE WHEN {_draw(dg, '50')} % 2 = 0 THEN '{c}' ELSE '{d}' END ELSE CASE WHEN {_draw(dg, '50')} % 2 = 0 THEN '{a}' ELSE '{b}' END END"
+        return f"element_at(CASE WHEN y THEN array('{c}', '{d}') ELSE array('{a}', '{b}') END, {_draw('g', '50')} % 2 + 1)"
 
     ending = end("s") if role == "family" else f"CASE WHEN {gender} = 'f' THEN {end('f')} ELSE {end('m')} END"
-    return f"initcap(concat(array_join(transform(sequence(1, 3 + {draw}), k -> {syll}), ''), {ending}))"
-
-
-def surrogate_sql(kind: str, value: str, draw: str, key: str) -> str:
-    """SQL for the replacement of a value of a type at its draw."""
-    dg = _digest(key, kind, f"lower({value})", f"CAST({draw} AS STRING)")
-    local, domain = f"substring_index({value}, '@', 1)", f"substring_index({value}, '@', -1)"
-    host = f"substr({domain}, 1, length({domain}) - length(substring_index({domain}, '.', -1)))"
-    email = f"concat({_same_format(local, dg)}, '@', {_same_format(host, _digest(key, quote('domain'), f'lower({domain})'))}, substring_index({domain}, '.', -1))"
-    octet = (f"CAST(CASE length(o) WHEN 1 THEN {_draw(dg, 'i + 1')} % 10 WHEN 2 THEN 10 + {_draw(dg, 'i + 1')} % 90 "
-             f"ELSE 100 + {_draw(dg, 'i + 1')} % 156 END AS STRING)")
-    ipv4 = f"array_join(transform(split({value}, '[.]'), (o, i) -> {octet}), '.')"
-    # the country code stays, and so does the exchange 555, which belongs to nobody
-    country = f"length(regexp_extract({value}, '^[+][0-9]+', 0))"
-    exchange = f"length(regexp_extract({value}, '^(.*[ .)-])555[ .-][0-9]{{4}}$', 1))"
-    phone = _same_format(value, dg, f"c.i <= {country} OR ({exchange} > 0 AND c.i > {exchange} AND c.i <= {exchange} + 3)")
-    raw = _same_format(value, dg, "c.i = 1")
-    sound = f"({_luhn(value)}) = 0"
-    # the last digit makes up for the rest where the value's own check holds
-    blank = f"concat(substr({raw}, 1, length({value}) - 1), '0')"
-    card = f"CASE WHEN {sound} THEN concat(substr({raw}, 1, length({value}) - 1), CAST((10 - ({_luhn(blank)})) % 10 AS STRING)) ELSE {raw} END"
-    iban = _same_format(value, dg, "c.i <= 2")
-    hexes = (f"array_join(transform(sequence(1, length({value})), i -> substr(CASE WHEN {value} RLIKE '[a-f]' THEN '0123456789abcdef' ELSE '0123456789ABCDEF' END, {_draw(dg, 'i')} % 16 + 1, 1)), '')")
-    prefix = f"length(regexp_extract({value}, '^(AKIA|gh[a-z]_|sk-)', 1))"
-    secret = f"CASE WHEN {value} RLIKE '^[0-9a-fA-F]+$' THEN {hexes} ELSE {_same_format(value, dg, f'c.i <= {prefix}')} END"
+    syllables = _let("t", f"CASE WHEN y THEN {cyrillic} ELSE {latin} END", f"array_join(transform(sequence(1, 3 + draw), k -> element_at(t, {_draw('g', 'k')} % size(t) + 1)), '')")
+    body = f"initcap(concat({syllables}, {ending}))"
+    digest = _digest(key, "'name'", f"'{role}'", gender, f"lower({part})", "CAST(draw AS STRING)")
+    return _let("g", digest, _let("y", f"{part} RLIKE '\\\\p{{IsCyrillic}}'", body))
+
+
+def with_surrogate(rows: DataFrame, key: str, value: str = "value") -> DataFrame:
+    """``rows`` (kind, value, draw) with new, the replacement of the value at its draw."""
+    e = F.expr
+    domain = f"substring_index({value}, '@', -1)"
+    rows = rows.withColumn("__g", e(_digest(key, "kind", f"lower({value})", "CAST(draw AS STRING)")))
+    # a domain has one replacement, whoever has addresses there
+    rows = rows.withColumn("__hg", e(f"CASE WHEN kind = 'email' THEN {_digest(key, quote('domain'), f'lower({domain})')} END"))
+    rows = rows.withColumn("__host", e(f"CASE WHEN kind = 'email' THEN substr({domain}, 1, length({domain}) - length(substring_index({domain}, '.', -1))) END"))
+    rows = rows.withColumn("__body", e(f"CASE WHEN kind = 'email' THEN substring_index({value}, '@', 1) ELSE {value} END"))
+    # what stays: the country's code, an issuer's first digit, a key's prefix, and the exchange 555, which belongs to nobody
+    rows = rows.withColumn("__keep", e(
+        f"CASE kind WHEN 'phone' THEN length(regexp_extract({value}, '^[+][0-9]+', 0)) WHEN 'card' THEN 1 WHEN 'iban' THEN 2 "
+        f"WHEN 'secret' THEN length(regexp_extract({value}, '^(AKIA|gh[a-z]_|sk-)', 1)) ELSE 0 END"))
+    rows = rows.withColumn("__555", e(f"CASE WHEN kind = 'phone' AND {value} RLIKE '[ .)-]555[ .-][0-9]{{4}}$' THEN length({value}) - 8 ELSE -9 END"))
+    rows = rows.withColumn("__raw", e(_same_format("__body", "__g", "c.i <= __keep OR (c.i > __555 AND c.i <= __555 + 3)")))
+    rows = rows.withColumn("__hosts", e(_same_format("__host", "__hg")))
+    rows = rows.withColumn("__blank", e(f"CASE WHEN kind = 'card' AND {_luhn(value)} = 0 THEN concat(substr(__raw, 1, length({value}) - 1), '0') END"))
+    octet = (f"CAST(CASE length(o) WHEN 1 THEN {_draw('__g', 'i + 1')} % 10 WHEN 2 THEN 10 + {_draw('__g', 'i + 1')} % 90 ELSE 100 + {_draw('__g', 'i + 1')} % 156 END AS STRING)")
+    hexes = f"array_join(transform(sequence(1, length({value})), i -> substr(CASE WHEN {value} RLIKE '[a-f]' THEN '0123456789abcdef' ELSE '0123456789ABCDEF' END, {_draw('__g', 'i')} % 16 + 1, 1)), '')"
     gender = f"CASE WHEN {value} RLIKE '^({FEMALE})[. ]' THEN 'f' ELSE 'm' END"
     title = f"regexp_extract({value}, '^([^ ]+ )', 1)"
-    given = _name("n", key, "given", gender, draw)
-    family = _name("n", key, "family", "'x'", draw)
-    names = f"split(substr({value}, length({title}) + 1), '[ -]')"
-    person = f"concat({title}, array_join(transform({names}, (n, j) -> CASE WHEN j = size({names}) - 1 THEN {family} ELSE {given} END), ' '))"
-    forms = {"email": email, "ipv4": ipv4, "phone": phone, "card": card, "iban": iban, "ssn": _same_format(value, dg), "person": person}
-    cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in forms.items())
-    return f"concat(CASE {kind} {cases} ELSE {secret} END, CASE WHEN {draw} >= {LAST_DRAW} THEN concat('-', substr({dg}, 1, 12)) ELSE '' END)"
+    person = _let("p", f"split(substr({value}, length({title}) + 1), '[ -]')", f"concat({title}, array_join(transform(p, (n, j) -> CASE WHEN j = size(p) - 1 THEN {_name('n', key, 'family', quote('x'))} ELSE {_name('n', key, 'given', gender)} END), ' '))")
+    new = (
+        f"CASE WHEN kind = 'email' THEN concat(__raw, '@', __hosts, substring_index({domain}, '.', -1)) "
+        f"WHEN kind = 'ipv4' THEN array_join(transform(split({value}, '[.]'), (o, i) -> {octet}), '.') "
+        # the last digit makes up for the rest where the value's own check holds
+        f"WHEN __blank IS NOT NULL THEN concat(substr(__raw, 1, length({value}) - 1), CAST((10 - {_luhn('__blank')}) % 10 AS STRING)) "
+        f"WHEN kind = 'secret' AND {value} RLIKE '^[0-9a-fA-F]+$' THEN {hexes} WHEN kind = 'person' THEN {person} ELSE __raw END")
+    rows = rows.withColumn("new", e(f"concat({new}, CASE WHEN draw >= {LAST_DRAW} THEN concat('-', substr(__g, 1, 12)) ELSE '' END)"))
+    return rows.drop("__g", "__hg", "__host", "__body", "__keep", "__555", "__raw", "__hosts", "__blank")
 
 
 def quote(s: str) -> str:
@@ -156,7 +160,7 @@ def draws(values: DataFrame, key: str) -> DataFrame:
     compared as written.
     """
     values = staged(values, "values")
-    drawn = staged(values.withColumn("draw", F.lit(0)).withColumn("new", F.expr(surrogate_sql("kind", "canon", "draw", key))), "drawn")
+    drawn = staged(with_surrogate(values.withColumn("draw", F.lit(0)), key, "canon"), "drawn")
     for _ in range(LAST_DRAW + 4):
         # of the values that meet in one replacement the least keeps it
         met = drawn.groupBy("new").agg(F.min(F.struct("kind", "canon")).alias("first"), F.count("*").alias("n"))
@@ -167,7 +171,7 @@ def draws(values: DataFrame, key: str) -> DataFrame:
             break
         lost = F.col("real").isNotNull() & (F.col("real") | (F.struct("kind", "canon") != F.col("first")))
         again = drawn.join(met, "new", "left").withColumn("draw", F.col("draw") + F.when(lost, 1).otherwise(0))
-        drawn = staged(again.select("kind", "canon", "draw").withColumn("new", F.expr(surrogate_sql("kind", "canon", "draw", key))), "drawn")
+        drawn = staged(with_surrogate(again.select("kind", "canon", "draw"), key, "canon"), "drawn")
     return drawn.filter("draw > 0").select("kind", "canon", "draw")
 
 
@@ -192,8 +196,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     mentions = staged(mentions, "mentions")
     redrawn = draws(mentions.select("kind", "canon").distinct(), key)
     new = mentions.join(redrawn, ["kind", "canon"], "left").withColumn("draw", F.coalesce("draw", F.lit(0)))
-    new = new.withColumn("new", F.expr(surrogate_sql("kind", "value", "draw", key)))
-    lists = new.groupBy("__h").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("r"))
+    lists = with_surrogate(new, key).groupBy("__h").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("r"))
     facts = texts.select("__h", "__salts").join(lists, "__h").select("__h", "__salts", F.col("r.new").alias("__new"))
     joined = attach(found.drop("__e"), facts, "__h", "__salt")
     between = F.split("text", ANY, -1)
