@@ -46,6 +46,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Send texts to Python in batches of ``rows`` at most: the session's default of 10,000 holds 80 MB of ids and text."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words between runs of ASCII white space: bytes.split() knows just those six."""
     return text.encode("utf-8", "replace").split() if text else []

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, small_batches
 
 UNKNOWN = "und"
 #: Hashed n-grams of one to NGRAM characters; letters as such, the rest as one space.
@@ -194,6 +194,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     lang_pred is "und", with score 0, for a null text, one without a letter, or
     if nothing could be learned.
     """
+    small_batches(docs.sparkSession)
     model = model or fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
 

@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, attach, group_facts, partitions, read_table, salt_of, staged
+from .common import Memo, attach, group_facts, partitions, read_table, salt_of, small_batches, staged
 
 SPACE = "▁"
 #: Texts over GIANT characters are cut into chunks of CHUNK; FAN matrices meet in one product.
 GIANT, CHUNK, FAN = 65_536, 16_384, 32
 #: Segments that a Python worker remembers, in each of two generations.
-MEMO = 400_000
+MEMO = 200_000
 _SLICE = 1_000_000
 _NEW = ["ids", "ids_crc32", "exact"]
 #: Stands for a character that no piece has, so that the automaton sees it.
@@ -365,6 +365,7 @@ def encode(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK)
     A space stands before the text, as the vocabulary wants. U+2581 counts as
     a space, and what no piece covers becomes its UTF-8 bytes.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop(*_NEW)
 
     @F.pandas_udf("binary")

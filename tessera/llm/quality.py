@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, staged, words_of
+from .common import read_table, small_batches, staged, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
@@ -67,6 +67,7 @@ def _stats(batches):
 
 def text_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, *COUNTS) of each row."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     return docs.mapInArrow(_stats, ", ".join([f"doc_id {dict(docs.dtypes)['doc_id']}", *(f"{c} long" for c in COUNTS)]))
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, group_facts, lower_words_of, read_table, salt_of, staged
+from .common import attach, group_facts, lower_words_of, read_table, salt_of, small_batches, staged
 from .components import components
 
 SHINGLE = 4
@@ -61,6 +61,7 @@ def _fingerprints(columns: list[str]):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of each row."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
     return docs.mapInArrow(_fingerprints(["doc_id"]), f"doc_id {kind}, fp long")

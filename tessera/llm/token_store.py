@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, new_path, partitions, prefix, read_table
+from .common import Memo, new_path, partitions, prefix, read_table, small_batches
 
 END = 1
 #: Chunk lengths in ids: a cut on average every 2**CUT_BITS ids, within these bounds.
@@ -260,6 +260,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> None:
     their content.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _pack(tokenizer), "kind string, key binary, doc_id long, n long, body binary")
     rows.repartition("key").mapInArrow(_once, rows.schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/pack")
