@@ -1,20 +1,24 @@
 """Language-model scores by a hierarchical Pitman-Yor process.
 
-A context is the word before. Every word that makes up a thousandth of the
-training tokens opens a restaurant of its own; all of them share one parent,
-the restaurant of single words, whose base is uniform over the vocabulary and
-one unknown word. Customers are tokens; who opens a table in a context sends a
-customer to the parent. Gibbs sweeps draw the seatings, and the scores average
-the predictive probabilities of several sweeps.
+A context is the word before. Every word that occurs as a context in training has
+a restaurant of its own; all of them share one parent, the restaurant of single
+words, whose base is uniform over the vocabulary and one unknown word. Customers
+are tokens; who opens a table in a context sends a customer to the parent. Gibbs
+sweeps draw the seatings, and the scores average the predictive probabilities of
+several sweeps.
 
 Everything about a word (its counts in all contexts, its tables) lies in one
-bucket, so a sweep is a map over buckets; only the tables and customers of each
-restaurant, a thousand numbers at most, are summed between sweeps. Within a
-sweep a bucket sees the sums of the sweep before.
+bucket; a frequent word is dealt over several by its contexts, and only what its
+slices send to the parent is summed on the driver. A sweep is a map over buckets.
+The customers and tables of the restaurants are sums over buckets too: each bucket
+adds up its own rows of a context, the sums meet in a table dealt by context, and
+each bucket is told the totals of the contexts it has. So a context has one row a
+bucket at most, however frequent it is. Within a sweep a bucket sees the sums of
+the sweep before.
 
 Documents are read in blocks. A block sends to each bucket the block's distinct
-words with the documents they occur in; the bucket sends back what they add to
-each document's score. Frequent words are dealt over several buckets.
+pairs of word and context with the documents they occur in; the bucket sends back
+what they add to each document's score.
 """
 
 from __future__ import annotations
@@ -35,8 +39,6 @@ from pyspark.sql import functions as F
 
 from .common import discard, lower_words_of, partitions, read_table, small_batches, staged, staged_at
 
-#: Least share of the training tokens that opens a restaurant: a thousand restaurants at most.
-CONTEXT_SHARE = 1e-3
 #: Tokens and documents of a block at most; a document is never split.
 BLOCK_TOKENS, BLOCK_DOCS = 1_500_000, 1 << 19
 BURN_IN, SAMPLES = 2, 3
@@ -140,22 +142,18 @@ def frequent_words(docs: DataFrame, share: float) -> tuple[dict[int, int], int]:
 
 @dataclass(frozen=True)
 class Plan:
-    """What all tasks know: the contexts, the buckets, and over how many of them a frequent word is dealt."""
+    """What all tasks know: the buckets, and over how many of them a frequent word is dealt."""
 
-    contexts: np.ndarray  # sorted hashes; the context of contexts[i] is i + 1, 0 is the parent
     buckets: int
-    hot: np.ndarray  # sorted hashes
+    hot: np.ndarray  # sorted hashes, two a bucket at most
     slices: np.ndarray
 
-    def context_of(self, words: np.ndarray) -> np.ndarray:
-        return _find(self.contexts, words) + 1
-
-    def slices_of(self, words: np.ndarray) -> np.ndarray:
+    def bucket_of(self, words: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+        """Buckets of pairs of a word and a context: all of a word lies in one, but for a frequent word."""
         at = _find(self.hot, words)
-        return np.where(at >= 0, np.r_[self.slices, 0][at], 0)
-
-    def bucket_of(self, words: np.ndarray, piece) -> np.ndarray:
-        return ((words + np.asarray(piece).astype(np.uint64) * _STEP) % np.uint64(self.buckets)).astype(np.int64)
+        pieces = np.maximum(np.where(at >= 0, np.r_[self.slices, 0][at], 0), 1).astype(np.uint64)
+        piece = (ctx * _STEP >> np.uint64(33)) % pieces
+        return ((words + piece * _STEP) % np.uint64(self.buckets)).astype(np.int64)
 
 
 def _find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -166,22 +164,31 @@ def _find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(table[at] == x, at, -1)
 
 
+def _thin(x: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 in the narrowest type that holds them."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<i8")
+
+
+def _starts(n: np.ndarray) -> np.ndarray:
+    return np.r_[0, np.cumsum(n.astype(np.int64))[:-1]].astype(np.int64) if len(n) else np.zeros(0, np.int64)
+
+
 def make_plan(docs: DataFrame, buckets: int) -> Plan:
-    counts, total = frequent_words(docs, min(CONTEXT_SHARE, 1 / (2 * buckets)))
-    pick = lambda share: np.sort(np.array([w for w, n in counts.items() if n >= share * total], np.int64).view(np.uint64))
-    hot = pick(1 / (2 * buckets))
+    counts, total = frequent_words(docs, 1 / (2 * buckets))
+    hot = np.sort(np.array(list(counts), np.int64).view(np.uint64))
     n = np.array([counts[w] for w in hot.view(np.int64).tolist()], float)
-    return Plan(pick(CONTEXT_SHARE), buckets, hot, np.ceil(n * buckets / max(1, total)).astype(np.int64) if len(hot) else np.zeros(0, np.int64))
+    return Plan(buckets, hot, np.ceil(n * buckets / max(1, total)).astype(np.int64))
 
 
-_POSTINGS = "bucket int, block long, doc int, doc_id long, n long, body binary"
+_POSTINGS = "bucket int, block long, doc int, doc_id long, n long, body binary, docs binary"
 
 
 def _postings(plan: Plan):
     """Rows for the buckets (bucket >= 0) and, with bucket -1, for the documents of each block.
 
-    A body: words, contexts a word, contexts, documents an item, documents,
-    counts, and which documents are for training.
+    A body: words, pairs a word, contexts (0: none), and of each pair the place of its context and
+    its count in training. The documents: documents a pair, documents and counts.
     """
     def run(batches):
         number = iter(range(1 << 24))
@@ -190,57 +197,50 @@ def _postings(plan: Plan):
         def emit(block: Block):
             me, n = (task << 24) | next(number), len(block.docs)
             words, ids = block.hashes(), np.array(block.ids, np.int64)
+            hashes = np.r_[np.uint64(0), words]
             doc = np.repeat(np.arange(n), block.lengths)
-            ctx = np.zeros(len(ids), np.int64)
-            ctx[1:] = plan.context_of(words)[ids[:-1]]
-            ctx[np.r_[0, np.cumsum(block.lengths)[:-1]]] = 0
-            width = len(plan.contexts) + 1
+            ctx = np.r_[0, ids[:-1] + 1]
+            ctx[_starts(np.array(block.lengths))] = 0
+            width = len(hashes)
             seen, count = np.unique((ids * width + ctx) * n + doc, return_counts=True)
             item, doc = seen // n, seen % n
             starts = np.flatnonzero(np.r_[True, item[1:] != item[:-1]])
             size = np.diff(np.r_[starts, len(item)])
+            trained = np.add.reduceat(count * block.train()[doc], starts)
             word, c = words[item[starts] // width], item[starts] % width
-            pieces = plan.slices_of(word)
-            bucket = plan.bucket_of(word, np.where(pieces > 0, me % np.maximum(pieces, 1), 0))
+            bucket = plan.bucket_of(word, hashes[c])
             order = np.lexsort((c, word, bucket))
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
             by = np.argsort(np.repeat(place, size), kind="stable")
-            doc, count = doc[by].astype("<u4"), count[by].astype("<u4")
-            bucket, word, c, size = bucket[order], word[order], c[order].astype("<u2"), size[order].astype("<u4")
+            doc, count = doc[by], count[by]
+            bucket, word, c, size, trained = bucket[order], word[order], c[order], size[order], trained[order]
             first = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
             at = np.r_[0, np.cumsum(size)]
-            train = np.packbits(block.train())
             rows = []
             for a, b in zip(first[:-1], first[1:]):
                 new = np.flatnonzero(np.r_[True, word[a + 1:b] != word[a:b - 1]])
-                rows.append((int(bucket[a]), None, None, None, pack(
-                    word[a:b][new], np.diff(np.r_[new, b - a]).astype("<u2"), c[a:b], size[a:b], doc[at[a]:at[b]], count[at[a]:at[b]], train)))
-            rows += [(-1, i, d, k, None) for i, (d, k) in enumerate(zip(block.docs, block.lengths))]
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                own, of = np.unique(c[a:b], return_inverse=True)
+                rows.append((int(bucket[a]), None, None, None,
+                             pack(word[a:b][new], _thin(np.diff(np.r_[new, b - a])), hashes[own], _thin(of), _thin(trained[a:b])),
+                             pack(_thin(size[a:b]), _thin(doc[at[a]:at[b]]), _thin(count[at[a]:at[b]]))))
+            rows += [(-1, i, d, k, None, None) for i, (d, k) in enumerate(zip(block.docs, block.lengths))]
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([cols[0], pa.array([me] * len(rows), pa.int64()), *cols[1:]], ["bucket", "block", "doc", "doc_id", "n", "body"])
+            yield pa.RecordBatch.from_arrays([cols[0], pa.array([me] * len(rows), pa.int64()), *cols[1:]], ["bucket", "block", "doc", "doc_id", "n", "body", "docs"])
 
         yield from _blocks(batches, emit)
 
     return run
 
 
-# -- the state of a bucket: words (sorted), rows a word, and a row for each context it
-# was seen in (the parent's first): context, customers, tables, tables of one, drawn tables
-
-
-def _expand(raw: bytes):
-    words, rows, ctx, c, t, ones, drawn = unpack(raw)
-    return words, rows, ctx.astype(np.int64), c.astype(np.int64), t.astype(np.int64), ones.astype(np.int64), drawn.reshape(-1, max(1, len(ctx)))
+# -- what a bucket knows: all its pairs (the table), and what sweeps change (the seating)
 
 
 def _collect(word: np.ndarray, ctx: np.ndarray, n: np.ndarray):
-    """Sums of n by (word, context), sorted, with a row of the parent for each word."""
-    keep = n > 0
-    word, ctx, n = word[keep], ctx[keep].astype(np.int64), n[keep]
+    """Sums of n by (word, context), sorted, with a row of the parent (context 0) for each word."""
     distinct = np.unique(word)
-    word, ctx, n = np.r_[word, distinct], np.r_[ctx, np.zeros(len(distinct), np.int64)], np.r_[n, np.zeros(len(distinct), np.int64)]
+    word, ctx, n = np.r_[word, distinct], np.r_[ctx, np.zeros(len(distinct), np.uint64)], np.r_[n, np.zeros(len(distinct), np.int64)]
     order = np.lexsort((ctx, word))
     word, ctx, n = word[order], ctx[order], n[order]
     if not len(word):
@@ -249,101 +249,199 @@ def _collect(word: np.ndarray, ctx: np.ndarray, n: np.ndarray):
     return word[first], ctx[first], np.add.reduceat(n, first)
 
 
-def _new_state(word, ctx, n) -> bytes:
-    words, rows = np.unique(word, return_counts=True)
-    zero = np.zeros(len(n), "<u4")
-    return pack(words, rows.astype("<u2"), ctx.astype("<u2"), n.astype("<u4"), zero, zero, zero[:0])
+def _items(raw: bytes):
+    """Word, context and training count of each pair of a body."""
+    words, rows, contexts, of, n = unpack(raw)
+    return np.repeat(words, rows), contexts[of], n.astype(np.int64)
 
 
-def _items(raw: bytes):
-    """Word, context and training count of each item of a body, and the rest of it."""
-    words, rows, ctx, size, doc, count, train = unpack(raw)
-    return np.repeat(words, rows), ctx, size, doc, count, train
+def _group_of(ctx: np.ndarray, groups: int) -> np.ndarray:
+    return ((ctx * _STEP >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
+
+
+def _contexts(ctx: np.ndarray, groups: int):
+    """Distinct contexts in the order of their groups, and the place of each of ``ctx`` among them."""
+    found, of = np.unique(ctx, return_inverse=True)
+    order = np.lexsort((found, _group_of(found, groups)))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return found[order], place[of]
+
 
+def _count(plan: Plan):
+    """A bucket's table: words, rows a word, contexts, places of contexts, counts. Pairs without a
+    training token have rows too, as scores ask for their context's totals.
 
-def _count(hot: np.ndarray):
+    Its seating: per word its place among the frequent ones (from 1; 0: none), customers of the
+    parent that stay (tokens without a context and pairs seen once), pairs seen oftener, tables in
+    the parent; contexts and, for each, customers and pairs seen once; per pair seen oftener
+    the place of its context, customers, tables, tables of one; and what was drawn.
+    """
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for raw in group["body"]:
-            word, ctx, size, doc, count, train = _items(raw)
-            starts = np.r_[0, np.cumsum(size)[:-1]].astype(np.int64)
-            trained = np.unpackbits(train)[doc]
-            parts.append(_collect(word, ctx, np.add.reduceat(count.astype(np.int64) * trained, starts)))
-        word, ctx, n = _collect(*[np.concatenate(x) for x in zip(*parts)])
-        is_hot = _find(hot, word) >= 0
-        out = [(int(group["bucket"].iloc[0]), False, _new_state(word[~is_hot], ctx[~is_hot], n[~is_hot]))]
-        if is_hot.any():
-            out.append((-1, True, pack(word[is_hot], ctx[is_hot], n[is_hot])))
-        return pd.DataFrame(out, columns=["bucket", "hot", "body"])
+        word, ctx, n = _collect(*[np.concatenate(x) for x in zip(*[_items(raw) for raw in group["body"]])])
+        words, rows = np.unique(word, return_counts=True)
+        start = _starts(rows)
+        contexts, of = _contexts(ctx, plan.buckets)
+        table = pack(words, _thin(rows), contexts, _thin(of), _thin(n))
+        often = (n > 1) & (ctx > 0)
+        stays = n[start] + np.add.reduceat((n == 1) & (ctx > 0), start, dtype=np.int64)
+        pairs = np.add.reduceat(often, start, dtype=np.int64)
+        own, at = _contexts(ctx[often], plan.buckets)
+        none = np.zeros(0, "<u1")
+        ones = np.ones(int(often.sum()), "<u1")
+        seating = pack(_thin(_find(plan.hot, words) + 1), _thin(stays), _thin(pairs), _thin(np.minimum(stays + pairs, 1)),
+                       own, none, none, _thin(at), _thin(n[often]), ones, ones, none, none)
+        return pd.DataFrame([(int(group["bucket"].iloc[0]), table, seating, int(n.sum()), *[int(((n == i) & (ctx > 0)).sum()) for i in (1, 2)])],
+                            columns=["bucket", "body", "seating", "tokens", "once", "twice"])
 
     return run
 
 
-def _hot_rows(batches):
-    for b in batches:
-        for raw in b.column(0).to_pylist():
-            word, ctx, n = unpack(raw)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(ctx.astype(np.int32)), pa.array(n)], ["word", "ctx", "n"])
+# -- sums over all buckets by context
+
+_SENT = "g int, bucket int, body binary"
+
+
+def _send(bucket: int, groups: int, contexts: np.ndarray, asks: np.ndarray, sums: list[np.ndarray]):
+    """Rows (g, bucket, body) of contexts in the order of their groups: whether the sums are asked back, and the own sums."""
+    g = _group_of(contexts, groups)
+    first = np.r_[np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)] if len(g) else np.zeros(0, int)
+    for a, b in zip(first[:-1], first[1:]):
+        yield int(g[a]), bucket, pack(contexts[a:b], asks[a:b], *[_thin(x[a:b]) for x in sums])
+
+
+def _sent(rows):
+    rows = list(rows)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["g", "bucket", "body"])
+
+
+def _meet(group: pd.DataFrame) -> pd.DataFrame:
+    """Adds up what buckets sent about the contexts of a group, and answers each in the order of its question."""
+    bodies = [unpack(x) for x in group["body"]]
+    _, of = np.unique(np.concatenate([b[0] for b in bodies]), return_inverse=True)
+    sums = [np.bincount(of, np.concatenate([b[i] for b in bodies])).astype(np.int64) for i in range(2, len(bodies[0]))]
+    out, at = [], 0
+    for bucket, b in zip(group["bucket"], bodies):
+        mine = of[at:at + len(b[0])][b[1]]
+        at += len(b[0])
+        if len(mine):
+            out.append((int(group["g"].iloc[0]), int(bucket), pack(*[_thin(x[mine]) for x in sums])))
+    return pd.DataFrame(out, columns=["g", "bucket", "body"])
+
+
+def _answers(rows: pd.DataFrame) -> list[np.ndarray]:
+    """Sums for all contexts of a bucket, in their order."""
+    bodies = [unpack(x) for x in rows.sort_values("g")["body"]]
+    return [np.concatenate([b[i] for b in bodies]).astype(np.int64) for i in range(len(bodies[0]))] if bodies else []
+
+
+def _ask_first(groups: int):
+    """Customers, pairs seen once and tables of the others (one each) by context, for the contexts of the seating."""
+    def run(batches):
+        for b in batches:
+            for bucket, table, seating in zip(*[b.column(i).to_pylist() for i in range(3)]):
+                _, _, contexts, of, n = unpack(table)
+                k = len(contexts)
+                sums = [np.bincount(of, w, k).astype(np.int64) for w in (n, n == 1, n > 1)]
+                yield _sent(_send(bucket, groups, contexts, np.isin(contexts, unpack(seating)[4]), sums))
+
+    return run
+
+
+def _ask_again(groups: int, samples: int):
+    """Tables by context of the pairs seen more than once: the present ones, or those of the samples, then without an answer."""
+    def run(batches):
+        for b in batches:
+            for bucket, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                _, _, _, _, contexts, _, _, of, c, t, _, drawn, _ = unpack(raw)
+                k, none = len(contexts), np.zeros(len(contexts), int)
+                each = drawn.reshape(samples, len(c)) if samples else [t]
+                sums = [np.bincount(of, x, k).astype(np.int64) for x in each]
+                yield _sent(_send(bucket, groups, contexts, np.full(k, not samples), [none, none, *sums] if samples else sums))
+
+    return run
+
 
+def _ask_last(groups: int, samples: int):
+    """Customers and pairs seen once by context, for all contexts of the table."""
+    def run(batches):
+        for b in batches:
+            for bucket, table in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                _, _, contexts, of, n = unpack(table)
+                k = len(contexts)
+                sums = [np.bincount(of, w, k).astype(np.int64) for w in (n, n == 1)]
+                yield _sent(_send(bucket, groups, contexts, np.ones(k, bool), sums + [np.zeros(k, int)] * samples))
+
+    return run
 
-def _hot_state(group: pd.DataFrame) -> pd.DataFrame:
-    found = _collect(group["word"].to_numpy(np.int64).view(np.uint64), group["ctx"].to_numpy(), group["n"].to_numpy(np.int64))
-    return pd.DataFrame([(-1 - int(group["h"].iloc[0]), True, _new_state(*found))], columns=["bucket", "hot", "body"])
+
+def _exchange(sent: DataFrame) -> DataFrame:
+    return sent.groupBy("g").applyInPandas(_meet, _SENT)
 
 
 @dataclass(frozen=True)
 class Totals:
-    """Customers and tables of each restaurant (0: the parent), tokens, vocabulary and discounts."""
+    """Customers and tables of the parent, and those of each frequent word; training tokens and words; discounts."""
 
-    customers: np.ndarray
-    tables: np.ndarray
+    customers: int
+    tables: int
+    hot_customers: np.ndarray
+    hot_tables: np.ndarray
     tokens: int
     words: int
     discount_root: float
     discount_context: float
 
-    def shares(self):
-        """Per restaurant: weight of a customer, discount, and mass that goes to the parent."""
-        d = np.full(len(self.customers), self.discount_context)
-        s = np.full(len(self.customers), STRENGTH_CONTEXT)
-        d[0], s[0] = self.discount_root, STRENGTH_ROOT
-        return 1 / (self.customers + s), d, s + d * self.tables
+    def parent(self, hot: np.ndarray, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """The parent's probability of words with so many customers and tables, or of frequent ones."""
+        c, t = (np.where(hot > 0, np.r_[0, x][hot], y) for x, y in ((self.hot_customers, customers), (self.hot_tables, tables)))
+        return (np.maximum(c - self.discount_root * t, 0) + self.mass() / (self.words + 1)) / (self.customers + STRENGTH_ROOT)
+
+    def mass(self) -> float:
+        return STRENGTH_ROOT + self.discount_root * self.tables
 
+    def share(self, customers: np.ndarray, tables: np.ndarray):
+        """Of restaurants with so many customers and tables: weight of a customer, and mass that goes to the parent."""
+        return 1 / (customers + STRENGTH_CONTEXT), STRENGTH_CONTEXT + self.discount_context * tables
 
-def _parent_customers(rows, ctx, c, t):
-    """Customers of the parent's rows: tokens without a context and the tables of all contexts."""
-    start = np.r_[0, np.cumsum(rows.astype(np.int64))[:-1]]
-    return start, c[start] + (np.add.reduceat(np.where(ctx > 0, t, 0), start) if len(start) else 0)
+
+def _parent_customers(stays, rows, t):
+    """Customers of the parent by word: those that stay and the tables of the pairs seen more than once."""
+    at = np.r_[0, np.cumsum(t.astype(np.int64))]
+    end = np.cumsum(rows.astype(np.int64))
+    return stays.astype(np.int64) + at[end] - at[end - rows]
 
 
 def _sums(batches):
-    """(what, at, n): customers (0) and tables (1) of restaurants, types with one and two customers
-    in the parent (2) and in contexts (3), tokens and words (4)."""
+    """(what, at, n): all customers of the parent (0, 0), and of other words than frequent ones tables (0, 1), words (0, 2)
+    and those with one and two customers (0, 3 and 4); customers of frequent words (1)."""
     for b in batches:
         for raw in b.column(0).to_pylist():
-            words, rows, ctx, c, t, _, _ = _expand(raw)
-            if not len(words):
-                continue
-            start, parent = _parent_customers(rows, ctx, c, np.maximum(t, (ctx > 0) & (c > 0)))
-            inner = ctx > 0
-            k = int(ctx.max()) + 1
-            customers, tables = np.bincount(ctx, c, k), np.bincount(ctx, t, k)
-            customers[0] = parent.sum()
-            out = [(0, i, x) for i, x in enumerate(customers)] + [(1, i, x) for i, x in enumerate(tables)]
-            out += [(2, i, (parent == i).sum()) for i in (1, 2)] + [(3, i, (c[inner] == i).sum()) for i in (1, 2)]
-            out += [(4, 0, c.sum()), (4, 1, len(words))]
+            hot, stays, rows, top, _, _, _, _, _, t, *_ = unpack(raw)
+            n = _parent_customers(stays, rows, t)
+            plain = hot == 0
+            out = [(0, i, x) for i, x in enumerate((n.sum(), top[plain].sum(dtype=np.int64), (n[plain] > 0).sum(), (n[plain] == 1).sum(), (n[plain] == 2).sum()))]
+            out += [(1, h, x) for h, x in zip(hot[~plain], n[~plain])]
             yield pa.RecordBatch.from_arrays([pa.array([int(r[i]) for r in out], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.int64()))], ["what", "at", "n"])
 
 
-def totals(state: DataFrame, contexts: int, before: Totals | None = None) -> Totals:
-    """Sums over all buckets; the discounts are those of the counts and stay what they were before."""
-    rows = state.select("body").mapInArrow(_sums, "what int, at int, n long").groupBy("what", "at").agg(F.sum("n").alias("n")).collect()
-    found = {(r.what, r.at): r.n for r in rows}  # about two rows for each context
-    get = lambda k: np.array([found.get((k, i), 0) for i in range(contexts + 1)], float)
+def totals(seating: DataFrame, plan: Plan, fixed: tuple[int, int, int], seed: int, number: int, before: Totals | None = None) -> Totals:
+    """Sums over all buckets; the discounts are those of the counts and stay what they were before.
+
+    The frequent words' tables in the parent are drawn here.
+    """
+    rows = seating.select("body").mapInArrow(_sums, "what int, at int, n long").groupBy("what", "at").agg(F.sum("n").alias("n")).collect()
+    found = {(r.what, r.at): r.n for r in rows}  # two frequent words a bucket at most
+    hot = np.array([found.get((1, i + 1), 0) for i in range(len(plan.hot))], np.int64)
+    customers, tables, words, one, two = (found.get((0, i), 0) for i in range(5))
+    words += int((hot > 0).sum())
+    if before:
+        base = before.mass() / (before.words + 1)
+        at, _ = seat(hot, np.full(len(hot), base), before.discount_root, before.hot_tables, before.hot_tables * 0, np.random.default_rng([seed, number]))
+        return Totals(customers, tables + int(at.sum()), hot, at, fixed[0], words, before.discount_root, before.discount_context)
     # the usual estimate from how many types have one and two customers
-    d = lambda k: min(0.95, max(0.05, found.get((k, 1), 0) / max(1, found.get((k, 1), 0) + 2 * found.get((k, 2), 0))))
-    dr, dc = (before.discount_root, before.discount_context) if before else (d(2), d(3))
-    return Totals(get(0), get(1), found.get((4, 0), 0), found.get((4, 1), 0), dr, dc)
+    d = lambda n1, n2: min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2)))
+    return Totals(customers, words, hot, (hot > 0).astype(np.int64), fixed[0], words, d(one, two), d(*fixed[1:]))
 
 
 @cache
@@ -402,52 +500,26 @@ def seat(c, a, d: float, t, ones, rng):
 
 
 def _sweep(now: Totals, number: int, seed: int):
-    _, d, mass = now.shares()
-    weight = now.shares()[0]
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for bucket, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                words, rows, ctx, c, t, ones, drawn = _expand(raw)
-                if len(words):
-                    rng = np.random.default_rng([seed, number, bucket + (1 << 40)])
-                    base = 1 / (now.words + 1)
-                    start, parent = _parent_customers(rows, ctx, c, t)
-                    p = np.maximum(parent - d[0] * t[start], 0) * weight[0] + mass[0] * weight[0] * base
-                    inner = np.flatnonzero(ctx > 0)
-                    p = np.repeat(p, rows)[inner]
-                    t, ones = t.copy(), ones.copy()
-                    t[inner], ones[inner] = seat(c[inner], mass[ctx[inner]] * p, d[-1] if len(d) > 1 else d[0], t[inner], ones[inner], rng)
-                    _, parent = _parent_customers(rows, ctx, c, t)
-                    t[start], ones[start] = seat(parent, np.full(len(start), mass[0] * base), d[0], t[start], ones[start], rng)
-                    if number >= BURN_IN:
-                        drawn = np.concatenate([drawn, t.astype("<u4")[None, :]])
-                    raw = pack(words, rows, ctx.astype("<u2"), c.astype("<u4"), t.astype("<u4"), ones.astype("<u4"), drawn.ravel())
-                out.append(raw)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["bucket", "hot", "body"])
-
-    return run
-
-
-def _slices(plan: Plan):
-    """The state of frequent words for each bucket that has a slice of one."""
-    def run(batches):
-        for b in batches:
-            for raw in b.column(0).to_pylist():
-                words, rows, *columns = unpack(raw)
-                n = int(rows.sum())
-                columns = [x.reshape(-1, max(1, n)) for x in columns]
-                pieces = np.maximum(plan.slices_of(words), 1)
-                of, piece = np.repeat(np.arange(len(words)), pieces), np.concatenate([np.arange(k) for k in pieces.tolist()] or [np.zeros(0, int)])
-                bucket = plan.bucket_of(words[of], piece)
-                start = np.r_[0, np.cumsum(rows.astype(np.int64))]
-                out = []
-                for k in np.unique(bucket):
-                    mine = np.unique(of[bucket == k])
-                    at = np.concatenate([np.arange(start[i], start[i + 1]) for i in mine])
-                    out.append((int(k), pack(words[mine], rows[mine], *[np.ascontiguousarray(x[:, at]).ravel() for x in columns])))
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "body"])
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return left
+        hot, stays, rows, top, contexts, n, once, of, c, t, ones, drawn, drawn_top = unpack(left["body"].iloc[0])
+        bucket, told = int(left["bucket"].iloc[0]), _answers(right)
+        rng = np.random.default_rng([seed, number, bucket])
+        if number == 0:
+            n, once = told[:2] or (n, once)
+        # tables of two and more customers' pairs come last
+        tables = once.astype(np.int64) + (told[-1] if told else 0)
+        p = now.parent(hot, _parent_customers(stays, rows, t), top.astype(np.int64))
+        _, mass = now.share(n, tables)
+        t, ones = seat(c.astype(np.int64), mass[of] * np.repeat(p, rows), now.discount_context, t.astype(np.int64), ones.astype(np.int64), rng)
+        base = now.mass() / (now.words + 1)
+        customers = np.where(hot > 0, 0, _parent_customers(stays, rows, t))
+        top, _ = seat(customers, np.full(len(hot), base), now.discount_root, top.astype(np.int64), np.zeros(len(hot), np.int64), rng)
+        if number >= BURN_IN:
+            drawn, drawn_top = np.r_[drawn, t], np.r_[drawn_top, top]
+        body = pack(hot, stays, rows, _thin(top), contexts, _thin(n), _thin(once), of, c, _thin(t), _thin(ones), _thin(drawn), _thin(drawn_top))
+        return pd.DataFrame([(bucket, body)], columns=["bucket", "body"])
 
     return run
 
@@ -457,62 +529,61 @@ def _key(word: np.ndarray, ctx) -> np.ndarray:
     return (k ^ (k >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _score(samples: list[Totals]):
+def _score(samples: list[Totals], hot_tokens: np.ndarray):
     """What each posting adds: rows (block, body) of documents, model and base scores and known tokens."""
     last = samples[-1]
     smooth = np.log10(last.tokens + 0.1 * (last.words + 1)) if last.words else 0.0
 
-    def parameters(bodies):
-        keys, own, parents, counts = [], [], [], []
-        for raw in bodies:
-            words, rows, ctx, c, _, _, drawn = _expand(raw)
-            if not len(words):
-                continue
-            start = np.r_[0, np.cumsum(rows.astype(np.int64))[:-1]]
-            total = np.repeat(np.add.reduceat(c, start), rows)
-            mine, above = [], []
-            for s, t in zip(samples, drawn.astype(np.int64)):
-                weight, d, mass = s.shares()
-                _, parent = _parent_customers(rows, ctx, c, t)
-                p = (np.maximum(parent - d[0] * t[start], 0) + mass[0] / (s.words + 1)) * weight[0]
-                above.append(np.repeat(p, rows))
-                mine.append(np.maximum(c - d[ctx] * t, 0) * weight[ctx])
-            keys.append(_key(np.repeat(words, rows), ctx))
-            own.append(np.array(mine))
-            parents.append(np.array(above))
-            counts.append(total)
-        if not keys:
-            return np.zeros(0, np.uint64), np.zeros((len(samples), 0)), np.zeros((len(samples), 0)), np.zeros(0)
-        keys = np.concatenate(keys)
+    def parameters(known: pd.DataFrame):
+        """Sorted keys of all pairs with the mean of their probabilities, and how often their words are in training."""
+        words, rows, contexts, place, n = unpack(known["body"][known["g"] == -2].iloc[0])
+        hot, stays, often, _, _, _, _, _, c, _, _, drawn, drawn_top = unpack(known["body"][known["g"] == -1].iloc[0])
+        customers, once, *tables = _answers(known[known["g"] >= 0])
+        ctx, n = contexts[place], n.astype(np.int64)
+        total = np.add.reduceat(n, _starts(rows))
+        total = np.where(hot > 0, np.r_[0, hot_tokens][hot], total)
+        more = (n > 1) & (ctx > 0)
+        mean = np.zeros(len(n))
+        for s, t, top, all_tables in zip(samples, drawn.reshape(-1, len(c)) if len(c) else [drawn] * len(samples), drawn_top.reshape(-1, len(hot)).astype(np.int64), tables):
+            p = np.repeat(s.parent(hot, _parent_customers(stays, often, t), top), rows)
+            weight, mass = s.share(customers, once + all_tables)
+            mine = np.minimum(n, 1)
+            mine[more] = t
+            mean += np.where(ctx > 0, (np.maximum(n - s.discount_context * mine, 0) + mass[place] * p) * weight[place], p)
+        keys = _key(np.repeat(words, rows), ctx)
         order = np.argsort(keys)
-        return keys[order], np.concatenate(own, axis=1)[:, order], np.concatenate(parents, axis=1)[:, order], np.concatenate(counts)[order]
+        return keys[order], mean[order] / len(samples), np.repeat(total, rows)[order]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        keys, own, parents, counts = parameters(right["body"])
-        pad = lambda x: np.concatenate([x, np.zeros((*x.shape[:-1], 1))], axis=-1)  # noqa: E731  place -1: not there
-        own, parents, counts = pad(own), pad(parents), pad(counts)
-        unseen = np.array([s.shares()[2][0] / (s.words + 1) * s.shares()[0][0] for s in samples])
-        parents[:, -1] = unseen
+        keys, means, counts = parameters(right)
         out = []
-        for block, raw in zip(left["block"], left["body"]):
-            word, ctx, size, doc, count, _ = _items(raw)
-            top, pair = _find(keys, _key(word, np.zeros(len(word)))), _find(keys, _key(word, ctx))
-            mean = np.zeros(len(word))
-            for i, s in enumerate(samples):
-                weight, _, mass = s.shares()
-                under = np.where(pair >= 0, own[i][pair], 0.0) + mass[ctx] * weight[ctx] * parents[i][top]
-                mean += np.where(ctx > 0, under, parents[i][top])
-            each = np.log10(mean / len(samples))
-            plain = np.log10(counts[top] + 0.1) - smooth
-            known = (counts[top] > 0).astype(float)
-            docs, at = np.unique(doc, return_inverse=True)
-            add = [np.bincount(at, np.repeat(x, size) * count, len(docs)) for x in (each, plain, known)]
+        for block, body, docs in zip(left["block"], left["body"], left["docs"]):
+            word, ctx, _ = _items(body)
+            size, doc, count = unpack(docs)
+            at = np.searchsorted(keys, _key(word, ctx))
+            each, n = np.log10(means[at]), counts[at]
+            plain = np.log10(n + 0.1) - smooth
+            docs, of = np.unique(doc, return_inverse=True)
+            add = [np.bincount(of, np.repeat(x, size) * count, len(docs)) for x in (each, plain, n > 0)]
             out.append((block, pack(docs.astype("<u4"), add[0], add[1], add[2].astype("<u4"))))
         return pd.DataFrame(out, columns=["block", "body"])
 
     return run
 
 
+def _hot_tokens(hot: np.ndarray):
+    """(at, n): training tokens of frequent words."""
+    def run(batches):
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                words, rows, _, _, n = unpack(raw)
+                at = _find(hot, words)
+                total = np.add.reduceat(n.astype(np.int64), _starts(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(at[at >= 0].astype(np.int32)), pa.array(total[at >= 0])], ["at", "n"])
+
+    return run
+
+
 def _gather(group: pd.DataFrame) -> pd.DataFrame:
     parts = [unpack(x) for x in group["body"]]
     docs = np.concatenate([p[0] for p in parts]).astype(np.int64)
@@ -531,26 +602,31 @@ def language_model_scores(docs: DataFrame, buckets: int | None = None, seed: int
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     plan = make_plan(docs, buckets or partitions(spark))
+    groups = plan.buckets
     raw = staged(docs.mapInArrow(_postings(plan), _POSTINGS), "postings")
-    sent = raw.filter("bucket >= 0").select("bucket", "block", "body")
+    sent = raw.filter("bucket >= 0").select("bucket", "block", "body", "docs")
 
-    schema = "bucket int, hot boolean, body binary"
-    counted, first = staged_at(sent.groupBy("bucket").applyInPandas(_count(plan.hot), schema), "counted")
-    rows = counted.filter("hot").select("body").mapInArrow(_hot_rows, "word long, ctx int, n long").groupBy("word", "ctx").agg(F.sum("n").alias("n"))
-    hot = rows.withColumn("h", F.pmod(F.xxhash64("word"), F.lit(plan.buckets)).cast("int")).groupBy("h").applyInPandas(_hot_state, schema)
-    state, path = staged_at(counted.filter("NOT hot").unionByName(hot), "state")
-    discard(spark, first)
+    counted = staged(sent.select("bucket", "body").groupBy("bucket").applyInPandas(
+        _count(plan), "bucket int, body binary, seating binary, tokens long, once long, twice long"), "counted")
+    fixed = counted.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("tokens", "once", "twice")]).first()
+    hot = {r.at: r.n for r in counted.select("body").mapInArrow(_hot_tokens(plan.hot), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    hot_tokens = np.array([hot.get(i, 0) for i in range(len(plan.hot))], np.int64)
 
-    now, samples = totals(state, len(plan.contexts)), []
+    seating, path = counted.select("bucket", F.col("seating").alias("body")), None
+    now, samples = totals(seating, plan, fixed, seed, 0), []
     for number in range(BURN_IN + SAMPLES):
-        old, (state, path) = path, staged_at(state.mapInArrow(_sweep(now, number, seed), schema), "state")
-        discard(spark, old)
-        now = totals(state, len(plan.contexts), now)
+        asked = seating.mapInArrow(_ask_again(groups, 0), _SENT) if number else counted.select("bucket", "body", "seating").mapInArrow(_ask_first(groups), _SENT)
+        swept = seating.groupBy("bucket").cogroup(_exchange(asked).groupBy("bucket")).applyInPandas(_sweep(now, number, seed), "bucket int, body binary")
+        old, (seating, path) = path, staged_at(swept, "seating")
+        if old:
+            discard(spark, old)
+        now = totals(seating, plan, fixed, seed, number + 1, now)
         if number >= BURN_IN:
             samples.append(now)
 
-    known = state.filter("NOT hot").select("bucket", "body").unionByName(state.filter("hot").select("body").mapInArrow(_slices(plan), "bucket int, body binary"))
-    sums = sent.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(_score(samples), "block long, body binary")
+    asked = counted.select("bucket", "body").mapInArrow(_ask_last(groups, SAMPLES), _SENT).unionByName(seating.mapInArrow(_ask_again(groups, SAMPLES), _SENT))
+    known = counted.select(F.lit(-2).alias("g"), "bucket", "body").unionByName(seating.select(F.lit(-1).alias("g"), "bucket", "body")).unionByName(_exchange(asked))
+    sums = sent.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(_score(samples, hot_tokens), "block long, body binary")
     each = sums.groupBy("block").applyInPandas(_gather, "block long, doc int, score double, base_score double, n_known long")
     about = raw.filter("bucket = -1").select("block", "doc", "doc_id", F.col("n").alias("n_tokens"))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
