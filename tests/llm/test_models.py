@@ -1,6 +1,5 @@
 """Language ID, scores, tokens, quality, surrogates, pieces and the pipeline."""
 
-import math
 import re
 import zlib
 from collections import Counter
@@ -9,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import language, pieces, pitman_yor, quality, registry, surrogates, token_store
+from tessera.llm import language, pieces, quality, registry, surrogates, token_store
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -34,66 +33,6 @@ def texts(spark, small):
     return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
 
 
-# -- scores
-
-
-def tokens_of(text):
-    low = re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode())
-    return [*re.findall(rb"[^\x20\x09-\x0D]+", low), b"\n"]
-
-
-def test_scores(spark, small, texts, monkeypatch):
-    monkeypatch.setattr(pitman_yor, "BLOCK_TOKENS", 5_000)
-    got = {r.doc_id: r for r in registry.queries()["op3_pitman_yor"](spark, small).collect()}
-    c = Counter(t for k, x in texts.items() if zlib.crc32(str(k).encode()) % 10 for t in tokens_of(x))
-    n, v = sum(c.values()), len(c)
-    assert set(got) == set(texts)
-    for k, x in texts.items():
-        t, r = tokens_of(x), got[k]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(k).encode()) % 10 == 0, len(t), sum(w in c for w in t), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t))
-        assert r.perplexity == pytest.approx(10 ** (-r.score / len(t)))
-    held = [r for r in got.values() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-
-
-def test_probabilities_after_a_context_sum_to_one(spark):
-    """One frequent word, "w", and 3,000 rare ones: over all that can follow "w", the end and an unknown word too.
-
-    What the parent gives "w" is what it leaves of one; the rest is read off texts of one and two words.
-    """
-    rnd = np.random.default_rng(0)
-    train = [(i, " ".join(f"w v{k}" if k % 3 else f"v{k}" for k in rnd.integers(0, 3000, 30)), "", "", 0) for i in range(400)]
-    train = [r for r in train if not pitman_yor.is_held_out(r[0])]
-    rare = sorted({t for r in train for t in r[1].split()} - {"w"}) + ["unknown"]
-    ids = (i for i in range(1000, 999999) if pitman_yor.is_held_out(i))
-    ask = {next(ids): x for x in ["", "w", "w w", *rare, *(f"w {b}" for b in rare)]}
-    rows = spark.createDataFrame(train + [(k, x, "", "", 0) for k, x in ask.items()], SCHEMA)
-    p = {ask[r.doc_id]: 10**r.score for r in pitman_yor.language_model_scores(rows).collect() if r.doc_id in ask}
-    end = p[""]
-    w = 1 - end - sum(p[b] / end for b in rare)
-    end_after_w = p["w"] / w
-    total = end_after_w + p["w w"] / w / end_after_w + sum(p[f"w {b}"] / w / end for b in rare)
-    assert total == pytest.approx(1, abs=0.01)
-
-
-def test_seatings_are_drawn_from_their_conditional():
-    d, a = 0.6, 0.8
-    log_s = pitman_yor._log_stirling(d)
-    for c in (2, 5, 9):
-        w = np.exp(log_s[c, 1:c + 1]) * a ** np.arange(1, c + 1)
-        t, _ = pitman_yor.seat(np.full(40_000, c), np.full(40_000, a), d, np.zeros(40_000, np.int64), np.zeros(40_000, np.int64), np.random.default_rng(1))
-        assert np.bincount(t, minlength=c + 1)[1:] / 40_000 == pytest.approx(w / w.sum(), abs=0.01)
-    big, ones = pitman_yor.seat(np.array([1, 500, 100_000]), np.array([0.1, 3.0, 3.0]), d, np.zeros(3, np.int64), np.zeros(3, np.int64), np.random.default_rng(1))
-    assert big[0] == 1 and 1 < big[1] < 500 and big[1] < big[2] < 100_000 and (ones <= big).all()
-
-
-def test_score_edges(edge, nothing):
-    got = Counter((r.doc_id, r.n_tokens) for r in pitman_yor.language_model_scores(edge).collect())
-    assert got == Counter([(1, 1), (2, 1), (3, 1), (4, 5), (4, 5), (None, 4), (5, 30_001), (6, 5)])
-    assert pitman_yor.language_model_scores(nothing).collect() == []
-
-
 # -- language
 
 
