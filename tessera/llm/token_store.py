@@ -22,10 +22,12 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, new_path, partitions, prefix, read_table, small_batches
+from .common import Memo, attach, group_facts, new_path, partitions, prefix, read_table, salt_of
 
 END = 1
 #: Chunk lengths in ids: a cut on average every 2**CUT_BITS ids, within these bounds.
@@ -33,8 +35,10 @@ CUT_BITS, LEAST, MOST = 8, 64, 1024
 FANOUT = 256
 #: Encoded words that a Python worker remembers, in each of two generations.
 MEMO = 900_000
-_SLICE = 200_000
-_COLUMNS = ["kind", "key", "doc_id", "n", "body"]
+#: Rows that are encoded at once.
+_SLICE = 2_000
+#: deal: by what a row is dealt over the tasks; chunks by their key, recipes evenly, as one text may recur without end.
+_COLUMNS = ["deal", "kind", "key", "doc_id", "n", "body"]
 _held: dict[str, WordEncoder] = {}
 
 
@@ -68,8 +72,10 @@ class WordEncoder:
         #: Does the tokenizer cut and normalise as RUNS supposes?
         self.plain = (
             spec["model"].get("end_of_word_suffix") == self.LAST and spec["model"]["type"] == "BPE"
-            and [n["type"] for n in spec["normalizer"].get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+            and [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         )
+        normal = spec["normalizer"] or {}
+        self.lowers = "Lowercase" in [normal.get("type"), *(n["type"] for n in normal.get("normalizers", []))]
         #: The same model on runs that are cut and mapped already.
         self.bare = Tokenizer(self.tokenizer.model)
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -85,11 +91,19 @@ class WordEncoder:
 
     def _runs(self, runs: list[str]) -> list[bytes]:
         """Ids of runs: each ends with the one token that bears the suffix."""
+        plain = [r for r in runs if r.isascii()]
+        if len(plain) < len(runs):
+            rest = [r for r in runs if not r.isascii()]
+            found = dict(zip(rest, self._mapped(" ".join(rest).encode().decode("latin-1").translate(self.alphabet).split(" "))))
+            found.update(zip(plain, self._mapped(plain)))
+            return [found[r] for r in runs]
+        return self._mapped(runs)
+
+    def _mapped(self, runs: list[str]) -> list[bytes]:
+        """The same for runs in the byte-level alphabet, where printable ASCII stands for itself."""
         out = []
         for a in range(0, len(runs), 4_000):
             text = " ".join(runs[a:a + 4_000])
-            if not text.isascii():
-                text = text.encode().decode("latin-1").translate(self.alphabet)
             ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
             raw, w = ids.tobytes(), self.kind.itemsize
             ends = ((np.flatnonzero(self.last[ids]) + 1) * w).tolist()
@@ -97,12 +111,15 @@ class WordEncoder:
         return out
 
     def _words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words; letters alone are a run, the other plain ones are cut."""
+        """Ids of words; letters alone are a run, the other plain ones are cut. An empty word has none."""
         text = b"\n".join(words).decode().lower().split("\n")
         out: list[bytes | None] = [None] * len(text)
         alone, cut, rest = [], [], []
         letters, plain = self.LETTERS.fullmatch, self.PLAIN.fullmatch if self.plain else (lambda t: None)
         for i, t in enumerate(text):
+            if not t:
+                out[i] = b""
+                continue
             (alone if letters(t) and self.plain else cut if plain(t) and "<|" not in t else rest).append(i)
         if alone:
             found = self._runs([text[i] for i in alone])
@@ -125,16 +142,27 @@ class WordEncoder:
                 out[i] = np.array(e.ids, dtype=self.kind).tobytes()
         return out
 
-    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
-        """Ids of each text's words, and the end, as bytes."""
-        return [b"".join(ids) + self.end for ids in self.words.values(texts)]
-
-
-def lowered(text: bytes | None) -> list[bytes]:
-    """Words of a text for an encoder that lower-cases: A-Z are lower-cased here, but for texts that may name a special token."""
-    if not text:
-        return []
-    return text.split() if b"<|" in text else text.lower().split()
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one after the other, each with the end, and where each text ends.
+
+        Arrow splits the texts and numbers their distinct words, so only those are looked up.
+        """
+        texts = pc.fill_null(texts, "")
+        # A-Z are lower-cased here, but for texts that may name a special token: this encoder lower-cases
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)) if self.lowers else texts
+        lists = pc.ascii_split_whitespace(texts)
+        n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        # words hold no line break, so one split gives them all
+        words = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), "\n")[0].as_py().encode().split(b"\n")[:len(coded.dictionary)]
+        ids = [*self.words.values([words])[0], self.end]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        known, first = np.frombuffer(b"".join(ids), self.kind), np.cumsum(size) - size
+        which = np.full(len(coded) + len(n), len(words))
+        which[np.arange(len(coded)) + np.repeat(np.arange(len(n)), n)] = coded.indices.to_numpy()
+        length = size[which]
+        ends = np.cumsum(length)
+        return known[np.repeat(first[which] - ends + length, length) + np.arange(int(length.sum()))], ends[np.cumsum(n + 1) - 1]
 
 
 def _gear(ids: np.ndarray) -> np.ndarray:
@@ -178,43 +206,35 @@ def _pack(path: str):
         enc = WordEncoder.of(path)
         width, seen = enc.kind.itemsize, set()
 
-        def packed(ids, texts):
-            chunks, recipes = [], []
-            done = enc.encode(texts)
-            ends = np.cumsum([len(x) // width for x in done])
-            every = np.frombuffer(b"".join(done), enc.kind)
-            for raw, places in zip(done, _cut_all(every, ends)):
-                recipe, a = [], 0
-                for b in places:
-                    body = raw[a * width:b * width]
-                    key = hashlib.blake2b(body, digest_size=16).digest()
-                    recipe += (key, (b - a).to_bytes(2, "little"))
-                    if key not in seen:
-                        seen.add(key)
-                        chunks.append((key, body))
-                    a = b
-                recipes.append(b"".join(recipe))
-            if len(seen) > 1_000_000:
-                seen.clear()  # only spares shuffle
-            k = len(chunks)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(["chunk"] * k), pa.array([c[0] for c in chunks], pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([c[1] for c in chunks], pa.binary())], _COLUMNS)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(["recipe"] * len(ids)), pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in recipes], pa.binary()), pa.array(ids, pa.int64()),
-                pa.array([len(x) // width for x in done], pa.int64()), pa.array(recipes, pa.binary())], _COLUMNS)
-
+        number = iter(range(TaskContext.get().partitionId() << 40, 1 << 62) if TaskContext.get() else range(1 << 62))
         for b in batches:
-            ids, texts, size = [], [], 0
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
-                words = lowered(text.as_py())
-                ids.append(doc_id)
-                texts.append(words)
-                size += len(words) + 20
-                if size >= _SLICE:
-                    yield from packed(ids, texts)
-                    ids, texts, size = [], [], 0
-            if ids:
-                yield from packed(ids, texts)
+            for start in range(0, b.num_rows, _SLICE):
+                part = b.slice(start, _SLICE)
+                chunks, recipes = [], []
+                every, ends = enc.encode(part.column(1))
+                raw, x = every.tobytes(), 0
+                for y, places in zip(ends.tolist(), _cut_all(every, ends)):
+                    recipe, i = [], x
+                    for place in places:
+                        j = x + place
+                        body = raw[i * width:j * width]
+                        key = hashlib.blake2b(body, digest_size=16).digest()
+                        recipe += (key, (j - i).to_bytes(2, "little"))
+                        if key not in seen:
+                            seen.add(key)
+                            chunks.append((key, body))
+                        i = j
+                    recipes.append(b"".join(recipe))
+                    x = y
+                if len(seen) > 1_000_000:
+                    seen.clear()  # only spares shuffle
+                k, names = len(chunks), pa.array([c[0] for c in chunks], pa.binary())
+                kind = part.column(0).type
+                yield pa.RecordBatch.from_arrays([names, pa.array(["chunk"] * k), names, pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.array([c[1] for c in chunks], pa.binary())], _COLUMNS)
+                digests = pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in recipes], pa.binary())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([next(number).to_bytes(8, "little") for _ in recipes], pa.binary()), pa.array(["recipe"] * part.num_rows), digests, part.column(0),
+                    pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array(recipes, pa.binary())], _COLUMNS)
 
     return run
 
@@ -224,11 +244,14 @@ def _once(batches):
     seen: set[bytes] = set()
     for b in batches:
         keep = []
-        for kind, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for kind, key in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
             keep.append(kind == "recipe" or key not in seen)
             if kind == "chunk":
                 seen.add(key)
-        yield b.filter(pa.array(keep))
+        yield b.filter(pa.array(keep)).select(_COLUMNS[1:])
+
+
+_ROW = "kind string, key binary, doc_id long, n long, body binary"
 
 
 def _tree(leaves: DataFrame) -> list[tuple[int, DataFrame]]:
@@ -257,13 +280,12 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Encode ``docs`` (doc_id, text) with the tokenizer file and write the store.
 
     Rows with a null doc_id come first; rows that repeat a doc_id are filed by
-    their content.
+    their content. A null text is the end alone. doc_id is stored as a long; a
+    value that is none is an error. Other columns are left out.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _pack(tokenizer), "kind string, key binary, doc_id long, n long, body binary")
-    rows.repartition("key").mapInArrow(_once, rows.schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/pack")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack(tokenizer), f"deal binary, {_ROW}")
+    rows.repartition("deal").mapInArrow(_once, _ROW).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/pack")
     # an empty table leaves no folders to read kinds from
     recipes = _read_pack(spark, path).filter("kind = 'recipe'").select("doc_id", "key", F.col("n").alias("n_tokens"), F.col("body").alias("recipe"))
     ranked = prefix(recipes, ["doc_id", "key"], "n_tokens", "recipes")
@@ -368,7 +390,9 @@ def read_index(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     facts = chunks.mapInArrow(_facts, "key binary, n int, crc long, sound boolean")
     index = spark.read.parquet(f"{path}/index")
     links = index.select("rank", "recipe").mapInArrow(_links, "rank long, key binary, want long, after long")
-    joined = links.join(facts, "key", "left")
+    # a chunk may recur in many documents, as that of the empty text does
+    salted = links.withColumn("__salt", salt_of("rank"))
+    joined = attach(salted, group_facts(salted, "key", "__salt", []).join(facts, "key", "left"), "key", "__salt")
     sound = F.col("sound") & (F.col("n") == F.col("want"))
     crc = F.when(sound, F.col("crc")).otherwise(F.raise_error(F.lit("a chunk is missing or damaged")).cast("long"))
     docs = joined.select("rank", "want", shifted(crc, "after").alias("c")).groupBy("rank").agg(F.bit_xor("c").alias("ids_crc32"), F.sum("want").alias("__n"))
@@ -381,7 +405,8 @@ def read_ids(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     chunks = _read_pack(spark, path).filter("kind = 'chunk'").select("key", "body")
     index = spark.read.parquet(f"{path}/index")
     links = index.select("rank", "recipe").mapInArrow(_links, "rank long, key binary, want long, after long")
-    parts = links.join(chunks, "key").groupBy("rank").agg(F.sort_array(F.collect_list(F.struct((-F.col("after")).alias("o"), "body"))).alias("c"))
+    salted = links.withColumn("__salt", salt_of("rank"))
+    parts = attach(salted, group_facts(salted, "key", "__salt", []).join(chunks, "key"), "key", "__salt").groupBy("rank").agg(F.sort_array(F.collect_list(F.struct((-F.col("after")).alias("o"), "body"))).alias("c"))
 
     @F.pandas_udf("array<int>")
     def ids(bodies: pd.Series) -> pd.Series:
