@@ -27,20 +27,20 @@ from __future__ import annotations
 
 import gc
 import zlib
-from collections import defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, lower_words_of, read_table, staged_at
+from .common import discard, read_table, staged_at
 
 #: Tokens and documents of a block at most; a document is never split.
 BLOCK_TOKENS, BLOCK_DOCS = 1_500_000, 1 << 19
@@ -55,8 +55,10 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes, each number's lowest bytes first: like bytes side by side compress better."""
     head = np.array([len(arrays), *[x for a in arrays for x in (ord(a.dtype.char), len(a))]], "<i8")
-    return zstandard.compress(head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]
+    return zstandard.compress(head.tobytes() + b"".join(planes), 1)
 
 
 def unpack(raw: bytes) -> list[np.ndarray]:
@@ -65,9 +67,10 @@ def unpack(raw: bytes) -> list[np.ndarray]:
     head = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(n, 2)
     out, at = [], 8 + 16 * n
     for kind, size in head.tolist():
-        a = np.frombuffer(raw, np.dtype(chr(kind)), size, at)
-        out.append(a)
-        at += a.nbytes
+        kind = np.dtype(chr(kind))
+        planes = np.frombuffer(raw, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += size * kind.itemsize
     return out
 
 
@@ -121,47 +124,51 @@ def is_held_out(doc_id) -> bool:
 # -- blocks of documents
 
 
-@dataclass
 class Block:
-    """Tokens of some documents by local word number; number 0 is the end of a document."""
-
-    vocab: defaultdict = field(default_factory=defaultdict)
-    ids: list[int] = field(default_factory=list)
-    lengths: list[int] = field(default_factory=list)
-    docs: list = field(default_factory=list)
-
-    def __post_init__(self):
-        self.vocab.default_factory = self.vocab.__len__
-        self.vocab[END]
-
-    def add(self, doc_id, text) -> None:
-        words = lower_words_of(text)
-        self.ids += map(self.vocab.__getitem__, words)
-        self.ids.append(0)
-        self.lengths.append(len(words) + 1)
-        self.docs.append(doc_id)
-
-    def full(self) -> bool:
-        return len(self.ids) >= BLOCK_TOKENS or len(self.docs) >= BLOCK_DOCS
-
-    def hashes(self) -> np.ndarray:
+    """Tokens of some documents by local word number, words in the order of their hashes."""
+
+    def __init__(self, docs: list, lists: list[pa.ListArray]):
+        self.docs, n = docs, len(docs)
+        self.lengths = np.concatenate([x.value_lengths().to_numpy(zero_copy_only=False) for x in lists]).astype(np.int64)
+        coded = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+        # words hold no line break, so one split gives them all; an empty one stands before white space at either end
+        words = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), "\n")[0].as_py().encode("utf-8", "replace").split(b"\n")[:len(coded.dictionary)]
+        ids = coded.indices.to_numpy()
+        real = np.array([bool(w) for w in words] + [True])[ids] if b"" in words else None
+        if real is not None:
+            doc = np.repeat(np.arange(n), self.lengths)
+            self.lengths, ids = np.bincount(doc[real], minlength=n), ids[real]
+        words.append(END)
         h = xxhash.xxh64_intdigest
-        return np.fromiter((h(w) for w in self.vocab), np.uint64, len(self.vocab))
+        hashes = np.fromiter(map(h, words), np.uint64, len(words))
+        order = np.argsort(hashes)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.lengths = self.lengths + 1
+        ends = np.cumsum(self.lengths) - 1
+        self.hashes, self.ids = hashes[order], np.empty(len(ids) + n, np.int64)
+        inner = np.ones(len(self.ids), bool)
+        inner[ends] = False
+        self.ids[inner], self.ids[ends] = rank[ids], rank[-1]
 
     def train(self) -> np.ndarray:
         return np.array([not is_held_out(d) for d in self.docs])
 
 
 def _blocks(batches, emit):
-    block = Block()
+    docs, lists, size = [], [], 0
     for b in batches:
-        for i in range(b.num_rows):
-            block.add(b.column(0)[i].as_py(), b.column(1)[i].as_py())
-            if block.full():
-                yield from emit(block)
-                block = Block()
-    if block.docs:
-        yield from emit(block)
+        for a in range(0, b.num_rows, 500):
+            part = b.slice(a, 500)
+            words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part.column(1), "")))
+            docs += part.column(0).to_pylist()
+            lists.append(words)
+            size += len(words.flatten()) + part.num_rows
+            if size >= BLOCK_TOKENS or len(docs) >= BLOCK_DOCS:
+                yield from emit(Block(docs, lists))
+                docs, lists, size = [], [], 0
+    if docs:
+        yield from emit(Block(docs, lists))
 
 
 def _context_of(words: np.ndarray) -> np.ndarray:
@@ -187,8 +194,8 @@ class Plan:
 
 def _word_counts(batches):
     def emit(block: Block):
-        n = np.bincount(np.array(block.ids), minlength=len(block.vocab))
-        yield pa.RecordBatch.from_arrays([pa.array(block.hashes().view(np.int64)), pa.array(n)], ["word", "n"])
+        n = np.bincount(block.ids, minlength=len(block.hashes))
+        yield pa.RecordBatch.from_arrays([pa.array(block.hashes.view(np.int64)), pa.array(n)], ["word", "n"])
 
     return _blocks(batches, emit)
 
@@ -226,25 +233,28 @@ def _postings(plan: Plan, scores: bool):
 
         def emit(block: Block):
             me, n = (task << 24) | next(number), len(block.docs)
-            words, ids = block.hashes(), np.array(block.ids, np.int64)
-            block.ids = []
+            words, ids = block.hashes, block.ids
             contexts = np.r_[np.uint64(0), _context_of(words)]
             ctx = np.r_[0, ids[:-1] + 1]
-            ctx[_starts(np.array(block.lengths))] = 0
+            ctx[_starts(block.lengths)] = 0
             width = len(contexts)
             key = ids * width + ctx
             if scores:
-                doc = np.repeat(np.arange(n), block.lengths)
-                seen, count = np.unique(key * n + doc, return_counts=True)
-                item, doc = seen // n, seen % n
-            else:
-                item, seen = np.unique(key, return_inverse=True)
-                count = np.bincount(seen, np.repeat(block.train(), block.lengths), len(item)).astype(np.int64)
+                item, count = np.unique(key * n + np.repeat(np.arange(n), block.lengths), return_counts=True)
+                item, doc = item // n, item % n
+            else:  # pairs of training, then the others with none
+                train = np.repeat(block.train(), block.lengths)
+                item, count = np.unique(key[train], return_counts=True)
+                rest = np.setdiff1d(np.unique(key[~train]), item, assume_unique=True)
+                item, count = np.r_[item, rest], np.r_[count, np.zeros(len(rest), np.int64)]
+                order = np.argsort(item, kind="stable")
+                item, count = item[order], count[order]
             first = np.flatnonzero(np.r_[True, item[1:] != item[:-1]])
             size = np.diff(np.r_[first, len(item)])
-            word, c = words[item[first] // width], contexts[item[first] % width]
-            bucket = plan.bucket_of(word, c)
-            order = np.lexsort((c, word, bucket))
+            word, c = item[first] // width, item[first] % width
+            bucket = plan.bucket_of(words[word], contexts[c])
+            # numbers rise with hashes, so the rows of a bucket stay in the order of word and context
+            order = np.argsort(bucket.astype(np.uint16) if plan.buckets < 1 << 16 else bucket, kind="stable")
             bucket, word, c, size, first = bucket[order], word[order], c[order], size[order], first[order]
             if scores:  # rows of a pair lie side by side from its first
                 at = np.repeat(first - _starts(size), size) + np.arange(int(size.sum()))
@@ -256,8 +266,8 @@ def _postings(plan: Plan, scores: bool):
             rows = []
             for a, b in zip(ends[:-1], ends[1:]):
                 new = np.flatnonzero(np.r_[True, word[a + 1:b] != word[a:b - 1]])
-                own, of = np.unique(c[a:b], return_inverse=True)
-                pairs = [_steps(word[a:b][new]), _thin(np.diff(np.r_[new, b - a])), _steps(own), _thin(of)]
+                own, of = np.unique(c[a:b].astype(np.int32), return_inverse=True)
+                pairs = [_steps(words[word[a:b][new]]), _thin(np.diff(np.r_[new, b - a])), _steps(contexts[own]), _thin(of)]
                 if scores:
                     rows.append((int(bucket[a]), me, pack(*pairs), pack(_thin(size[a:b]), _thin(doc[at[a]:at[b]]), _thin(count[at[a]:at[b]]))))
                 else:
@@ -266,7 +276,7 @@ def _postings(plan: Plan, scores: bool):
                 names = pa.array(block.docs, pa.string())
                 raw = pa.BufferOutputStream()
                 with pa.ipc.new_stream(raw, pa.schema([("doc", pa.string()), ("n", pa.int64())])) as out:
-                    out.write_batch(pa.RecordBatch.from_arrays([names, pa.array(block.lengths, pa.int64())], ["doc", "n"]))
+                    out.write_batch(pa.RecordBatch.from_arrays([names, pa.array(block.lengths)], ["doc", "n"]))
                 rows.append((-1 - me, me, None, raw.getvalue().to_pybytes()))
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
             for a in range(0, len(rows), 256):
@@ -348,14 +358,16 @@ class Seating:
     def sweep(self, law: Law, tables: np.ndarray, seed: int, number: int) -> None:
         """Seat all pairs anew; ``tables``: those of all pairs in each context, before this sweep.
 
-        The pairs of a word follow each other, the first ones singly, then in groups of an eighth of
-        those before; after each group the word's customers in the parent are counted anew.
+        The pairs of a word follow each other, those with most customers first: the first ones singly,
+        then in groups of a fifth of those before; after each group the word's customers in the parent
+        are counted anew.
         """
         word = np.repeat(np.arange(len(self.rows)), self.rows)
         n = self.customers(self.t)
         n = np.where(self.hot > 0, np.r_[0, law.hot_customers][self.hot], n)
-        place = np.arange(len(word)) - np.repeat(_starts(self.rows), self.rows)
-        turn = np.where(place < 8, place, 8 + np.floor(np.log(np.maximum(place, 8) / 8) / np.log(1.125))).astype(np.int64)
+        place = np.empty(len(word), np.int64)
+        place[np.lexsort((np.arange(len(word)), -self.c, word))] = np.arange(len(word)) - np.repeat(_starts(self.rows), self.rows)
+        turn = np.where(place < 5, place, 5 + np.floor(np.log(np.maximum(place, 5) / 5) / np.log(1.2))).astype(np.int64)
         key = _key(np.repeat(self.words, self.rows[self.rows > 0]), self.contexts[self.of])
         u = (_mix(key + _mix(np.array([(seed << 20) + number + 1], np.uint64))) >> np.uint64(11)).astype(float) / (1 << 53)
         order = np.argsort(turn, kind="stable")
@@ -493,9 +505,13 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 
 def _log_rise(x, t):
     """Log of x (x + 1) ... (x + t - 1)."""
-    x, t = np.broadcast_arrays(np.asarray(x, float), np.asarray(t, float))
-    far = x > 1e4 * t
-    return np.where(far, t * np.log(x + (t - 1) / 2), _log_gamma(np.where(far, 1.0, x) + t) - _log_gamma(np.where(far, 1.0, x)))
+    x, t = np.asarray(x, float), np.asarray(t, float)
+    near = x <= 1e4 * t
+    out = t * np.log(x + np.maximum(t - 1, 0) / 2)
+    if near.any():
+        x, t = (np.broadcast_to(v, out.shape)[near] for v in (x, t))
+        out[near] = _log_gamma(x + t) - _log_gamma(x)
+    return out
 
 
 #: Up to TABLED customers the weights below come from their recursion, beyond from their saddle point, whose error is read off at FITTED.
@@ -540,24 +556,24 @@ class Weights:
         return _log_gamma(c + 1) - _log_gamma(t + 1) + t * np.log(g) - c * np.log(x) - 0.5 * np.log(2 * np.pi * t * np.maximum(spread, 1e-9))
 
     def _few(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """For t well below c^d: the series of (1 - (1 - x)^d)^t in powers of (1 - x)^d."""
+        """For t well below c^d: the series of (1 - (1 - x)^d)^t in powers of (1 - x)^d, by the ratio of gamma functions for large c."""
         total, binomial = np.zeros(c.shape), np.ones(c.shape)
-        for j in range(1, 40):
+        for j in range(1, 5 if self.d > 0.5 else 9 if self.d > 0.25 else 40):
             a = self.d * j
             binomial = binomial * np.maximum(t - j + 1, 0) / j
-            term = binomial * np.exp(_log_gamma(np.maximum(c - a, 1.0)) - _log_gamma(c + 1) + _log_gamma(np.array([1 + a]))) * np.sin(np.pi * a) / np.pi
+            term = binomial * np.exp(-(1 + a) * np.log(c - a / 2)) * (float(np.exp(_log_gamma(np.array([1 + a]))[0])) * np.sin(np.pi * a) / np.pi)
             total += term if j % 2 else -term
-        return np.log(np.maximum(total, 1e-300)) + _log_gamma(c + 1) - _log_gamma(t + 1) - t * np.log(self.d)
+        return np.log(np.maximum(total, 1e-300)) - t * np.log(self.d)
 
     def log(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
         """For c over TABLED; t from 1 to c."""
-        c, t = np.broadcast_arrays(np.asarray(c, float), np.asarray(t, float))
+        c, t = np.asarray(c, float), np.asarray(t, float)
         scale = np.log(t) - self.d * np.log(c)
         out = self._saddle(c, t) + np.interp(scale, self.scale, self.off, right=0.0)
         few = scale < self.scale[0]
         if few.any():
-            out = out.copy()
-            out[few] = self._few(c[few], t[few])
+            wide = np.broadcast_to(_log_gamma(c + 1), t.shape)[few] - _log_gamma(t[few] + 1)
+            out[few] = self._few(np.broadcast_to(c, t.shape)[few], t[few]) + wide
         return out
 
 
@@ -631,15 +647,19 @@ class Law:
         return np.r_[0.0, np.cumsum(np.log(self.masses))]
 
     def _log_mass_run(self, n, t):
-        """Log of what t more customers of a word that has n weigh in the parent."""
-        def to(m):
-            last = ROOT_CUSTOMERS
-            rest = self.masses[-1] - (last - 1)
-            return np.where(m <= last, self.log_masses[np.minimum(m, last).astype(np.int64)], self.log_masses[-1] + _log_rise(last + rest, np.maximum(m - last, 0)))
-
-        near = n < 1e4 * t
-        far = t * np.log(np.maximum(n + (t - 1) / 2 + self.masses[-1] - (ROOT_CUSTOMERS - 1), 1.0))
-        return np.where(near | (n < ROOT_CUSTOMERS), to(n + t) - to(n), far)
+        """Log of what t more customers of a word that has n weigh in the parent; n of one column."""
+        last, rest = ROOT_CUSTOMERS, self.masses[-1] - (ROOT_CUSTOMERS - 1)
+        out = np.empty(t.shape)
+        many = n[:, 0] >= last
+        if many.any():
+            out[many] = _log_rise(n[many] + rest, t[many])
+        if not many.all():
+            m, k = n[~many], n[~many] + t[~many]
+            out[~many] = self.log_masses[np.minimum(k, last).astype(np.int64)] - self.log_masses[m.astype(np.int64)]
+            over = k > last
+            if over.any():
+                out[~many] += np.where(over, _log_rise(last + rest, np.maximum(k - last, 0)), 0.0)
+        return out
 
     def draw(self, c, others, n, own, u) -> np.ndarray:
         """Tables of pairs with c customers, given all else: ``others``, the tables of other pairs in the
@@ -673,26 +693,26 @@ class Law:
 
         def log_p(t):
             opened = t * np.log(d) + _log_rise(STRENGTH_CONTEXT / d + others, t)
-            return w.log(np.broadcast_to(c, t.shape), t) + opened + self._log_mass_run(n, t) - _log_rise(self.total - own, t)
+            return w.log(c, t) + opened + self._log_mass_run(n, t) - _log_rise(self.total - own, t)
 
         # where the weight lies: ever closer grids, to what is within e^-40 of the best
-        part = np.linspace(0, 1, 64)[None, :]
+        part = np.linspace(0, 1, 48)[None, :]
         grid = np.round(np.exp(part * np.log(c)))
-        for _ in range(5):
+        for _ in range(4):
             p = log_p(grid)
             near = p > p.max(axis=1, keepdims=True) - 40
             low, high = near.argmax(axis=1), near.shape[1] - 1 - near[:, ::-1].argmax(axis=1)
             rows = np.arange(len(grid))
             a, b = grid[rows, np.maximum(low - 1, 0)], grid[rows, np.minimum(high + 1, grid.shape[1] - 1)]
             grid = np.round(a[:, None] + (b - a)[:, None] * part)
-        step = np.maximum(1.0, (b - a + 1) / 256)
-        edge = a[:, None] + step[:, None] * np.arange(256)  # cells [edge, edge + step)
+        step = np.maximum(1.0, (b - a + 1) / 192)
+        edge = a[:, None] + step[:, None] * np.arange(192)  # cells [edge, edge + step)
         middle = np.minimum(np.floor(edge + step[:, None] / 2), b[:, None])
         p = log_p(np.maximum(middle, 1))
         p = np.where(edge <= b[:, None], np.exp(p - p.max(axis=1, keepdims=True)), 0.0)
         sums = np.cumsum(p, axis=1)
         goal = u * sums[:, -1]
-        cell = np.minimum((sums < goal[:, None]).sum(axis=1), 255)
+        cell = np.minimum((sums < goal[:, None]).sum(axis=1), 191)
         rows = np.arange(len(cell))
         inside = 1 - (sums[rows, cell] - goal) / np.maximum(p[rows, cell], 1e-300)
         return np.clip(np.floor(edge[rows, cell] + step * np.clip(inside, 0, 1 - 1e-9)), 1, c[:, 0]).astype(np.int64)
