@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import shared_folder
 from ..operators.skew import SALTS, attach, group_facts, salt_of  # noqa: F401
 
 #: One run of the six ASCII white-space characters, and one word between them.
@@ -21,12 +21,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    """The folder that driver and executors share; a local one where none is set and all runs in one process."""
+    return shared_folder(spark)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -46,12 +42,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
-    """Send texts to Python in batches of ``rows`` at most: the session's default of 10,000 holds 80 MB of ids and text."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, rows)
+def slices(batches, rows: int = 1_000):
+    """Arrow batches in parts of ``rows`` at most: texts as Python objects take more room than as columns."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, attach, group_facts, partitions, read_table, salt_of
+from .common import SPACES, attach, group_facts, partitions, read_table, salt_of, staged
 
 HASHES = 4
 SLOTS_PER_ROW = 16
@@ -22,7 +22,7 @@ SLOTS_PER_ROW = 16
 #: rows pass as "possibly repeated", which costs shuffle and changes no result.
 MAX_SLOTS = 1 << 29
 BLOCK = 1 << 16
-_FLUSH = 2_000_000
+_FLUSH = 500_000
 
 
 def _slots(keys: np.ndarray, m: int) -> np.ndarray:
@@ -87,19 +87,32 @@ def repeated_filter(keys: DataFrame, rows: int) -> np.ndarray:
     return bits
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with text_sha256 of the text, each run of ASCII white space one space; null is the empty text."""
+    norm = F.regexp_replace(F.coalesce("text", F.lit("")), SPACES, " ")
+    return docs.drop("keep_id", "group_size", "kept", "text_sha256").withColumn("text_sha256", F.sha2(norm.cast("binary"), 256))
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with keep_id, group_size, kept and text_sha256.
 
     Texts are equal when identical after each run of ASCII white space became
-    one space; null is the empty text. The smallest doc_id of a group stays; of
-    rows that repeat it, and of a group whose doc_ids are all null, every row
-    that carries that id stays, as none can be told from another.
+    one space; null is the empty text. Of a group one row stays: that of the
+    smallest doc_id; of rows that repeat it, and of a group whose doc_ids are all
+    null, any one. Columns named as the new ones are replaced, all others pass.
+    An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
-    norm = F.regexp_replace(F.coalesce("text", F.lit("")), SPACES, " ")
-    keyed = docs.withColumn("text_sha256", F.sha2(norm.cast("binary"), 256))
-    bits = repeated_filter(keyed.select(F.xxhash64("text_sha256")), docs.count())
+    return settle(keyed(docs))
+
+
+def settle(rows: DataFrame) -> DataFrame:
+    """Rows of :func:`keyed` (doc_id, text_sha256 and any others) with keep_id, group_size and kept.
+
+    They are written once, with a number each, so texts are read and hashed once.
+    """
+    spark, names = rows.sparkSession, rows.columns
+    rows = staged(rows.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__key", F.xxhash64("text_sha256")), "keyed")
+    bits = repeated_filter(rows.select("__key"), rows.count())
     shared = spark.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
@@ -109,24 +122,24 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         hit = (b[(s >> np.uint64(3)).astype(np.int64)] >> (7 - (s & np.uint64(7))).astype(np.uint8)) & 1
         return pd.Series(hit.reshape(HASHES, -1).all(axis=0))
 
-    flagged = keyed.withColumn("__again", maybe_repeated(F.xxhash64("text_sha256")))
+    flagged = rows.withColumn("__again", maybe_repeated("__key"))
     through = (
-        flagged.filter("NOT __again").drop("__again")
+        flagged.filter("NOT __again")
         .withColumn("keep_id", F.col("doc_id"))
         .withColumn("group_size", F.lit(1).cast("long"))
         .withColumn("kept", F.lit(True))
     )
-    again = flagged.filter("__again").drop("__again").withColumn("__salt", salt_of("doc_id"))
-    facts = group_facts(again.select("text_sha256", "__salt", "doc_id"), "text_sha256", "__salt",
-                        [F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")])
-    settled = attach(again, facts, "text_sha256", "__salt").drop("__salt").withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    return through.unionByName(settled)
+    again = flagged.filter("__again").withColumn("__salt", salt_of("__rid"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__rid")).alias("__first")
+    facts = group_facts(again.select("text_sha256", "__salt", "doc_id", "__rid"), "text_sha256", "__salt", [first, F.count("*").alias("group_size")])
+    settled = attach(again, facts, "text_sha256", "__salt").withColumn("keep_id", F.col("__first.doc_id")).withColumn("kept", F.col("__rid") == F.col("__first.__rid"))
+    names = [*names, "keep_id", "group_size", "kept"]
+    return through.select(names).unionByName(settled.select(names))
 
 
 def op2_exact_dedup(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return settle(keyed(docs).drop("text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP2_SQL = r"""

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix, read_table
+from .common import prefix, read_table, staged
 
 BITS = 5
 #: Relative error of the quantiles is 1 / ACCURACY.
@@ -50,39 +50,52 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _numeric(df: DataFrame, name: str) -> Column:
-    """A number in the order of the column; a string goes by its first seven bytes."""
-    kind = dict(df.dtypes)[name]
-    if kind == "string":
-        head = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 7)), 14, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return F.col(name).cast("double")
+def _value_cuts(docs: DataFrame, name: str, cells: int) -> list[str]:
+    """Where a string column is cut: the distinct values, whole, in equal numbers a cell. At most ``cells`` - 1 leave Spark."""
+    values = docs.select(F.col(name).alias("v")).filter("v IS NOT NULL").distinct().withColumn("one", F.lit(1))
+    ranked = prefix(values, ["v"], "one", "values")
+    n = ranked.count()
+    first = ranked.withColumn("cell", F.floor(F.col("__rank") * cells / F.lit(float(max(1, n))))).groupBy("cell").agg(F.min("v").alias("v"))
+    return sorted((r.v for r in first.filter("cell > 0").collect()), key=str.encode)
 
 
 def hilbert_order(docs: DataFrame, dimensions=DIMENSIONS, bits: int = BITS) -> DataFrame:
-    """``docs`` with ``curve``, the Hilbert index of its cell (a null lies in cell 0)."""
+    """``docs`` with ``curve``, the Hilbert index of its cell (a null lies in cell 0).
+
+    Numbers are cut at their quantiles, strings by their rank among the column's distinct values.
+    """
     docs = docs.drop("curve")
-    numbers = [_numeric(docs, d) for d in dimensions]
-    steps = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = docs.select(*[F.percentile_approx(c, steps, ACCURACY).alias(f"c{i}") for i, c in enumerate(numbers)]).first()
-    edges = [np.unique(np.array(cuts[i] or [], dtype=float)) for i in range(len(numbers))]
+    kinds, cells = dict(docs.dtypes), 1 << bits
+    numbers = [d for d in dimensions if kinds[d] != "string"]
+    steps = [i / cells for i in range(1, cells)]
+    cuts = docs.select(*[F.percentile_approx(F.col(d).cast("double"), steps, ACCURACY).alias(d) for d in numbers]).first() if numbers else ()
+
+    def cell(d: str) -> Column:
+        if kinds[d] == "string":
+            edges, value = [F.lit(v) for v in _value_cuts(docs, d, cells)], F.col(d)
+        else:
+            edges, value = [F.lit(float(v)) for v in np.unique(np.array(cuts[numbers.index(d)] or [], dtype=float))], F.col(d).cast("double")
+        if not edges:
+            return F.lit(0)
+        return F.coalesce(F.size(F.filter(F.array(*edges), lambda e: e <= value)), F.lit(0))
 
     @F.pandas_udf("long")
     def curve(*columns: pd.Series) -> pd.Series:
-        cells = [np.where(c.isna(), 0, np.searchsorted(e, c.fillna(0).to_numpy(float), side="right")) for c, e in zip(columns, edges)]
-        return pd.Series(hilbert_index(np.stack(cells, axis=1), bits))
+        return pd.Series(hilbert_index(np.stack([c.to_numpy(np.int64) for c in columns], axis=1), bits))
 
-    return docs.withColumn("curve", curve(*numbers))
+    return docs.withColumn("curve", curve(*[cell(d) for d in dimensions]))
 
 
-def shard(docs: DataFrame, shards: int = 8, dimensions=DIMENSIONS) -> DataFrame:
-    """Where each row of ``docs`` goes: its dimensions, size, text_crc32, curve, shard and slot.
+def shard(docs: DataFrame, shards: int = 8, dimensions=DIMENSIONS, also=()) -> DataFrame:
+    """Where each row of ``docs`` goes: its dimensions, size, text_crc32, curve, shard and slot, and the columns ``also``.
 
     Law "rows": shard counts differ by one at most. ``size`` is the UTF-8 bytes
     of the text plus one (null: one). Ties on the curve go by doc_id, then by
-    text; rows equal in these are interchangeable.
+    text; rows equal in these are interchangeable, and each has its own place.
+    Null dimensions lie in cell 0, null ids come first. An empty table gives no
+    rows. Other columns are left out.
     """
-    keep = [c for c in dict.fromkeys(("doc_id", *dimensions))]
+    keep = [c for c in dict.fromkeys(("doc_id", *dimensions, *also))]
     narrow = docs.select(
         *keep,
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
@@ -103,11 +116,11 @@ def shard(docs: DataFrame, shards: int = 8, dimensions=DIMENSIONS) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, shards: int = 8, dimensions=DIMENSIONS) -> DataFrame:
     """Write whole rows, one folder per shard in slot order, and return the manifest.
 
-    Rows meet their place by (doc_id, text_crc32), so doc_id must be unique here.
+    Rows are numbered once and meet their place by number, so null and repeated ids lose nothing.
     """
-    place = shard(docs, shards, dimensions)
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    rows = docs.withColumn("text_crc32", crc).join(place.select("doc_id", "text_crc32", "shard", "slot"), ["doc_id", "text_crc32"])
+    numbered = staged(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
+    place = shard(numbered, shards, dimensions, ("__rid",))
+    rows = numbered.join(place.select("__rid", "shard", "slot", "text_crc32"), "__rid").drop("__rid")
     rows.repartitionByRange(shards, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return manifest(place, dimensions)
 

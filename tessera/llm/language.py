@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches
+from .common import read_table, slices
 
 UNKNOWN = "und"
 #: Hashed n-grams of one to NGRAM characters; letters as such, the rest as one space.
 BUCKETS, NGRAM = 1 << 15, 3
 #: Rows that the classifier is fitted on, at most; each language gets an equal part.
 MAX_TRAIN = 4_000
+#: More values of lang than this are an error: the weights are BUCKETS times as many numbers.
+MAX_LANGUAGES = 500
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.002, 0.001
 #: One row in this many of the sample is kept aside to fit the temperature.
@@ -71,7 +73,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def _document_frequencies(batches):
     df, n = np.zeros(BUCKETS, np.int64), 0
-    for b in batches:
+    for b in slices(batches):
         for t in b.column(0).to_pylist():
             n += 1
             if (c := ngram_counts(t)) is not None:
@@ -129,7 +131,11 @@ class Ftrl:
 def train(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
     """Fit weights and temperature on rows of (buckets, values, class)."""
     k = len(model.languages)
-    fit, aside = [r for i, r in enumerate(rows) if i % ASIDE], rows[::ASIDE]
+    number = [0] * k
+    fit, aside = [], []
+    for r in rows:  # of every language one row in ASIDE
+        (fit if number[r[2]] % ASIDE else aside).append(r)
+        number[r[2]] += 1
     leader = Ftrl(BUCKETS + 1, k)  # the last row is the bias
     for _ in range(EPOCHS):
         for at, x, y in fit:
@@ -143,8 +149,11 @@ def train(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model
     if aside and k > 1:
         z = np.array([model.logits(at, x) for at, x, _ in aside], dtype=float)
         y = np.array([c for _, _, c in aside])
-        grid = np.geomspace(0.001, 5, 120)
-        loss = [-np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
+        # smoothed targets: as if one more row of each language had gone wrong, so that separable rows do not mean certainty
+        goal = np.full((len(y), k), 1 / (len(y) + k))
+        goal[np.arange(len(y)), y] = (len(y) + 1) / (len(y) + k)
+        grid = np.geomspace(0.01, 10, 160)
+        loss = [-(goal * np.log(softmax(z / t) + 1e-12)).sum(axis=1).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
     return model
 
@@ -170,8 +179,10 @@ def fit(docs: DataFrame) -> Model:
             total = r.n
         else:
             df[r.bucket] = r.n
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     languages = sorted(counts)
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"lang has {len(languages)} values; the model holds {MAX_LANGUAGES} at most")
     model = Model(languages, np.log((1 + total) / (1 + df)) + 1, np.zeros((BUCKETS, len(languages)), np.float32), np.zeros(len(languages), np.float32))
     if not languages:
         return model
@@ -192,9 +203,11 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1), from the text alone.
 
     lang_pred is "und", with score 0, for a null text, one without a letter, or
-    if nothing could be learned.
+    if nothing could be learned. Of languages with one score the first by name is
+    taken. Texts are read whole; each row is answered, also where rows repeat a
+    doc_id or a text. Columns named lang_pred or score are replaced, all others
+    pass. An empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
     model = model or fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, read_table, salt_of, SALTS
@@ -48,14 +48,37 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     )
 
 
+def _text_key() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+
+
+def _ranked(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__rank``, 0 but for rows that repeat both doc_id and text: these count up.
+
+    Repeats are looked for in keys of two numbers; only they are sorted, by groups, in the JVM.
+    """
+    key = F.struct("doc_id", F.xxhash64("text").alias("h"))
+    again = docs.groupBy(key.alias("__key")).count().filter("count > 1").select("__key")
+    if again.isEmpty():
+        return docs.withColumn("__rank", F.lit(0))
+    keyed = docs.withColumn("__key", key)
+    same = F.col("__key").eqNullSafe(F.col("__again"))
+    again = again.withColumnRenamed("__key", "__again")
+    order = Window.partitionBy("__key").orderBy(F.col("source").asc_nulls_first())
+    repeated = keyed.join(again, same, "left_semi").withColumn("__rank", F.row_number().over(order) - 1)
+    return keyed.join(again, same, "left_anti").withColumn("__rank", F.lit(0)).unionByName(repeated).drop("__key")
+
+
 def plan_copies(docs: DataFrame, seed: int = 42, **how) -> DataFrame:
     """``docs`` with size (words), source_size, target and copies.
 
-    The coin of a document is the MD5 of seed and doc_id, so reruns agree; rows
-    that repeat a doc_id share their coin, and a null doc_id counts as the text
-    "null". A source without words has rate 0.
+    The coin of a document is the MD5 of seed, doc_id, text and, among rows
+    equal in both, its rank, so reruns agree and no two rows share a coin. A
+    null doc_id counts as the text "null", a null text as the empty one (with
+    size 0). A source without words has rate 0; a null source is one of its own.
+    An empty table gives no rows.
     """
-    docs = docs.drop("size", "source_size", "target", "copies")
+    docs = _ranked(docs.drop("size", "source_size", "target", "copies", "__rank"))
     sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     targets = source_targets(sized.select("source", "size"), **how).withColumnRenamed("source", "__source")
     key = F.col("source").eqNullSafe(F.col("__source"))
@@ -65,14 +88,14 @@ def plan_copies(docs: DataFrame, seed: int = 42, **how) -> DataFrame:
         spread = targets.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = sized.withColumn("__s", salt_of("doc_id")).join(spread, key & (F.col("__s") == F.col("__salt"))).drop("__s", "__salt")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), _text_key(), F.lit(":"), F.col("__rank").cast("string")).cast("binary"))
     coin = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     whole = F.floor(rate)
-    return joined.drop("__source").withColumn("copies", whole + F.when(coin < rate - whole, 1).otherwise(0))
+    return joined.withColumn("copies", whole + F.when(coin < rate - whole, 1).otherwise(0)).drop("__source", "__rank")
 
 
 def mix(docs: DataFrame, seed: int = 42, **how) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; ``copy`` counts from 0."""
+    """``docs`` with each row as often as the mix takes it; ``copy`` counts from 0. All columns pass; rows as in :func:`plan_copies`."""
     planned = plan_copies(docs.drop("copy"), seed, **how)
     emitted = planned.withColumn("copy", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies").cast("int") - 1))))
     return emitted.drop("size", "source_size", "target", "copies")
@@ -85,7 +108,7 @@ def op8_mix_to_weights(spark, sf_dir):
 
 _OP8 = r"""
 WITH d AS (
-  SELECT *, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size FROM {docs}),
+  SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY source NULLS FIRST) - 1 AS rank, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size FROM {docs}),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 k AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS k FROM s),
 w AS (SELECT *, [5, 2, 1][k % 3 + 1]::BIGINT AS w FROM k),
@@ -100,7 +123,7 @@ t AS (
          ELSE w * (SELECT arg_min(level, (r, k)) FROM g WHERE NOT stops) END AS target FROM g),
 c AS (
   SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-         ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS coin
+         ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')) || ':' || rank), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS coin
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 m AS (SELECT *, (floor(rate) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM c)
 """

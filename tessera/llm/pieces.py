@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, attach, group_facts, partitions, read_table, salt_of, small_batches, staged
+from .common import Memo, attach, group_facts, partitions, read_table, salt_of, slices, staged
 
 SPACE = "▁"
 #: Texts over GIANT characters are cut into chunks of CHUNK; FAN matrices meet in one product.
@@ -342,7 +342,7 @@ def _facts(v: Vocabulary, texts: list[str], ids: list[np.ndarray]) -> tuple[list
 def _whole(path: str):
     def run(batches):
         v = Vocabulary.of(path)
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()]
             a, size = 0, 0
             for i, t in enumerate(texts):
@@ -363,9 +363,10 @@ def encode(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK)
     """``docs`` with ids, an array of piece ids (null or empty text: none), ids_crc32, and exact: do they decode to the text?
 
     A space stands before the text, as the vocabulary wants. U+2581 counts as
-    a space, and what no piece covers becomes its UTF-8 bytes.
+    a space, and what no piece covers becomes its UTF-8 bytes. Each row is
+    encoded, also where rows repeat a doc_id or a text; columns named ids,
+    ids_crc32 or exact are replaced, all others pass. An empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
     docs = docs.drop(*_NEW)
 
     @F.pandas_udf("binary")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches, staged, words_of
+from .common import read_table, slices, staged, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
@@ -59,7 +59,7 @@ def statistics(text: str | None) -> tuple[int, ...]:
 
 
 def _stats(batches):
-    for b in batches:
+    for b in slices(batches):
         rows = [statistics(t) for t in b.column(1).to_pylist()]
         columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(COUNTS))]
         yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", *COUNTS])
@@ -67,7 +67,6 @@ def _stats(batches):
 
 def text_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, *COUNTS) of each row."""
-    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     return docs.mapInArrow(_stats, ", ".join([f"doc_id {dict(docs.dtypes)['doc_id']}", *(f"{c} long" for c in COUNTS)]))
 
@@ -173,8 +172,15 @@ def expression(rules: list[Rule]) -> Column:
 
 
 def fit(stats: DataFrame, labels: DataFrame) -> list[Rule]:
-    """Rules from the labelled rows (doc_id, quality 0 or 1), MAX_ROWS of least hash; the driver holds only those."""
-    rows = stats.join(labels.filter("quality IS NOT NULL").select("doc_id", "quality"), "doc_id")
+    """Rules from the labelled rows (doc_id, quality 0 or 1), MAX_ROWS of least hash; the driver holds only those.
+
+    A threshold on the hash, from their number, leaves few more than MAX_ROWS over all tasks.
+    """
+    stats = stats.filter("doc_id IS NOT NULL")
+    labels = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "quality")
+    part = min(1.0, 1.2 * MAX_ROWS / max(1, labels.count()))
+    labels = labels.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < F.lit(int(part * (1 << 20)) if part < 1 else 1 << 20))
+    rows = stats.join(labels, "doc_id")
     features = [F.expr(s).alias(f) for f, s in FEATURES.items()]
     rows = rows.select("doc_id", "quality", F.xxhash64("doc_id").alias("__h"), *features).orderBy("__h", "doc_id", *FEATURES).limit(MAX_ROWS)
     seen = rows.toPandas()
@@ -186,7 +192,10 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, *COUNTS, base_failed, kept) of each row.
 
     base_failed: under 50 words, or over half of them in repeated windows; such
-    rows, the empty text among them, are not kept. The rest goes by the rules.
+    rows, null and empty texts among them, are not kept. The rest goes by the
+    rules. A row with a null doc_id has no label and is judged like any other;
+    rows that repeat a doc_id all take its label, and labels that repeat one each
+    count. Other columns are left out. An empty table gives no rows.
     """
     stats = staged(text_statistics(docs), "statistics")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, group_facts, lower_words_of, read_table, salt_of, small_batches, staged
+from .common import attach, group_facts, lower_words_of, read_table, salt_of, slices, staged
 from .components import components
 
 SHINGLE = 4
@@ -52,7 +52,7 @@ def fingerprint(words: list[bytes], k: int = SHINGLE) -> int:
 
 def _fingerprints(columns: list[str]):
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = [fingerprint(lower_words_of(t)) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in columns] + [pa.array(fp, pa.int64())], columns + ["fp"])
 
@@ -61,7 +61,6 @@ def _fingerprints(columns: list[str]):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of each row."""
-    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
     return docs.mapInArrow(_fingerprints(["doc_id"]), f"doc_id {kind}, fp long")
@@ -130,7 +129,10 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id of the rows whose fingerprints are
     reachable by links of DISTANCE bits; null where none of them has a doc_id.
-    Texts without words have fingerprint zero and link like any other.
+    Texts without words (null, empty, blank) have fingerprint zero and link like
+    any other. Texts are read whole, however long; each row is answered, also
+    where rows repeat a doc_id or a text. Other columns are left out. An empty
+    table gives no rows.
     """
     fps = staged(fingerprints(docs), "fingerprints").withColumn("__salt", salt_of("doc_id"))
     facts = staged(group_facts(fps, "fp", "__salt", [F.min("doc_id").alias("__first")]), "distinct")

@@ -2,8 +2,9 @@
 
 Every detected value gets a replacement of its type and format, drawn from a
 keyed digest of the value: digits become digits, letters letters of their case
-and script, an address stays an address, a checksum that held still holds, and
-a name keeps the gender of its title. One value has one replacement in all
+and script, an address stays an address, card numbers and IBANs, which are only
+taken for such if their checksum holds, get one that holds, and a name keeps the
+gender of its title. One value has one replacement in all
 documents, whatever its case (coreference); two values never share one
 (distinctness): replacements are compared over all values, and where two meet,
 or one equals a value of the data, the loser draws again.
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, group_facts, read_table, salt_of, staged
+from .common import SALTS, attach, group_facts, read_table, salt_of, staged
 
 # What is detected, by type, first match first.
 MALE = "Mr|Herr|Monsieur|Señor|Sr"
@@ -25,7 +26,7 @@ PATTERNS = {
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![\p{L}\p{N}])",
     "secret": r"(?<![\p{L}\p{N}])(?:(?=[a-f]*[0-9])[0-9a-f]{32,128}|(?=[A-F]*[0-9])[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}.])[0-9]{4}([ \-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![\p{L}\p{N}])",
-    "phone": r"(?<![\p{L}\p{N}])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![\p{L}\p{N}])(?:\+(?=(?:[ .\-]?[0-9]){8,15}(?![ .\-]?[0-9]))[0-9]{1,3}(?:[ .\-]?[0-9]{1,4}){2,6}|(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4})(?![0-9])",
     "ssn": r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])",
     "person": rf"(?<![\p{{L}}\p{{N}}])(?:{FEMALE}|{MALE})\.? \p{{Lu}}\p{{Ll}}+(?:[ \-]\p{{Lu}}\p{{Ll}}+){{0,2}}",
 }
@@ -46,6 +47,8 @@ ALPHABETS = (
 NAME_LATIN = "ba be bi bo da de di do fa fe fi fo ga go ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe pi po ra re ri ro sa se si so ta te ti to va ve vi vo".split()
 NAME_CYRILLIC = "ба бе би бо ва ве ви во га го да де ди до за зе зи зо ка ке ки ко ла ле ли ло ма ме ми мо на не ни но па пе пи по ра ре ри ро са се си со та те ти то".split()
 ENDINGS = {"f": ("na", "lia", "на", "лия"), "m": ("n", "rd", "н", "рд"), "s": ("ner", "son", "нов", "ский")}
+#: What looks like a value but isn't one stays as it is.
+NOTHING = "nothing"
 #: After this many draws a value gets a longer form; it is compared all the same.
 LAST_DRAW = 12
 
@@ -66,7 +69,10 @@ def _type(value: str) -> Column:
             p = rf"(?!^[0-9]{{32,}}$){p}"
         test = F.col(value).rlike(f"^(?:{p})$")
         kind = F.when(test, F.lit(name)) if kind is None else kind.when(test, F.lit(name))
-    return kind.otherwise(F.lit("secret"))
+    kind = kind.otherwise(F.lit("secret"))
+    # digits that fail the check are no card number or IBAN
+    held = F.expr(f"{_luhn(value)} = 0"), F.expr(f"{_mod97(value)} = 1")
+    return F.when((kind == "card") & ~held[0], F.lit(NOTHING)).when((kind == "iban") & ~held[1], F.lit(NOTHING)).otherwise(kind)
 
 
 def _digest(key: str, *parts: str) -> str:
@@ -96,6 +102,13 @@ def _luhn(number: str) -> str:
     return _let("d", f"regexp_replace({number}, '[^0-9]', '')", total)
 
 
+def _mod97(number: str) -> str:
+    """SQL: the remainder of an IBAN, its first four places moved to the end; 1 where it holds."""
+    digit = "instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr(r, i, 1)) - 1"
+    total = f"aggregate(transform(sequence(1, length(r)), i -> {digit}), 0, (a, d) -> (a * CASE WHEN d > 9 THEN 100 ELSE 10 END + d) % 97)"
+    return _let("s", f"upper(replace({number}, ' ', ''))", _let("r", "concat(substr(s, 5), substr(s, 1, 4))", total))
+
+
 def _let(name: str, value: str, body: str) -> str:
     """SQL: body with name bound to value, which is so written and computed once."""
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
@@ -128,7 +141,7 @@ def with_surrogate(rows: DataFrame, key: str, value: str = "value") -> DataFrame
     rows = rows.withColumn("__body", e(f"CASE WHEN kind = 'email' THEN substring_index({value}, '@', 1) ELSE {value} END"))
     # what stays: the country's code, an issuer's first digit, a key's prefix, and the exchange 555, which belongs to nobody
     rows = rows.withColumn("__keep", e(
-        f"CASE kind WHEN 'phone' THEN length(regexp_extract({value}, '^[+][0-9]+', 0)) WHEN 'card' THEN 1 WHEN 'iban' THEN 2 "
+        f"CASE kind WHEN 'phone' THEN length(regexp_extract({value}, '^[+][0-9]{{1,3}}', 0)) WHEN 'card' THEN 1 WHEN 'iban' THEN 2 "
         f"WHEN 'secret' THEN length(regexp_extract({value}, '^(AKIA|gh[a-z]_|sk-)', 1)) ELSE 0 END"))
     rows = rows.withColumn("__555", e(f"CASE WHEN kind = 'phone' AND {value} RLIKE '[ .)-]555[ .-][0-9]{{4}}$' THEN length({value}) - 8 ELSE -9 END"))
     rows = rows.withColumn("__raw", e(_same_format("__body", "__g", "c.i <= __keep OR (c.i > __555 AND c.i <= __555 + 3)")))
@@ -136,6 +149,7 @@ def with_surrogate(rows: DataFrame, key: str, value: str = "value") -> DataFrame
     rows = rows.withColumn("__blank", e(f"CASE WHEN kind = 'card' AND {_luhn(value)} = 0 THEN concat(substr(__raw, 1, length({value}) - 1), '0') END"))
     octet = (f"CAST(CASE length(o) WHEN 1 THEN {_draw('__g', 'i + 1')} % 10 WHEN 2 THEN 10 + {_draw('__g', 'i + 1')} % 90 ELSE 100 + {_draw('__g', 'i + 1')} % 156 END AS STRING)")
     hexes = f"array_join(transform(sequence(1, length({value})), i -> substr(CASE WHEN {value} RLIKE '[a-f]' THEN '0123456789abcdef' ELSE '0123456789ABCDEF' END, {_draw('__g', 'i')} % 16 + 1, 1)), '')"
+    zeros = "concat(substr(__raw, 1, 2), '00', substr(__raw, 5))"
     gender = f"CASE WHEN {value} RLIKE '^({FEMALE})[. ]' THEN 'f' ELSE 'm' END"
     title = f"regexp_extract({value}, '^([^ ]+ )', 1)"
     person = _let("p", f"split(substr({value}, length({title}) + 1), '[ -]')", f"concat({title}, array_join(transform(p, (n, j) -> CASE WHEN j = size(p) - 1 THEN {_name('n', key, 'family', quote('x'))} ELSE {_name('n', key, 'given', gender)} END), ' '))")
@@ -144,7 +158,8 @@ def with_surrogate(rows: DataFrame, key: str, value: str = "value") -> DataFrame
         f"WHEN kind = 'ipv4' THEN array_join(transform(split({value}, '[.]'), (o, i) -> {octet}), '.') "
         # the last digit makes up for the rest where the value's own check holds
         f"WHEN __blank IS NOT NULL THEN concat(substr(__raw, 1, length({value}) - 1), CAST((10 - {_luhn('__blank')}) % 10 AS STRING)) "
-        f"WHEN kind = 'secret' AND {value} RLIKE '^[0-9a-fA-F]+$' THEN {hexes} WHEN kind = 'person' THEN {person} ELSE __raw END")
+        f"WHEN kind = 'iban' THEN concat(substr(__raw, 1, 2), lpad(CAST(98 - {_mod97(zeros)} AS STRING), 2, '0'), substr(__raw, 5)) "
+        f"WHEN kind = '{NOTHING}' THEN {value} WHEN kind = 'secret' AND {value} RLIKE '^[0-9a-fA-F]+$' THEN {hexes} WHEN kind = 'person' THEN {person} ELSE __raw END")
     rows = rows.withColumn("new", e(f"concat({new}, CASE WHEN draw >= {LAST_DRAW} THEN concat('-', substr(__g, 1, 12)) ELSE '' END)"))
     return rows.drop("__g", "__hg", "__host", "__body", "__keep", "__555", "__raw", "__hosts", "__blank")
 
@@ -168,11 +183,11 @@ def draws(values: DataFrame, key: str) -> DataFrame:
         met = met.join(held, "new", "left").filter("n > 1 OR real").select("new", "first", F.coalesce("real", F.lit(False)).alias("real"))
         met = staged(met, "met")
         if met.isEmpty():
-            break
+            return drawn.filter("draw > 0").select("kind", "canon", "draw")
         lost = F.col("real").isNotNull() & (F.col("real") | (F.struct("kind", "canon") != F.col("first")))
         again = drawn.join(met, "new", "left").withColumn("draw", F.col("draw") + F.when(lost, 1).otherwise(0))
         drawn = staged(with_surrogate(again.select("kind", "canon", "draw"), key, "canon"), "drawn")
-    return drawn.filter("draw > 0").select("kind", "canon", "draw")
+    raise ValueError("replacements still collide after the last draw")
 
 
 def _canon(kind: str, value: str) -> Column:
@@ -183,7 +198,10 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with text rewritten and n_entities, the number of values replaced.
 
     A null text stays null, with 0. Texts without a detected value pass
-    through. ``key`` decides the replacements; without it they can't be redone.
+    through. Texts are read whole; rows that repeat a doc_id or a text get the
+    same replacements. Where two values' replacements meet, the least keeps its.
+    A column named n_entities is replaced, all others pass. An empty table gives
+    no rows. ``key`` decides the replacements; without it they can't be redone.
     """
     docs = docs.drop("n_entities").withColumn("__e", F.when(_may_hold(), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
     has = F.coalesce(F.size("__e") > 0, F.lit(False))
@@ -194,14 +212,17 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     texts = staged(texts, "found")
     mentions = texts.select("__h", F.posexplode("e").alias("at", "value")).withColumn("kind", _type("value")).withColumn("canon", _canon("kind", "value"))
     mentions = staged(mentions, "mentions")
-    redrawn = draws(mentions.select("kind", "canon").distinct(), key)
-    new = mentions.join(redrawn, ["kind", "canon"], "left").withColumn("draw", F.coalesce("draw", F.lit(0)))
-    lists = with_surrogate(new, key).groupBy("__h").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("r"))
-    facts = texts.select("__h", "__salts").join(lists, "__h").select("__h", "__salts", F.col("r.new").alias("__new"))
+    redrawn = draws(mentions.filter(F.col("kind") != NOTHING).select("kind", "canon").distinct(), key)
+    # a frequent value is dealt over its texts' salts
+    mentions = mentions.withColumn("__v", salt_of("__h"))
+    spread = redrawn.withColumn("__v", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    new = mentions.join(spread, ["kind", "canon", "__v"], "left").drop("__v").withColumn("draw", F.coalesce("draw", F.lit(0)))
+    lists = with_surrogate(new, key).groupBy("__h").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("r"), F.count(F.when(F.col("kind") != NOTHING, 1)).alias("__n"))
+    facts = texts.select("__h", "__salts").join(lists, "__h").select("__h", "__salts", F.col("r.new").alias("__new"), F.col("__n").cast("int").alias("__n"))
     joined = attach(found.drop("__e"), facts, "__h", "__salt")
     between = F.split("text", ANY, -1)
     rewritten = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size("__new")), F.col("__new"), lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1))
-    done = joined.withColumn("text", rewritten).withColumn("n_entities", F.size("__new"))
+    done = joined.withColumn("text", rewritten).withColumn("n_entities", F.col("__n"))
     return clean.unionByName(done.select(clean.columns))
 
 

@@ -78,13 +78,38 @@ def test_manifest_prunes_nothing_that_matches(spark, small, tmp_path):
     assert want <= got and len(got) <= 16
 
 
-def test_exact_dedup_edges(edge, nothing):
+def test_written_shards_hold_every_row(spark, edge, tmp_path):
+    """Null and repeated ids, equal rows: what is written is what came, each row at a place of its own."""
+    hilbert.write_shards(edge, str(tmp_path / "s"), 3, ("lang", "n_chars"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert Counter((r.doc_id, r.text, r.source) for r in back.collect()) == Counter((r.doc_id, r.text, r.source) for r in edge.collect())
+    assert back.select("shard", "slot").distinct().count() == len(EDGE)
+
+
+def test_whole_strings_are_cut(spark):
+    names = [f"https://example.org/wiki/{x}" for x in ("de", "en", "fr")]
+    docs = spark.createDataFrame([(i, "x", names[i % 3]) for i in range(90)], "doc_id long, text string, source string")
+    cells = {r.source: r.curve for r in hilbert.hilbert_order(docs, ("source", "source")).collect()}
+    assert len(set(cells.values())) == 3
+
+
+def test_rows_without_ids_have_coins_of_their_own(spark):
+    rows = [(None, f"one two three {i // 2}", "s") for i in range(1000)] + [(7, "one two three four", "s")] * 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = mixing.plan_copies(docs).selectExpr("sum(copies * size) taken", "max(target) target", "max(copies) most").first()
+    assert taken.taken == pytest.approx(taken.target, rel=0.05) and taken.most <= 2
+
+
+def test_exact_dedup_edges(spark, edge, nothing):
     got = exact_dedup.exact_dedup(edge).collect()
     assert len(got) == len(EDGE) and set(edge.columns) <= set(got[0].asDict())
     keep = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got)
     assert keep == Counter([(1, 1, 5, True), (2, 1, 5, False), (3, 3, 2, True), (4, 3, 2, False), (5, 5, 1, True), (6, 1, 5, False), (6, 1, 5, False), (None, 1, 5, False), (7, 7, 1, True), (8, 8, 1, True)])
     assert {r.text_sha256 for r in got if r.doc_id == 2} == {hashlib.sha256(b"a b c").hexdigest()}
     assert exact_dedup.exact_dedup(nothing).collect() == []
+    again = spark.createDataFrame([(6, "a"), (6, "a"), (None, "b"), (None, "b")], "doc_id int, text string")
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(again).collect()) == Counter(
+        [(6, 6, 2, True), (6, 6, 2, False), (None, None, 2, True), (None, None, 2, False)])
 
 
 def test_filter_flags_every_repeat_and_few_others(spark):
