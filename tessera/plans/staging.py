@@ -5,16 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def keep(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written to the folder of spark.checkpoint.dir and read back; a local folder where none is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where none is set, a local one if all runs in one process; on a cluster, an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}/{name}"
+    return base.rstrip("/")
+
+
+def keep(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
