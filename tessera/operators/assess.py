@@ -41,9 +41,14 @@ def assess(counts: DataFrame, suspicious: DataFrame, case: str = "case_id") -> D
         third.alias("dysplasia_positive"), _score(15 + 12 * c("dys_supporting")).alias("dysplasia_score"), impression.alias("impression"))
 
 
-def supporting_lines(listed: DataFrame, none: str, case: str = "case_id") -> DataFrame:
-    """(case, layer, line): "name (step, step)" of the supporting criteria by name, or the sentence ``none``."""
-    part = F.when(F.col("status") == "supporting", F.struct("criterion", F.concat("criterion", F.lit(" ("), F.replace("evidence_steps", F.lit(","), F.lit(", ")), F.lit(")")).alias("t")))
+# Fixed value: what is said of a layer without a finding.
+NO_FINDING = "No decisive supporting item recorded."
+
+
+def supporting_lines(listed: DataFrame, none: str = NO_FINDING, case: str = "case_id") -> DataFrame:
+    """(case, layer, line): "name (step, step)" of the supporting criteria in configured order, or the sentence ``none``."""
+    place = F.array_position(F.array(*[F.lit(c) for names in LAYERS.values() for c in names]), F.col("criterion"))
+    part = F.when(F.col("status") == "supporting", F.struct(place.alias("place"), F.concat("criterion", F.lit(" ("), F.replace("evidence_steps", F.lit(","), F.lit(", ")), F.lit(")")).alias("t")))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["t"]), "; ")
     return listed.groupBy(case, "layer").agg(joined.alias("line")).withColumn("line", F.when(F.col("line") == "", F.lit(none)).otherwise(F.col("line")))
 

@@ -45,6 +45,24 @@ def label_violations(regions: DataFrame, case: str = "case_id", labels=TRACE_LAB
     return rule(regions, F.coalesce(~F.col("l").isin(*labels), F.lit(True)), "error", "invalid_label", F.col("cluster_id"), case)
 
 
+#: The artifacts that a finished case has, and the rule that names a missing one.
+ARTIFACTS = {"observations": "no_observations", "report": "no_report", "prediction": "no_prediction",
+             "serrated": "no_serrated_checklist", "ssl_like": "no_ssl_like_checklist", "dysplasia": "no_dysplasia_checklist"}
+
+
+def artifact_violations(cases: DataFrame, observations: DataFrame, assessed: DataFrame, listed: DataFrame, case: str = "case_id") -> DataFrame:
+    """Cases without observations, report, prediction or one of the three checklists."""
+    found = {"observations": observations, "report": assessed.filter(F.coalesce("report", F.lit("")) != ""), "prediction": assessed.filter(F.col("serrated_label").isNotNull()),
+             **{layer: listed.filter(F.col("layer") == layer) for layer in ("serrated", "ssl_like", "dysplasia")}}
+    return union([missing(cases, rows, ARTIFACTS[name], case=case) for name, rows in found.items()])
+
+
+def typed_violations(rows: DataFrame, priority: str, flag: str, ref: str, case: str = "case_id") -> DataFrame:
+    """Rows as text whose priority is no whole number, or whose flag is no boolean."""
+    whole, truth = F.coalesce(F.col(priority).rlike("^-?[0-9]+$"), F.lit(False)), F.coalesce(F.col(flag).isin("true", "false"), F.lit(False))
+    return union([rule(rows, ~whole, "error", "priority_not_integer", F.col(ref), case), rule(rows, ~truth, "error", "flag_not_boolean", F.col(ref), case)])
+
+
 def export_violations(exports: DataFrame, case: str = "case_id") -> DataFrame:
     """Exports whose return code is not zero; a missing one is bad."""
     return rule(exports, ~F.col("returncode").eqNullSafe(0), "error", "export_failed", F.lit(""), case)

@@ -16,9 +16,12 @@ def drop_stops(steps: DataFrame) -> DataFrame:
 
 
 def observed(steps: DataFrame, crops: DataFrame, regions: DataFrame, case: str = "case_id") -> DataFrame:
-    """Crops with their step and region; a crop without a region has priority 0."""
+    """Crops with their step and region; a crop without a region has priority 0, one of an unknown step is an error."""
     about = regions.select(case, "cluster_id", "l", "s", "d", "risk")
-    out = crops.join(drop_stops(steps), [case, "step_id"]).join(about, [case, "cluster_id"], "left")
+    known = drop_stops(steps).withColumn("__known", F.lit(True))
+    unknown = F.raise_error(F.concat(F.lit("no step "), F.col("step_id"))).cast("string")
+    found = crops.join(known, [case, "step_id"], "left").withColumn("step_id", F.when(F.col("__known"), F.col("step_id")).otherwise(unknown)).drop("__known")
+    out = found.join(about, [case, "cluster_id"], "left")
     return out.withColumn("s", F.coalesce("s", F.lit(0))).withColumn("risk", F.coalesce("risk", "s"))
 
 
@@ -81,6 +84,61 @@ def wording(goal: Column, background: Column) -> Column:
             .otherwise("High magnification focuses on cytologic atypia and dysplasia after structural review."))
 
 
+def reasoning(goal: Column) -> Column:
+    """Why a view is taken."""
+    # The sentences.
+    return (F.when(goal == "serrated_lesion_assessment", "This view is used to decide whether the lesion belongs to the serrated pathway before structural crypt review.")
+            .when(goal == "ssl_like_architecture_assessment", "This view evaluates whether the crypt pattern supports SSL-like structural disorder.")
+            .otherwise("This view evaluates dysplasia or atypia after completing the structural crypt review."))
+
+
+def next_step(goal: Column, flagged: Column) -> Column:
+    """What follows a view, by whether its region is flagged for structural review."""
+    # The sentences.
+    first = F.when(F.coalesce(flagged, F.lit(False)), "Proceed to structural crypt review.").otherwise("Consolidate as a serrated lesion without strong SSL-like crypt disorder.")
+    return (F.when(goal == "serrated_lesion_assessment", first)
+            .when(goal == "ssl_like_architecture_assessment", "Proceed to routine high-magnification cytology review after the crypt review step.")
+            .otherwise("Integrate serrated, structural, and cytologic evidence into the final layered report."))
+
+
+def reasoning_state(seen: DataFrame, case: str = "case_id", most: int = 8) -> DataFrame:
+    """(case, supporting_evidence, conflicts, observations): the first ``most`` reasons in order, and the background-heavy crops.
+
+    ``seen`` has one row a step (step_id, ord, review_goal, background).
+    """
+    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("ord", c.alias("t")))), lambda x: x["t"])
+    heavy = F.when(F.col("background") > 7000, F.concat(F.lit("Background-heavy crop at "), "step_id"))
+    return seen.groupBy(case).agg(
+        F.slice(ordered(reasoning(F.col("review_goal"))), 1, most).alias("supporting_evidence"),
+        F.filter(ordered(heavy), lambda t: t.isNotNull()).alias("conflicts"), F.count("*").alias("observations"))
+
+
+def text_driven(texts: DataFrame, key: str, goal: str, column: str = "text") -> DataFrame:
+    """What a provider's text says of a step: (key, goal, observation, reasoning, next_step, stage_decision, findings of each layer, confidence).
+
+    The decision is the goal's own, whatever the findings; the confidence is fixed.
+    """
+    g = F.col(goal)
+    # Decisions and sentences.
+    decided = F.when(g == "serrated_lesion_assessment", "supports_serrated_lesion").when(g == "ssl_like_architecture_assessment", "supports_ssl_like_architecture").otherwise("dysplasia_supported")
+    then = (F.when(g == "serrated_lesion_assessment", "Proceed to structural crypt review if the lesion remains within the serrated pathway.")
+            .when(g == "ssl_like_architecture_assessment", "Proceed to high-magnification cytology review after structural crypt review.")
+            .otherwise("Integrate the layered impression and finalize the report."))
+    found = keyword_hits(texts, key, column).withColumn("layer", _layer_of(F.col("criterion")))
+    names = step_findings(found, key).drop("support").na.fill("", [f"{layer}_findings" for layer in LAYERS])
+    said = texts.select(
+        key, goal, last_line(F.coalesce(column, F.lit(""))).alias("observation"), F.lit("Local Patho-R1 textual evidence was used to summarize the requested diagnostic layer.").alias("reasoning"),
+        then.alias("next_step"), decided.alias("stage_decision"), F.lit(0.62).alias("confidence"))
+    return said.join(names, key)
+
+
+def _layer_of(criterion: Column) -> Column:
+    layer = F.lit(None).cast("string")
+    for name, found in LAYER_OF.items():
+        layer = F.when(criterion == name, F.lit(found)).otherwise(layer)
+    return layer
+
+
 def step_findings(rows: DataFrame, *keys: str) -> DataFrame:
     """Supporting criteria of each layer, in order of the criteria, as joined strings."""
     order = F.lit(None)

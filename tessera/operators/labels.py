@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,8 +32,11 @@ def case_by_id(cases: DataFrame, key: str, value, order: str) -> DataFrame:
     return found
 
 
+# The constants of a pilot row.
+PILOT_SPLIT, PILOT_REASON = "pilot_eval", "aligned_manifest_and_labels_csv"
+
+
 def pilot(cases: DataFrame, target: str, order: str, positives: int, negatives: int) -> DataFrame:
-    """The first cases of each class in order, positives before negatives; null targets are in neither."""
-    rank = F.row_number().over(Window.partitionBy(target).orderBy(order))
-    some = cases.filter(F.col(target).isin(0, 1)).withColumn("pick", rank)
-    return some.filter(F.col("pick") <= F.when(F.col(target) == 1, positives).otherwise(negatives)).withColumn("split", F.lit("pilot_eval"))
+    """The first cases of each class in order; null targets are in neither. Each class is one top-n."""
+    some = [cases.filter(F.col(target) == t).orderBy(order).limit(n) for t, n in ((1, positives), (0, negatives))]
+    return some[0].unionByName(some[1]).withColumn("pilot_split", F.lit(PILOT_SPLIT)).withColumn("selection_reason", F.lit(PILOT_REASON))

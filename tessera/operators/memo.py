@@ -30,18 +30,32 @@ def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
     return attach(salted, first, key, "__salt").drop("__salt").withColumn("hit", F.col(order) > F.col("first_seen"))
 
 
-def first_success(attempts: DataFrame, *keys: str, priority: str = "priority", output: str = "output") -> DataFrame:
+def merged(left: Column, right: Column) -> Column:
+    """Both maps' entries; the right one's wins."""
+    return F.map_concat(F.map_filter(left, lambda k, _: ~F.array_contains(F.map_keys(right), k)), right)
+
+
+def latency(attempts: DataFrame, *keys: str, column: str = "latency_ms") -> DataFrame:
+    """(keys, latency_ms): the sum over attempts; a missing one counts as 0."""
+    return attempts.groupBy(*keys).agg(F.sum(F.coalesce(column, F.lit(0))).cast("long").alias("latency_ms"))
+
+
+def first_success(attempts: DataFrame, *keys: str, priority: str = "priority", output: str = "output", strict: bool = False) -> DataFrame:
     """Per request the output of the first provider that is ok, who it was, and how the earlier ones failed.
 
     ``attempts`` has (keys, priority, provider, status, output) of all providers
-    that could be asked; the attempts after a success do not count.
+    that could be asked; the attempts after a success do not count. With
+    ``strict`` a request that all providers failed is an error; else its output is null.
     """
     ok = F.col("status") == "ok"
     best = F.min(F.when(ok, F.struct(priority, "provider", output)))
     tried = F.sort_array(F.collect_list(F.struct(priority, F.concat_ws(":", "provider", "status").alias("t"))))
     out = attempts.groupBy(*keys).agg(best.alias("__b"), tried.alias("__t"))
     counted = F.filter("__t", lambda x: F.col("__b").isNull() | (x[priority] <= F.col(f"__b.{priority}")))
-    return out.select(*keys, F.col("__b.provider").alias("provider"), F.col(f"__b.{output}").alias(output), F.array_join(F.transform(counted, lambda x: x["t"]), ",").alias("attempts"))
+    provider = F.col("__b.provider")
+    if strict:
+        provider = F.when(provider.isNotNull(), provider).otherwise(F.raise_error(F.concat(F.lit("all providers failed: "), F.array_join(F.transform("__t", lambda x: x["t"]), ","))).cast("string"))
+    return out.select(*keys, provider.alias("provider"), F.col(f"__b.{output}").alias(output), F.array_join(F.transform(counted, lambda x: x["t"]), ",").alias("attempts"))
 
 
 def retries(tries: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:

@@ -44,6 +44,15 @@ def run_summary(results: DataFrame, averages: list[str], status: str = "status")
     return results.agg(F.count("*").alias("case_count"), F.count_if(F.col(status) == "warn").alias("warn_cases"), F.count_if(F.col(status) == "fail").alias("fail_cases"), *means)
 
 
+def cost_units(cases: DataFrame, clusters: DataFrame, steps: DataFrame, attempts: DataFrame | None, case: str = "case_id") -> DataFrame:
+    """(case, estimated_case_cost_units, trace_attempts, observation_steps): clusters and steps, attempts, steps; 0 where there are none."""
+    n = lambda rows, name: rows.groupBy(case).agg(F.count("*").alias(name))
+    out = cases.select(case).distinct().join(n(clusters, "__c"), case, "left").join(n(steps, "observation_steps"), case, "left")
+    out = out.join(n(attempts, "trace_attempts"), case, "left") if attempts is not None else out.withColumn("trace_attempts", F.lit(0).cast("long"))
+    out = out.na.fill(0, ["__c", "trace_attempts", "observation_steps"])
+    return out.select(case, (F.col("__c") + F.col("observation_steps")).alias("estimated_case_cost_units"), "trace_attempts", "observation_steps")
+
+
 def event_metrics(events: DataFrame) -> DataFrame:
     """Extension: mean step latency, and shares of cache hits and of successful events, over a log
     (latency_ms, cache_hit, status)."""

@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry as geo
 from ..settings import Settings
 
-# Goals and gates of the three magnifications.
+# Goals and gates of the three magnifications, and what a step needs to see.
 GOALS = (
     (1.0, "serrated_lesion_assessment", "level_1"),
     (2.5, "ssl_like_architecture_assessment", "level_2"),
     (5.0, "dysplasia_assessment", "level_3"),
 )
+NEEDS = {
+    "level_1": "Confirm whether this mucosal lesion belongs to the serrated lesion pathway by reviewing surface contour, mucus-rich change, and lesion context.",
+    "level_2": "Search for SSL-like crypt disorder, including basal dilatation, branching, horizontal growth, and serration extending toward the crypt base.",
+    "level_3": "Perform routine high-magnification cytology review for dysplasia or atypia after structural crypt assessment.",
+    "end": "Stop navigation and consolidate the layered serrated, SSL-like, and dysplasia evidence.",
+}
+NOTHING_TO_SEE = "Stop navigation because no reviewable lesion cluster was retained."
 END_GOAL, END_GATE = "integrated_impression", "end"
 
 
 def trajectory(regions: DataFrame, width: int, height: int, settings: Settings, case: str = "case_id") -> DataFrame:
-    """Steps (case, step_id, x, y, m, review_goal, stage_gate, size, cluster_id, action) of each case.
+    """Steps (case, step_id, x, y, m, review_goal, stage_gate, size, cluster_id, action, need_to_see, x and y in millionths) of each case.
 
     Regions (cluster_id, x1..y2 on the full image, l, s, d) are walked by
     descending priority and id. A step whose window overlaps a kept one of its
@@ -53,13 +61,16 @@ def trajectory(regions: DataFrame, width: int, height: int, settings: Settings,
     place = lambda v, n: f"CAST(greatest({half}, least(greatest({half}, {n} - {half}), e.{v})) AS INT)"
     new = (f"named_struct('x', {place('cx', width)}, 'y', {place('cy', height)}, 'm', CAST(e.m AS DOUBLE), 'goal', e.goal, 'gate', e.gate, "
            f"'size', e.size, 'cluster_id', e.cluster_id)")
-    fold = f"aggregate(coalesce(__w, array()), CAST(array() AS {kept}), (acc, e) -> CASE WHEN size(acc) >= {settings.max_steps} OR {clash} THEN acc ELSE concat(acc, array({new})) END)"
-    fold = fold.replace("coalesce(__w, array())", "__w")
+    fold = f"aggregate(__w, CAST(array() AS {kept}), (acc, e) -> CASE WHEN size(acc) >= {settings.max_steps} OR {clash} THEN acc ELSE concat(acc, array({new})) END)"
     steps = everyone.withColumn("__k", F.coalesce(F.expr(fold), F.expr(f"CAST(array() AS {kept})")))
     stop = (f"named_struct('x', coalesce(try_element_at(__k, -1).x, 0), 'y', coalesce(try_element_at(__k, -1).y, 0), 'm', 1.0D, 'goal', '{END_GOAL}', "
             f"'gate', '{END_GATE}', 'size', 256, 'cluster_id', CAST(NULL AS STRING))")
     each = steps.select(case, F.posexplode(F.expr(f"concat(__k, array({stop}))")).alias("ord", "e"))
+    need = F.when((F.col("e.gate") == END_GATE) & (F.col("ord") == 0), NOTHING_TO_SEE)
+    for gate, text in NEEDS.items():
+        need = need.when(F.col("e.gate") == gate, text)
     return each.select(
         case, "ord", F.format_string("step_%02d", F.col("ord")).alias("step_id"), "e.x", "e.y", "e.m", F.col("e.goal").alias("review_goal"),
         F.col("e.gate").alias("stage_gate"), "e.size", "e.cluster_id",
-        F.when(F.col("e.gate") == END_GATE, "stop").otherwise("inspect").alias("action"))
+        F.when(F.col("e.gate") == END_GATE, "stop").otherwise("inspect").alias("action"), need.alias("need_to_see"),
+        geo.millionths(F.col("e.x"), F.lit(width)).alias("x_millionths"), geo.millionths(F.col("e.y"), F.lit(height)).alias("y_millionths"))

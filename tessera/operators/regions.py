@@ -12,34 +12,52 @@ from ..functions.pixels import ten_thousandths
 from ..settings import Settings
 
 
-def _flood(grid: int, case: str):
-    def run(cells: pd.DataFrame) -> pd.DataFrame:
-        """Spread the least place of the neighbourhood until nothing moves; number the places that are left."""
-        y, x = cells["gy"].to_numpy(), cells["gx"].to_numpy()
-        none = grid * grid
-        root = np.full((grid + 2, grid + 2), none)
-        root[y + 1, x + 1] = y * grid + x
-        on = root < none
-        while True:
-            views = [root[dy:dy + grid, dx:dx + grid] for dy in range(3) for dx in range(3)]
-            least = root.copy()
-            least[1:-1, 1:-1] = np.minimum.reduce(views)
-            least[~on] = none
-            if (least == root).all():
-                own = root[y + 1, x + 1].astype("int32")
-                return cells.assign(root=own, component=np.unique(own, return_inverse=True)[1].astype("int32"))
-            root = least
-
-    return run
+def _flood(cells: pd.DataFrame, grid: int, case: str) -> pd.DataFrame:
+    """Spread the least place of the neighbourhood, in all cases at once, until nothing moves; number the places that are left."""
+    k, none = pd.factorize(cells[case])[0], grid * grid
+    y, x = cells["gy"].to_numpy(), cells["gx"].to_numpy()
+    root = np.full((k.max() + 1, grid + 2, grid + 2), none)
+    root[k, y + 1, x + 1] = y * grid + x
+    on = root < none
+    while True:
+        least = root.copy()
+        least[:, 1:-1, 1:-1] = np.minimum.reduce([root[:, dy:dy + grid, dx:dx + grid] for dy in range(3) for dx in range(3)])
+        least[~on] = none
+        if (least == root).all():
+            break
+        root = least
+    own = root[k, y + 1, x + 1]
+    found, at = np.unique(k * none + own, return_inverse=True)
+    first = np.searchsorted(found // none, np.arange(k.max() + 1))
+    return cells.assign(root=own.astype("int32"), component=(at - first[k]).astype("int32"))
 
 
 def connected(cells: DataFrame, settings: Settings, case: str = "case_id") -> DataFrame:
     """Active cells with root and component: eight neighbours, numbered by their first cell row by row.
 
-    A case has grid x grid cells at most, so a group is bounded.
+    A case has grid x grid cells at most; a partition's cases come in order, batch by batch.
     """
+    def run(batches):
+        held = None
+        for b in batches:
+            held = b if held is None else pd.concat([held, b], ignore_index=True)
+            last = held[case] == held[case].iloc[-1]
+            if not last.all():
+                yield _flood(held[~last].reset_index(drop=True), settings.grid, case)
+                held = held[last].reset_index(drop=True)
+        if held is not None and len(held):
+            yield _flood(held, settings.grid, case)
+
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema.fields) + ", root int, component int"
-    return cells.groupBy(case).applyInPandas(_flood(settings.grid, case), schema)
+    return cells.repartition(case).sortWithinPartitions(case).mapInPandas(run, schema)
+
+
+def annotated(proposals: DataFrame, answers: DataFrame, case: str = "case_id") -> DataFrame:
+    """Answers of a provider (case, cluster_id, ...) with their proposal; an unknown id is an error, a proposal without an answer goes."""
+    known = proposals.select(case, "cluster_id", *geo.SIDES, "cell_count").withColumn("__known", F.lit(True))
+    unknown = F.raise_error(F.concat(F.lit("no proposal "), F.col("cluster_id"))).cast("string")
+    out = answers.join(known, [case, "cluster_id"], "left")
+    return out.withColumn("cluster_id", F.when(F.col("__known"), F.col("cluster_id")).otherwise(unknown)).drop("__known")
 
 
 def proposals(components: DataFrame, settings: Settings, width: int, height: int, case: str = "case_id") -> DataFrame:

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def now_iso() -> Column:
+    """The session's local time, to seconds."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+
+
 def event_line(timestamp: Column, state: Column, agent: Column, status: Column, source: Column, target: Column) -> Column:
     shown = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
     return F.concat(F.lit("- ["), shown(timestamp), F.lit("] "), shown(state), F.lit("/"), shown(agent), F.lit(" status="), shown(status),

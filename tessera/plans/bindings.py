@@ -25,11 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pixels(spark, d) -> DataFrame:
-    """Pixels of users: place and colour from the event's number, errors in a strong red."""
+    """Pixels of users: place and colour from the event's number, errors in a strong red, every third user's pixels darker,
+    every fifth one's in separate blocks."""
     e, error = F.col("event_id"), F.col("event_type") == "error"
-    colour = lambda k, strong: F.when(error, strong).otherwise(150 + e * k % 60).cast("int")
+    block = F.col("user_id") % 5 == 0
+    dark = F.when(block | (F.col("user_id") % 3 == 0), 70).otherwise(0)
+    colour = lambda k, strong: F.when(error, strong).otherwise(150 - dark + e * k % 60).cast("int")
     return table(spark, d, "events").select(
-        F.col("user_id").alias("case_id"), F.expr("CAST(event_id div 16 % 16 AS INT)").alias("gy"), (e % 16).cast("int").alias("gx"),
+        F.col("user_id").alias("case_id"), F.when(block, F.expr("4 * (event_id div 16 % 4) + event_id div 3 % 2")).otherwise(F.expr("event_id div 16 % 16")).cast("int").alias("gy"),
+        F.when(block, F.expr("4 * (event_id % 4) + event_id div 7 % 2")).otherwise(e % 16).cast("int").alias("gx"),
         colour(7, 255).alias("r"), colour(13, 60).alias("g"), colour(29, 60).alias("b"))
 
 
@@ -65,6 +69,14 @@ def top(spark, d) -> DataFrame:
     return regions.top_regions(scored(spark, d), SETTINGS)
 
 
+def crop_pixels(spark, d) -> DataFrame:
+    """Pixels of vectors: brightness by the vector's number, the rest by its values."""
+    v = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    q = F.abs(F.floor(F.col("v").cast("double") * 100).cast("long") * 7 + F.col("i") * 13)
+    tone, spread = 110 + F.col("vec_id") * 37 % 145, 6 + F.col("vec_id") * 11 % 40
+    return v.withColumn("q", q).select("vec_id", *[F.least(F.lit(255), tone + F.col("q") * k % spread).cast("int").alias(n) for n, k in (("r", 1), ("g", 5), ("b", 11))])
+
+
 def full_size(found: DataFrame) -> DataFrame:
     return found.withColumns({c: (F.col(c) * (FULL // THUMB)).cast("int") for c in ("x1", "y1", "x2", "y2")})
 
@@ -85,11 +97,38 @@ class Chain:
 
     @cached_property
     def hits(self) -> DataFrame:
-        """Findings of steps, with crop shares that follow from case and step."""
-        share = lambda a, b: ((F.col("case_id") * a + F.col("ord") * b) % 10001).cast("long")
-        crops = self.steps.select("case_id", "step_id", share(37, 911).alias("background"), share(53, 2903).alias("tissue"), share(29, 1409).alias("pale"))
+        """Findings of steps, with the shares of the vector that stands for the crop."""
+        shares = raster.crop_statistics(crop_pixels(self.spark, self.d), "vec_id")
+        n = table(self.spark, self.d, "embeddings").agg(F.count("*").alias("n"))  # one row
+        walked = evidence.drop_stops(self.steps).select("case_id", "step_id", "ord").join(F.broadcast(n)).withColumn("vec_id", (F.col("case_id") * 9 + F.col("ord")) % F.col("n"))
+        crops = walked.join(shares, "vec_id").select("case_id", "step_id", "background", "tissue", "pale")
         return keep(evidence.hits(evidence.observed(self.steps, crops, self.top), SETTINGS), "hits")
 
+    @cached_property
+    def faulty(self) -> DataFrame:
+        """Steps with faults in some cases, so that every audit rule finds something."""
+        c = F.col
+        broken = lambda k, r: (c("case_id") % k == r) & (c("ord") == 0)
+        some = self.steps.filter(~((c("case_id") % 7 == 1) & (c("stage_gate") == "level_2")))
+        return some.withColumns({
+            "m": F.when(broken(11, 2), 7.5).otherwise(c("m")), "need_to_see": F.when(broken(11, 3), "").otherwise(c("need_to_see")),
+            "review_goal": F.when(~broken(11, 4), c("review_goal")), "stage_gate": F.when(~broken(11, 5), c("stage_gate"))})
+
+    @cached_property
+    def mislabelled(self) -> DataFrame:
+        return self.top.withColumn("l", F.when((F.col("case_id") % 11 == 6) & (F.col("rank") == 1), "unknown").otherwise(F.col("l")))
+
+    @cached_property
+    def assessed(self) -> DataFrame:
+        """Assessments with their report; some cases lack one, or the assessment."""
+        from ..operators import assess
+
+        made = assess.assess(evidence.counts(self.checklist), self.suspicious)
+        text = assess.report(made, assess.supporting_lines(self.checklist))
+        c = F.col("case_id") % 13
+        out = made.join(text.withColumn("report", F.when(c != 1, F.col("report"))), "case_id")
+        return keep(out.withColumn("serrated_label", F.when(c != 2, F.col("serrated_label"))), "assessed")
+
     @cached_property
     def everyone(self) -> DataFrame:
         return cases(self.spark, self.d).unionByName(self.top.select("case_id")).distinct()

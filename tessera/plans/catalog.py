@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import pixels
-from ..operators import assess, audit, evidence, labels, memo, metrics, raster, timeline
+from ..operators import assess, audit, evidence, labels, memo, metrics, path, raster, timeline
+from ..operators import regions as regions_op
+from ..settings import LAYERS
+from ..sources import io
 from . import bindings as b
 from .oracle import SQL
 
-FINDING = "No criterion reached supporting status."
-
-
 def case_targets(spark, d):
     return b.labelled(spark, d).select("case_id", "lang", "quality_target", "toxic_target")
 
@@ -84,7 +84,12 @@ def crop_window(spark, d):
 
 def gate_order(spark, d):
     turns = b.table(spark, d, "conversations").withColumn("group", F.lit("all"))
-    return audit.early_gate(turns, "conv_id", "group", "role", "assistant", "user", "turn").select("conv_id", "turn")
+    return audit.early_gate(turns, "conv_id", "group", "role", "user", "system", "turn").select("conv_id", "turn")
+
+
+def step_bounds(spark, d):
+    steps = b.Chain(spark, d).faulty
+    return audit.step_violations(steps, 14500, 14500).filter("rule <> 'gate_order'")
 
 
 def hits_long(spark, d):
@@ -92,11 +97,12 @@ def hits_long(spark, d):
 
 
 def step_findings(spark, d):
-    keys = ("case_id", "step_id", "background", "review_goal")
+    keys = ("case_id", "step_id", "background", "review_goal", "d")
     out = evidence.step_findings(b.Chain(spark, d).hits, *keys).na.fill("", ["serrated_findings", "ssl_like_findings", "dysplasia_findings"])
     mine = F.when(F.col("review_goal") == "serrated_lesion_assessment", F.col("serrated_findings")).when(F.col("review_goal") == "ssl_like_architecture_assessment", F.col("ssl_like_findings")).otherwise(F.col("dysplasia_findings"))
     return out.select(*keys, "serrated_findings", "ssl_like_findings", "dysplasia_findings", F.when(F.col("background") > 7000, F.concat(F.lit("Background-heavy crop at "), "step_id")).alias("conflict"),
-                      evidence.decision(F.col("review_goal"), mine != "").alias("stage_decision"), evidence.wording(F.col("review_goal"), F.col("background")).alias("observation"))
+                      evidence.decision(F.col("review_goal"), mine != "").alias("stage_decision"), evidence.wording(F.col("review_goal"), F.col("background")).alias("observation"),
+                      evidence.reasoning(F.col("review_goal")).alias("reasoning"), evidence.next_step(F.col("review_goal"), F.col("d")).alias("next_step")).drop("d")
 
 
 def confidence(spark, d):
@@ -124,13 +130,18 @@ def assessment(spark, d):
 def report_text(spark, d):
     chain = b.Chain(spark, d)
     assessed = assess.assess(evidence.counts(chain.checklist), chain.suspicious)
-    return assess.report(assessed, assess.supporting_lines(chain.checklist, FINDING))
+    return assess.report(assessed, assess.supporting_lines(chain.checklist))
 
 
 def _violations(chain):
+    listed = chain.checklist
+    for i, layer in enumerate(LAYERS):
+        listed = listed.filter(~((F.col("case_id") % 17 == i) & (F.col("layer") == layer)))
+    exports = chain.everyone.select("case_id", F.when(F.col("case_id") % 19 == 0, 1).when(F.col("case_id") % 19 != 1, 0).alias("returncode"))
     return audit.union([
-        audit.step_violations(chain.steps, 12000, 12000), audit.label_violations(chain.top), audit.missing(chain.everyone, evidence.drop_stops(chain.steps), "no_observations"),
-        audit.support_warnings(evidence.counts(chain.checklist))])
+        audit.step_violations(chain.faulty, 14500, 14500), audit.label_violations(chain.mislabelled),
+        audit.artifact_violations(chain.everyone, evidence.drop_stops(chain.steps), chain.assessed, listed),
+        audit.export_violations(exports), audit.support_warnings(evidence.counts(chain.checklist))])
 
 
 def violations(spark, d):
@@ -145,12 +156,57 @@ def audit_status(spark, d):
 def run_summary(spark, d):
     chain = b.Chain(spark, d)
     walked = evidence.drop_stops(chain.steps).groupBy("case_id").agg(F.count("*").alias("steps"))
-    status = audit.status(chain.everyone, _violations(chain))
-    return metrics.run_summary(status.join(walked, "case_id", "left"), ["steps", "errors"])
+    costs = metrics.cost_units(chain.everyone, chain.top, evidence.drop_stops(chain.steps), None).select("case_id", "estimated_case_cost_units")
+    spent = memo.latency(b.table(spark, d, "events").select(F.col("user_id").alias("case_id"), F.when(F.col("event_type") != "view", F.col("event_id") % 500).alias("latency_ms")), "case_id").withColumnRenamed("latency_ms", "runtime_ms")
+    rows = audit.status(chain.everyone, _violations(chain)).join(walked, "case_id", "left").join(costs, "case_id", "left").join(spent, "case_id", "left")
+    return metrics.run_summary(rows, ["steps", "errors", "estimated_case_cost_units", "runtime_ms"])
+
+
+def reasoning_state(spark, d):
+    seen = b.Chain(spark, d).hits.select("case_id", "step_id", "ord", "review_goal", "background").distinct()
+    out = evidence.reasoning_state(seen)
+    return out.select("case_id", F.array_join("supporting_evidence", "|").alias("supporting_evidence"), F.array_join("conflicts", "|").alias("conflicts"), "observations")
+
+
+def text_observation(spark, d):
+    goals = F.element_at(F.array(*[F.lit(g) for _, g, _ in path.GOALS]), (F.col("doc_id") % 3 + 1).cast("int"))
+    return evidence.text_driven(b.table(spark, d, "documents").withColumn("goal", goals), "doc_id", "goal")
+
+
+def backend_clusters(spark, d):
+    found = b.proposals(spark, d)
+    answers = b.table(spark, d, "events").select(F.col("user_id").alias("case_id"), F.concat(F.lit("cluster_0"), F.col("event_id") % 2).alias("cluster_id"), (F.col("event_id") % 6).cast("int").alias("s"))
+    answers = answers.groupBy("case_id", "cluster_id").agg(F.max("s").alias("s")).join(found.select("case_id", "cluster_id"), ["case_id", "cluster_id"])
+    return regions_op.annotated(found, answers)
+
+
+def crop_manifest(spark, d):
+    return io.crop_manifest(evidence.drop_stops(b.Chain(spark, d).steps), "crops/").select("case_id", "step_id", "image_path", "x", "y", "m", "o", "region_size_level0")
+
+
+def map_merge(spark, d):
+    left = F.create_map(F.lit("k"), F.lit("none"), F.lit("type"), F.col("event_type"))
+    right = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("user"), F.col("user_id").cast("string"))
+    made = b.table(spark, d, "events").withColumn("m", memo.merged(left, F.map_filter(right, lambda k, v: v.isNotNull())))
+    return made.select("event_id", *[F.try_element_at("m", F.lit(k)).alias(k) for k in ("k", "type", "user")], F.size("m").alias("entries"))
+
+
+def latency_sum(spark, d):
+    return memo.latency(b.table(spark, d, "events").select("user_id", "event_type", F.when(F.col("value") < 100, F.col("event_id") % 500).alias("latency_ms")), "user_id", "event_type")
+
+
+def typed_ingest(spark, d):
+    k = F.coalesce(F.get_json_object("props", "$.k"), F.lit(""))
+    rows = b.table(spark, d, "events").select(F.col("user_id").alias("case_id"), "event_id", F.when(F.col("event_type") == "error", F.concat(k, F.lit(".5"))).otherwise(k).alias("s"), F.when(F.col("event_type") == "view", "maybe").otherwise("true").alias("d"))
+    return audit.typed_violations(rows, "s", "d", "event_id")
+
+
+def trajectory_text(spark, d):
+    return b.Chain(spark, d).steps.select("case_id", "step_id", "need_to_see", "x_millionths", "y_millionths")
 
 
 def trajectory(spark, d):
-    return b.Chain(spark, d).steps
+    return b.Chain(spark, d).steps.drop("need_to_see", "x_millionths", "y_millionths")
 
 
 def checklist(spark, d):
@@ -223,7 +279,8 @@ QUERIES = {
     "crop_window": crop_window, "gate_order": gate_order, "hits_long": hits_long, "step_findings": step_findings, "confidence": confidence, "keyword_hits": keyword_hits, "event_checklist": event_checklist,
     "checklist": checklist, "completeness": completeness, "assessment": assessment, "report_text": report_text, "violations": violations, "audit_status": audit_status, "run_summary": run_summary,
     "layer_metrics": layer_metrics, "predictions": predictions, "timeline": timelines, "json_payload": json_payload, "content_cache": content_cache, "fallback_chain": fallback_chain, "retry_log": retry_log,
-    "mode_plan": mode_plan, "box_spec": box_spec, "event_metrics": event_metrics, "last_line": last_line,
+    "step_bounds": step_bounds, "reasoning_state": reasoning_state, "text_observation": text_observation, "backend_clusters": backend_clusters, "crop_manifest": crop_manifest, "map_merge": map_merge,
+    "latency_sum": latency_sum, "typed_ingest": typed_ingest, "trajectory_text": trajectory_text, "mode_plan": mode_plan, "box_spec": box_spec, "event_metrics": event_metrics, "last_line": last_line,
 }
 
 

@@ -16,10 +16,11 @@ def _share(flag: str) -> str:
 
 
 _CELLS = f"""
-px AS (SELECT user_id AS case_id, (event_id // 16 % 16)::INT AS gy, (event_id % 16)::INT AS gx,
-  CASE WHEN event_type = 'error' THEN 255 ELSE 150 + event_id * 7 % 60 END::INT AS r,
-  CASE WHEN event_type = 'error' THEN 60 ELSE 150 + event_id * 13 % 60 END::INT AS g,
-  CASE WHEN event_type = 'error' THEN 60 ELSE 150 + event_id * 29 % 60 END::INT AS b FROM events),
+px AS (SELECT user_id AS case_id, CASE WHEN user_id % 5 = 0 THEN 4 * (event_id // 16 % 4) + event_id // 3 % 2 ELSE event_id // 16 % 16 END::INT AS gy,
+  CASE WHEN user_id % 5 = 0 THEN 4 * (event_id % 4) + event_id // 7 % 2 ELSE event_id % 16 END::INT AS gx,
+  CASE WHEN event_type = 'error' THEN 255 ELSE 150 - (CASE WHEN user_id % 3 = 0 OR user_id % 5 = 0 THEN 70 ELSE 0 END) + event_id * 7 % 60 END::INT AS r,
+  CASE WHEN event_type = 'error' THEN 60 ELSE 150 - (CASE WHEN user_id % 3 = 0 OR user_id % 5 = 0 THEN 70 ELSE 0 END) + event_id * 13 % 60 END::INT AS g,
+  CASE WHEN event_type = 'error' THEN 60 ELSE 150 - (CASE WHEN user_id % 3 = 0 OR user_id % 5 = 0 THEN 70 ELSE 0 END) + event_id * 29 % 60 END::INT AS b FROM events),
 mask AS (SELECT *, {_MASKS} FROM px),
 cells AS (SELECT case_id, gy, gx, count(*) AS n, {_share('is_tissue')} AS tissue, {_share('is_pale')} AS pale, {_share('is_artifact')} AS artifact
   FROM mask GROUP BY ALL HAVING count(*) FILTER (is_tissue) * 10000 >= count(*) * 800)"""
@@ -77,10 +78,20 @@ done AS (SELECT case_id, arg_max(acc, i) AS acc FROM walk GROUP BY ALL),
 closed AS (SELECT case_id, list_append(acc, {'x': coalesce(acc[len(acc)].x, 0), 'y': coalesce(acc[len(acc)].y, 0), 'm': 1.0::DOUBLE, 'goal': 'integrated_impression', 'gate': 'end', 'size': 256::INT, 'cluster_id': NULL::VARCHAR}) AS acc FROM done),
 flat AS (SELECT case_id, unnest(range(len(acc))) AS ord, acc FROM closed),
 steps AS (SELECT case_id, ord::INT AS ord, 'step_' || lpad(ord::VARCHAR, 2, '0') AS step_id, acc[ord + 1].x AS x, acc[ord + 1].y AS y, acc[ord + 1].m AS m, acc[ord + 1].goal AS review_goal,
-  acc[ord + 1].gate AS stage_gate, acc[ord + 1].size AS size, acc[ord + 1].cluster_id AS cluster_id, CASE WHEN acc[ord + 1].gate = 'end' THEN 'stop' ELSE 'inspect' END AS action FROM flat)"""
+  acc[ord + 1].gate AS stage_gate, acc[ord + 1].size AS size, acc[ord + 1].cluster_id AS cluster_id, CASE WHEN acc[ord + 1].gate = 'end' THEN 'stop' ELSE 'inspect' END AS action FROM flat),
+needs AS (SELECT * FROM (VALUES
+  ('level_1', 'Confirm whether this mucosal lesion belongs to the serrated lesion pathway by reviewing surface contour, mucus-rich change, and lesion context.'),
+  ('level_2', 'Search for SSL-like crypt disorder, including basal dilatation, branching, horizontal growth, and serration extending toward the crypt base.'),
+  ('level_3', 'Perform routine high-magnification cytology review for dysplasia or atypia after structural crypt assessment.'),
+  ('end', 'Stop navigation and consolidate the layered serrated, SSL-like, and dysplasia evidence.')) v(gate, need)),
+told AS (SELECT steps.*, CASE WHEN stage_gate = 'end' AND ord = 0 THEN 'Stop navigation because no reviewable lesion cluster was retained.' ELSE need END AS need_to_see FROM steps JOIN needs ON gate = stage_gate)"""
 _SEEN = _STEPS + """,
-seen AS (SELECT s.*, (s.case_id * 37 + ord * 911) % 10001 AS background, (s.case_id * 53 + ord * 2903) % 10001 AS tissue, (s.case_id * 29 + ord * 1409) % 10001 AS pale,
-  t.l, coalesce(t.s, 0) AS priority, t.d, coalesce(t.risk, t.s, 0) AS risk FROM steps s LEFT JOIN top t ON s.case_id = t.case_id AND s.cluster_id = t.cluster_id WHERE action <> 'stop')"""
+vectors AS (SELECT vec_id, unnest(range(len(embedding))) AS i, embedding FROM embeddings),
+lit AS (SELECT vec_id, abs(floor(embedding[i + 1]::DOUBLE * 100)::BIGINT * 7 + i * 13) AS q, 110 + vec_id * 37 % 145 AS tone, 6 + vec_id * 11 % 40 AS spread FROM vectors),
+coloured AS (SELECT vec_id, least(255, tone + q % spread) AS r, least(255, tone + q * 5 % spread) AS g, least(255, tone + q * 11 % spread) AS b FROM lit),
+shares AS (SELECT vec_id, """ + _share("is_background") + """ AS background, """ + _share("is_tissue") + """ AS tissue, """ + _share("is_pale") + """ AS pale FROM (SELECT vec_id, """ + _MASKS + """ FROM coloured) GROUP BY ALL),
+seen AS (SELECT s.*, background, v.tissue AS tissue, v.pale AS pale,
+  t.l, coalesce(t.s, 0) AS priority, t.d, coalesce(t.risk, t.s, 0) AS risk FROM steps s JOIN shares v ON v.vec_id = (s.case_id * 9 + ord) % (SELECT count(*) FROM embeddings) LEFT JOIN top t ON s.case_id = t.case_id AND s.cluster_id = t.cluster_id WHERE action <> 'stop')"""
 _LIST = ", ".join(f"('{layer}', '{c}', {i})" for i, (layer, c) in enumerate((k, c) for k, v in LAYERS.items() for c in v))
 _HITS = _SEEN + f""",
 criteria AS (SELECT * FROM (VALUES {_LIST}) v(layer, criterion, place)),
@@ -119,19 +130,31 @@ assessed AS (SELECT case_id, CASE WHEN p1 THEN 'serrated_lesion' ELSE 'non_serra
    WHEN p2 THEN 'Overall impression favors a serrated lesion with SSL-like crypt architecture without convincing dysplasia.'
    WHEN l2 = 'serrated_but_non_ssl_like' THEN 'Overall impression favors a serrated lesion without convincing SSL-like crypt disorder.'
    ELSE 'Overall impression remains within the serrated pathway but SSL-like architecture is indeterminate.' END AS impression FROM labels2)"""
-_VIOLATIONS = _CHECKLIST + """,
+_FAULTY = """,
+faulty AS (SELECT case_id, ord, step_id, x, y, CASE WHEN case_id % 11 = 2 AND ord = 0 THEN 7.5 ELSE m END AS m, CASE WHEN case_id % 11 = 3 AND ord = 0 THEN '' ELSE need_to_see END AS need_to_see,
+  CASE WHEN NOT (case_id % 11 = 4 AND ord = 0) THEN review_goal END AS review_goal, CASE WHEN NOT (case_id % 11 = 5 AND ord = 0) THEN stage_gate END AS stage_gate, cluster_id, action
+  FROM told WHERE NOT (case_id % 7 = 1 AND stage_gate = 'level_2')),
+bounds AS (SELECT case_id, 'error' AS severity, rule, step_id AS ref FROM (
+  SELECT *, unnest([CASE WHEN NOT (x BETWEEN 0 AND 14500 AND y BETWEEN 0 AND 14500) THEN 'step_out_of_bounds' END, CASE WHEN NOT m BETWEEN 1 AND 5 THEN 'magnification_invalid' END,
+    CASE WHEN coalesce(need_to_see, '') = '' THEN 'missing_need_to_see' END, CASE WHEN coalesce(review_goal, '') = '' THEN 'missing_review_goal' END,
+    CASE WHEN coalesce(stage_gate, '') = '' THEN 'missing_stage_gate' END]) AS rule FROM faulty WHERE action <> 'stop') WHERE rule IS NOT NULL)"""
+_absent = lambda rule, where: f"UNION ALL SELECT case_id, 'error', '{rule}', '' FROM everyone WHERE {where}"
+_VIOLATIONS = _CHECKLIST + _FAULTY + f""",
 violations AS (
-  SELECT case_id, 'error' AS severity, 'step_out_of_bounds' AS rule, step_id AS ref FROM steps WHERE action <> 'stop' AND NOT (x BETWEEN 0 AND 12000 AND y BETWEEN 0 AND 12000)
-  UNION ALL SELECT case_id, 'error', 'gate_order', step_id FROM steps s WHERE stage_gate = 'level_3' AND NOT EXISTS (
-    FROM steps t WHERE t.case_id = s.case_id AND t.cluster_id = s.cluster_id AND t.stage_gate = 'level_2' AND t.ord < s.ord)
-  UNION ALL SELECT DISTINCT case_id, 'error', 'no_observations', '' FROM everyone WHERE case_id NOT IN (SELECT case_id FROM seen)
+  SELECT * FROM bounds
+  UNION ALL SELECT case_id, 'error', 'gate_order', step_id FROM faulty s WHERE stage_gate = 'level_3' AND NOT EXISTS (
+    FROM faulty t WHERE t.case_id = s.case_id AND t.cluster_id = s.cluster_id AND t.stage_gate = 'level_2' AND t.ord < s.ord)
+  UNION ALL SELECT case_id, 'error', 'invalid_label', cluster_id FROM top WHERE case_id % 11 = 6 AND rank = 1
+  {_absent('no_observations', 'case_id NOT IN (SELECT case_id FROM seen)')} {_absent('no_report', 'case_id % 13 = 1')} {_absent('no_prediction', 'case_id % 13 = 2')}
+  {_absent('no_serrated_checklist', 'case_id % 17 = 0')} {_absent('no_ssl_like_checklist', 'case_id % 17 = 1')} {_absent('no_dysplasia_checklist', 'case_id % 17 = 2')}
+  {_absent('export_failed', 'case_id % 19 IN (0, 1)')}
   UNION ALL SELECT case_id, 'warning', 'no_serrated_support', '' FROM checklist WHERE layer = 'serrated' GROUP BY case_id HAVING count(*) FILTER (status = 'supporting') = 0)"""
 _STATUS = _VIOLATIONS + """,
 audited AS (SELECT e.case_id, count(v.rule) FILTER (severity = 'error') AS errors, count(v.rule) FILTER (severity = 'warning') AS warnings FROM everyone e LEFT JOIN violations v ON v.case_id = e.case_id GROUP BY ALL),
 statuses AS (SELECT *, CASE WHEN errors > 0 THEN 'fail' WHEN warnings > 0 THEN 'warn' ELSE 'ok' END AS status FROM audited)"""
 _LINES = _ASSESSED + """,
-lines AS (SELECT case_id, layer, coalesce(string_agg(CASE WHEN status = 'supporting' THEN criterion || ' (' || replace(evidence_steps, ',', ', ') || ')' END, '; ' ORDER BY criterion), 'No criterion reached supporting status.') AS line
-  FROM checklist GROUP BY ALL)"""
+lines AS (SELECT case_id, layer, coalesce(string_agg(CASE WHEN status = 'supporting' THEN criterion || ' (' || replace(evidence_steps, ',', ', ') || ')' END, '; ' ORDER BY place), 'No decisive supporting item recorded.') AS line
+  FROM checklist JOIN criteria USING (layer, criterion) GROUP BY ALL)"""
 _LABELLED = """
 labelled AS (SELECT d.doc_id AS case_id, lang, n_chars, CASE WHEN quality IS NULL THEN NULL WHEN quality = 1 THEN 1 ELSE 0 END AS quality_target,
   CASE WHEN toxic IS NULL THEN NULL WHEN toxic = 1 THEN 1 ELSE 0 END AS toxic_target, (n_chars > 400)::INT AS quality_pred, (lang = 'en')::INT AS toxic_pred
@@ -146,7 +169,7 @@ SQL = {
     "case_targets": f"WITH {_LABELLED} SELECT case_id, lang, quality_target, toxic_target FROM labelled",
     "last_order": "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus FROM orders GROUP BY ALL",
     "pilot_subset": f"WITH {_LABELLED}, r AS (SELECT case_id, lang, quality_target, row_number() OVER (PARTITION BY quality_target ORDER BY case_id) AS pick FROM labelled WHERE quality_target IS NOT NULL) "
-                    "SELECT *, 'pilot_eval' AS split FROM r WHERE pick <= 12",
+                    "SELECT * EXCLUDE (pick), 'pilot_eval' AS pilot_split, 'aligned_manifest_and_labels_csv' AS selection_reason FROM r WHERE pick <= 12",
     "pixel_masks": f"WITH p AS (SELECT l_orderkey, l_linenumber, (l_partkey % 256)::INT AS r, (l_suppkey * 7 % 256)::INT AS g, (l_orderkey % 256)::INT AS b FROM lineitem) SELECT l_orderkey, l_linenumber, {_MASKS} FROM p",
     "array_block_stats": f"""WITH v AS (SELECT vec_id, unnest(range(len(embedding))) AS i, embedding FROM embeddings),
       q AS (SELECT vec_id, i, floor(embedding[i + 1]::DOUBLE * 100)::BIGINT AS q FROM v),
@@ -172,7 +195,32 @@ SQL = {
       SELECT case_id, l_orderkey, l_linenumber, tx::INT AS tx, ty::INT AS ty, tile::INT AS tile FROM r WHERE tile < 16""",
     "crop_window": f"""{_w} {_STEPS}, p AS (SELECT user_id AS case_id, event_id, (event_id * 97 % 16000)::INT AS px, (event_id * 61 % 16000)::INT AS py FROM events)
       SELECT s.case_id, step_id, event_id FROM steps s JOIN p ON s.case_id = p.case_id AND px >= x - size // 2 AND px < x + size // 2 AND py >= y - size // 2 AND py < y + size // 2 WHERE action <> 'stop'""",
-    "gate_order": """SELECT conv_id, turn FROM conversations c WHERE role = 'assistant' AND NOT EXISTS (FROM conversations u WHERE u.conv_id = c.conv_id AND u.role = 'user' AND u.turn < c.turn)""",
+    "gate_order": """SELECT conv_id, turn FROM conversations c WHERE role = 'user' AND NOT EXISTS (FROM conversations u WHERE u.conv_id = c.conv_id AND u.role = 'system' AND u.turn < c.turn)""",
+    "step_bounds": f"{_w} {_STEPS} {_FAULTY} SELECT * FROM bounds",
+    "reasoning_state": f"""{_w} {_SEEN}, why AS (SELECT case_id, step_id, ord, background, row_number() OVER (PARTITION BY case_id ORDER BY ord) AS i, CASE review_goal
+        WHEN 'serrated_lesion_assessment' THEN 'This view is used to decide whether the lesion belongs to the serrated pathway before structural crypt review.'
+        WHEN 'ssl_like_architecture_assessment' THEN 'This view evaluates whether the crypt pattern supports SSL-like structural disorder.'
+        ELSE 'This view evaluates dysplasia or atypia after completing the structural crypt review.' END AS t FROM seen)
+      SELECT case_id, string_agg(t, '|' ORDER BY ord) FILTER (i <= 8) AS supporting_evidence, coalesce(string_agg('Background-heavy crop at ' || step_id, '|' ORDER BY ord) FILTER (background > 7000), '') AS conflicts, count(*) AS observations FROM why GROUP BY ALL""",
+    "text_observation": """WITH k AS (""" + _KEY_ROWS + f"""), c AS (SELECT * FROM (VALUES {_LIST}) v(layer, criterion, place)),
+      f AS (SELECT doc_id, coalesce(string_agg(criterion, ',' ORDER BY place) FILTER (layer = 'serrated' AND status = 'supporting'), '') AS serrated_findings,
+        coalesce(string_agg(criterion, ',' ORDER BY place) FILTER (layer = 'ssl_like' AND status = 'supporting'), '') AS ssl_like_findings,
+        coalesce(string_agg(criterion, ',' ORDER BY place) FILTER (layer = 'dysplasia' AND status = 'supporting'), '') AS dysplasia_findings FROM k JOIN c USING (criterion) GROUP BY doc_id),
+      g AS (SELECT doc_id, text, ['serrated_lesion_assessment', 'ssl_like_architecture_assessment', 'dysplasia_assessment'][doc_id % 3 + 1] AS goal FROM documents)
+      SELECT doc_id, goal, left(regexp_extract(coalesce(text, ''), '([^\\n]*)\\s*$', 1), 320) AS observation, 'Local Patho-R1 textual evidence was used to summarize the requested diagnostic layer.' AS reasoning,
+        CASE goal WHEN 'serrated_lesion_assessment' THEN 'Proceed to structural crypt review if the lesion remains within the serrated pathway.'
+          WHEN 'ssl_like_architecture_assessment' THEN 'Proceed to high-magnification cytology review after structural crypt review.' ELSE 'Integrate the layered impression and finalize the report.' END AS next_step,
+        CASE goal WHEN 'serrated_lesion_assessment' THEN 'supports_serrated_lesion' WHEN 'ssl_like_architecture_assessment' THEN 'supports_ssl_like_architecture' ELSE 'dysplasia_supported' END AS stage_decision,
+        0.62::DOUBLE AS confidence, serrated_findings, ssl_like_findings, dysplasia_findings FROM g JOIN f USING (doc_id)""",
+    "backend_clusters": f"""{_w} {_PROPOSALS}, a AS (SELECT user_id AS case_id, 'cluster_0' || (event_id % 2) AS cluster_id, max(event_id % 6)::INT AS s FROM events GROUP BY ALL)
+      SELECT case_id, cluster_id, s, x1, y1, x2, y2, cell_count FROM a JOIN proposals USING (case_id, cluster_id)""",
+    "crop_manifest": f"""{_w} {_STEPS} SELECT case_id, step_id, 'crops/' || step_id || '_mag' || printf('%.1f', m) || '_' || size || '.png' AS image_path, x, y, m, need_to_see AS o, size AS region_size_level0 FROM told WHERE action <> 'stop'""",
+    "map_merge": """SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS k, event_type AS type, user_id::VARCHAR AS user, 3 AS entries FROM events""",
+    "latency_sum": "SELECT user_id, event_type, coalesce(sum(CASE WHEN value < 100 THEN event_id % 500 END), 0)::BIGINT AS latency_ms FROM events GROUP BY ALL",
+    "typed_ingest": """WITH r AS (SELECT user_id AS case_id, event_id, coalesce(json_extract_string(props, '$.k'), '') || CASE WHEN event_type = 'error' THEN '.5' ELSE '' END AS s, event_type FROM events)
+      SELECT case_id, 'error' AS severity, 'priority_not_integer' AS rule, event_id::VARCHAR AS ref FROM r WHERE NOT regexp_full_match(s, '-?[0-9]+')
+      UNION ALL SELECT case_id, 'error', 'flag_not_boolean', event_id::VARCHAR FROM r WHERE event_type = 'view'""",
+    "trajectory_text": f"{_w} {_STEPS} SELECT case_id, step_id, need_to_see, ((x::BIGINT * 2000000 + 16000) // 32000)::BIGINT AS x_millionths, ((y::BIGINT * 2000000 + 16000) // 32000)::BIGINT AS y_millionths FROM told",
     "hits_long": f"{_w} {_HITS} SELECT case_id, step_id, layer, criterion, status FROM hits",
     "step_findings": f"""{_w} {_HITS} SELECT case_id, step_id, background, review_goal,
         coalesce(string_agg(criterion, ',' ORDER BY place) FILTER (layer = 'serrated' AND status = 'supporting'), '') AS serrated_findings,
@@ -185,8 +233,14 @@ SQL = {
         CASE WHEN background > 7000 THEN 'The crop is background-heavy and provides limited diagnostic tissue.' ELSE CASE review_goal
           WHEN 'serrated_lesion_assessment' THEN 'Low magnification preserves the overall lesion contour and mucosal context.'
           WHEN 'ssl_like_architecture_assessment' THEN 'Intermediate magnification targets crypt architecture and the distribution of abnormal serration.'
-          ELSE 'High magnification focuses on cytologic atypia and dysplasia after structural review.' END END AS observation
-      FROM hits GROUP BY case_id, step_id, background, review_goal""",
+          ELSE 'High magnification focuses on cytologic atypia and dysplasia after structural review.' END END AS observation,
+        CASE review_goal WHEN 'serrated_lesion_assessment' THEN 'This view is used to decide whether the lesion belongs to the serrated pathway before structural crypt review.'
+          WHEN 'ssl_like_architecture_assessment' THEN 'This view evaluates whether the crypt pattern supports SSL-like structural disorder.'
+          ELSE 'This view evaluates dysplasia or atypia after completing the structural crypt review.' END AS reasoning,
+        CASE review_goal WHEN 'serrated_lesion_assessment' THEN CASE WHEN coalesce(d, false) THEN 'Proceed to structural crypt review.' ELSE 'Consolidate as a serrated lesion without strong SSL-like crypt disorder.' END
+          WHEN 'ssl_like_architecture_assessment' THEN 'Proceed to routine high-magnification cytology review after the crypt review step.'
+          ELSE 'Integrate serrated, structural, and cytologic evidence into the final layered report.' END AS next_step
+      FROM hits GROUP BY case_id, step_id, background, review_goal, d""",
     "confidence": f"""{_w} {_HITS}, c AS (SELECT case_id, step_id, tissue, pale, priority, count(*) FILTER (status = 'supporting') AS support FROM hits GROUP BY ALL)
       SELECT case_id, step_id, ((least(950000, greatest(50000, 200000 + tissue * 20 + pale * 10 + support * 80000 + priority * 40000)) + 50) // 100) / 10000.0::DOUBLE AS confidence FROM c""",
     "keyword_hits": _KEY_ROWS,
@@ -202,8 +256,11 @@ SQL = {
       FROM assessed a JOIN lines x ON x.case_id = a.case_id AND x.layer = 'serrated' JOIN lines y ON y.case_id = a.case_id AND y.layer = 'ssl_like' JOIN lines z ON z.case_id = a.case_id AND z.layer = 'dysplasia'""",
     "violations": f"{_w} {_VIOLATIONS} SELECT * FROM violations",
     "audit_status": f"{_w} {_STATUS} SELECT * FROM statuses",
-    "run_summary": f"""{_w} {_STATUS}, t AS (SELECT case_id, count(*) FILTER (action <> 'stop') AS steps FROM steps GROUP BY ALL), r AS (SELECT s.*, steps FROM statuses s LEFT JOIN t ON s.case_id = t.case_id)
-      SELECT count(*) AS case_count, count(*) FILTER (status = 'warn') AS warn_cases, count(*) FILTER (status = 'fail') AS fail_cases, {_four('sum(coalesce(steps, 0))', 'count(*)')} AS avg_steps, {_four('sum(errors)', 'count(*)')} AS avg_errors FROM r""",
+    "run_summary": f"""{_w} {_STATUS}, t AS (SELECT case_id, count(*) FILTER (action <> 'stop') AS steps FROM steps GROUP BY ALL), u AS (SELECT case_id, count(*) AS clusters FROM top GROUP BY ALL),
+        w AS (SELECT user_id AS case_id, sum(CASE WHEN event_type <> 'view' THEN event_id % 500 ELSE 0 END) AS runtime_ms FROM events GROUP BY ALL),
+        r AS (SELECT s.*, steps, coalesce(clusters, 0) + coalesce(steps, 0) AS cost, runtime_ms FROM statuses s LEFT JOIN t ON s.case_id = t.case_id LEFT JOIN u ON u.case_id = s.case_id LEFT JOIN w ON w.case_id = s.case_id)
+      SELECT count(*) AS case_count, count(*) FILTER (status = 'warn') AS warn_cases, count(*) FILTER (status = 'fail') AS fail_cases, {_four('sum(coalesce(steps, 0))', 'count(*)')} AS avg_steps, {_four('sum(errors)', 'count(*)')} AS avg_errors,
+        {_four('sum(cost)', 'count(*)')} AS avg_estimated_case_cost_units, {_four('sum(coalesce(runtime_ms, 0))', 'count(*)')} AS avg_runtime_ms FROM r""",
     "layer_metrics": f"""WITH {_LABELLED}, p AS (SELECT 'quality' AS layer, quality_target AS target, quality_pred AS pred FROM labelled UNION ALL SELECT 'toxic', toxic_target, toxic_pred FROM labelled),
       n AS (SELECT layer, count(*) FILTER (target IS NOT NULL AND pred IS NOT NULL) AS cases, count(*) FILTER (target = 1 AND pred = 1) AS tp, count(*) FILTER (target = 0 AND pred = 0) AS tn,
         count(*) FILTER (target = 0 AND pred = 1) AS fp, count(*) FILTER (target = 1 AND pred = 0) AS fn FROM p GROUP BY ALL)

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import assess, audit, evidence, labels, metrics, path, raster, regions
+from ..operators import assess, audit, evidence, labels, memo, metrics, path, raster, regions, timeline
 from ..settings import LAYERS, Settings
 from ..sources import io
 
-NONE = "No criterion reached supporting status."
-
 
 @dataclass
 class Run:
@@ -25,6 +24,7 @@ class Run:
     violations: DataFrame
     status: DataFrame
     results: DataFrame
+    log: DataFrame
 
 
 def read_cases(spark: SparkSession, manifest: str, label_csv: str, settings: Settings) -> DataFrame:
@@ -44,38 +44,117 @@ def single_case(spark: SparkSession, slide_path: str) -> DataFrame:
     return spark.range(1).select(io.stem(F.lit(slide_path)).alias("case_id"), F.lit(slide_path).alias("slide_path"), *none.values())
 
 
-def run(cases: DataFrame, pixels: DataFrame, hints: DataFrame, crop_pixels: DataFrame, settings: Settings, thumb: tuple[int, int], full: tuple[int, int], keep) -> Run:
+@dataclass(frozen=True)
+class Interventions:
+    """What an operator asks of a run. Boxes replace the hints; the rest is recorded in the log."""
+
+    override_roi: str | None = None
+    force_zoom: float | None = None
+    early_stop: int | None = None
+    operator_note: str | None = None
+
+
+def chosen_hints(cases: DataFrame, hints: DataFrame, mode: str | None, boxes: str | None) -> DataFrame:
+    """Manual boxes "x1,y1,x2,y2;..." for every case; else, of hints with a mode, each case's first mode of the plan that has any."""
+    if boxes:
+        made = cases.select("case_id", F.explode(memo.parse_boxes(F.lit(boxes))).alias("e"))
+        return made.select("case_id", *[F.col(f"e.{c}").alias(f"h{c}") for c in ("x1", "y1", "x2", "y2")], F.lit(1.0).alias("score"))
+    if "mode" not in hints.columns:
+        return hints
+    planned = hints.withColumn("__at", F.array_position(memo.mode_plan(F.lit(None), F.lit(mode or "auto"), ("patho-r1", "heuristic")), F.col("mode"))).filter("__at > 0")
+    best = planned.groupBy("case_id").agg(F.min("__at").alias("__at"))
+    return planned.join(best, ["case_id", "__at"]).drop("__at", "mode")
+
+
+def run(cases: DataFrame, pixels: DataFrame, hints: DataFrame, crop_pixels: DataFrame, settings: Settings, thumb: tuple[int, int], full: tuple[int, int], keep,
+        mode: str | None = None, asked: Interventions = Interventions()) -> Run:
     """Triage ``cases`` from thumbnail pixels (case_id, y, x, r, g, b), hint boxes and full-size pixels (case_id, py, px, r, g, b).
 
     ``keep(df, name)`` writes a stage's table and reads it back, so that the
-    stages after it do not repeat it.
+    stages after it do not repeat it. Each stage's time is that of all cases.
     """
+    timings, began, started = {}, time.time(), F.lit(time.strftime("%Y-%m-%dT%H:%M:%S"))
+
+    def done_with(stage: str, since=[began]):  # noqa: B006
+        timings[f"{stage}_runtime_ms"] = int(round((time.time() - since[0]) * 1000))
+        since[0] = time.time()
+
+    hints = chosen_hints(cases, hints, mode, asked.override_roi)
     w, h = (F.lit(v) for v in thumb)
     placed = pixels.withColumn("gy", raster.cell_of(F.col("y"), h, settings.grid)).withColumn("gx", raster.cell_of(F.col("x"), w, settings.grid))
     found = regions.proposals(regions.connected(raster.grid_cells(placed, settings), settings), settings, *thumb)
     found = regions.fallback(cases, found, *thumb)
     scored = regions.scored(regions.with_hints(found, hints), settings)
     clusters = keep(regions.top_regions(scored, settings), "clusters")
+    done_with("trace")
     scale = {c: F.bround(F.col(c) * full[i % 2] / thumb[i % 2]).cast("int") for i, c in enumerate(("x1", "y1", "x2", "y2"))}
     steps = keep(path.trajectory(clusters.withColumns(scale), *full, settings), "steps")
+    done_with("navigate")
     windows = raster.crop_window(crop_pixels, evidence.drop_stops(steps).select("case_id", "step_id", "x", "y", "size"))
     crops = raster.crop_statistics(windows, "case_id", "step_id")
     hits = keep(evidence.hits(evidence.observed(steps, crops, clusters), settings), "hits")
     listed = keep(evidence.checklist(cases, evidence.merge(hits, "case_id"), evidence.criteria(cases.sparkSession)), "checklist")
     counts = evidence.counts(listed)
     suspicious = clusters.groupBy("case_id").agg(F.bool_or(F.col("l") == "serrated_suspicious_mucosa").alias("suspicious"))
-    assessed = assess.assess(counts, suspicious).join(assess.report(assess.assess(counts, suspicious), assess.supporting_lines(listed, NONE)), "case_id")
+    made = assess.assess(counts, suspicious)
+    assessed = keep(made.join(assess.report(made, assess.supporting_lines(listed)), "case_id"), "assessed")
+    observed = keep(_observations(hits), "observations")
+    done_with("observe")
+    exports = cases.select("case_id").join(clusters.groupBy("case_id").agg(F.lit(0).alias("returncode")), "case_id", "left")
     found_bad = keep(audit.union([
-        audit.step_violations(steps, *full), audit.label_violations(clusters), audit.missing(cases, hits, "no_observations"), audit.support_warnings(counts)]), "violations")
+        audit.step_violations(steps, *full), audit.label_violations(clusters), audit.artifact_violations(cases, hits, assessed, listed), audit.export_violations(exports),
+        audit.support_warnings(counts)]), "violations")
     status = audit.status(cases, found_bad)
-    return Run(cases, clusters, steps, hits, listed, assessed, found_bad, status, keep(_results(cases, clusters, steps, listed, assessed, found_bad, status), "results"))
-
-
-def _results(cases, clusters, steps, listed, assessed, violations, status) -> DataFrame:
+    timings["total_runtime_ms"] = int(round((time.time() - began) * 1000))
+    results = keep(_results(cases, clusters, steps, observed, listed, counts, assessed, found_bad, status, settings, timings), "results")
+    log = keep(_log(cases, clusters, steps, observed, status, asked, started, timings), "events")
+    return Run(cases, clusters, steps, hits, listed, assessed, found_bad, status, results, log)
+
+
+def _observations(hits: DataFrame) -> DataFrame:
+    """One row a step: what was seen, why, what follows, findings and confidence."""
+    keys = ("case_id", "step_id", "ord", "review_goal", "background", "tissue", "pale", "s", "d")
+    out = evidence.step_findings(hits, *keys).na.fill("", [f"{layer}_findings" for layer in LAYERS]).na.fill(0, ["support"])
+    c, goal = F.col, F.col("review_goal")
+    mine = F.when(goal == "serrated_lesion_assessment", c("serrated_findings")).when(goal == "ssl_like_architecture_assessment", c("ssl_like_findings")).otherwise(c("dysplasia_findings"))
+    return out.select(
+        *keys, *[f"{layer}_findings" for layer in LAYERS], evidence.wording(goal, c("background")).alias("observation"), evidence.reasoning(goal).alias("reasoning"),
+        evidence.next_step(goal, c("d")).alias("next_step"), evidence.decision(goal, mine != "").alias("stage_decision"),
+        evidence.confidence(c("tissue"), c("pale"), c("support"), c("s")).alias("confidence"))
+
+
+def _log(cases, clusters, steps, observed, status, asked: Interventions, started, timings) -> DataFrame:
+    """Events of all cases as the log's readers take them, with ``seq``, their order in a case."""
+    none, now = F.lit(None).cast("string"), timeline.now_iso()
+
+    def event(rows, seq, at, state, agent, source, target, latency=None, said="ok", **payload):
+        about = F.create_map(*[x for k, v in payload.items() for x in (F.lit(k), v.cast("string"))]) if payload else F.create_map().cast("map<string,string>")
+        text = lambda v: v if not isinstance(v, str) else F.lit(v)
+        return rows.select("case_id", seq.cast("long").alias("seq"), at.alias("timestamp"), F.lit(state).alias("state"), F.lit(agent).alias("agent"), source.cast("string").alias("input_ref"),
+                           target.cast("string").alias("output_ref"), F.lit(latency).cast("long").alias("latency_ms"), text(said).alias("status"), F.map_filter(about, lambda k, v: v.isNotNull()).alias("payload"))
+
+    wanted = {k: F.lit(v) for k, v in vars(asked).items()}
+    n = clusters.groupBy("case_id").agg(F.count("*").alias("n"))
+    slide = F.col("slide_path")
+    walked = evidence.drop_stops(steps)
+    return audit.union([
+        event(cases, F.lit(0), started, "START", "Orchestrator", slide, none, **wanted),
+        event(cases.join(n, "case_id"), F.lit(1), now, "TRACE", "TraceAgent", slide, F.lit("clusters"), timings["trace_runtime_ms"], cluster_count=F.col("n")),
+        event(steps, 100 + F.col("ord"), now, "NAVIGATE", "NavigateAgent", F.col("cluster_id"), F.col("step_id"), review_goal=F.col("review_goal")),
+        event(observed.join(walked.select("case_id", "step_id"), ["case_id", "step_id"]), 200 + F.col("ord"), now, "OBSERVE", "ObserveReasonAgent", F.col("step_id"), F.col("step_id"), stage_decision=F.col("stage_decision")),
+        event(status, F.lit(1000), now, "END", "AuditAgent", none, F.lit("case_results"), 0, F.col("status"), errors=F.col("errors"), warnings=F.col("warnings")),
+    ])
+
+
+def _results(cases, clusters, steps, observed, listed, counts, assessed, violations, status, settings, timings) -> DataFrame:
     """One nested row a case, in the shape that :func:`tessera.sources.io.read_run` reads."""
     c = F.col
+    costs = metrics.cost_units(cases, clusters, evidence.drop_stops(steps), None)
+    chain = observed.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("ord", "step_id", "observation", "reasoning", "next_step", "stage_decision", "confidence", "serrated_findings", "ssl_like_findings", "dysplasia_findings"))).alias("evidence_chain"))
+    state = evidence.reasoning_state(observed).select("case_id", F.struct("supporting_evidence", "conflicts").alias("reasoning_state"))
+    sums = counts.groupBy("case_id").agg(*[F.max(F.when(c("layer") == k, c("supporting"))).alias(f"__{k}_support") for k in LAYERS])
     walked = evidence.drop_stops(steps).groupBy("case_id").agg(F.count("*").alias("n_steps"))
-    path_of = steps.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("ord", "step_id", "x", "y", "m", "review_goal", "stage_gate", "cluster_id", "action"))).alias("trajectory"))
+    path_of = steps.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("ord", "step_id", "x", "y", "m", "need_to_see", "review_goal", "stage_gate", "cluster_id", "action", F.struct((c("x_millionths") / 1e6).alias("x"), (c("y_millionths") / 1e6).alias("y")).alias("normalized_center")))).alias("trajectory"))
     regions_of = clusters.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("rank", "cluster_id", "x1", "y1", "x2", "y2", "l", "s", "d", "risk", "description"))).alias("trace_clusters"))
     entry = lambda layer: F.map_from_entries(F.collect_list(F.when(c("layer") == layer, F.struct(c("criterion"), F.struct("status", F.filter(F.split("evidence_steps", ","), lambda s: s != "").alias("evidence_steps"))))))
     share = lambda layer: metrics.four(F.count_if((c("layer") == layer) & (c("status") != "not_assessed")), F.count_if(c("layer") == layer))
@@ -85,17 +164,27 @@ def _results(cases, clusters, steps, listed, assessed, violations, status) -> Da
     bad = violations.groupBy("case_id").agg(said("warning"), said("error"))
     made = lambda n: F.struct(c(f"{n}_label").alias("label"), c(f"{n}_positive").alias("positive"), c(f"{n}_score").alias("score"))
     out = cases
-    for other in (status.select("case_id", "status"), regions_of, path_of, lists, assessed, bad, walked):
+    for other in (status.select("case_id", "status"), regions_of, path_of, lists, assessed, bad, walked, costs, chain, state, sums):
         out = out.join(other, "case_id", "left")
     none = F.array().cast("array<string>")
+    targets = {"serrated": "serrated_target", "ssl_like": "ssl_like_target", "dysplasia": "dysplasia_proxy_target"}
+    right = [F.when(c(t).isNotNull() & c(f"{k}_positive").isNotNull(), c(f"{k}_positive").cast("int") == c(t)).alias(f"{k}_proxy_correct") for k, t in targets.items()]
     return out.select(
         "case_id", "label", "status", "serrated_target", "ssl_like_target", "dysplasia_proxy_target",
         F.struct(made("serrated").alias("serrated_lesion_assessment"), made("ssl_like").alias("ssl_like_architecture_assessment"), made("dysplasia").alias("dysplasia_assessment"),
                  c("impression").alias("integrated_impression")).alias("hierarchical_prediction"),
         *names.values(), "trace_clusters", "trajectory", c("report").alias("integrated_report"),
         F.struct(F.coalesce("warnings", none).alias("warnings"), F.coalesce("errors", none).alias("errors"), F.struct(
-            F.coalesce("n_steps", F.lit(0)).alias("trajectory_length"), *[c(f"__{k}").alias(f"{k}_checklist_completeness") for k in LAYERS]).alias("metrics")).alias("audit"),
-        F.struct((F.size(F.coalesce("trace_clusters", F.array())) + F.coalesce("n_steps", F.lit(0))).cast("long").alias("estimated_case_cost_units")).alias("cost"))
+            F.size(F.coalesce("trace_clusters", F.array())).alias("trace_cluster_count"), F.coalesce("n_steps", F.lit(0)).alias("trajectory_length"),
+            F.size(F.coalesce("evidence_chain", F.array())).alias("observation_count"), *[c(f"__{k}").alias(f"{k}_checklist_completeness") for k in LAYERS], *right,
+            F.lit(settings.overlap_threshold).alias("navigate_overlap_threshold"), *[c(f"__{k}_support").alias(f"{k}_support_count") for k in LAYERS]).alias("metrics")).alias("audit"),
+        "evidence_chain", "reasoning_state", F.struct(*[F.lit(v).cast("long").alias(k) for k, v in timings.items()]).alias("timing"),
+        F.struct("estimated_case_cost_units", "trace_attempts", "observation_steps").alias("cost"))
+
+
+def batch_summary(cases: DataFrame, results: DataFrame) -> DataFrame:
+    """(case_id, outcome): completed where there is a result, else failed."""
+    return cases.select("case_id").distinct().join(results.select("case_id", F.lit("completed").alias("outcome")), "case_id", "left").na.fill("failed", ["outcome"])
 
 
 def evaluate(results: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -104,8 +193,8 @@ def evaluate(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = {"serrated": ("serrated_target", f"{p}.serrated_lesion_assessment.positive"), "ssl_like": ("ssl_like_target", f"{p}.ssl_like_architecture_assessment.positive"),
              "dysplasia_proxy": ("dysplasia_proxy_target", f"{p}.dysplasia_assessment.positive")}
     flat = results.select("case_id", "status", *[x for k, (t, q) in pairs.items() for x in (F.col(t).alias(f"{k}_t"), F.col(q).cast("int").alias(f"{k}_p"))],
-                          F.col("audit.metrics.trajectory_length").alias("trajectory_length"), F.col("cost.estimated_case_cost_units").alias("cost_units"),
+                          F.col("audit.metrics.trajectory_length").alias("trajectory_length"), F.col("cost.estimated_case_cost_units").alias("cost_units"), F.col("timing.total_runtime_ms").alias("runtime_ms"),
                           *[(F.coalesce(F.col(f"audit.metrics.{k}_checklist_completeness"), F.lit(0.0)) * 10000).cast("long").alias(f"{k}_completeness") for k in LAYERS])
-    summary = metrics.run_summary(flat, ["trajectory_length", "cost_units", *[f"{k}_completeness" for k in LAYERS]])
+    summary = metrics.run_summary(flat, ["trajectory_length", "cost_units", "runtime_ms", *[f"{k}_completeness" for k in LAYERS]])
     summary = summary.withColumns({f"avg_{k}_completeness": F.round(F.col(f"avg_{k}_completeness") / 10000, 4) for k in LAYERS})
     return summary, metrics.layer_metrics(metrics.unpivot_layers(flat, {k: (f"{k}_t", f"{k}_p") for k in pairs}, "case_id"))

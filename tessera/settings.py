@@ -30,6 +30,7 @@ KEYWORDS = {
     "mitotic_activity_atypia": ("mitotic", "atypia", "atypical"),
     "architectural_crowding": ("crowding",),
 }
+SSL_LIKE, HIGH_GRADE = ("Sessile serrated adenoma",), ("high",)
 STATUSES = ("supporting", "opposing", "uncertain", "not_assessed")
 
 
@@ -55,8 +56,14 @@ class Settings:
     regions: tuple[tuple[float, int], ...] = ((1.0, 1024), (2.5, 512), (5.0, 256))
     default_region: int = 256
     serrated_labels: tuple[str, ...] = ()
-    ssl_like_labels: tuple[str, ...] = ()
-    dysplasia_grades: tuple[str, ...] = ("high",)
+    ssl_like_labels: tuple[str, ...] = SSL_LIKE
+    dysplasia_grades: tuple[str, ...] = HIGH_GRADE
+
+    def __post_init__(self):
+        # an empty list counts as a missing one
+        for name, default in (("ssl_like_labels", SSL_LIKE), ("dysplasia_grades", HIGH_GRADE)):
+            if not getattr(self, name):
+                object.__setattr__(self, name, default)
 
 
 def env(name: str, default: str | None = None) -> str | None:

@@ -18,16 +18,19 @@ RESULT = (
     "serrated_checklist map<string,struct<status:string,evidence_steps:array<string>>>, ssl_like_crypt_checklist map<string,struct<status:string,evidence_steps:array<string>>>, "
     "dysplasia_checklist map<string,struct<status:string,evidence_steps:array<string>>>, trace_clusters array<struct<cluster_id:string>>, trajectory array<struct<step_id:string>>, "
     "audit struct<warnings:array<string>,errors:array<string>,metrics:struct<trajectory_length:long,serrated_checklist_completeness:double,ssl_like_checklist_completeness:double,dysplasia_checklist_completeness:double>>, "
-    "timing struct<total_runtime_ms:long>, cost struct<estimated_case_cost_units:long>")
+    "timing struct<total_runtime_ms:long>, cost struct<estimated_case_cost_units:long,trace_attempts:long,observation_steps:long>")
 
 
 def read_rows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A CSV with a header, every value a string. A byte-order mark is dropped.
 
-    A missing field is null and so is an unquoted empty one; a quoted empty one is "".
+    An empty field is "", quoted or not; a field that a short row doesn't have is null.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.option("header", True).option("nullValue", "\u0001").option("emptyValue", "").option("enforceSchema", False).schema(schema).csv(path)
+    schema = T.StructType([*(T.StructField(c, T.StringType()) for c in columns), T.StructField("__short", T.StringType())])
+    rows = spark.read.option("header", True).option("nullValue", "\u0001").option("emptyValue", "").option("columnNameOfCorruptRecord", "__short").schema(schema).csv(path)
+    fields = F.coalesce(F.size(F.split("__short", r',(?=(?:[^"]*"[^"]*")*[^"]*$)')), F.lit(len(columns)))
+    n = F.when(F.col("__short").isNull(), len(columns)).otherwise(fields)
+    return rows.select(*[F.when(n > i, F.coalesce(F.col(c), F.lit(""))).alias(c) for i, c in enumerate(columns)])
 
 
 def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -43,7 +46,12 @@ def read_log(spark: SparkSession, path: str, schema: str = EVENT) -> DataFrame:
 def read_run(spark: SparkSession, run_dir: str) -> DataFrame:
     """The result of each case folder that has one, with the folder's name."""
     rows = read_document(spark, f"{run_dir}/*/case_result.json", RESULT)
-    return rows.withColumn("case_dir", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/case_result\.json$", 1))
+    return rows.withColumn("case_dir", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/case_result\.json$", 1)).orderBy("case_dir")
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """Results as a run of this engine writes them: JSON lines, one a case."""
+    return spark.read.schema(RESULT).json(path)
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -110,6 +118,22 @@ def crop_name(step: Column, m: Column, size: Column) -> Column:
     return F.format_string("%s_mag%.1f_%d.png", step, m, size)
 
 
+def crop_manifest(steps: DataFrame, folder: str | Column = "") -> DataFrame:
+    """Steps with the image of their crop and what is said of it."""
+    where = F.lit(folder) if isinstance(folder, str) else folder
+    about = F.struct("cluster_id", F.col("size").alias("region_size_level0"), "review_goal", "stage_gate", "action")
+    return steps.select("case_id", "step_id", "ord", F.concat(where, crop_name(F.col("step_id"), F.col("m"), F.col("size"))).alias("image_path"), "x", "y", "m", F.col("need_to_see").alias("o"),
+                        F.col("size").alias("region_size_level0"), about.alias("metadata"))
+
+
+def write_crop_manifest(steps: DataFrame, path: str, folder: str = "") -> None:
+    """One JSON document a case: its crops in order."""
+    rows = crop_manifest(steps, folder)
+    one = F.struct("ord", *[c for c in rows.columns if c not in ("case_id", "ord")])
+    crops_of = F.transform(F.sort_array(F.collect_list(one)), lambda x: x.dropFields("ord"))
+    write_documents(rows.groupBy("case_id").agg(crops_of.alias("crops")), path)
+
+
 def encode_png(width: int, height: int, rgb: bytes) -> bytes:
     """A plain PNG of 8-bit RGB rows."""
     import struct

@@ -72,6 +72,11 @@ def rules(output) -> Provider:
     return lambda requests: requests.select("key", F.lit("ok").alias("status"), output.cast("string").alias("output"), F.lit(0).cast("long").alias("latency_ms"))
 
 
+def named(names: Sequence[str], known: dict[str, Provider]) -> list[tuple[str, Provider]]:
+    """The providers of a configured chain; an unknown name is an error before anything is asked."""
+    return [(n, known[n]) for n in names]
+
+
 def chain(requests: DataFrame, providers: Sequence[tuple[str, Provider]], keep) -> DataFrame:
     """Attempts (key, priority, provider, status, output, latency_ms) of each provider on what is still open.
 

@@ -137,8 +137,11 @@ def test_checklist_assessment_and_report(spark):
     got = {r.case_id: r for r in a.collect()}
     assert (got[1].serrated_score, got[1].ssl_like_label, got[1].ssl_like_score, got[1].dysplasia_label) == (0.3, "ssl_like_supported", 0.64, "dysplasia_indeterminate")
     assert (got[2].serrated_positive, got[2].ssl_like_label, got[2].dysplasia_score) == (False, "not_applicable_non_serrated", 0.15)
-    text = {r.case_id: r.report for r in assess.report(a, assess.supporting_lines(listed, "none")).collect()}
+    text = {r.case_id: r.report for r in assess.report(a, assess.supporting_lines(listed)).collect()}
     assert "- Supporting findings: basal_dilatation (step_01); crypt_branching (step_01); mucus_cap (step_00, step_01)" in text[1].split("\n")
+    assert "- Supporting findings: No decisive supporting item recorded." in text[2].split("\n")
+    both = spark.createDataFrame([(3, "serrated", c, "supporting", "step_00") for c in ("serrated_lesion_context", "mucus_rich_surface", "serrated_surface_pattern")], "case_id int, layer string, criterion string, status string, evidence_steps string")
+    assert assess.supporting_lines(both).first().line == "serrated_surface_pattern (step_00); mucus_rich_surface (step_00); serrated_lesion_context (step_00)"
     assert len(text[2].split("\n")) == 17
 
 
@@ -202,7 +205,10 @@ def test_masks_are_the_float_masks(spark):
 def test_csv_image_and_run_folder(spark, tmp_path):
     (tmp_path / "m.csv").write_bytes(b"\xef\xbb\xbfslide_id,slide_filename,slide_path\na,fa,/x/a.svs\nb,,/x/b.svs\n")
     rows = io.read_rows(spark, str(tmp_path / "m.csv"), ["slide_id", "slide_filename", "slide_path"]).orderBy("slide_id").collect()
-    assert [tuple(r) for r in rows] == [("a", "fa", "/x/a.svs"), ("b", None, "/x/b.svs")]
+    assert [tuple(r) for r in rows] == [("a", "fa", "/x/a.svs"), ("b", "", "/x/b.svs")]
+    (tmp_path / "s.csv").write_text('slide_id,type,grade\na,,low\nb,"x, y"\nc,"",\n')
+    rows = io.read_rows(spark, str(tmp_path / "s.csv"), ["slide_id", "type", "grade"]).orderBy("slide_id").collect()
+    assert [tuple(r) for r in rows] == [("a", "", "low"), ("b", "x, y", None), ("c", "", "")]
     assert value(spark, io.stem(F.lit("/x/y/case.one.svs"))).c0 == "case.one"
     (tmp_path / "i.png").write_bytes(io.encode_png(2, 1, bytes([10, 20, 30, 40, 50, 60])))
     got = io.read_images(spark, str(tmp_path / "i.png")).orderBy("x").collect()
@@ -267,8 +273,60 @@ def test_whole_run(spark, tmp_path):
         os.makedirs(out / k)
         (out / k / "case_result.json").write_text(done.results.filter(F.col("case_id") == k).select(F.to_json(F.struct("*")).alias("j")).first().j)
     summary, layers = plan.evaluate(io.read_run(spark, str(out)))
-    assert summary.first().fail_cases == 2
+    assert summary.first().fail_cases == 2 and summary.first().avg_runtime_ms > 0
     assert {r.layer: r.cases for r in layers.collect()} == {"serrated": 3, "ssl_like": 3, "dysplasia_proxy": 3}
+    ssl = got["case_ssl"]
+    assert ssl.timing.total_runtime_ms >= ssl.timing.trace_runtime_ms > 0 and ssl.cost.observation_steps == ssl.audit.metrics.observation_count == len(ssl.evidence_chain) > 0
+    assert ssl.audit.metrics.serrated_proxy_correct is True and ssl.reasoning_state.supporting_evidence[0].startswith("This view")
+    assert ssl.trajectory[0].need_to_see.startswith("Confirm") and got["case_hp"].trajectory[0].need_to_see.endswith("no reviewable lesion cluster was retained.")
+    io.write_documents(done.log, str(tmp_path / "root" / "events"))
+    io.write_documents(done.results, str(tmp_path / "root" / "case_results"))
+    from tessera.__main__ import replay_of_run
+
+    text = replay_of_run(spark, str(tmp_path / "root"), "case_ssl").first().replay
+    states = [x.split("] ")[1].split("/")[0] for x in text.split("\n") if x.startswith("- [")]
+    assert states[0] == "START" and states[1] == "TRACE" and states[-1] == "END" and "NAVIGATE" in states and "OBSERVE" in states and "- serrated_target: 1" in text
+    assert {r.case_id: r.outcome for r in plan.batch_summary(cases, done.results.filter("case_id <> 'case_ta'")).collect()} == {"case_ssl": "completed", "case_hp": "completed", "case_ta": "failed"}
+    plain = plan.read_cases(spark, str(tmp_path / "m.csv"), str(tmp_path / "l.csv"), Settings(serrated_labels=("HP",)))
+    assert {r.case_id: r.ssl_like_target for r in plain.collect()} == {"case_ssl": 0, "case_hp": 0, "case_ta": 0}
+    assert Settings(ssl_like_labels=()).ssl_like_labels == ("Sessile serrated adenoma",)
+
+
+def test_hints_by_mode_and_by_hand(spark):
+    from tessera.plans import run as plan
+
+    cases = spark.createDataFrame([("a",), ("b",)], "case_id string")
+    hints = spark.createDataFrame([("a", "heuristic", 1), ("a", "patho-r1", 2), ("b", "heuristic", 3)], "case_id string, mode string, hx1 int")
+    assert {(r.case_id, r.hx1) for r in plan.chosen_hints(cases, hints, None, None).collect()} == {("a", 2), ("b", 3)}
+    assert {(r.case_id, r.hx1) for r in plan.chosen_hints(cases, hints, "heuristic", None).collect()} == {("a", 1), ("b", 3)}
+    assert sorted((r.case_id, r.hx1, r.hy2) for r in plan.chosen_hints(cases, hints, None, "1,2,3,4;5,6,7,8").collect()) == [("a", 1, 4), ("a", 5, 8), ("b", 1, 4), ("b", 5, 8)]
+
+
+def test_unknown_ids_and_names_are_errors(spark):
+    steps = spark.createDataFrame([(1, "step_00", "k", "inspect", "g")], "case_id int, step_id string, cluster_id string, action string, review_goal string")
+    about = spark.createDataFrame([(1, "k", "l", 2, True, 3)], "case_id int, cluster_id string, l string, s int, d boolean, risk int")
+    crops = lambda s: spark.createDataFrame([(1, s, 5)], "case_id int, step_id string, tissue int")
+    assert evidence.observed(steps, crops("step_00"), about).first().risk == 3
+    with pytest.raises(Exception, match="no step step_09"):
+        evidence.observed(steps, crops("step_09"), about).collect()
+    found = spark.createDataFrame([(1, "cluster_00", 0, 0, 1, 1, 4)], "case_id int, cluster_id string, x1 int, y1 int, x2 int, y2 int, cell_count int")
+    answers = lambda k: spark.createDataFrame([(1, k, 2)], "case_id int, cluster_id string, s int")
+    assert regions.annotated(found, answers("cluster_00")).first().s == 2
+    with pytest.raises(Exception, match="no proposal cluster_07"):
+        regions.annotated(found, answers("cluster_07")).collect()
+    failed = spark.createDataFrame([(1, 0, "a", "error", None)], "k int, priority int, provider string, status string, output string")
+    with pytest.raises(Exception, match="all providers failed: a:error"):
+        memo.first_success(failed, "k", strict=True).collect()
+    with pytest.raises(KeyError):
+        providers.named(["rules", "nobody"], {"rules": None})
+
+
+def test_crop_manifest(spark, tmp_path):
+    steps = spark.createDataFrame([(1, 1, "step_01", 5, 6, 2.5, 512, "k", "g", "level_2", "inspect", "see"), (1, 0, "step_00", 3, 4, 1.0, 1024, "k", "g", "level_1", "inspect", "look")],
+                                  "case_id int, ord int, step_id string, x int, y int, m double, size int, cluster_id string, review_goal string, stage_gate string, action string, need_to_see string")
+    io.write_crop_manifest(steps, str(tmp_path / "c"), "crops/")
+    crops = json.loads(spark.read.text(str(tmp_path / "c")).first().value)["crops"]
+    assert [c["image_path"] for c in crops] == ["crops/step_00_mag1.0_1024.png", "crops/step_01_mag2.5_512.png"] and crops[1]["o"] == "see" and crops[0]["metadata"]["cluster_id"] == "k"
 
 
 def test_stream_of_events(spark, tmp_path):
