@@ -3,9 +3,11 @@
 A fingerprint of 64 bits has 32 segments of two bits. The bit counts of the
 segments embed it in a grid, where the Manhattan distance of two points never
 exceeds the Hamming distance of the fingerprints. The segments form seven
-groups; at a distance of four or less at least three groups agree in all their
-counts, so a join on the 35 triples of groups finds every pair, and the exact
-distance settles it.
+groups or more; at a distance of four or less all but four groups agree in all
+their counts, so a join on those sets of groups (35 for seven) finds every pair
+whose bound allows it, and the exact distance settles it. More groups make
+narrower cells, at more rows a fingerprint; their number follows from that of
+the fingerprints, and every number finds the same pairs.
 
 A cell with very many different fingerprints would cost the square of its
 size. Its fingerprints meet at midpoints instead: two lie within four bits
@@ -16,7 +18,9 @@ through it. That is linear in the cell.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,8 @@ from .components import components
 SHINGLE = 4
 DISTANCE = 4
 SEED = 42
-GROUPS = 7
+#: Groups of segments for up to so many fingerprints: at random ones an equal share of pairs meets.
+GROUPS = ((2_000_000, 7), (100_000_000, 8), (1 << 62, 9))
 #: Pairs are compared in cells of up to this many fingerprints; larger cells go by midpoints.
 CELL = 1_000
 _PAIRS = 0x5555555555555555
@@ -66,11 +71,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_fingerprints(["doc_id"]), f"doc_id {kind}, fp long")
 
 
-def _group_masks() -> list[int]:
+def _group_masks(groups: int) -> list[int]:
     """Per group the bits of its segments' counts; segments go round the groups."""
-    masks = [0] * GROUPS
+    masks = [0] * groups
     for s in range(32):
-        masks[s % GROUPS] |= 3 << (2 * s)
+        masks[s % groups] |= 3 << (2 * s)
     return masks
 
 
@@ -78,12 +83,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def cells(distinct: DataFrame) -> DataFrame:
-    """(fp, cell) for each triple of groups."""
+def cells(distinct: DataFrame, groups: int) -> DataFrame:
+    """(fp, cell) for each set of groups that may agree."""
     low, high = F.col("fp").bitwiseAND(F.lit(_PAIRS)), F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(_PAIRS))
     # two-bit counts of all segments at once
     counts = F.shiftleft(low.bitwiseAND(high), 1).bitwiseOR(low.bitwiseXOR(high))
-    masks = [_signed(a | b | c) for a, b, c in combinations(_group_masks(), GROUPS - DISTANCE)]
+    masks = [_signed(reduce(or_, some)) for some in combinations(_group_masks(groups), groups - DISTANCE)]
     keys = F.array(*[F.struct(F.lit(i).cast("short").alias("i"), F.col("__counts").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks)])
     return distinct.withColumn("__counts", counts).select("fp", F.explode(keys).alias("k")).select("fp", F.col("k.i").alias("i"), F.col("k.v").alias("v"))
 
@@ -100,14 +105,17 @@ def _midpoints(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part, len(flips))), pa.array(mid.ravel())], ["fp", "mid"])
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, groups: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints that join all that lie within DISTANCE bits.
 
     Ordinary cells give all their pairs. Of those that share a midpoint, and so
     lie within DISTANCE bits of each other, each links to the least: a star
     connects what the pairs would.
     """
-    placed = staged(cells(distinct), "cells")
+    if groups is None:
+        n = distinct.count()
+        groups = next(g for most, g in GROUPS if n <= most)
+    placed = staged(cells(distinct, groups), "cells")
     crowded = placed.groupBy("i", "v").count().filter(F.col("count") > CELL).drop("count")
     crowded = staged(crowded, "crowded")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE

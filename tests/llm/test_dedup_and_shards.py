@@ -157,9 +157,10 @@ def test_simhash_against_all_pairs(spark, small, cell, monkeypatch):
     assert got == {ids[i]: (f"{fps[i]:016x}", want[i]) for i in range(len(ids))}
 
 
-def test_simhash_links_of_planted_fingerprints(spark, monkeypatch):
+@pytest.mark.parametrize("groups", [7, 8, 9])
+def test_simhash_links_of_planted_fingerprints(spark, monkeypatch, groups):
     """A chain of fingerprints four bits apart is one component, whatever cell it lies in."""
-    monkeypatch.setattr(simhash, "CELL", 5)
+    monkeypatch.setattr(simhash, "CELL", 5 if groups == 7 else 1000)
     rng = np.random.default_rng(3)
     fps = []
     for _ in range(6):
@@ -169,7 +170,7 @@ def test_simhash_links_of_planted_fingerprints(spark, monkeypatch):
             for b in rng.choice(64, int(rng.integers(1, 5)), replace=False):
                 x ^= 1 << int(b)
     df = spark.createDataFrame([(simhash._signed(x),) for x in set(fps)], "fp long")
-    labels = {r.node & (2**64 - 1): r.label for r in components.components(simhash.links(df)).collect()}
+    labels = {r.node & (2**64 - 1): r.label for r in components.components(simhash.links(df, groups)).collect()}
     every = sorted(set(fps))
     want = brute_components(list(range(len(every))), every)
     groups = defaultdict(set)

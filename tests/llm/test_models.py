@@ -310,3 +310,31 @@ def test_pipeline_against_its_parts(spark, small, texts):
     assert Counter((r.doc_id, tuple(r.ids)) for r in got) == Counter((r.doc_id, tuple(v.encode([r.text])[0].tolist())) for r in left.collect())
     norm = Counter(re.sub(r"[\x20\x09-\x0D]+", " ", x) for k, x in {r.doc_id: r.text for r in left.collect()}.items())
     assert max(norm.values()) == 1
+
+
+def test_pipeline_stages_on_odd_rows(spark, small):
+    """Nulls, repeated and missing ids, long texts, extra columns with the operators' names; and no rows at all."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    base = docs.filter("lang = 'en' AND n_chars > 400").limit(2).collect()
+    a, b = base[0].text, base[1].text
+    rows = [(900_001, None), (900_002, ""), (900_003, " \n"), (900_004, a), (900_004, b), (None, a + " and more"), (None, " ".join(np.random.default_rng(2).permutation(a.split()))), (900_005, b.replace(" ", "  ")), (900_006, " ".join(np.random.default_rng(1).permutation(b.split() * 200)))]
+    odd = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], SCHEMA)
+    both = docs.unionByName(odd)
+    for name in ("score", "keep_id", "kept", "copy", "size", "label", "node", "exact"):
+        both = both.withColumn(name, F.lit("x"))
+    now = both
+    seen = {}
+    for name, stage in p.STAGES[:-1]:
+        now = stage(spark, now, small).cache()
+        assert now.columns == both.columns and now.select("score", "label").distinct().collect() == [("x", "x")]
+        seen[name] = Counter((r.doc_id, r.text) for r in now.filter("doc_id IS NULL OR doc_id > 900000").collect())
+    assert {k for k, _ in seen["language"]} == {900_004, 900_005, 900_006, None}
+    assert (900_004, b) not in seen["exact_dedup"] and (900_005, b.replace(" ", "  ")) not in seen["exact_dedup"]  # copies of rows of less id
+    assert (None, a + " and more") not in seen["near_dedup"] and (None, rows[6][1]) in seen["near_dedup"] and (900_006, rows[8][1]) in seen["near_dedup"]
+    assert all(n == 1 for n in seen["near_dedup"].values())
+    done = p.STAGES[-1][1](spark, now, small)
+    assert done.count() == now.count() and done.filter("exact").count() == done.count()
+    for _, stage in p.STAGES:
+        assert stage(spark, both.limit(0), small).count() == 0
