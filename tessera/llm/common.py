@@ -129,6 +129,23 @@ def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Staged tables that an operator needs only until its result is written."""
+
+    def __init__(self):
+        self.paths = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        held, path = staged_at(df, name)
+        self.paths.append((df.sparkSession, path))
+        return held
+
+    def clear(self) -> None:
+        for spark, path in self.paths:
+            discard(spark, path)
+        self.paths = []
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a staged table that nothing will read again."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

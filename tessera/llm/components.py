@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, group_facts, salt_of, staged
+from .common import Scratch, attach, group_facts, salt_of, staged
 
 
 def _least_neighbour(sides: DataFrame) -> DataFrame:
@@ -20,22 +20,30 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large-star and small-star steps in turn: neighbours move to the least of
     them until every component is a star. The number of steps grows with the
-    logarithm of a component's size. Each step is written to the shared folder.
+    logarithm of a component's size. Each step is written to the shared folder,
+    and removed once the next but one is.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    edges = staged(edges, "links")
+    now, before = Scratch(), Scratch()
+    edges = now.keep(edges, "links")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least_neighbour(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = staged(large, "large")
+        large = now.keep(large, "large")
         small = _least_neighbour(large)  # all v are below u here
         small = small.select("u", "v", "m")
         moved = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        moved = staged(moved.filter("u <> v").distinct(), "small")
+        after = Scratch()
+        moved = after.keep(moved.filter("u <> v").distinct(), "small")
         # a fixed point is a set of stars: no step changes it
         changed = moved.exceptAll(edges).isEmpty() and edges.exceptAll(moved).isEmpty()
         edges = moved
+        before.clear()
+        now, before = after, now
         if changed:
             break
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("label", F.col("node"))
-    return staged(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots), "components")
+    found = staged(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots), "components")
+    now.clear()
+    before.clear()
+    return found

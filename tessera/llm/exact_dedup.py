@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, attach, group_facts, partitions, read_table, salt_of, staged
@@ -106,12 +106,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def settle(rows: DataFrame) -> DataFrame:
-    """Rows of :func:`keyed` (doc_id, text_sha256 and any others) with keep_id, group_size and kept.
-
-    They are written once, with a number each, so texts are read and hashed once.
-    """
+    """Rows of :func:`keyed` (doc_id, text_sha256 and any others) with keep_id, group_size and kept."""
     spark, names = rows.sparkSession, rows.columns
-    rows = staged(rows.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__key", F.xxhash64("text_sha256")), "keyed")
+    rows = rows.withColumn("__key", F.xxhash64("text_sha256"))
     bits = repeated_filter(rows.select("__key"), rows.count())
     shared = spark.sparkContext.broadcast(bits)
 
@@ -129,17 +126,27 @@ def settle(rows: DataFrame) -> DataFrame:
         .withColumn("group_size", F.lit(1).cast("long"))
         .withColumn("kept", F.lit(True))
     )
-    again = flagged.filter("__again").withColumn("__salt", salt_of("__rid"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__rid")).alias("__first")
-    facts = group_facts(again.select("text_sha256", "__salt", "doc_id", "__rid"), "text_sha256", "__salt", [first, F.count("*").alias("group_size")])
-    settled = attach(again, facts, "text_sha256", "__salt").withColumn("keep_id", F.col("__first.doc_id")).withColumn("kept", F.col("__rid") == F.col("__first.__rid"))
+    again = flagged.filter("__again").withColumn("__salt", salt_of("doc_id"))
+    # by id first, so that a group's facts also tell how many rows bear its least id
+    each = again.groupBy("text_sha256", "doc_id", "__salt").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n"))
+    facts = staged(group_facts(each, "text_sha256", "__salt", [first.alias("__first"), F.sum("n").alias("group_size")]), "facts")
+    settled = attach(again, facts, "text_sha256", "__salt").withColumn("keep_id", F.col("__first.doc_id"))
+    mine = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    tied = mine & (F.col("__first.n") > 1)
     names = [*names, "keep_id", "group_size", "kept"]
-    return through.select(names).unionByName(settled.select(names))
+    out = through.select(names)
+    if facts.filter("__first.n > 1").isEmpty():
+        return out.unionByName(settled.withColumn("kept", mine).select(names))
+    # rows that repeat both the text and its least id: the first of them stays
+    place = F.row_number().over(Window.partitionBy("text_sha256").orderBy("doc_id"))
+    out = out.unionByName(settled.filter(~tied).withColumn("kept", mine).select(names))
+    return out.unionByName(settled.filter(tied).withColumn("kept", place == 1).select(names))
 
 
 def op2_exact_dedup(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return settle(keyed(docs).drop("text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return settle(staged(keyed(docs).drop("text"), "keyed")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP2_SQL = r"""
