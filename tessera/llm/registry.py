@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, hilbert, language, mixing, pieces, pitman_yor, quality, simhash, surrogates, token_store
+from . import codes, exact_dedup, hilbert, language, mixing, packing, pieces, pitman_yor, quality, simhash, surrogates, token_store, variants
 
 
 def queries():
@@ -17,8 +17,11 @@ def queries():
         "op8_mix_to_weights": mixing.op8_mix_to_weights,
         "op9_surrogates": surrogates.op9_surrogates,
         "op10_pieces": pieces.op10_pieces,
+        "op11_spelling_variants": variants.op11_spelling_variants,
+        "op12_cost_balanced_packing": packing.op12_cost_balanced_packing,
+        "op13_vector_codes": codes.op13_vector_codes,
     }
 
 
 def oracle_sql():
-    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op8_mix_to_weights": mixing.OP8_SQL}
+    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op8_mix_to_weights": mixing.OP8_SQL, "op11_spelling_variants": variants.OP11_SQL, "op13_vector_codes": codes.OP13_SQL}
