@@ -16,6 +16,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,32 +25,51 @@ from .common import Memo, partitions, read_table, slices, staged
 END, CAPACITY, WIDTH = 1, 2048, 1024
 #: Pieces of a group on average; a group is packed at once.
 GROUP = 1024
-#: Encoded pre-tokens that a Python worker remembers, in each of two generations.
-MEMO = 500_000
+#: Encoded words that a Python worker remembers, in each of two generations, and half as many pre-tokens.
+MEMO = 600_000
 #: Code points below this are cut by the pattern here if it cuts them as the tokenizer does; texts with others go through the tokenizer.
 KNOWN = 0x3000
 #: Between pre-tokens on their way to the model; no byte of theirs maps to it.
 _GAP = "Ȁ"
+#: What makes a text of the first 256 code points uneven: spaces that meet, and spaces of other kinds at all.
+_UNEVEN = ("  ", "\n ", " \n", "\n\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0")
 _held: dict[str, ByteEncoder] = {}
 
 
+def _latin(text: str) -> bool:
+    """Are all code points among the first 256?"""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class ByteEncoder:
     """Ids of whole texts by a byte-level tokenizer: texts are cut as it cuts them, and each pre-token is encoded once.
 
-    A text with a special token's name, or with a code point that the pattern may class otherwise, goes through the tokenizer whole.
+    A space before a word always begins a pre-token, and a line end between words, or one of two, is one. So a text
+    is split at both, and a word's ids are remembered with the space or line end before it; a text where spaces meet
+    otherwise is cut by the pattern. A text with a special token's name, or with a code point that the pattern may
+    class otherwise, goes through the tokenizer whole.
     """
 
     #: Fixed value: how the byte-level pre-tokenizer cuts a text.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str):
+        import re
+
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cut = regex.compile(self.PATTERN).findall
-        self.memo = Memo(self._encoded, MEMO)
+        self.memo, self.words = Memo(self._encoded, MEMO // 2), Memo(self._words, MEMO)
+        self.meet = re.compile(r"\s[^\S\n]|[^\S\n]\n|\n\n\n|\s\Z").search
         spec = json.loads(self.tokenizer.to_str())
         pre = spec["pre_tokenizer"] or {}
         #: Does the tokenizer cut as PATTERN does, and leave texts as they are?
@@ -61,19 +81,23 @@ class ByteEncoder:
         for c in sorted(letter):
             if any([t[1] for t in whole(f"{x}{c}{x}")] != self._spans(f"{x}{c}{x}") for x in "a1!"):
                 letter.discard(c)
-        odd = [regex.escape(s) for s in special]
-        if letter:
-            runs, codes = [], sorted(map(ord, letter))
-            for c in codes:
-                if runs and runs[-1][1] == c - 1:
-                    runs[-1][1] = c
-                else:
-                    runs.append([c, c])
-            odd.append("[^" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
-        self.odd = regex.compile("|".join(odd)).search if self.plain else lambda t: True
+        runs = []
+        for c in sorted(map(ord, letter)):
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+        self.special = special
+        #: Are all of the first 256 code points cut alike?
+        self.low = set(map(chr, range(256))) <= letter
+        self.strange = re.compile("[^" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]").search if runs else None
         # the byte-level alphabet: printable Latin-1 stands for itself, the rest for 256 and on
         seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in seen)} | {ord(_GAP): " "}
+        self.space = self.alphabet[32]
+        vocab = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)
+        self.begins[[i for t, i in vocab.items() if t.startswith(self.space)]] = True
         self.bare = Tokenizer(self.tokenizer.model)
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
 
@@ -89,23 +113,81 @@ class ByteEncoder:
 
     def _encoded(self, found: list[str]) -> list[bytes]:
         """Ids of pre-tokens, by the model alone."""
-        out, w = [], self.kind.itemsize
+        out = []
         for a in range(0, len(found), 4_000):
-            text = _GAP.join([t.encode().decode("latin-1") for t in found[a:a + 4_000]]).translate(self.alphabet)
-            one = self.bare.encode(text, add_special_tokens=False)  # the fast call knows no word ids
-            raw, at = np.array(one.ids, self.kind).tobytes(), np.array(one.word_ids)
-            ends = [*((np.flatnonzero(at[1:] != at[:-1]) + 1) * w).tolist(), len(raw)]
-            out += [raw[x:y] for x, y in zip([0, *ends], ends)]
+            out += self._mapped(_GAP.join([t.encode().decode("latin-1") for t in found[a:a + 4_000]]).translate(self.alphabet))
         return out
 
+    def _mapped(self, text: str) -> list[bytes]:
+        """Ids of pre-tokens that are in the byte-level alphabet already, with spaces between them."""
+        one = self.bare.encode(text, add_special_tokens=False)  # the fast call knows no word ids
+        at = np.array(one.word_ids)
+        return self._parted(one.ids, np.flatnonzero(at[1:] != at[:-1]) + 1)
+
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of words of plain letters, each with a space before it: the one token that begins with a space begins a word."""
+        ids = self.bare.encode_batch_fast([self.space + f" {self.space}".join(words)], add_special_tokens=False)[0].ids
+        return self._parted(ids, np.flatnonzero(self.begins[ids])[1:])
+
+    def _parted(self, ids: list[int], ends: np.ndarray) -> list[bytes]:
+        raw, w = np.array(ids, self.kind).tobytes(), self.kind.itemsize
+        ends = [*(ends * w).tolist(), len(raw)]
+        return [raw[x:y] for x, y in zip([0, *ends], ends)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each with the space or line end before it, or none where it begins with NUL. Letters alone are one pre-token; the others are cut together."""
+        out: list[bytes] = [b""] * len(words)
+        alone, cut, lines = [], [], []
+        for i, w in enumerate(words):
+            (alone if w.isascii() and w.isalpha() else lines if w[:1] in ("\n", "\0") else cut).append(i)
+        for a in range(0, len(alone), 4_000):
+            part = alone[a:a + 4_000]
+            for i, x in zip(part, self._spaced([words[i] for i in part])):
+                out[i] = x
+        if cut:
+            found = self.cut("".join([f" {words[i]}\n" for i in cut]))
+            held = self.memo.hold(set(found))
+            parts, at = [], iter(cut)
+            for t in found:
+                if t == "\n":
+                    out[next(at)] = b"".join(parts)
+                    parts = []
+                else:
+                    parts.append(held[t])
+        for i, found in zip(lines, self.memo.values([self.cut(words[i].removeprefix("\0")) for i in lines])):
+            out[i] = b"".join(found)
+        return out
+
+    def odd(self, text: str) -> bool:
+        """Must the tokenizer itself see the whole text?"""
+        if not self.plain or any(s in text for s in self.special):
+            return True
+        return not (self.low and _latin(text)) and self.strange(text) is not None
+
+    def uneven(self, text: str) -> bool:
+        """Do spaces meet other than as two line ends, or end the text?"""
+        if _latin(text):
+            return text[-1:].isspace() or any(s in text for s in _UNEVEN)
+        return self.meet(text) is not None
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, ``kind`` each."""
-        plain = [i for i, t in enumerate(texts) if t and not self.odd(t)]
-        out = [b""] * len(texts)
-        for i, parts in zip(plain, self.memo.values([self.cut(texts[i]) for i in plain])):
-            out[i] = b"".join(parts)
-        rest = sorted({i for i, t in enumerate(texts) if t}.difference(plain))
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False) if rest else ()):
+        out, whole, cut, split = [b""] * len(texts), [], [], []
+        for i, t in enumerate(texts):
+            if t:
+                (whole if self.odd(t) else cut if "\0" in t or self.uneven(t) else split).append(i)
+        # Arrow numbers the words, each different one is looked up once, and Arrow puts their ids in the words' places
+        words = pc.split_pattern(pa.array(["\0" + texts[i].replace("\n", " \n") for i in split], pa.large_string()), " ")
+        numbered = words.values.dictionary_encode()
+        ids = pa.array(self.words.values([numbered.dictionary.to_pylist()])[0], pa.large_binary()).take(numbered.indices)
+        if split:
+            _, at, raw = ids.buffers()
+            ends = np.frombuffer(at, np.int64)[words.offsets.to_numpy()].tolist()
+            for i, x, y in zip(split, ends, ends[1:]):
+                out[i] = raw[x:y].to_pybytes()
+        for i, found in zip(cut, self.memo.values([self.cut(texts[i]) for i in cut])):
+            out[i] = b"".join(found)
+        for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False) if whole else ()):
             out[i] = np.array(e.ids, self.kind).tobytes()
         return out
 

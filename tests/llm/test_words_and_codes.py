@@ -68,6 +68,8 @@ def test_encoder_is_the_tokenizer():
     assert made.plain
     some = ["a", "B", " ", "  ", "\n", "\t", "\r\n", "1", "23", "'s", "'", "é", "ß", "İ", "\x00", "\x1c", "\x85", "\xa0", " ", "　", "漢字", "🙂", "٣", "²", "_", "...", "<|endoftext|>", "ʼn", "а", "​", "́"]
     texts = ["", *("".join(rnd.choice(some) for _ in range(rnd.randint(1, 12))) for _ in range(3_000))]
+    texts += ["".join(rnd.choice(["a", "b'", "1", " ", "\n"]) for _ in range(rnd.randint(1, 9))) for _ in range(3_000)]
+    assert sum(not made.uneven(t) for t in texts) > 1_000
     for t, ids in zip(texts, made.encode(texts)):
         assert np.frombuffer(ids, made.kind).tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
