@@ -129,6 +129,14 @@ def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> tuple[DataFrame, str]:
+    """``df`` written in buckets of ``key`` and read back, with the path: joins on ``key`` move the other side alone."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    n, table = partitions(spark), f"tessera_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(table)
+    return spark.table(table), path
+
+
 class Scratch:
     """Staged tables that an operator needs only until its result is written."""
 
