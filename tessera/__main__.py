@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from .operators import labels, timeline
 from .plans import run as plan
 from .settings import load
-from .sources import io
+from .sources import io, providers
+from .sources.store import Store
+
+#: Providers that a runtime file's chains may name; a program adds its own before it calls main().
+PROVIDERS: dict[str, providers.Provider] = {}
 
 
 def _keep(root: str):
@@ -34,9 +38,11 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--output-root", required=True)
         if name != "build-pilot":
             for table in ("pixels", "hints", "crops"):
-                p.add_argument(f"--{table}", required=True, help="Parquet path")
-            p.add_argument("--thumb", type=int, nargs=2, default=(2048, 2048))
-            p.add_argument("--full", type=int, nargs=2, required=True)
+                p.add_argument(f"--{table}", required=table != "hints", help="Parquet path")
+            p.add_argument("--thumb", type=int, nargs=2, help="size of thumbnails whose case and hints have none")
+            p.add_argument("--full", type=int, nargs=2, help="size of full images whose case and hints have none")
+            p.add_argument("--selector", help="selector outputs (JSON, a file a case) in the place of --hints")
+            p.add_argument("--store", help="folder with providers' answers of earlier runs")
         if name == "run-batch":
             p.add_argument("--limit", type=int)
         if name != "build-pilot":
@@ -83,12 +89,15 @@ def main(argv: list[str] | None = None) -> None:
         if a.what == "run-batch" and a.limit is not None:
             n = a.limit if a.limit >= 0 else max(0, cases.count() + a.limit)
             cases = cases.orderBy("seq").limit(n)
-        tables = [spark.read.parquet(x) for x in (a.pixels, a.hints, a.crops)]
+        pixels, crops = (spark.read.parquet(x) for x in (a.pixels, a.crops))
+        hints = io.read_hints(spark, a.selector) if a.selector else spark.read.parquet(a.hints)
         asked = plan.Interventions(a.override_box_thumb, a.force_zoom, a.early_stop_after, a.operator_note) if a.what == "run-case" else plan.Interventions()
-        done = plan.run(cases, *tables, settings, tuple(a.thumb), tuple(a.full), _keep(f"{a.output_root}/tables"), a.trace_mode, asked)
+        backends = {stage: providers.named(names, PROVIDERS) for stage, names in settings.chains}
+        done = plan.run(cases, pixels, hints, crops, settings, a.thumb and tuple(a.thumb), a.full and tuple(a.full), _keep(f"{a.output_root}/tables"), a.trace_mode, asked, backends, Store(spark, a.store) if a.store else None)
         io.write_documents(done.results, f"{a.output_root}/case_results")
         io.write_documents(done.log, f"{a.output_root}/events")
-        io.write_documents(plan.batch_summary(cases, done.results), f"{a.output_root}/batch_summary")
+        io.write_documents(done.attempts, f"{a.output_root}/attempts")
+        io.write_documents(plan.batch_summary(done), f"{a.output_root}/batch_summary")
         io.write_crop_manifest(done.steps.filter("action <> 'stop'"), f"{a.output_root}/crop_manifest", "crops/")
         io.write_predictions(done.results, f"{a.output_root}/case_predictions")
     elif a.what == "replay-case":

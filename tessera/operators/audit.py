@@ -28,10 +28,11 @@ def early_gate(steps: DataFrame, case: str = "case_id", group: str = "cluster_id
     return steps.filter(F.col(group).isNotNull()).withColumn("__seen", seen).filter((F.col(gate) == late) & (F.col("__seen") == 0)).drop("__seen")
 
 
-def step_violations(steps: DataFrame, width: int, height: int, case: str = "case_id") -> DataFrame:
+def step_violations(steps: DataFrame, width: int | str, height: int | str, case: str = "case_id") -> DataFrame:
+    """``width`` and ``height`` are numbers, or columns of ``steps`` with the size of each case's image."""
     steps = drop_stops(steps)
     c, ref = F.col, F.col("step_id")
-    outside = ~(c("x").between(0, width) & c("y").between(0, height))
+    outside = ~(c("x").between(0, F.expr(str(width))) & c("y").between(0, F.expr(str(height))))
     empty = lambda n: F.coalesce(c(n), F.lit("")) == ""
     rules = [
         rule(steps, outside, "error", "step_out_of_bounds", ref, case), rule(steps, ~c("m").between(1.0, 5.0), "error", "magnification_invalid", ref, case),

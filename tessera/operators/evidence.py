@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import KEYWORDS, LAYERS, STRUCTURAL, Settings
+from . import faults
 
 LAYER_OF = {c: layer for layer, names in LAYERS.items() for c in names}
 
@@ -15,12 +16,21 @@ def drop_stops(steps: DataFrame) -> DataFrame:
     return steps.filter(~F.col("action").eqNullSafe("stop"))
 
 
-def observed(steps: DataFrame, crops: DataFrame, regions: DataFrame, case: str = "case_id") -> DataFrame:
-    """Crops with their step and region; a crop without a region has priority 0, one of an unknown step is an error."""
+def unknown_steps(steps: DataFrame, crops: DataFrame, case: str = "case_id") -> DataFrame:
+    """Faults of crops whose step is not among ``steps``."""
+    left = crops.join(drop_stops(steps).select(case, "step_id"), [case, "step_id"], "left_anti")
+    return faults.fault(left, F.lit(True), "observe", F.concat(F.lit("no step "), F.coalesce("step_id", F.lit("None"))), case)
+
+
+def observed(steps: DataFrame, crops: DataFrame, regions: DataFrame, case: str = "case_id", strict: bool = True) -> DataFrame:
+    """Crops with their step and region; a crop without a region has priority 0.
+
+    One of an unknown step is an error; without ``strict`` it is left out (:func:`unknown_steps` finds it).
+    """
     about = regions.select(case, "cluster_id", "l", "s", "d", "risk")
     known = drop_stops(steps).withColumn("__known", F.lit(True))
     unknown = F.raise_error(F.concat(F.lit("no step "), F.col("step_id"))).cast("string")
-    found = crops.join(known, [case, "step_id"], "left").withColumn("step_id", F.when(F.col("__known"), F.col("step_id")).otherwise(unknown)).drop("__known")
+    found = crops.join(known, [case, "step_id"], "left" if strict else "inner").withColumn("step_id", F.when(F.col("__known"), F.col("step_id")).otherwise(unknown)).drop("__known")
     out = found.join(about, [case, "cluster_id"], "left")
     return out.withColumn("s", F.coalesce("s", F.lit(0))).withColumn("risk", F.coalesce("risk", "s"))
 
@@ -194,8 +204,10 @@ def checklist(cases: DataFrame, merged: DataFrame, criteria: DataFrame, case: st
         case, "layer", "criterion", F.coalesce("status", F.lit("not_assessed")).alias("status"), F.coalesce("evidence_steps", F.lit("")).alias("evidence_steps"))
 
 
-def criteria(spark) -> DataFrame:
-    return spark.createDataFrame([(layer, c) for c, layer in LAYER_OF.items()], "layer string, criterion string")
+def criteria(spark, settings: Settings | None = None) -> DataFrame:
+    """(layer, criterion) of the settings."""
+    layers = dict(settings.layers) if settings else LAYERS
+    return spark.createDataFrame([(layer, c) for layer, names in layers.items() for c in names], "layer string, criterion string")
 
 
 def counts(listed: DataFrame, case: str = "case_id", structural=STRUCTURAL) -> DataFrame:

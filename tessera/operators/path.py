@@ -24,7 +24,7 @@ NOTHING_TO_SEE = "Stop navigation because no reviewable lesion cluster was retai
 END_GOAL, END_GATE = "integrated_impression", "end"
 
 
-def trajectory(regions: DataFrame, width: int, height: int, settings: Settings, case: str = "case_id") -> DataFrame:
+def trajectory(regions: DataFrame, width: int | str, height: int | str, settings: Settings, case: str = "case_id") -> DataFrame:
     """Steps (case, step_id, x, y, m, review_goal, stage_gate, size, cluster_id, action, need_to_see, x and y in millionths) of each case.
 
     Regions (cluster_id, x1..y2 on the full image, l, s, d) are walked by
@@ -32,10 +32,11 @@ def trajectory(regions: DataFrame, width: int, height: int, settings: Settings,
     magnification is passed over: its own window as planned against kept ones as
     moved inside the image. A stop step follows; it is all there is where no
     region can be reviewed. A case has few regions, so its fold is bounded.
+    ``width`` and ``height`` are numbers, or columns of ``regions`` with the size of each case's image.
     """
-    sizes = dict(settings.regions)
+    spans = dict(settings.regions)
     specs = [
-        F.struct(F.lit(i).alias("k"), F.lit(m).alias("m"), F.lit(goal).alias("goal"), F.lit(gate).alias("gate"), F.lit(sizes.get(m, settings.default_region)).alias("size"))
+        F.struct(F.lit(i).alias("k"), F.lit(m).alias("m"), F.lit(goal).alias("goal"), F.lit(gate).alias("gate"), F.lit(spans.get(m, settings.default_region)).alias("size"))
         for i, (m, goal, gate) in enumerate(GOALS)
     ]
     cx = F.bround((F.col("x1") + F.col("x2")) / 2.0).cast("int")
@@ -49,7 +50,8 @@ def trajectory(regions: DataFrame, width: int, height: int, settings: Settings,
     entry = F.struct(F.col("s").cast("int").alias("s"), F.col("cluster_id"), (-F.col("__e.k")).alias("nk"), F.col("__cx").alias("cx"), F.col("__cy").alias("cy"),
                      F.col("__e.m").alias("m"), F.col("__e.goal").alias("goal"), F.col("__e.gate").alias("gate"), F.col("__e.size").alias("size"))
     lists = wanted.groupBy(case).agg(F.reverse(F.sort_array(F.collect_list(entry))).alias("__w"))
-    everyone = regions.select(case).distinct().join(lists, case, "left")
+    sizes = [v for v in (width, height) if isinstance(v, str)]
+    everyone = regions.select(case, *sizes).distinct().join(lists, case, "left")
     kept = "array<struct<x:int,y:int,m:double,goal:string,gate:string,size:int,cluster_id:string>>"
     t = settings.overlap_threshold
     half = "(e.size div 2)"
@@ -65,7 +67,7 @@ def trajectory(regions: DataFrame, width: int, height: int, settings: Settings,
     steps = everyone.withColumn("__k", F.coalesce(F.expr(fold), F.expr(f"CAST(array() AS {kept})")))
     stop = (f"named_struct('x', coalesce(try_element_at(__k, -1).x, 0), 'y', coalesce(try_element_at(__k, -1).y, 0), 'm', 1.0D, 'goal', '{END_GOAL}', "
             f"'gate', '{END_GATE}', 'size', 256, 'cluster_id', CAST(NULL AS STRING))")
-    each = steps.select(case, F.posexplode(F.expr(f"concat(__k, array({stop}))")).alias("ord", "e"))
+    each = steps.select(case, *sizes, F.posexplode(F.expr(f"concat(__k, array({stop}))")).alias("ord", "e"))
     need = F.when((F.col("e.gate") == END_GATE) & (F.col("ord") == 0), NOTHING_TO_SEE)
     for gate, text in NEEDS.items():
         need = need.when(F.col("e.gate") == gate, text)
@@ -73,4 +75,4 @@ def trajectory(regions: DataFrame, width: int, height: int, settings: Settings,
         case, "ord", F.format_string("step_%02d", F.col("ord")).alias("step_id"), "e.x", "e.y", "e.m", F.col("e.goal").alias("review_goal"),
         F.col("e.gate").alias("stage_gate"), "e.size", "e.cluster_id",
         F.when(F.col("e.gate") == END_GATE, "stop").otherwise("inspect").alias("action"), need.alias("need_to_see"),
-        geo.millionths(F.col("e.x"), F.lit(width)).alias("x_millionths"), geo.millionths(F.col("e.y"), F.lit(height)).alias("y_millionths"))
+        geo.millionths(F.col("e.x"), F.expr(str(width))).alias("x_millionths"), geo.millionths(F.col("e.y"), F.expr(str(height))).alias("y_millionths"))

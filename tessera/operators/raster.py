@@ -41,12 +41,23 @@ def crop_statistics(pixel: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def crop_window(pixel: DataFrame, steps: DataFrame, case: str = "case_id") -> DataFrame:
-    """Pixels of each step's window [x - half, x + half) x [y - half, y + half)."""
+#: Side of the tiles in which pixels and windows meet.
+TILE = 512
+
+
+def crop_window(pixel: DataFrame, steps: DataFrame, case: str = "case_id", tile: int = TILE) -> DataFrame:
+    """Pixels of each step's window [x - half, x + half) x [y - half, y + half).
+
+    A pixel lies in one tile, a window in a few: they meet by case and tile, and no pair comes twice.
+    """
     half = F.floor(F.col("size") / 2)
     inside = ((F.col("px") >= F.col("x") - half) & (F.col("px") < F.col("x") + half)
               & (F.col("py") >= F.col("y") - half) & (F.col("py") < F.col("y") + half))
-    return steps.join(pixel, case).filter(inside)
+    at = lambda v: F.floor(v / tile).cast("int")
+    span = lambda c: F.explode(F.sequence(at(F.col(c) - half), at(F.col(c) + half - 1)))
+    windows = steps.filter(half > 0).withColumn("__tx", span("x")).withColumn("__ty", span("y"))
+    placed = pixel.withColumn("__tx", at(F.col("px"))).withColumn("__ty", at(F.col("py")))
+    return windows.join(placed, [case, "__tx", "__ty"]).filter(inside).drop("__tx", "__ty")
 
 
 def tiles(boxes: DataFrame, size: int = 256, keep: int | None = None, keys: tuple[str, ...] = ("case_id",), order: tuple[str, ...] = ()) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions.pixels import ten_thousandths
 from ..settings import Settings
+from . import faults
 
 
 def _flood(cells: pd.DataFrame, grid: int, case: str) -> pd.DataFrame:
@@ -52,59 +53,94 @@ def connected(cells: DataFrame, settings: Settings, case: str = "case_id") -> Da
     return cells.repartition(case).sortWithinPartitions(case).mapInPandas(run, schema)
 
 
-def annotated(proposals: DataFrame, answers: DataFrame, case: str = "case_id") -> DataFrame:
-    """Answers of a provider (case, cluster_id, ...) with their proposal; an unknown id is an error, a proposal without an answer goes."""
+def unknown_answers(proposals: DataFrame, answers: DataFrame, case: str = "case_id") -> DataFrame:
+    """Faults of answers whose cluster_id is no proposal of their case."""
+    left = answers.join(proposals.select(case, "cluster_id"), [case, "cluster_id"], "left_anti")
+    return faults.fault(left, F.lit(True), "trace", F.concat(F.lit("no proposal "), F.coalesce("cluster_id", F.lit("None"))), case)
+
+
+def annotated(proposals: DataFrame, answers: DataFrame, case: str = "case_id", strict: bool = True) -> DataFrame:
+    """Answers of a provider (case, cluster_id, ...) with their proposal; a proposal without an answer goes.
+
+    An unknown id is an error; without ``strict`` it is left out (:func:`unknown_answers` finds it).
+    """
     known = proposals.select(case, "cluster_id", *geo.SIDES, "cell_count").withColumn("__known", F.lit(True))
     unknown = F.raise_error(F.concat(F.lit("no proposal "), F.col("cluster_id"))).cast("string")
-    out = answers.join(known, [case, "cluster_id"], "left")
+    out = answers.join(known, [case, "cluster_id"], "left" if strict else "inner")
     return out.withColumn("cluster_id", F.when(F.col("__known"), F.col("cluster_id")).otherwise(unknown)).drop("__known")
 
 
-def proposals(components: DataFrame, settings: Settings, width: int, height: int, case: str = "case_id") -> DataFrame:
-    """A box and mean fractions of each component; ids are given before small ones go, so they may have gaps."""
+def proposals(components: DataFrame, settings: Settings, width: int | str, height: int | str, case: str = "case_id") -> DataFrame:
+    """A box and mean fractions of each component; ids are given before small ones go, so they may have gaps.
+
+    ``width`` and ``height`` are numbers, or columns of ``components`` with the size of each case's image.
+    """
     g = settings.grid
-    cw, ch = -(-width // g), -(-height // g)
+    w, h = (F.expr(f"max({v})") if isinstance(v, str) else F.lit(v) for v in (width, height))
+    cell = lambda v: F.ceil(v / F.lit(float(g))).cast("int")
     mean = lambda c: ten_thousandths(F.sum(c), F.count("*") * 10000).alias(c)
+    keep = [F.max(v).alias(v) for v in (width, height) if isinstance(v, str)]
     out = components.groupBy(case, "component").agg(
-        (F.min("gx") * cw).alias("x1"), (F.min("gy") * ch).alias("y1"),
-        F.least(F.lit(width), (F.max("gx") + 1) * cw).alias("x2"), F.least(F.lit(height), (F.max("gy") + 1) * ch).alias("y2"),
-        F.count("*").alias("cell_count"), mean("tissue"), mean("pale"), mean("artifact"),
+        (F.min("gx") * cell(w)).alias("x1"), (F.min("gy") * cell(h)).alias("y1"),
+        F.least(w, (F.max("gx") + 1) * cell(w)).alias("x2"), F.least(h, (F.max("gy") + 1) * cell(h)).alias("y2"),
+        F.count("*").alias("cell_count"), mean("tissue"), mean("pale"), mean("artifact"), *keep,
     )
+    whole = (F.col(width) if isinstance(width, str) else F.lit(width)).cast("long") * (F.col(height) if isinstance(height, str) else F.lit(height))
     size = (F.col("x2") - F.col("x1")).cast("long") * (F.col("y2") - F.col("y1"))
     return (
         out.withColumn("cluster_id", F.format_string("cluster_%02d", F.col("component")))
         .withColumn("__area", size)
-        .filter(F.col("__area") * 10000 >= F.lit(settings.min_area * width * height))
-        .withColumn("area_fraction", ten_thousandths(F.col("__area"), F.lit(width * height)))
+        .filter(F.col("__area") * 10000 >= whole * settings.min_area)
+        .withColumn("area_fraction", ten_thousandths(F.col("__area"), whole))
         .drop("__area")
     )
 
 
-def fallback(cases: DataFrame, found: DataFrame, width: int, height: int, case: str = "case_id") -> DataFrame:
-    """``found`` with the middle of the image, all fractions zero, for cases that have no proposal."""
+def fallback(cases: DataFrame, found: DataFrame, width: int | str, height: int | str, case: str = "case_id") -> DataFrame:
+    """``found`` with the middle of the image, all fractions zero, for cases that have no proposal.
+
+    ``width`` and ``height`` are numbers, or columns of ``cases`` and ``found``.
+    """
     zero = F.lit(0).cast("long")
+    w, h = (F.col(v) if isinstance(v, str) else F.lit(v) for v in (width, height))
+    part = lambda v, k: F.floor(v * k / 10)
     columns = {
-        "component": F.lit(0), "x1": F.lit(width * 2 // 10), "y1": F.lit(height * 2 // 10), "x2": F.lit(width * 8 // 10), "y2": F.lit(height * 8 // 10),
+        "component": F.lit(0), "x1": part(w, 2), "y1": part(h, 2), "x2": part(w, 8), "y2": part(h, 8),
         "cell_count": zero, "tissue": zero, "pale": zero, "artifact": zero, "cluster_id": F.lit("cluster_00"), "area_fraction": zero,
-    }
-    missing = cases.select(case).distinct().join(found.select(case).distinct(), case, "left_anti")
+    } | {v: F.col(v) for v in (width, height) if isinstance(v, str)}
+    sizes = [v for v in (width, height) if isinstance(v, str)]
+    missing = cases.select(case, *sizes).distinct().join(found.select(case).distinct(), case, "left_anti")
     made = missing.select(case, *[v.cast(found.schema[k].dataType).alias(k) for k, v in columns.items()])
     return found.unionByName(made)
 
 
-def with_hints(regions: DataFrame, hints: DataFrame, case: str = "case_id") -> DataFrame:
+#: Side of the tiles in which regions and hints meet.
+HINT_TILE = 256
+
+
+def _tiled(boxes: DataFrame, prefix: str, tile: int) -> DataFrame:
+    """A row for each tile (tx, ty) that a box touches; an empty box touches none."""
+    at = lambda c, less: F.floor((F.col(f"{prefix}{c}") - less) / tile).cast("int")
+    steps = lambda a, b: F.sequence(at(a, 0), at(b, 1))
+    some = boxes.filter((F.col(f"{prefix}x2") > F.col(f"{prefix}x1")) & (F.col(f"{prefix}y2") > F.col(f"{prefix}y1")))
+    return some.withColumn("tx", F.explode(steps("x1", "x2"))).withColumn("ty", F.explode(steps("y1", "y2")))
+
+
+def with_hints(regions: DataFrame, hints: DataFrame, case: str = "case_id", tile: int = HINT_TILE) -> DataFrame:
     """Regions with their greatest overlap with a hint box (ten-thousandths) and the case's greatest score, 0 without hints.
 
     ``hints`` has (case, hx1, hy1, hx2, hy2, score). The score is the greatest of
-    all boxes of the case, overlapping or not.
+    all boxes of the case, overlapping or not. Boxes meet in the tiles that both
+    touch; a pair counts in the tile of its common part's first corner alone.
     """
     a = geo.box(*[F.col(c) for c in geo.SIDES])
     b = geo.box(*[F.col(f"h{c}") for c in geo.SIDES])
     ratio = ten_thousandths(geo.area(geo.intersection(a, b)), F.greatest(F.lit(1), F.least(geo.area(a), geo.area(b))))
-    best = (
-        regions.select(case, "cluster_id", *geo.SIDES).join(hints.select(case, *[f"h{c}" for c in geo.SIDES]), case)
-        .groupBy(case, "cluster_id").agg(F.max(ratio).alias("hint_overlap"))
-    )
+    here = lambda t, c: F.col(t) == F.floor(F.greatest(c, f"h{c}") / tile)
+    ours = _tiled(regions.select(case, "cluster_id", *geo.SIDES), "", tile)
+    theirs = _tiled(hints.select(case, *[f"h{c}" for c in geo.SIDES]), "h", tile)
+    met = ours.join(theirs, [case, "tx", "ty"]).filter(here("tx", "x1") & here("ty", "y1"))
+    best = met.groupBy(case, "cluster_id").agg(F.max(ratio).alias("hint_overlap"))
     scores = hints.groupBy(case).agg(F.max("score").alias("hint_score"))
     return (
         regions.join(best, [case, "cluster_id"], "left").join(scores, case, "left")

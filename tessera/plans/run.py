@@ -1,16 +1,17 @@
-"""A whole triage run: all cases at once, as one plan."""
+"""A whole triage run: all cases at once, as one plan. A case with a fault is set aside, and the others finish."""
 
 from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import assess, audit, evidence, labels, memo, metrics, path, raster, regions, timeline
+from ..operators import assess, audit, evidence, faults, labels, memo, metrics, path, raster, regions, timeline
 from ..settings import LAYERS, Settings
-from ..sources import io
+from ..sources import io, providers
 
 
 @dataclass
@@ -25,12 +26,20 @@ class Run:
     status: DataFrame
     results: DataFrame
     log: DataFrame
+    outcomes: DataFrame
+    attempts: DataFrame
+    patches: DataFrame
+
+
+#: The size of a case's thumbnail and of its full image.
+SIZES = ("thumb_w", "thumb_h", "full_w", "full_h")
+PATCHES = 16
 
 
 def read_cases(spark: SparkSession, manifest: str, label_csv: str, settings: Settings) -> DataFrame:
     """Cases of a manifest (slide_id, slide_filename, slide_path) with the targets of their last label row (slide_id, type, grade)."""
-    cases = io.read_rows(spark, manifest, ["slide_id", "slide_filename", "slide_path"]).withColumn("seq", F.monotonically_increasing_id())
-    rows = io.read_rows(spark, label_csv, ["slide_id", "type", "grade"]).withColumn("__seq", F.monotonically_increasing_id())
+    cases = io.read_rows(spark, manifest, ["slide_id", "slide_filename", "slide_path"], "seq")
+    rows = io.read_rows(spark, label_csv, ["slide_id", "type", "grade"], "__seq")
     out = labels.with_labels(cases, rows, "slide_id", F.col("__seq")).drop("__seq")
     return out.select(
         F.col("slide_id").alias("case_id"), "slide_filename", "slide_path", F.col("type").alias("label"), "grade", "seq",
@@ -66,49 +75,130 @@ def chosen_hints(cases: DataFrame, hints: DataFrame, mode: str | None, boxes: st
     return planned.join(best, ["case_id", "__at"]).drop("__at", "mode")
 
 
-def run(cases: DataFrame, pixels: DataFrame, hints: DataFrame, crop_pixels: DataFrame, settings: Settings, thumb: tuple[int, int], full: tuple[int, int], keep,
-        mode: str | None = None, asked: Interventions = Interventions()) -> Run:
+def sized(cases: DataFrame, hints: DataFrame, thumb: tuple[int, int] | None, full: tuple[int, int] | None) -> DataFrame:
+    """Cases with their SIZES: their own, else those of their hints, else the given ones, else null."""
+    given = dict(zip(SIZES, (*(thumb or (None, None)), *(full or (None, None)))))
+    if set(SIZES) <= set(hints.columns):
+        told = hints.groupBy("case_id").agg(*[F.max(c).alias(f"__{c}") for c in SIZES])
+        cases = cases.join(told, "case_id", "left")
+    known = lambda c: [F.col(n) for n in (c, f"__{c}") if n in cases.columns]
+    return cases.withColumns({c: F.coalesce(*known(c), F.lit(v)).cast("int") for c, v in given.items()}).drop(*[f"__{c}" for c in SIZES])
+
+
+#: What a provider answers about a case's regions; numbers and booleans as text, so that their types can be held against the rules.
+TRACE_ANSWER = "struct<clusters:array<struct<cluster_id:string,l:string,s:string,d:string,crypt_disorder_risk:string,desc:string>>>"
+
+
+def _typed(output, settings: Settings):
+    """Is an answer well formed: a list of regions with known labels, whole priorities and risks, and boolean flags?"""
+    whole = lambda v: F.coalesce(v.rlike("^-?[0-9]{1,9}$"), F.lit(False))
+    fine = lambda x: x["cluster_id"].isNotNull() & F.coalesce(x["l"].isin(*settings.trace_labels), F.lit(False)) & whole(x["s"]) & whole(x["crypt_disorder_risk"]) & F.coalesce(x["d"].isin("true", "false"), F.lit(False))
+    return F.coalesce(F.forall(F.from_json(output, TRACE_ANSWER)["clusters"], fine), F.lit(False))
+
+
+def _asked_trace(scored: DataFrame, chain, keep, store, settings: Settings):
+    """(regions as the providers label them where they answer, attempts a case, faults of answers about unknown regions)."""
+    one = F.struct("cluster_id", "x1", "y1", "x2", "y2", "cell_count", "tissue", "pale", "artifact", "area_fraction", "hint_overlap")
+    requests = scored.groupBy("case_id").agg(F.sort_array(F.collect_list(one)).alias("proposals"))
+    requests = requests.withColumn("request", F.to_json(F.struct(F.lit("trace").alias("stage"), F.col("case_id").cast("string").alias("case_id"), "proposals"))).withColumn("key", memo.content_key("request"))
+    requests = keep(requests.select("case_id", "key", "request"), "trace_keys")
+    asked = providers.ask("trace", requests, chain, keep, store, settings.max_attempts, lambda out: _typed(out, settings))
+    told = requests.join(asked.answers, "key").select("case_id", F.explode(F.from_json("output", TRACE_ANSWER)["clusters"]).alias("a"))
+    told = told.select("case_id", "a.cluster_id", "a.l", F.col("a.s").cast("int").alias("s"), (F.col("a.d") == "true").alias("d"), F.col("a.crypt_disorder_risk").cast("int").alias("risk"), F.col("a.desc").alias("description"))
+    told = keep(told, "trace_told")
+    labelled = scored.drop("l", "s", "d", "risk", "description").join(told, ["case_id", "cluster_id"])
+    found = faults.set_aside(scored, told).unionByName(labelled.select(scored.columns))
+    return found, requests.select("case_id", "key").join(asked.attempts, "key"), regions.unknown_answers(scored, told)
+
+
+def _asked_observe(seen: DataFrame, hits: DataFrame, chain, keep, store, settings: Settings):
+    """(hits, read from the providers' texts where they answer, attempts a case)."""
+    about = F.struct(F.lit("observe_step").alias("stage"), F.col("case_id").cast("string").alias("case_id"), "step_id", "m", "cluster_id", "review_goal", "background", "tissue", "pale")
+    requests = keep(seen.withColumn("request", F.to_json(about)).withColumn("key", memo.content_key("request")).select("case_id", "step_id", "key", "request"), "observe_keys")
+    text = lambda out: F.from_json(out, "text string")["text"]
+    asked = providers.ask("observe", requests, chain, keep, store, settings.max_attempts, lambda out: text(out).isNotNull())
+    told = requests.join(asked.answers, "key").select("case_id", "step_id", F.struct("case_id", "step_id").alias("__step"), text(F.col("output")).alias("text"))
+    found = evidence.keyword_hits(told, "__step", keywords=dict(settings.keywords)).select("__step.case_id", "__step.step_id", "criterion", F.col("status").alias("__said"))
+    hits = hits.join(found, ["case_id", "step_id", "criterion"], "left")
+    return hits.withColumn("status", F.coalesce("__said", "status")).drop("__said"), requests.select("case_id", "key").join(asked.attempts, "key")
+
+
+def run(cases: DataFrame, pixels: DataFrame, hints: DataFrame, crop_pixels: DataFrame, settings: Settings, thumb: tuple[int, int] | None, full: tuple[int, int] | None, keep,
+        mode: str | None = None, asked: Interventions = Interventions(), backends: dict | None = None, store=None) -> Run:
     """Triage ``cases`` from thumbnail pixels (case_id, y, x, r, g, b), hint boxes and full-size pixels (case_id, py, px, r, g, b).
 
-    ``keep(df, name)`` writes a stage's table and reads it back, so that the
-    stages after it do not repeat it. Each stage's time is that of all cases.
+    Images have the sizes of their case (SIZES), of its hints, or ``thumb`` and
+    ``full``. ``backends`` has for "trace" and "observe" the providers to ask, in
+    order; what none answers goes by rule. ``store`` (:class:`tessera.sources.store.Store`)
+    keeps their answers across runs. ``keep(df, name)`` writes a stage's table and
+    reads it back, so that the stages after it do not repeat it. Each stage's time
+    is that of all cases. A case without a size, listed twice, with a pixel outside
+    of its image, or with an answer about an unknown region fails alone.
     """
     timings, began, started = {}, time.time(), F.lit(time.strftime("%Y-%m-%dT%H:%M:%S"))
+    backends = backends or {}
 
     def done_with(stage: str, since=[began]):  # noqa: B006
         timings[f"{stage}_runtime_ms"] = int(round((time.time() - since[0]) * 1000))
         since[0] = time.time()
 
-    hints = chosen_hints(cases, hints, mode, asked.override_roi)
-    w, h = (F.lit(v) for v in thumb)
-    placed = pixels.withColumn("gy", raster.cell_of(F.col("y"), h, settings.grid)).withColumn("gx", raster.cell_of(F.col("x"), w, settings.grid))
-    found = regions.proposals(regions.connected(raster.grid_cells(placed, settings), settings), settings, *thumb)
-    found = regions.fallback(cases, found, *thumb)
+    everyone = keep(sized(cases, hints, thumb, full), "sized")
+    bad = keep(faults.together([faults.ingest_faults(everyone, pixels)]), "ingest_faults")
+    cases = keep(faults.set_aside(everyone, bad), "cases")
+    sizes = cases.select("case_id", *SIZES)
+    hints = chosen_hints(cases, hints, mode, asked.override_roi).filter("hx1 IS NOT NULL").select("case_id", "hx1", "hy1", "hx2", "hy2", "score")
+    placed = pixels.join(sizes, "case_id").withColumn("gy", raster.cell_of(F.col("y"), F.col("thumb_h"), settings.grid)).withColumn("gx", raster.cell_of(F.col("x"), F.col("thumb_w"), settings.grid))
+    grouped = regions.connected(raster.grid_cells(placed, settings), settings).join(sizes.select("case_id", "thumb_w", "thumb_h"), "case_id")
+    found = regions.fallback(cases, regions.proposals(grouped, settings, "thumb_w", "thumb_h"), "thumb_w", "thumb_h")
     scored = regions.scored(regions.with_hints(found, hints), settings)
+    attempts = []
+    if backends.get("trace"):
+        scored, tried, unknown = _asked_trace(keep(scored, "scored"), backends["trace"], keep, store, settings)
+        bad = keep(bad.unionByName(unknown), "trace_faults")
+        cases, scored = keep(faults.set_aside(cases, bad), "traced_cases"), faults.set_aside(scored, bad)
+        attempts.append(keep(tried, "trace_attempts"))
+    sizes = cases.select("case_id", *SIZES)
     clusters = keep(regions.top_regions(scored, settings), "clusters")
     done_with("trace")
-    scale = {c: F.bround(F.col(c) * full[i % 2] / thumb[i % 2]).cast("int") for i, c in enumerate(("x1", "y1", "x2", "y2"))}
-    steps = keep(path.trajectory(clusters.withColumns(scale), *full, settings), "steps")
+    on_full = lambda c, i: F.bround(F.col(c) * F.col(SIZES[2 + i % 2]) / F.col(SIZES[i % 2])).cast("int")
+    boxes = hints.join(sizes, "case_id").select("case_id", *[on_full(f"h{c}", i).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))])
+    patches = keep(raster.tiles(boxes, keep=PATCHES, order=("x1", "y1", "x2", "y2")).select("case_id", "tile", "tx", "ty"), "patches")
+    done_with("export")
+    large = clusters.join(sizes.select("case_id", "full_w", "full_h"), "case_id").withColumns({c: on_full(c, i) for i, c in enumerate(("x1", "y1", "x2", "y2"))})
+    steps = keep(path.trajectory(large, "full_w", "full_h", settings), "steps")
     done_with("navigate")
     windows = raster.crop_window(crop_pixels, evidence.drop_stops(steps).select("case_id", "step_id", "x", "y", "size"))
     crops = raster.crop_statistics(windows, "case_id", "step_id")
-    hits = keep(evidence.hits(evidence.observed(steps, crops, clusters), settings), "hits")
-    listed = keep(evidence.checklist(cases, evidence.merge(hits, "case_id"), evidence.criteria(cases.sparkSession)), "checklist")
+    seen = evidence.observed(steps, crops, clusters, strict=False)
+    if backends.get("observe"):
+        seen = keep(seen, "seen")
+        hits, tried = _asked_observe(seen, evidence.hits(seen, settings), backends["observe"], keep, store, settings)
+        attempts.append(keep(tried, "observe_attempts"))
+    else:
+        hits = evidence.hits(seen, settings)
+    hits = keep(hits, "hits")
+    listed = keep(evidence.checklist(cases, evidence.merge(hits, "case_id"), evidence.criteria(cases.sparkSession, settings)), "checklist")
     counts = evidence.counts(listed)
     suspicious = clusters.groupBy("case_id").agg(F.bool_or(F.col("l") == "serrated_suspicious_mucosa").alias("suspicious"))
     made = assess.assess(counts, suspicious)
     assessed = keep(made.join(assess.report(made, assess.supporting_lines(listed)), "case_id"), "assessed")
     observed = keep(_observations(hits), "observations")
     done_with("observe")
-    exports = cases.select("case_id").join(clusters.groupBy("case_id").agg(F.lit(0).alias("returncode")), "case_id", "left")
+    # boxes that hold no whole patch export nothing: that is what an export fails by
+    exported = boxes.select("case_id").distinct().join(patches.groupBy("case_id").agg(F.count("*").alias("n")), "case_id", "left")
+    exports = cases.select("case_id").join(exported.select("case_id", F.when(F.col("n") > 0, 0).otherwise(1).alias("returncode")), "case_id", "left").na.fill(0, ["returncode"])
+    measured = steps.join(sizes.select("case_id", "full_w", "full_h"), "case_id")
     found_bad = keep(audit.union([
-        audit.step_violations(steps, *full), audit.label_violations(clusters), audit.artifact_violations(cases, hits, assessed, listed), audit.export_violations(exports),
+        audit.step_violations(measured, "full_w", "full_h"), audit.label_violations(clusters, labels=settings.trace_labels), audit.artifact_violations(cases, hits, assessed, listed), audit.export_violations(exports),
         audit.support_warnings(counts)]), "violations")
     status = audit.status(cases, found_bad)
     timings["total_runtime_ms"] = int(round((time.time() - began) * 1000))
-    results = keep(_results(cases, clusters, steps, observed, listed, counts, assessed, found_bad, status, settings, timings), "results")
-    log = keep(_log(cases, clusters, steps, observed, status, asked, started, timings), "events")
-    return Run(cases, clusters, steps, hits, listed, assessed, found_bad, status, results, log)
+    tried = reduce(DataFrame.unionByName, attempts) if attempts else None
+    results = keep(_results(cases, clusters, steps, observed, listed, counts, assessed, found_bad, status, settings, timings, tried), "results")
+    log = keep(_log(cases, clusters, steps, observed, status, exports, asked, started, timings), "events")
+    if tried is None:
+        tried = cases.select("case_id").limit(0).selectExpr("case_id", "'' AS key", "0 AS priority", "'' AS provider", "'' AS status", "'' AS output", "0L AS latency_ms", "0 AS attempt", "'' AS stage")
+    return Run(cases, clusters, steps, hits, listed, assessed, found_bad, status, results, log, faults.outcomes(everyone, bad), tried, patches)
 
 
 def _observations(hits: DataFrame) -> DataFrame:
@@ -123,7 +213,7 @@ def _observations(hits: DataFrame) -> DataFrame:
         evidence.confidence(c("tissue"), c("pale"), c("support"), c("s")).alias("confidence"))
 
 
-def _log(cases, clusters, steps, observed, status, asked: Interventions, started, timings) -> DataFrame:
+def _log(cases, clusters, steps, observed, status, exports, asked: Interventions, started, timings) -> DataFrame:
     """Events of all cases as the log's readers take them, with ``seq``, their order in a case."""
     none, now = F.lit(None).cast("string"), timeline.now_iso()
 
@@ -140,16 +230,18 @@ def _log(cases, clusters, steps, observed, status, asked: Interventions, started
     return audit.union([
         event(cases, F.lit(0), started, "START", "Orchestrator", slide, none, **wanted),
         event(cases.join(n, "case_id"), F.lit(1), now, "TRACE", "TraceAgent", slide, F.lit("clusters"), timings["trace_runtime_ms"], cluster_count=F.col("n")),
+        event(cases, F.lit(2), now, "TRACE_TO_SEGMENT", "CoordsAdapter", slide, F.lit("boxes"), 0),
+        event(exports, F.lit(3), now, "PATCH_EXPORT", "PatchExportAdapter", F.lit("boxes"), F.lit("patches"), timings["export_runtime_ms"], F.when(F.col("returncode") == 0, "ok").otherwise("error")),
         event(steps, 100 + F.col("ord"), now, "NAVIGATE", "NavigateAgent", F.col("cluster_id"), F.col("step_id"), review_goal=F.col("review_goal")),
         event(observed.join(walked.select("case_id", "step_id"), ["case_id", "step_id"]), 200 + F.col("ord"), now, "OBSERVE", "ObserveReasonAgent", F.col("step_id"), F.col("step_id"), stage_decision=F.col("stage_decision")),
         event(status, F.lit(1000), now, "END", "AuditAgent", none, F.lit("case_results"), 0, F.col("status"), errors=F.col("errors"), warnings=F.col("warnings")),
     ])
 
 
-def _results(cases, clusters, steps, observed, listed, counts, assessed, violations, status, settings, timings) -> DataFrame:
+def _results(cases, clusters, steps, observed, listed, counts, assessed, violations, status, settings, timings, attempts) -> DataFrame:
     """One nested row a case, in the shape that :func:`tessera.sources.io.read_run` reads."""
     c = F.col
-    costs = metrics.cost_units(cases, clusters, evidence.drop_stops(steps), None)
+    costs = metrics.cost_units(cases, clusters, evidence.drop_stops(steps), attempts.filter("stage = 'trace'") if attempts is not None else None)
     chain = observed.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("ord", "step_id", "observation", "reasoning", "next_step", "stage_decision", "confidence", "serrated_findings", "ssl_like_findings", "dysplasia_findings"))).alias("evidence_chain"))
     state = evidence.reasoning_state(observed).select("case_id", F.struct("supporting_evidence", "conflicts").alias("reasoning_state"))
     sums = counts.groupBy("case_id").agg(*[F.max(F.when(c("layer") == k, c("supporting"))).alias(f"__{k}_support") for k in LAYERS])
@@ -182,9 +274,9 @@ def _results(cases, clusters, steps, observed, listed, counts, assessed, violati
         F.struct("estimated_case_cost_units", "trace_attempts", "observation_steps").alias("cost"))
 
 
-def batch_summary(cases: DataFrame, results: DataFrame) -> DataFrame:
-    """(case_id, outcome): completed where there is a result, else failed."""
-    return cases.select("case_id").distinct().join(results.select("case_id", F.lit("completed").alias("outcome")), "case_id", "left").na.fill("failed", ["outcome"])
+def batch_summary(done: Run) -> DataFrame:
+    """(case_id, outcome, stage, error) of every case: completed, or failed with the stage and the error."""
+    return done.outcomes
 
 
 def evaluate(results: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,33 +5,25 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, fields, replace
 
-# Names, thresholds and word lists that results must share.
-TRACE_LABELS = ("serrated_suspicious_mucosa", "non_serrated_mucosa", "background", "artifact")
-LAYERS = {
-    "serrated": ("serrated_surface_pattern", "mucus_rich_surface", "serrated_lesion_context"),
-    "ssl_like": ("basal_dilatation", "crypt_branching", "horizontal_growth", "boot_l_t_shaped_crypt",
-                 "serration_to_base", "mucus_cap", "abnormal_maturation"),
-    "dysplasia": ("nuclear_enlargement_stratification", "hyperchromasia", "mitotic_activity_atypia", "architectural_crowding"),
-}
-STRUCTURAL = ("basal_dilatation", "crypt_branching", "horizontal_growth", "boot_l_t_shaped_crypt")
-KEYWORDS = {
-    "serrated_surface_pattern": ("serrated", "serration"),
-    "mucus_rich_surface": ("mucus", "mucin"),
-    "serrated_lesion_context": ("serrated lesion", "serrated polyp", "mucosal lesion"),
-    "basal_dilatation": ("dilat", "dilated", "dilation"),
-    "crypt_branching": ("branch", "branched"),
-    "horizontal_growth": ("horizontal",),
-    "boot_l_t_shaped_crypt": ("boot", "l-shaped", "t-shaped"),
-    "serration_to_base": ("serration", "to the base"),
-    "mucus_cap": ("mucus cap", "mucus", "mucin"),
-    "abnormal_maturation": ("maturation", "abnormal maturation", "dysmaturation"),
-    "nuclear_enlargement_stratification": ("nuclear enlargement", "stratification"),
-    "hyperchromasia": ("hyperchrom", "hyperchromasia"),
-    "mitotic_activity_atypia": ("mitotic", "atypia", "atypical"),
-    "architectural_crowding": ("crowding",),
-}
-SSL_LIKE, HIGH_GRADE = ("Sessile serrated adenoma",), ("high",)
-STATUSES = ("supporting", "opposing", "uncertain", "not_assessed")
+
+def _defaults() -> dict:
+    import yaml
+
+    with open(os.path.join(os.path.dirname(os.path.abspath(__file__)), "defaults.yaml"), encoding="utf-8") as f:
+        return yaml.safe_load(f)
+
+
+def _fixed(v):
+    """Lists as tuples; mappings as pairs, in order."""
+    if isinstance(v, dict):
+        return tuple((k, _fixed(x)) for k, x in v.items())
+    return tuple(_fixed(x) for x in v) if isinstance(v, (list, tuple)) else v
+
+
+_DEFAULTS = _defaults()
+TRACE_LABELS, STATUSES, STRUCTURAL = (_fixed(_DEFAULTS[k]) for k in ("trace_labels", "statuses", "structural"))
+LAYERS, KEYWORDS = ({k: tuple(v) for k, v in _DEFAULTS[name].items()} for name in ("layers", "keywords"))
+SSL_LIKE, HIGH_GRADE = (_fixed(_DEFAULTS[k]) for k in ("ssl_like_labels", "dysplasia_grades"))
 
 
 @dataclass(frozen=True)
@@ -55,6 +47,12 @@ class Settings:
     #: Magnification to region size; another magnification takes default_region.
     regions: tuple[tuple[float, int], ...] = ((1.0, 1024), (2.5, 512), (5.0, 256))
     default_region: int = 256
+    #: Labels that a region may have; criteria of each layer and the words that show one in a text, as pairs.
+    trace_labels: tuple[str, ...] = TRACE_LABELS
+    layers: tuple[tuple[str, tuple[str, ...]], ...] = _fixed(LAYERS)
+    keywords: tuple[tuple[str, tuple[str, ...]], ...] = _fixed(KEYWORDS)
+    #: Names of the providers that a stage asks, in order.
+    chains: tuple[tuple[str, tuple[str, ...]], ...] = ()
     serrated_labels: tuple[str, ...] = ()
     ssl_like_labels: tuple[str, ...] = SSL_LIKE
     dysplasia_grades: tuple[str, ...] = HIGH_GRADE
@@ -83,5 +81,4 @@ def load(runtime: str | None = None, budget: str | None = None) -> Settings:
     names = {f.name for f in fields(Settings)}
     if unknown := set(found) - names:
         raise ValueError(f"unknown settings: {sorted(unknown)}")
-    as_tuple = lambda v: tuple(as_tuple(x) for x in v) if isinstance(v, list) else v
-    return replace(Settings(), **{k: as_tuple(v) for k, v in found.items()})
+    return replace(Settings(), **{k: _fixed(v) for k, v in found.items()})

@@ -21,16 +21,20 @@ RESULT = (
     "timing struct<total_runtime_ms:long>, cost struct<estimated_case_cost_units:long,trace_attempts:long,observation_steps:long>")
 
 
-def read_rows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def read_rows(spark: SparkSession, path: str, columns: list[str], order: str | None = None) -> DataFrame:
     """A CSV with a header, every value a string. A byte-order mark is dropped.
 
     An empty field is "", quoted or not; a field that a short row doesn't have is null.
+    ``order`` names a column with each row's place (file, start of its block, row in the block),
+    which orders rows of many files as reading them one after the other would.
     """
     schema = T.StructType([*(T.StructField(c, T.StringType()) for c in columns), T.StructField("__short", T.StringType())])
     rows = spark.read.option("header", True).option("nullValue", "\u0001").option("emptyValue", "").option("columnNameOfCorruptRecord", "__short").schema(schema).csv(path)
     fields = F.coalesce(F.size(F.split("__short", r',(?=(?:[^"]*"[^"]*")*[^"]*$)')), F.lit(len(columns)))
     n = F.when(F.col("__short").isNull(), len(columns)).otherwise(fields)
-    return rows.select(*[F.when(n > i, F.coalesce(F.col(c), F.lit(""))).alias(c) for i, c in enumerate(columns)])
+    # a task numbers its rows in order, and a block of a file lies in one task
+    place = [F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias(order)] if order else []
+    return rows.select(*[F.when(n > i, F.coalesce(F.col(c), F.lit(""))).alias(c) for i, c in enumerate(columns)], *place)
 
 
 def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -73,9 +77,16 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_hints(spark: SparkSession, path: str) -> DataFrame:
-    """(file, hx1, hy1, hx2, hy2, score) of selector outputs."""
-    rows = read_document(spark, path, HINTS).withColumn("file", F.col("_metadata.file_name"))
-    return rows.select("file", F.inline("boxes")).select("file", *[F.col(c).alias(f"h{c}") for c in ("x1", "y1", "x2", "y2")], "score")
+    """(case_id, file, mode, thumb_w, thumb_h, full_w, full_h, hx1, hy1, hx2, hy2, score) of selector outputs.
+
+    The case is the file's stem. A file without boxes gives one row with null
+    boxes, as its sizes count; a size that is missing is null.
+    """
+    rows = read_document(spark, path, HINTS).withColumn("file", F.col("_metadata.file_name")).withColumn("case_id", stem(F.col("file")))
+    meta = lambda k, i: F.try_element_at(F.col(f"thumbnail_meta.{k}"), F.lit(i + 1))
+    sizes = [meta(k, i).alias(n) for k, names in (("thumbnail_size", ("thumb_w", "thumb_h")), ("slide_dimensions_level0", ("full_w", "full_h"))) for i, n in enumerate(names)]
+    each = rows.select("case_id", "file", "mode", *sizes, F.explode_outer("boxes").alias("b"))
+    return each.select("case_id", "file", "mode", "thumb_w", "thumb_h", "full_w", "full_h", *[F.col(f"b.{c}").alias(f"h{c}") for c in ("x1", "y1", "x2", "y2")], "b.score")
 
 
 def stem(path: str | Column) -> Column:

@@ -13,6 +13,7 @@ import subprocess
 import tempfile
 import time
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -77,16 +78,55 @@ def named(names: Sequence[str], known: dict[str, Provider]) -> list[tuple[str, P
     return [(n, known[n]) for n in names]
 
 
-def chain(requests: DataFrame, providers: Sequence[tuple[str, Provider]], keep) -> DataFrame:
-    """Attempts (key, priority, provider, status, output, latency_ms) of each provider on what is still open.
+def chain(requests: DataFrame, providers: Sequence[tuple[str, Provider]], keep, tries: int = 1, valid=None) -> DataFrame:
+    """Attempts (key, priority, provider, status, output, latency_ms, attempt) of each provider on what is still open.
 
     ``keep`` writes a table and reads it back (a stage's answers are not asked
     for twice). An unknown key never appears; a request that all providers fail
-    has no attempt that is ok.
+    has no attempt that is ok. What is an error is asked again, ``tries`` times
+    in all; an answer for which the Column function ``valid`` does not hold is one.
     """
     attempts, left = [], requests
     for i, (name, provider) in enumerate(providers):
-        got = keep(provider(left).select("key", F.lit(i).alias("priority"), F.lit(name).alias("provider"), "status", "output", "latency_ms"), f"attempts_{name}")
-        attempts.append(got)
-        left = left.join(got.filter("status = 'ok'").select("key"), "key", "left_anti")
+        again = left
+        for attempt in range(1, tries + 1):
+            got = provider(again).withColumn("output", F.when(F.col("status") == "ok", F.col("output")))
+            if valid is not None:
+                got = got.withColumn("status", F.when((F.col("status") == "ok") & ~F.coalesce(valid(F.col("output")), F.lit(False)), "error").otherwise(F.col("status")))
+            got = keep(got.select("key", F.lit(i).alias("priority"), F.lit(name).alias("provider"), "status", "output", "latency_ms", F.lit(attempt).alias("attempt")), f"attempts_{name}_{attempt}")
+            attempts.append(got)
+            left = left.join(got.filter("status = 'ok'").select("key"), "key", "left_anti")
+            again = again.join(got.filter("status = 'error'").select("key"), "key", "left_semi")
+            if attempt < tries and again.isEmpty():
+                break
     return reduce(DataFrame.unionByName, attempts)
+
+
+@dataclass
+class Asked:
+    """What a stage's chain said: (key, provider, output) of each request that has an answer, and all attempts."""
+
+    answers: DataFrame
+    attempts: DataFrame
+
+
+def ask(stage: str, requests: DataFrame, providers: Sequence[tuple[str, Provider]], keep, store=None, tries: int = 1, valid=None) -> Asked:
+    """Asks the chain for requests (key, request) that ``store`` doesn't answer, each key once, and stores the answers.
+
+    A stored answer for which ``valid`` does not hold is void. Answers from the store have the provider "store" and no attempt.
+    """
+    each = keep(requests.select("key", "request").groupBy("key").agg(F.first("request").alias("request")), f"{stage}_requests")
+    answers = None
+    if store is not None:
+        known = store.lookup(each)[0]
+        if valid is not None:
+            known = known.filter(F.coalesce(valid(F.col("output")), F.lit(False)))
+        answers = keep(known.select("key", F.lit("store").alias("provider"), "output"), f"{stage}_known")
+        each = keep(each.join(answers, "key", "left_anti"), f"{stage}_open")
+    attempts = chain(each, providers, lambda df, name: keep(df, f"{stage}_{name}"), tries, valid)
+    best = F.min(F.when(F.col("status") == "ok", F.struct("priority", "attempt", "provider", "output"))).alias("b")
+    new = attempts.groupBy("key").agg(best).filter("b IS NOT NULL").select("key", "b.provider", "b.output")
+    if store is not None:
+        store.add(new.select("key", F.lit(stage).alias("stage"), "output"))
+        new = answers.unionByName(new)
+    return Asked(new, attempts.withColumn("stage", F.lit(stage)))

@@ -286,10 +286,10 @@ def test_whole_run(spark, tmp_path):
     text = replay_of_run(spark, str(tmp_path / "root"), "case_ssl").first().replay
     states = [x.split("] ")[1].split("/")[0] for x in text.split("\n") if x.startswith("- [")]
     assert states[0] == "START" and states[1] == "TRACE" and states[-1] == "END" and "NAVIGATE" in states and "OBSERVE" in states and "- serrated_target: 1" in text
-    assert {r.case_id: r.outcome for r in plan.batch_summary(cases, done.results.filter("case_id <> 'case_ta'")).collect()} == {"case_ssl": "completed", "case_hp": "completed", "case_ta": "failed"}
+    assert {r.case_id: r.outcome for r in plan.batch_summary(done).collect()} == {"case_ssl": "completed", "case_hp": "completed", "case_ta": "completed"}
     plain = plan.read_cases(spark, str(tmp_path / "m.csv"), str(tmp_path / "l.csv"), Settings(serrated_labels=("HP",)))
     assert {r.case_id: r.ssl_like_target for r in plain.collect()} == {"case_ssl": 0, "case_hp": 0, "case_ta": 0}
-    assert Settings(ssl_like_labels=()).ssl_like_labels == ("Sessile serrated adenoma",)
+    assert Settings(ssl_like_labels=()).ssl_like_labels == Settings().ssl_like_labels != ()
 
 
 def test_hints_by_mode_and_by_hand(spark):
