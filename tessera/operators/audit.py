@@ -64,6 +64,27 @@ def typed_violations(rows: DataFrame, priority: str, flag: str, ref: str, case:
     return union([rule(rows, ~whole, "error", "priority_not_integer", F.col(ref), case), rule(rows, ~truth, "error", "flag_not_boolean", F.col(ref), case)])
 
 
+def open_records(rows: DataFrame, record: str, fields: dict[str, str], *keys: str) -> DataFrame:
+    """(keys, fields, violation, n_keys, rest) of JSON texts whose further keys are not known.
+
+    A field is null where it is missing or not of its type; ``violation`` names
+    the first that is there but of another type, or "no_record" where the text is
+    no JSON object. ``n_keys`` counts the keys, known or not (null for no
+    record), and ``rest`` keeps the record whole, as VARIANT text.
+    """
+    parsed = rows.withColumn("__v", F.try_parse_json(record))
+    as_map = F.try_variant_get("__v", "$", "map<string,variant>")
+    got = {name: F.try_variant_get("__v", f"$.{name}", kind) for name, kind in fields.items()}
+    there = lambda name: F.try_variant_get("__v", f"$.{name}", "variant")
+    wrong = F.coalesce(*[F.when(there(name).isNotNull() & ~F.is_variant_null(there(name)) & (got[name].isNull() | ~F.schema_of_variant(there(name)).isin(*_KINDS[kind])), F.lit(f"{name}_not_{kind}")) for name, kind in fields.items()])
+    return parsed.select(*keys, *[F.when(wrong.isNull(), v).alias(name) for name, v in got.items()],
+                         F.when(as_map.isNull(), "no_record").otherwise(wrong).alias("violation"), F.when(as_map.isNotNull(), F.size(F.map_keys(as_map))).alias("n_keys"), F.to_json("__v").alias("rest"))
+
+
+#: Types that a VARIANT may give for a field of a type: a number in quotes is text.
+_KINDS = {"long": ("BIGINT",), "double": ("BIGINT", "DOUBLE"), "boolean": ("BOOLEAN",), "string": ("STRING",)}
+
+
 def export_violations(exports: DataFrame, case: str = "case_id") -> DataFrame:
     """Exports whose return code is not zero; a missing one is bad."""
     return rule(exports, ~F.col("returncode").eqNullSafe(0), "error", "export_failed", F.lit(""), case)

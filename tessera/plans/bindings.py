@@ -158,3 +158,30 @@ def labelled(spark, d) -> DataFrame:
     out = with_labels(docs, labels, "case_id", F.struct("quality", "toxic"))
     return out.select("case_id", "lang", "n_chars", member(F.col("quality"), [1]).alias("quality_target"), member(F.col("toxic"), [1]).alias("toxic_target"),
                       (F.col("n_chars") > 400).cast("int").alias("quality_pred"), (F.col("lang") == "en").cast("int").alias("toxic_pred"))
+
+
+def sizes(spark, d) -> DataFrame:
+    """Cases whose images have one of three sizes; the full image is not just ten times the thumbnail."""
+    k = F.pmod(F.col("c_custkey"), F.lit(3))
+    pick = lambda a, b, c: F.when(k == 0, a).when(k == 1, b).otherwise(c)
+    out = table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), pick(1600, 1210, 2000).alias("thumb_w"), pick(1600, 900, 777).alias("thumb_h"))
+    return out.withColumn("full_w", F.col("thumb_w") * 10 + 3).withColumn("full_h", F.col("thumb_h") * 9 - 1)
+
+
+def listed(spark, d) -> DataFrame:
+    """Cases as a faulty manifest lists them: some without a size, some twice."""
+    out = sizes(spark, d).withColumn("thumb_w", F.when(F.col("case_id") % 29 != 3, F.col("thumb_w")))
+    return out.unionByName(out.filter("case_id % 31 = 5"))
+
+
+def placed_pixels(spark, d) -> DataFrame:
+    """Pixels of users by their place; errors of some users lie outside of the image."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("case_id"), "event_id", "event_type")
+    x = F.when((F.col("event_type") == "error") & (F.col("case_id") % 37 == 2), 5000).otherwise(F.col("event_id") % 1200)
+    return e.select("case_id", x.cast("int").alias("x"), (F.col("event_id") * 7 % 700).cast("int").alias("y"))
+
+
+def region_answers(spark, d) -> DataFrame:
+    """What a provider says of regions, some of which it made up."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("case_id"), F.concat(F.lit("cluster_0"), F.col("event_id") % 2).alias("cluster_id"), (F.col("event_id") % 6).cast("int").alias("s"))
+    return e.groupBy("case_id", "cluster_id").agg(F.max("s").alias("s"))

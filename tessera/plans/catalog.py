@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import pixels
-from ..operators import assess, audit, evidence, labels, memo, metrics, path, raster, timeline
+from ..operators import assess, audit, evidence, faults, labels, memo, metrics, path, raster, timeline
 from ..operators import regions as regions_op
 from ..settings import LAYERS
-from ..sources import io
+from ..sources import io, providers, store
 from . import bindings as b
+from . import staging
 from .oracle import SQL
 
 def case_targets(spark, d):
@@ -273,7 +276,54 @@ def last_line(spark, d):
     return b.table(spark, d, "documents").select("doc_id", evidence.last_line(F.coalesce("text", F.lit(""))).alias("last_line"))
 
 
+def case_geometry(spark, d):
+    """Regions and paths of cases whose images differ in size."""
+    sizes = b.sizes(spark, d)
+    grouped = b.components(spark, d).join(sizes.select("case_id", "thumb_w", "thumb_h"), "case_id")
+    found = regions_op.fallback(sizes, regions_op.proposals(grouped, b.SETTINGS, "thumb_w", "thumb_h"), "thumb_w", "thumb_h")
+    top = regions_op.top_regions(regions_op.scored(regions_op.with_hints(found, b.hints(spark, d)), b.SETTINGS), b.SETTINGS)
+    on_full = {c: F.bround(F.col(c) * F.col(f"full_{n}") / F.col(f"thumb_{n}")).cast("int") for c, n in (("x1", "w"), ("y1", "h"), ("x2", "w"), ("y2", "h"))}
+    large = top.join(sizes.select("case_id", "full_w", "full_h"), "case_id").withColumns(on_full)
+    return path.trajectory(large, "full_w", "full_h", b.SETTINGS).drop("need_to_see")
+
+
+def failed_cases(spark, d):
+    """Every case of a faulty batch: completed, or failed with its first fault; no fault stops the others."""
+    listed = b.listed(spark, d)
+    found = faults.together([faults.ingest_faults(listed, b.placed_pixels(spark, d)), regions_op.unknown_answers(b.proposals(spark, d), b.region_answers(spark, d))])
+    return faults.outcomes(listed.select("case_id").unionByName(found.select("case_id")), found)
+
+
+def stage_attempts(spark, d):
+    """What a chain of providers tried for each request, who answered, and who answers when it is asked again."""
+    n = F.get_json_object("request", "$.customer").cast("long")
+    says = lambda status, output: lambda rows: rows.select("key", status.alias("status"), output.alias("output"), F.lit(3).cast("long").alias("latency_ms"))
+    chain = [
+        ("external", says(F.when(n % 3 == 0, "ok").otherwise("unavailable"), F.format_string('{"v": %d}', n))),
+        ("local", says(F.when(n % 5 == 0, "error").otherwise("ok"), F.when(n % 7 == 1, "no answer").otherwise(F.format_string('{"v": %d}', -n)))),
+        ("rules", says(F.when(n % 11 == 4, "error").otherwise("ok"), F.lit('{"v": 0}')))]
+    requests = b.table(spark, d, "orders").select(F.to_json(F.struct(F.col("o_custkey").alias("customer"))).alias("request")).withColumn("key", memo.content_key("request"))
+    held = store.Store(spark, f"{staging.shared_folder(spark)}/tessera-{uuid.uuid4().hex}/store")
+    valid = lambda out: F.get_json_object(out, "$.v").isNotNull()
+    first = providers.ask("trace", requests, chain, staging.keep, held, 2, valid)
+    again = providers.ask("trace", requests, chain, staging.keep, held, 1, valid)
+    said = F.sort_array(F.collect_list(F.struct("priority", "attempt", F.concat_ws(":", "provider", "status").alias("t"))))
+    tried = first.attempts.groupBy("key").agg(F.array_join(F.transform(said, lambda x: x["t"]), ",").alias("attempts"), F.sum("latency_ms").alias("latency_ms"))
+    who = first.answers.select("key", "provider", F.get_json_object("output", "$.v").cast("long").alias("answer"))
+    asked = requests.groupBy("key").agg(F.first(F.get_json_object("request", "$.customer").cast("long")).alias("customer"), F.count("*").alias("requests"))
+    out = asked.join(tried, "key").join(who, "key", "left").join(again.answers.select("key", F.col("provider").alias("provider_again")), "key", "left")
+    return out.drop("key")
+
+
+def open_records(spark, d):
+    """Open JSON records as VARIANT: typed fields where they are of their type, a violation where not, all keys kept."""
+    made = F.when(F.col("event_type") == "error", F.replace("props", F.lit("}"), F.lit(', "more": [1, "x"]}'))).when(F.col("event_type") == "purchase", F.replace("props", F.lit("}"), F.lit(".5}"))).when(F.col("event_type") == "view", F.replace("props", F.lit(": "), F.lit(': "n'))).otherwise(F.col("props"))
+    rows = b.table(spark, d, "events").select(F.col("user_id").alias("case_id"), "event_id", made.alias("record"))
+    return audit.open_records(rows, "record", {"k": "long"}, "case_id", "event_id")
+
+
 QUERIES = {
+    "case_geometry": case_geometry, "failed_cases": failed_cases, "stage_attempts": stage_attempts, "open_records": open_records,
     "case_targets": case_targets, "last_order": last_order, "pilot_subset": pilot_subset, "pixel_masks": pixel_masks, "array_block_stats": array_block_stats, "grid_cells": b.cells, "regions": regions,
     "region_fallback": b.proposals, "hint_overlap": hint_overlap, "region_scores": region_scores, "top_regions": top_regions, "trajectory": trajectory, "box_geometry": box_geometry, "tiles": tiles,
     "crop_window": crop_window, "gate_order": gate_order, "hits_long": hits_long, "step_findings": step_findings, "confidence": confidence, "keyword_hits": keyword_hits, "event_checklist": event_checklist,

@@ -85,6 +85,20 @@ needs AS (SELECT * FROM (VALUES
   ('level_3', 'Perform routine high-magnification cytology review for dysplasia or atypia after structural crypt assessment.'),
   ('end', 'Stop navigation and consolidate the layered serrated, SSL-like, and dysplasia evidence.')) v(gate, need)),
 told AS (SELECT steps.*, CASE WHEN stage_gate = 'end' AND ord = 0 THEN 'Stop navigation because no reviewable lesion cluster was retained.' ELSE need END AS need_to_see FROM steps JOIN needs ON gate = stage_gate)"""
+_WHICH = lambda a, b, c: f"CASE c_custkey % 3 WHEN 0 THEN {a} WHEN 1 THEN {b} ELSE {c} END"
+#: The same path where each case has sizes of its own.
+_SIZED = _COMPONENTS + f""",
+thumbs AS (SELECT c_custkey AS case_id, {_WHICH(1600, 1210, 2000)} AS tw, {_WHICH(1600, 900, 777)} AS th FROM customer),
+sizes AS (SELECT *, tw * 10 + 3 AS fw, th * 9 - 1 AS fh FROM thumbs),
+boxes AS (SELECT case_id, component::INT AS component, min(gx) * ((any_value(tw) + 15) // 16) AS x1, min(gy) * ((any_value(th) + 15) // 16) AS y1, least(any_value(tw), (max(gx) + 1) * ((any_value(tw) + 15) // 16)) AS x2,
+  least(any_value(th), (max(gy) + 1) * ((any_value(th) + 15) // 16)) AS y2, count(*) AS cell_count, {_mean('tissue')}, {_mean('pale')}, {_mean('artifact')} FROM components JOIN sizes USING (case_id) GROUP BY ALL),
+kept AS (SELECT boxes.*, 'cluster_' || lpad(component::VARCHAR, 2, '0') AS cluster_id, (((x2 - x1)::BIGINT * (y2 - y1) * 20000 + tw * th) // (2 * tw * th))::BIGINT AS area_fraction
+  FROM boxes JOIN sizes USING (case_id) WHERE (x2 - x1)::BIGINT * (y2 - y1) * 10000 >= 100 * tw * th),
+proposals AS (SELECT kept.*, tw, th, fw, fh FROM kept JOIN sizes USING (case_id) UNION ALL
+  SELECT case_id, 0, tw * 2 // 10, th * 2 // 10, tw * 8 // 10, th * 8 // 10, 0, 0, 0, 0, 'cluster_00', 0, tw, th, fw, fh FROM sizes WHERE case_id NOT IN (SELECT case_id FROM kept))""" + _TOP[len(_PROPOSALS):] + _STEPS[len(_TOP):].replace(
+    "round_even((x1 + x2) * 10 / 2, 0)::INT AS cx, round_even((y1 + y2) * 10 / 2, 0)::INT AS cy", """fw, fh, round_even((round_even(x1 * fw / tw, 0)::INT + round_even(x2 * fw / tw, 0)::INT) / 2, 0)::INT AS cx,
+  round_even((round_even(y1 * fh / th, 0)::INT + round_even(y2 * fh / th, 0)::INT) / 2, 0)::INT AS cy""").replace(
+    "least(16000 - w.size // 2, cx)", "least(greatest(w.size // 2, fw - w.size // 2), cx)").replace("least(16000 - w.size // 2, cy)", "least(greatest(w.size // 2, fh - w.size // 2), cy)")
 _SEEN = _STEPS + """,
 vectors AS (SELECT vec_id, unnest(range(len(embedding))) AS i, embedding FROM embeddings),
 lit AS (SELECT vec_id, abs(floor(embedding[i + 1]::DOUBLE * 100)::BIGINT * 7 + i * 13) AS q, 110 + vec_id * 37 % 145 AS tone, 6 + vec_id * 11 % 40 AS spread FROM vectors),
@@ -181,6 +195,27 @@ SQL = {
     "hint_overlap": f"{_w} {_HINTED} SELECT case_id, cluster_id, hint_overlap, hint_score FROM hinted",
     "region_scores": f"{_w} {_SCORED} SELECT case_id, cluster_id, l, s, risk, d, description FROM scored",
     "top_regions": f"{_w} {_TOP} SELECT case_id, cluster_id, rank::INT AS rank, s FROM top",
+    "case_geometry": f"""{_w} {_SIZED} SELECT steps.*, ((x::BIGINT * 2000000 + fw) // (2 * fw))::BIGINT AS x_millionths, ((y::BIGINT * 2000000 + fh) // (2 * fh))::BIGINT AS y_millionths FROM steps JOIN sizes USING (case_id)""",
+    "failed_cases": f"""{_w} {_PROPOSALS},
+      thumbs AS (SELECT c_custkey AS case_id, CASE WHEN c_custkey % 29 <> 3 THEN {_WHICH(1600, 1210, 2000)} END AS tw, {_WHICH(1600, 900, 777)} AS th FROM customer),
+      faults AS (SELECT case_id, 1 AS place, 'ingest' AS stage, 'no image size' AS error FROM thumbs WHERE tw IS NULL
+        UNION ALL SELECT c_custkey, 1, 'ingest', 'case is listed twice' FROM customer WHERE c_custkey % 31 = 5
+        UNION ALL SELECT user_id, 1, 'ingest', 'pixel outside of the image' FROM events JOIN thumbs ON user_id = case_id WHERE tw IS NOT NULL
+          AND NOT ((CASE WHEN event_type = 'error' AND user_id % 37 = 2 THEN 5000 ELSE event_id % 1200 END) < tw AND event_id * 7 % 700 < th)
+        UNION ALL SELECT user_id, 2, 'trace', 'no proposal cluster_0' || event_id % 2 FROM events WHERE (user_id, 'cluster_0' || event_id % 2) NOT IN (SELECT (case_id, cluster_id) FROM proposals)),
+      everyone AS (SELECT c_custkey AS case_id FROM customer UNION SELECT user_id FROM events WHERE user_id IN (SELECT case_id FROM faults)),
+      one AS (SELECT case_id, min({{'p': place, 's': stage, 'e': error}}) AS f FROM faults GROUP BY ALL)
+      SELECT case_id, CASE WHEN f IS NULL THEN 'completed' ELSE 'failed' END AS outcome, f.s AS stage, f.e AS error FROM everyone LEFT JOIN one USING (case_id)""",
+    "stage_attempts": """WITH k AS (SELECT o_custkey AS customer, count(*) AS requests FROM orders GROUP BY ALL),
+      t AS (SELECT *, customer % 3 = 0 AS a, customer % 5 <> 0 AND customer % 7 <> 1 AS b, customer % 11 <> 4 AS c FROM k)
+      SELECT customer, requests, CASE WHEN a THEN 'external:ok' ELSE 'external:unavailable,' || CASE WHEN b THEN 'local:ok' ELSE 'local:error,local:error,' || CASE WHEN c THEN 'rules:ok' ELSE 'rules:error,rules:error' END END END AS attempts,
+        (3 * CASE WHEN a THEN 1 WHEN b THEN 2 WHEN c THEN 4 ELSE 5 END)::BIGINT AS latency_ms, CASE WHEN a THEN 'external' WHEN b THEN 'local' WHEN c THEN 'rules' END AS provider,
+        CASE WHEN a THEN customer WHEN b THEN -customer WHEN c THEN 0 END::BIGINT AS answer, CASE WHEN a OR b OR c THEN 'store' END AS provider_again FROM t""",
+    "open_records": """WITH r AS (SELECT user_id AS case_id, event_id, event_type, CASE event_type WHEN 'error' THEN replace(props, '}', ', "more": [1, "x"]}') WHEN 'purchase' THEN replace(props, '}', '.5}') WHEN 'view' THEN replace(props, ': ', ': "n') ELSE props END AS record FROM events),
+      p AS (SELECT *, CASE WHEN json_valid(record) THEN record::JSON END AS j FROM r)
+      SELECT case_id, event_id, CASE WHEN json_type(j, '$.k') IN ('UBIGINT', 'BIGINT') THEN (j->>'$.k')::BIGINT END AS k,
+        CASE WHEN j IS NULL OR json_type(j) <> 'OBJECT' THEN 'no_record' WHEN json_type(j, '$.k') NOT IN ('UBIGINT', 'BIGINT', 'NULL') THEN 'k_not_long' END AS violation,
+        CASE WHEN json_type(j) = 'OBJECT' THEN len(json_keys(j))::INT END AS n_keys, json(j)::VARCHAR AS rest FROM p""",
     "trajectory": f"{_w} {_STEPS} SELECT * FROM steps",
     "box_geometry": """WITH b AS (SELECT l_orderkey, l_linenumber, (l_partkey % 1000)::INT AS x1, (l_suppkey % 800)::INT AS y1, (l_partkey % 1000 + l_quantity)::INT AS x2, (l_suppkey % 800 + l_quantity * 2)::INT AS y2,
         (l_orderkey % 900)::INT AS u1, (l_orderkey % 700)::INT AS v1, (l_orderkey % 900)::INT + 120 AS u2, (l_orderkey % 700)::INT + 90 AS v2 FROM lineitem),
