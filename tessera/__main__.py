@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .operators import labels, timeline
 from .plans import run as plan
 from .settings import load
-from .sources import io, providers
+from .sources import files, io, providers
 from .sources.store import Store
 
 #: Providers that a runtime file's chains may name; a program adds its own before it calls main().
@@ -98,7 +98,10 @@ def main(argv: list[str] | None = None) -> None:
         io.write_documents(done.log, f"{a.output_root}/events")
         io.write_documents(done.attempts, f"{a.output_root}/attempts")
         io.write_documents(plan.batch_summary(done), f"{a.output_root}/batch_summary")
-        io.write_crop_manifest(done.steps.filter("action <> 'stop'"), f"{a.output_root}/crop_manifest", "crops/")
+        files.write_cases(plan.crop_files(done), f"{a.output_root}/crops")
+        drawn = done.windows.select("case_id", "step_id").distinct()  # a window without pixels has no image
+        where = F.concat(F.lit("crops/"), files.folder_of("case_id"), F.lit("/"), F.col("case_id"), F.lit("/"))
+        io.write_crop_manifest(done.steps.join(drawn, ["case_id", "step_id"]), f"{a.output_root}/crop_manifest", where)
         io.write_predictions(done.results, f"{a.output_root}/case_predictions")
     elif a.what == "replay-case":
         text = replay(spark, a.case_dir) if a.case_dir else replay_of_run(spark, a.output_root, a.case_id)

@@ -29,6 +29,7 @@ class Run:
     outcomes: DataFrame
     attempts: DataFrame
     patches: DataFrame
+    windows: DataFrame
 
 
 #: The size of a case's thumbnail and of its full image.
@@ -167,7 +168,7 @@ def run(cases: DataFrame, pixels: DataFrame, hints: DataFrame, crop_pixels: Data
     large = clusters.join(sizes.select("case_id", "full_w", "full_h"), "case_id").withColumns({c: on_full(c, i) for i, c in enumerate(("x1", "y1", "x2", "y2"))})
     steps = keep(path.trajectory(large, "full_w", "full_h", settings), "steps")
     done_with("navigate")
-    windows = raster.crop_window(crop_pixels, evidence.drop_stops(steps).select("case_id", "step_id", "x", "y", "size"))
+    windows = raster.crop_window(crop_pixels, evidence.drop_stops(steps).select("case_id", "step_id", "m", "x", "y", "size"))
     crops = raster.crop_statistics(windows, "case_id", "step_id")
     seen = evidence.observed(steps, crops, clusters, strict=False)
     if backends.get("observe"):
@@ -198,7 +199,7 @@ def run(cases: DataFrame, pixels: DataFrame, hints: DataFrame, crop_pixels: Data
     log = keep(_log(cases, clusters, steps, observed, status, exports, asked, started, timings), "events")
     if tried is None:
         tried = cases.select("case_id").limit(0).selectExpr("case_id", "'' AS key", "0 AS priority", "'' AS provider", "'' AS status", "'' AS output", "0L AS latency_ms", "0 AS attempt", "'' AS stage")
-    return Run(cases, clusters, steps, hits, listed, assessed, found_bad, status, results, log, faults.outcomes(everyone, bad), tried, patches)
+    return Run(cases, clusters, steps, hits, listed, assessed, found_bad, status, results, log, faults.outcomes(everyone, bad), tried, patches, windows)
 
 
 def _observations(hits: DataFrame) -> DataFrame:
@@ -274,6 +275,13 @@ def _results(cases, clusters, steps, observed, listed, counts, assessed, violati
         F.struct("estimated_case_cost_units", "trace_attempts", "observation_steps").alias("cost"))
 
 
+def crop_files(done: Run, output: int = 256) -> DataFrame:
+    """(case_id, name, body): the PNG of each step's window, under the name that the crop manifest gives it."""
+    placed = done.windows.select("case_id", "step_id", "m", "size", F.col("py").alias("y"), F.col("px").alias("x"), "r", "g", "b")
+    drawn = io.crops(placed, "case_id", "step_id", "m", "size", output=output)
+    return drawn.select("case_id", io.crop_name(F.col("step_id"), F.col("m"), F.col("size")).alias("name"), F.col("png").alias("body"))
+
+
 def batch_summary(done: Run) -> DataFrame:
     """(case_id, outcome, stage, error) of every case: completed, or failed with the stage and the error."""
     return done.outcomes

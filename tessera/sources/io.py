@@ -137,7 +137,7 @@ def crop_manifest(steps: DataFrame, folder: str | Column = "") -> DataFrame:
                         F.col("size").alias("region_size_level0"), about.alias("metadata"))
 
 
-def write_crop_manifest(steps: DataFrame, path: str, folder: str = "") -> None:
+def write_crop_manifest(steps: DataFrame, path: str, folder: str | Column = "") -> None:
     """One JSON document a case: its crops in order."""
     rows = crop_manifest(steps, folder)
     one = F.struct("ord", *[c for c in rows.columns if c not in ("case_id", "ord")])

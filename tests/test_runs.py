@@ -204,3 +204,46 @@ def test_boxes_meet_once(spark):
 def test_open_records(spark, text, want):
     r = audit.open_records(spark.createDataFrame([(1, text)], "id int, t string"), "t", {"k": "long"}, "id").first()
     assert (r.k, r.violation, r.n_keys) == want
+
+
+def test_files_of_cases_all_or_none(spark, tmp_path):
+    import os
+
+    from tessera.sources import files
+
+    out = str(tmp_path / "out")
+    rows = spark.createDataFrame([(f"c{i}", f"{k}.png", bytes([i, k])) for i in range(9) for k in range(3)] + [("e", "x", None)], "case_id string, name string, body binary")
+    files.write_cases(rows, out)
+    there = {os.path.relpath(os.path.join(d, n), out) for d, _, names in os.walk(out) for n in names if not n.endswith(".crc")}
+    named = rows.select(files.folder_of("case_id").alias("f"), "case_id", "name").collect()
+    assert there == {f"{r.f}/{r.case_id}/{r.name}" for r in named}
+    place = next(f"{r.f}/{r.case_id}/{r.name}" for r in named if (r.case_id, r.name) == ("c7", "2.png"))
+    assert open(f"{out}/{place}", "rb").read() == bytes([7, 2])
+    fresh = str(tmp_path / "fresh")
+    with pytest.raises(Exception, match="no file name"):
+        files.write_cases(rows.unionByName(spark.createDataFrame([("a/b", "x", None)], rows.schema)), fresh)
+    assert not os.path.exists(fresh) or os.listdir(fresh) == []
+    with pytest.raises(Exception):
+        files.write_cases(rows, out, overwrite=False)
+    assert {os.path.relpath(os.path.join(d, n), out) for d, _, names in os.walk(out) for n in names} == there
+
+
+def test_command_line_run(spark, tmp_path):
+    import os
+
+    from tessera.__main__ import main
+
+    cases, pix, hints, crop = tables(spark)
+    for name, df in (("p", pix), ("h", hints), ("c", crop)):
+        df.write.parquet(str(tmp_path / name))
+    (tmp_path / "m.csv").write_text("slide_id,slide_filename,slide_path\na,a,/a.svs\nb,b,/b.svs\n")
+    (tmp_path / "l.csv").write_text("slide_id,type,grade\na,SSL,low\nb,HP,low\n")
+    root = str(tmp_path / "root")
+    at = {k: str(tmp_path / k) for k in "phc"}
+    main(["run-batch", "--manifest", str(tmp_path / "m.csv"), "--labels", str(tmp_path / "l.csv"), "--pixels", at["p"], "--hints", at["h"], "--crops", at["c"],
+          "--thumb", "64", "64", "--full", "4000", "4000", "--output-root", root, "--store", str(tmp_path / "store")])
+    told = [json.loads(r.value) for r in spark.read.text(f"{root}/crop_manifest").collect()]
+    images = [c["image_path"] for t in told for c in t["crops"]]
+    assert images and all(open(f"{root}/{i}", "rb").read(4) == b"\x89PNG" for i in images)
+    assert {r.case_id: r.outcome for r in spark.read.json(f"{root}/batch_summary").collect()} == {"a": "completed", "b": "completed"}
+    assert os.path.isdir(f"{root}/attempts") and spark.read.option("header", True).csv(f"{root}/case_predictions").count() == 2
