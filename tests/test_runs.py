@@ -247,3 +247,49 @@ def test_command_line_run(spark, tmp_path):
     assert images and all(open(f"{root}/{i}", "rb").read(4) == b"\x89PNG" for i in images)
     assert {r.case_id: r.outcome for r in spark.read.json(f"{root}/batch_summary").collect()} == {"a": "completed", "b": "completed"}
     assert os.path.isdir(f"{root}/attempts") and spark.read.option("header", True).csv(f"{root}/case_predictions").count() == 2
+
+
+def test_a_crop_reads_its_tiles_alone(spark, tmp_path):
+    from tessera.sources import tiles
+
+    path = str(tmp_path / "t")
+    value = lambda k, y, x: (k, y, x, (x * 7 + y) % 256, x % 256, y % 256)
+    rows = [value(k, y, x) for k in ("a", "b") for y in range(0, 96) for x in range(0, 80)]
+    tiles.write_tiles(spark.createDataFrame(rows, tiles.SCHEMA), path, 32)
+    all_of = tiles.read_tiles(spark, path, 32)
+    assert sorted(tuple(r) for r in all_of.collect()) == sorted(rows) and all_of.rdd.getNumPartitions() == 6
+    crop = tiles.read_tiles(spark, path, 32).filter("case_id = 'b' AND y >= 40 AND y < 60 AND x > 31 AND x <= 63")
+    assert crop.rdd.getNumPartitions() == 1
+    assert sorted(tuple(r) for r in crop.collect()) == [value("b", y, x) for y in range(40, 60) for x in range(32, 64)]
+    reader = tiles.TileReader(path, 32)
+    assert list(reader.pushFilters([tiles.EqualTo(("case_id",), "b"), tiles.GreaterThanOrEqual(("y",), 40), tiles.LessThan(("y",), 60), tiles.GreaterThan(("x",), 31), tiles.LessThanOrEqual(("x",), 63)]))
+    assert [(p.case, p.ty, p.tx) for p in reader.partitions()] == [("b", 1, (1,))]
+    assert tiles.read_tiles(spark, path, 32).filter("case_id = 'nobody'").count() == 0
+
+
+def test_png_filters_of_other_writers():
+    import struct
+    import zlib
+
+    import numpy as np
+
+    from tessera.sources import io as files, tiles
+
+    rnd = np.random.default_rng(2)
+    a = rnd.integers(0, 256, (7, 5, 3), dtype=np.uint8)
+    assert (tiles.decode_png(files.encode_png(5, 7, a.tobytes())) == a).all()
+    # the same rows with each of the five filters
+    wide, lines = np.zeros((8, 6, 3), int), []
+    wide[1:, 1:] = a
+    for y in range(7):
+        left, up, corner = wide[y + 1, :-1], wide[y, 1:], wide[y, :-1]
+        p = left + up - corner
+        d = [abs(p - v) for v in (left, up, corner)]
+        paeth = np.where((d[0] <= d[1]) & (d[0] <= d[2]), left, np.where(d[1] <= d[2], up, corner))
+        guess = [np.zeros_like(left), left, up, (left + up) // 2, paeth][y % 5]
+        lines.append(bytes([y % 5]) + ((a[y] - guess) % 256).astype(np.uint8).tobytes())
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    raw = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 5, 7, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
+    assert (tiles.decode_png(raw) == a).all()
+    with pytest.raises(ValueError):
+        tiles.decode_png(b"GIF89a")
