@@ -293,3 +293,31 @@ def test_png_filters_of_other_writers():
     assert (tiles.decode_png(raw) == a).all()
     with pytest.raises(ValueError):
         tiles.decode_png(b"GIF89a")
+
+
+def test_a_shuffled_stream_gives_the_batch_timeline(spark, tmp_path):
+    import random
+
+    from tessera.operators import timeline
+    from tessera.streaming import log
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", log.ROCKSDB)
+    events = [(f"c{c}", i, "START" if i == 0 else "END" if i == 9 else "OBSERVE", f"{c}/{i}") for c in range(5) for i in range(10)]
+    late = [("c0", 10, "OBSERVE", "after the end"), ("c1", 3, "OBSERVE", "1/3"), (None, 1, "x", "x"), ("c2", None, "x", "x")]
+    rnd = random.Random(1)
+    rnd.shuffle(events)
+    schema = "case_id string, seq long, state string, line string"
+    source, sink, n = str(tmp_path / "in"), str(tmp_path / "out"), 0
+    stream = log.in_order(spark.readStream.schema(schema).json(source + "/*")).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "at")).outputMode("append")
+    for part in (events[:20], events[20:35], events[35:] + late):
+        spark.createDataFrame(part, schema).coalesce(1).write.json(f"{source}/{n}")
+        n += 1
+        q = stream.trigger(availableNow=True).start(sink)  # each time from the checkpoint
+        q.awaitTermination(120)
+        assert q.exception() is None
+    rows = spark.read.parquet(sink)
+    assert rows.count() == 50
+    want = {r.case_id: r.timeline for r in timeline.timeline(spark.createDataFrame(events, schema), "case_id", ["seq"]).collect()}
+    assert {r.case_id: r.timeline for r in timeline.timeline(rows, "case_id", ["seq"]).collect()} == want
+    held = log.in_order(spark.createDataFrame([e for e in events if e[1] != 4], schema))
+    assert {r.case_id: r.n for r in held.groupBy("case_id").agg(F.count("*").alias("n")).collect()} == {f"c{c}": 4 for c in range(5)}
