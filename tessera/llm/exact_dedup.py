@@ -87,6 +87,13 @@ def repeated_filter(keys: DataFrame, rows: int) -> np.ndarray:
     return bits
 
 
+def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the long ``keys`` may be repeated, by the bits of :func:`repeated_filter`: all that are, and a few more."""
+    s = _slots(keys, len(bits) * 8)
+    hit = (bits[(s >> np.uint64(3)).astype(np.int64)] >> (7 - (s & np.uint64(7))).astype(np.uint8)) & 1
+    return hit.reshape(HASHES, -1).all(axis=0)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with text_sha256 of the text, each run of ASCII white space one space; null is the empty text."""
     norm = F.regexp_replace(F.coalesce("text", F.lit("")), SPACES, " ")
