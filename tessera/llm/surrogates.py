@@ -8,6 +8,12 @@ gender of its title. One value has one replacement in all
 documents, whatever its case (coreference); two values never share one
 (distinctness): replacements are compared over all values, and where two meet,
 or one equals a value of the data, the loser draws again.
+
+Domains, and the values of a form that is so crowded that draws don't settle
+(the 10,000 addresses of four one-digit octets, say), go through a keyed
+permutation of all values of their form: it keeps the form, no two values meet
+in it, and none stays as it was. In a crowded form a replacement may be another
+value of the data, as more than half of the form is taken.
 """
 
 from __future__ import annotations
@@ -36,10 +42,10 @@ ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(p.replace(r"([ \-]?)", r"(?<gap>[ \-]?)
 ALPHABETS = (
     ("[a-z]", "abcdefghijklmnopqrstuvwxyz"),
     ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    ("[à-öø-ÿ]", "àáâäãåçèéêëìíîïñòóôöõùúûü"),
-    ("[À-ÖØ-Þ]", "ÀÁÂÄÃÅÇÈÉÊËÌÍÎÏÑÒÓÔÖÕÙÚÛÜ"),
-    ("[а-я]", "абвгдежзийклмнопрстуфхцчшщэюя"),
-    ("[А-Я]", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ"),
+    ("[à-öø-þ]", "àáâäãåæçèéêëìíîïðñòóôöõøùúûüýþ"),
+    ("[À-ÖØ-Þ]", "ÀÁÂÄÃÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÖÕØÙÚÛÜÝÞ"),
+    ("[а-я]", "абвгдежзийклмнопрстуфхцчшщъыьэюя"),
+    ("[А-Я]", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"),
     ("[α-ω]", "αβγδεζηθικλμνξοπρστυφχψω"),
     ("[Α-Ω]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
 )
@@ -49,8 +55,11 @@ NAME_CYRILLIC = "ба бе би бо ва ве ви во га го да де д
 ENDINGS = {"f": ("na", "lia", "на", "лия"), "m": ("n", "rd", "н", "рд"), "s": ("ner", "son", "нов", "ский")}
 #: What looks like a value but isn't one stays as it is.
 NOTHING = "nothing"
-#: After this many draws a value gets a longer form; it is compared all the same.
+#: A form with a value that this many draws have not settled is permuted as a whole.
 LAST_DRAW = 12
+#: The draw of a value whose form is permuted.
+PERMUTED = -1
+ROUNDS = 4
 
 
 def _may_hold() -> Column:
@@ -75,9 +84,13 @@ def _type(value: str) -> Column:
     return F.when((kind == "card") & ~held[0], F.lit(NOTHING)).when((kind == "iban") & ~held[1], F.lit(NOTHING)).otherwise(kind)
 
 
+def _literal(key: str) -> str:
+    return "'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _digest(key: str, *parts: str) -> str:
     """SQL for 192 hexadecimal digits of key and parts."""
-    what = ", ".join(["'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'", *parts])
+    what = ", ".join([_literal(key), *parts])
     return "concat(" + ", ".join(f"sha2(concat_ws('|', {what}, '{i}'), 256)" for i in range(3)) + ")"
 
 
@@ -95,6 +108,63 @@ def _same_format(value: str, digest: str, keep: str = "false") -> str:
     return f"array_join(transform(CASE WHEN length({value}) > 0 THEN {chars} END, c -> CASE {cases} ELSE c.s END), '')"
 
 
+def _cells(value: str, keep: str) -> str:
+    """SQL: per character its place i, itself s, the alphabet a it may change in ('' if it stays), its place v there and the alphabet's size n."""
+    letters = f"CASE WHEN {keep} THEN '' WHEN c.s RLIKE '[0-9]' THEN '0123456789' "
+    for test, alphabet in ALPHABETS:
+        letters += f"WHEN c.s RLIKE '{test}' THEN '{alphabet}' "
+    letters += "ELSE '' END"
+    chars = f"CASE WHEN length({value}) > 0 THEN transform(sequence(1, length({value})), i -> named_struct('i', i, 's', substr({value}, i, 1))) END"
+    cell = "named_struct('i', c.i, 's', c.s, 'a', a, 'v', greatest(instr(a, c.s) - 1, 0), 'n', CASE WHEN instr(a, c.s) > 0 THEN length(a) ELSE 1 END)"
+    return f"transform({chars}, c -> {_let('a', letters, cell)})"
+
+
+def _octets(value: str) -> str:
+    """SQL: the cells of an address; an octet stays within those of its length."""
+    n = "element_at(array(10, 90, 156), length(o))"
+    return f"transform(split({value}, '[.]'), (o, i) -> named_struct('i', i + 1, 's', o, 'a', o, 'v', CAST(o AS INT) - element_at(array(0, 10, 100), length(o)), 'n', {n}))"
+
+
+def _permuted(cells: str, key: str, form: str, write: str) -> str:
+    """SQL: the parts of a value, as an array, after a keyed permutation of all values with these cells' alphabets.
+
+    Places go to two halves in turn; in each round every place of one half is
+    moved on by a digest of the other half (a Feistel network on digits of mixed
+    radix). Those rounds, one step at the first place, and the rounds undone, make
+    a permutation that leaves no value as it is. ``write`` makes a part of the
+    cell c and its new place w.
+    """
+    def step(x: str, r: int, sign: str) -> str:
+        other = f"array_join(transform(filter({x}, (d, j) -> j % 2 <> {r % 2}), d -> CAST(d.v AS STRING)), ',')"
+        digest = f"sha2(concat_ws('|', {_literal(key)}, 'round', {form}, '{r}', {other}), 512)"
+        moved = f"pmod(c.v {sign} CAST(conv(substr(g, (j * 3) % 120 + 1, 5), 16, 10) AS INT), c.n)"
+        return _let("g", digest, f"transform({x}, (c, j) -> CASE WHEN j % 2 = {r % 2} THEN named_struct('i', c.i, 'n', c.n, 'v', {moved}) ELSE c END)")
+
+    steps = [("+", r) for r in range(ROUNDS)] + [("1", 0)] + [("-", r) for r in reversed(range(ROUNDS))]
+    names = [f"x{i}" for i in range(len(steps) + 1)]
+    last = names[-1]
+    body = f"transform(cells, c -> {_let('w', f'try_element_at(filter({last}, d -> d.i = c.i), 1).v', write)})"
+    for i in reversed(range(len(steps))):
+        sign, r = steps[i]
+        x = names[i]
+        one = f"transform({x}, (c, j) -> named_struct('i', c.i, 'n', c.n, 'v', CASE WHEN j = 0 THEN pmod(c.v + 1, c.n) ELSE c.v END))"
+        body = _let(names[i + 1], one if sign == "1" else step(x, r, sign), body)
+    open_ = "transform(filter(cells, c -> c.n > 1), c -> named_struct('i', c.i, 'n', c.n, 'v', c.v))"
+    return _let("cells", cells, _let("x0", open_, body))
+
+
+def _permuted_text(value: str, key: str, form: str, keep: str = "false") -> str:
+    """SQL: each digit and letter of value, but where keep holds, replaced by one of its kind, by :func:`_permuted`."""
+    write = "CASE WHEN c.n > 1 THEN substr(c.a, w + 1, 1) ELSE c.s END"
+    return f"CASE WHEN length({value}) > 0 THEN array_join({_permuted(_cells(value, keep), key, form, write)}, '') ELSE {value} END"
+
+
+def _form(value: str) -> str:
+    """SQL for what a permutation keeps of a value; equal for all values that it may exchange."""
+    shape = "regexp_replace(regexp_replace({}, '[0-9]', '0'), '\\\\p{{L}}', 'a')"
+    return f"CASE kind WHEN 'email' THEN concat({shape.format(f'substring_index({value}, {quote(chr(64))}, 1)')}, '@', substring_index({value}, '@', -1)) ELSE {shape.format(value)} END"
+
+
 def _luhn(number: str) -> str:
     """SQL: the weighted digit sum of a number, modulo ten; 0 where its check digit holds."""
     digit = "CAST(substr(d, length(d) - i, 1) AS INT)"
@@ -135,19 +205,23 @@ def with_surrogate(rows: DataFrame, key: str, value: str = "value") -> DataFrame
     e = F.expr
     domain = f"substring_index({value}, '@', -1)"
     rows = rows.withColumn("__g", e(_digest(key, "kind", f"lower({value})", "CAST(draw AS STRING)")))
-    # a domain has one replacement, whoever has addresses there
-    rows = rows.withColumn("__hg", e(f"CASE WHEN kind = 'email' THEN {_digest(key, quote('domain'), f'lower({domain})')} END"))
     rows = rows.withColumn("__host", e(f"CASE WHEN kind = 'email' THEN substr({domain}, 1, length({domain}) - length(substring_index({domain}, '.', -1))) END"))
     rows = rows.withColumn("__body", e(f"CASE WHEN kind = 'email' THEN substring_index({value}, '@', 1) ELSE {value} END"))
     # what stays: the country's code, an issuer's first digit, a key's prefix, and the exchange 555, which belongs to nobody
     rows = rows.withColumn("__keep", e(
         f"CASE kind WHEN 'phone' THEN length(regexp_extract({value}, '^[+][0-9]{{1,3}}', 0)) WHEN 'card' THEN 1 WHEN 'iban' THEN 2 "
         f"WHEN 'secret' THEN length(regexp_extract({value}, '^(AKIA|gh[a-z]_|sk-)', 1)) ELSE 0 END"))
-    rows = rows.withColumn("__555", e(f"CASE WHEN kind = 'phone' AND {value} RLIKE '[ .)-]555[ .-][0-9]{{4}}$' THEN length({value}) - 8 ELSE -9 END"))
-    rows = rows.withColumn("__raw", e(_same_format("__body", "__g", "c.i <= __keep OR (c.i > __555 AND c.i <= __555 + 3)")))
-    rows = rows.withColumn("__hosts", e(_same_format("__host", "__hg")))
+    rows = rows.withColumn("__555", e(f"CASE WHEN kind = 'phone' AND draw <> {PERMUTED} AND {value} RLIKE '[ .)-]555[ .-][0-9]{{4}}$' THEN length({value}) - 8 ELSE -9 END"))
+    keep = "c.i <= __keep OR (c.i > __555 AND c.i <= __555 + 3)"
+    # check digits follow from the rest
+    fixed = f"{keep} OR (kind = 'card' AND c.i = length({value})) OR (kind = 'iban' AND c.i <= 4)"
+    whose = f"concat(kind, CASE WHEN kind = 'email' THEN lower({domain}) ELSE '' END)"
+    rows = rows.withColumn("__raw", e(f"CASE WHEN draw = {PERMUTED} THEN {_permuted_text('__body', key, whose, fixed)} ELSE {_same_format('__body', '__g', keep)} END"))
+    # a domain has one replacement, whoever has addresses there, and two domains never share one
+    rows = rows.withColumn("__hosts", e(f"CASE WHEN kind = 'email' THEN {_permuted_text('__host', key, quote('domain'))} END"))
     rows = rows.withColumn("__blank", e(f"CASE WHEN kind = 'card' AND {_luhn(value)} = 0 THEN concat(substr(__raw, 1, length({value}) - 1), '0') END"))
     octet = (f"CAST(CASE length(o) WHEN 1 THEN {_draw('__g', 'i + 1')} % 10 WHEN 2 THEN 10 + {_draw('__g', 'i + 1')} % 90 ELSE 100 + {_draw('__g', 'i + 1')} % 156 END AS STRING)")
+    octets = f"array_join({_permuted(_octets(value), key, 'kind', 'CAST(w + element_at(array(0, 10, 100), length(c.s)) AS STRING)')}, '.')"
     hexes = f"array_join(transform(sequence(1, length({value})), i -> substr(CASE WHEN {value} RLIKE '[a-f]' THEN '0123456789abcdef' ELSE '0123456789ABCDEF' END, {_draw('__g', 'i')} % 16 + 1, 1)), '')"
     zeros = "concat(substr(__raw, 1, 2), '00', substr(__raw, 5))"
     gender = f"CASE WHEN {value} RLIKE '^({FEMALE})[. ]' THEN 'f' ELSE 'm' END"
@@ -155,13 +229,14 @@ def with_surrogate(rows: DataFrame, key: str, value: str = "value") -> DataFrame
     person = _let("p", f"split(substr({value}, length({title}) + 1), '[ -]')", f"concat({title}, array_join(transform(p, (n, j) -> CASE WHEN j = size(p) - 1 THEN {_name('n', key, 'family', quote('x'))} ELSE {_name('n', key, 'given', gender)} END), ' '))")
     new = (
         f"CASE WHEN kind = 'email' THEN concat(__raw, '@', __hosts, substring_index({domain}, '.', -1)) "
+        f"WHEN kind = 'ipv4' AND draw = {PERMUTED} THEN {octets} "
         f"WHEN kind = 'ipv4' THEN array_join(transform(split({value}, '[.]'), (o, i) -> {octet}), '.') "
         # the last digit makes up for the rest where the value's own check holds
         f"WHEN __blank IS NOT NULL THEN concat(substr(__raw, 1, length({value}) - 1), CAST((10 - {_luhn('__blank')}) % 10 AS STRING)) "
         f"WHEN kind = 'iban' THEN concat(substr(__raw, 1, 2), lpad(CAST(98 - {_mod97(zeros)} AS STRING), 2, '0'), substr(__raw, 5)) "
         f"WHEN kind = '{NOTHING}' THEN {value} WHEN kind = 'secret' AND {value} RLIKE '^[0-9a-fA-F]+$' THEN {hexes} WHEN kind = 'person' THEN {person} ELSE __raw END")
-    rows = rows.withColumn("new", e(f"concat({new}, CASE WHEN draw >= {LAST_DRAW} THEN concat('-', substr(__g, 1, 12)) ELSE '' END)"))
-    return rows.drop("__g", "__hg", "__host", "__body", "__keep", "__555", "__raw", "__hosts", "__blank")
+    rows = rows.withColumn("new", e(new))
+    return rows.drop("__g", "__host", "__body", "__keep", "__555", "__raw", "__hosts", "__blank")
 
 
 def quote(s: str) -> str:
@@ -172,20 +247,32 @@ def draws(values: DataFrame, key: str) -> DataFrame:
     """(kind, canon, draw) of the values whose first draw collides; the others' draw is 0.
 
     ``values`` has distinct (kind, canon), canon in lower case; names are
-    compared as written.
+    compared as written. Where a form is too crowded for LAST_DRAW draws, all its
+    values have the draw PERMUTED. Names grow with each draw, and keys are long:
+    their forms are never crowded.
     """
     values = staged(values, "values")
+    held = values.select(F.col("canon").alias("new")).distinct().withColumn("real", F.lit(True))
     drawn = staged(with_surrogate(values.withColumn("draw", F.lit(0)), key, "canon"), "drawn")
-    for _ in range(LAST_DRAW + 4):
+    for i in range(2 * LAST_DRAW):
         # of the values that meet in one replacement the least keeps it
-        met = drawn.groupBy("new").agg(F.min(F.struct("kind", "canon")).alias("first"), F.count("*").alias("n"))
-        held = values.select(F.col("canon").alias("new")).distinct().withColumn("real", F.lit(True))
-        met = met.join(held, "new", "left").filter("n > 1 OR real").select("new", "first", F.coalesce("real", F.lit(False)).alias("real"))
+        met = drawn.groupBy("new").agg(F.min(F.struct("kind", "canon")).alias("first"), F.count("*").alias("n"), F.max(F.col("draw") == PERMUTED).alias("permuted"))
+        # a permuted value is distinct from all of its form, and may be another of the data
+        met = met.join(held, "new", "left").filter("n > 1 OR (real AND NOT permuted)").select("new", "first", F.coalesce("real", F.lit(False)).alias("real"))
         met = staged(met, "met")
         if met.isEmpty():
-            return drawn.filter("draw > 0").select("kind", "canon", "draw")
-        lost = F.col("real").isNotNull() & (F.col("real") | (F.struct("kind", "canon") != F.col("first")))
-        again = drawn.join(met, "new", "left").withColumn("draw", F.col("draw") + F.when(lost, 1).otherwise(0))
+            return drawn.filter("draw <> 0").select("kind", "canon", "draw")
+        lost = F.col("real").isNotNull() & (F.col("real") | (F.struct("kind", "canon") != F.col("first"))) & (F.col("draw") != PERMUTED)
+        again = drawn.join(met, "new", "left").withColumn("lost", F.coalesce(lost, F.lit(False))).select("kind", "canon", "draw", "lost")
+        if i >= LAST_DRAW:
+            again = again.withColumn("form", F.expr(f"CASE WHEN kind NOT IN ('person', 'secret') THEN {_form('canon')} END")).withColumn("__v", salt_of("canon"))
+            again = staged(again, "again")
+            crowded = again.filter("lost").select("kind", "form").distinct().withColumn("crowded", F.lit(True)).withColumn("__v", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            again = again.join(crowded, ["kind", "form", "__v"], "left")
+            drawing = F.col("draw") + F.col("lost").cast("int")
+            again = again.withColumn("draw", F.when(F.col("crowded"), PERMUTED).otherwise(drawing))
+        else:
+            again = again.withColumn("draw", F.col("draw") + F.col("lost").cast("int"))
         drawn = staged(with_surrogate(again.select("kind", "canon", "draw"), key, "canon"), "drawn")
     raise ValueError("replacements still collide after the last draw")
 

@@ -246,6 +246,46 @@ def test_surrogates_stay_distinct(spark):
     assert new.select("n").distinct().count() == new.count() and new.join(values.select(F.col("canon").alias("n")), "n").isEmpty()
 
 
+def _replaced(values):
+    drawn = surrogates.draws(values, "k")
+    both = values.join(drawn, ["kind", "canon"], "left").withColumn("draw", F.coalesce("draw", F.lit(0)))
+    return [(r.canon, r.new, r.draw) for r in surrogates.with_surrogate(both, "k", "canon").collect()]
+
+
+def test_crowded_forms_are_permuted(spark):
+    """All 10,000 addresses of one-digit octets stay such addresses, distinct, and none as it was; phones and others still draw."""
+    digits = F.lpad(F.col("id").cast("string"), 4, "0")
+    address = F.concat_ws(".", *[F.substring(digits, i, 1) for i in range(1, 5)])
+    full = spark.range(10_000).select(F.lit("ipv4").alias("kind"), address.alias("canon"))
+    phones = spark.range(9_000).select(F.lit("phone").alias("kind"), F.concat(F.lit("+49 30 555-"), digits).alias("canon"))
+    others = spark.createDataFrame([("ipv4", "10.2.3.4"), ("email", "a@x.org"), ("card", "4111111111111111")], "kind string, canon string")
+    got = _replaced(full.union(phones).union(others))
+    assert len({b for _, b, _ in got}) == len(got) == 19_003 and all(a != b for a, b, _ in got)
+    assert all(re.fullmatch(r"\d(\.\d){3}", b) for a, b, _ in got if re.fullmatch(r"\d(\.\d){3}", a))
+    assert all(re.fullmatch(r"\+49 \d\d \d{3}-\d{4}", b) for a, b, _ in got if a.startswith("+"))
+    assert {d for a, _, d in got if re.fullmatch(r"\d(\.\d){3}", a)} == {surrogates.PERMUTED}
+    assert {a for a, _, d in got if d >= 0} >= {"10.2.3.4", "a@x.org", "4111111111111111"}
+
+
+def test_small_address_books_are_permuted(spark):
+    """26 one-letter domains get 26, and the one-letter users of a domain where all are taken stay distinct."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("email", f"user{i}@{c}.example.org") for i, c in enumerate(letters)] + [("email", f"{c}@full.org") for c in letters]
+    got = _replaced(spark.createDataFrame(rows, "kind string, canon string"))
+    domains = {a.split("@")[1]: b.split("@")[1] for a, b, _ in got}
+    assert len(set(domains.values())) == 27 and all(a != b for a, b in domains.items())
+    assert all(re.fullmatch(r"[a-z]\.[a-z]{7}\.org", b) for a, b in domains.items() if a != "full.org")
+    users = {b for a, b, _ in got if a.endswith("@full.org")}
+    assert len(users) == 26 and all(re.fullmatch(r"[a-z]@[a-z]{4}\.org", u) for u in users)
+
+
+def test_permutation_ignores_case_and_knows_scripts(spark):
+    rows = [("email", x, surrogates.PERMUTED) for x in ("Bob.1@Mail.ORG", "bob.1@mail.org", "øre.ёж@þing.is", "ØRE.Ёж@ÞING.is")]
+    got = {r.value: r.new for r in surrogates.with_surrogate(spark.createDataFrame(rows, "kind string, value string, draw int"), "it's").collect()}
+    assert got["Bob.1@Mail.ORG"].lower() == got["bob.1@mail.org"] != "bob.1@mail.org" and got["Bob.1@Mail.ORG"][0].isupper()
+    assert got["ØRE.Ёж@ÞING.is"].lower() == got["øre.ёж@þing.is"].lower() != "øre.ёж@þing.is"
+
+
 def test_surrogate_edges(edge, nothing):
     got = surrogates.pseudonymise(edge, "k").collect()
     assert Counter((r.doc_id, r.text, r.n_entities) for r in got) == Counter((r[0], r[1], 0) for r in EDGE)
