@@ -3,9 +3,10 @@
 A fingerprint of 64 bits has 32 segments of two bits. The bit counts of the
 segments embed it in a grid, where the Manhattan distance of two points never
 exceeds the Hamming distance of the fingerprints. The segments form seven
-groups or more; at a distance of four or less all but four groups agree in all
-their counts, so a join on those sets of groups (35 for seven) finds every pair
-whose bound allows it, and the exact distance settles it. More groups make
+groups or more; at a Manhattan distance of four or less all but four groups agree
+in all their counts, so a join on those sets of groups (35 for seven) has every
+pair within that range; the distance of the counts drops the pairs beyond it, and
+the exact distance of the fingerprints settles the rest. More groups make
 narrower cells, at more rows a fingerprint; their number follows from that of
 the fingerprints, and every number finds the same pairs.
 
@@ -25,7 +26,7 @@ from operator import or_
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, group_facts, lower_words_of, read_table, salt_of, slices, staged
@@ -83,11 +84,26 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def popcounts(fp: str) -> Column:
+    """The bit counts of a fingerprint's segments, as a point of the grid: of a segment's two bits the low one says one or more, the high one two."""
+    low, high = F.col(fp).bitwiseAND(F.lit(_PAIRS)), F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(_PAIRS))
+    return F.shiftleft(low.bitwiseAND(high), 1).bitwiseOR(low.bitwiseOR(high))
+
+
+def manhattan(a: str, b: str) -> Column:
+    """The Manhattan distance of two fingerprints' points, never above their Hamming distance: in this form of the counts, the bits that differ."""
+    return F.bit_count(popcounts(a).bitwiseXOR(popcounts(b)))
+
+
+def bounded(placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a cell and lie within DISTANCE by the lower bound, each as often as they share cells."""
+    left, right = placed.withColumnRenamed("fp", "a"), placed.withColumnRenamed("fp", "b")
+    return left.join(right, ["i", "v"]).filter((F.col("a") < F.col("b")) & (manhattan("a", "b") <= DISTANCE)).select("a", "b")
+
+
 def cells(distinct: DataFrame, groups: int) -> DataFrame:
     """(fp, cell) for each set of groups that may agree."""
-    low, high = F.col("fp").bitwiseAND(F.lit(_PAIRS)), F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(_PAIRS))
-    # two-bit counts of all segments at once
-    counts = F.shiftleft(low.bitwiseAND(high), 1).bitwiseOR(low.bitwiseXOR(high))
+    counts = popcounts("fp")
     masks = [_signed(reduce(or_, some)) for some in combinations(_group_masks(groups), groups - DISTANCE)]
     keys = F.array(*[F.struct(F.lit(i).cast("short").alias("i"), F.col("__counts").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks)])
     return distinct.withColumn("__counts", counts).select("fp", F.explode(keys).alias("k")).select("fp", F.col("k.i").alias("i"), F.col("k.v").alias("v"))
@@ -120,11 +136,9 @@ def links(distinct: DataFrame, groups: int | None = None) -> DataFrame:
     crowded = staged(crowded, "crowded")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
     if crowded.isEmpty():
-        left, right = placed.withColumnRenamed("fp", "a"), placed.withColumnRenamed("fp", "b")
-        return left.join(right, ["i", "v"]).filter((F.col("a") < F.col("b")) & near).select("a", "b")
+        return bounded(placed).filter(near)
     sparse = placed.join(crowded, ["i", "v"], "left_anti")
-    left, right = sparse.withColumnRenamed("fp", "a"), sparse.withColumnRenamed("fp", "b")
-    pairs = left.join(right, ["i", "v"]).filter((F.col("a") < F.col("b")) & near).select("a", "b")
+    pairs = bounded(sparse).filter(near)
     dense = placed.join(crowded, ["i", "v"], "left_semi").select("fp").distinct()
     mids = dense.mapInArrow(_midpoints, "fp long, mid long").withColumn("__salt", salt_of("fp"))
     hubs = group_facts(mids, "mid", "__salt", [F.min("fp").alias("a"), F.max("fp").alias("z")]).filter("a < z").drop("z")

@@ -179,6 +179,34 @@ def test_simhash_links_of_planted_fingerprints(spark, monkeypatch, groups):
     assert all(len(g) == 1 for g in groups.values()) and len(set.union(*groups.values())) == len(groups)
 
 
+def test_popcount_bound_drops_pairs_and_loses_none(spark):
+    """The distance is that of the counts, by hand; of pairs that share a cell it drops many, and none within four bits."""
+    rng = np.random.default_rng(5)
+    base = int(rng.integers(0, 1 << 62))
+    fps = {base}
+    while len(fps) < 400:  # bits within a few segments, and their two bits exchanged
+        x = base
+        for b in rng.choice(64, int(rng.integers(1, 9)), replace=False):
+            x ^= 1 << int(b)
+        fps.add(x)
+        fps.add((x & ~3) | (x & 1) << 1 | (x & 2) >> 1)
+    df = spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long")
+    placed = simhash.cells(df, 7)
+    left, right = placed.withColumnRenamed("fp", "a"), placed.withColumnRenamed("fp", "b")
+    met = left.join(right, ["i", "v"]).filter("a < b").select("a", "b", simhash.manhattan("a", "b").alias("m")).distinct().collect()
+
+    def by_hand(a, b):
+        return sum(abs((a >> s & 3).bit_count() - (b >> s & 3).bit_count()) for s in range(0, 64, 2))
+
+    unsigned = [(r.a & (2**64 - 1), r.b & (2**64 - 1), r.m) for r in met]
+    assert all(m == by_hand(a, b) <= (a ^ b).bit_count() for a, b, m in unsigned)
+    kept = {(r.a, r.b) for r in simhash.bounded(placed).distinct().collect()}
+    assert kept == {(r.a, r.b) for r in met if r.m <= 4} and len(kept) < len(met)
+    signed = sorted(map(simhash._signed, fps))
+    near = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1:] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
+    assert near < kept
+
+
 def test_simhash_edges(edge, nothing):
     got = Counter((r.doc_id, r.component_id) for r in simhash.near_dedup(edge).collect())
     assert got == Counter([(1, 1), (2, 1), (3, 3), (4, 3), (5, 3), (6, 1), (6, 1), (None, 1), (7, 7), (8, 8)])
