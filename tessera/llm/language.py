@@ -23,7 +23,7 @@ from .common import read_table, slices
 UNKNOWN = "und"
 #: Hashed n-grams of one to NGRAM characters; letters as such, the rest as one space.
 BUCKETS, NGRAM = 1 << 15, 3
-#: Rows that the classifier is fitted on, at most; each language gets an equal part.
+#: Rows that the classifier is fitted on, by a draw in which each language gets an equal part; twice as many at most, if the draw falls so.
 MAX_TRAIN = 4_000
 #: More values of lang than this are an error: the weights are BUCKETS times as many numbers.
 MAX_LANGUAGES = 500

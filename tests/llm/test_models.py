@@ -166,6 +166,15 @@ def test_quality_statistics_and_rules(spark, small, texts):
     assert sum(good) / len(good) > 0.95
 
 
+def test_rules_drop_bad_rows_and_keep_good_ones(spark):
+    """On labels enough to learn from, the list drops rows that the base lets pass."""
+    at = "/root/testdata/sf0.01"
+    got = registry.queries()["op7_decision_list"](spark, at).filter("NOT base_failed").select("doc_id", "kept")
+    counts = Counter((r.quality, r.kept) for r in got.join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id").collect())
+    good, bad = counts[1, True] + counts[1, False], counts[0, True] + counts[0, False]
+    assert bad >= 20 and counts[0, False] / bad > 0.8 and counts[1, True] / good > 0.95, counts
+
+
 def test_rules_find_a_planted_conjunction():
     rng = np.random.default_rng(0)
     x = {f: rng.random(3000) for f in quality.FEATURES}
