@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..settings import KEYWORDS, LAYERS, STRUCTURAL, Settings
+from ..settings import KEYWORDS, LAYERS, STATUSES, STRUCTURAL, Settings
 from . import faults
 
-LAYER_OF = {c: layer for layer, names in LAYERS.items() for c in names}
-
-
 def drop_stops(steps: DataFrame) -> DataFrame:
     """Steps that are no stop; a missing action is no stop."""
     return steps.filter(~F.col("action").eqNullSafe("stop"))
@@ -35,38 +32,28 @@ def observed(steps: DataFrame, crops: DataFrame, regions: DataFrame, case: str =
     return out.withColumn("s", F.coalesce("s", F.lit(0))).withColumn("risk", F.coalesce("risk", "s"))
 
 
-def _rules(st: Settings) -> dict[str, Column]:
-    """Status of each criterion from l, m, s, risk and the crop's tissue and pale shares."""
-    c = F.col
-    good, bad, unsure, no = (F.lit(x) for x in ("supporting", "opposing", "uncertain", "not_assessed"))
-    suspicious, plain = c("l") == "serrated_suspicious_mucosa", c("l") == "non_serrated_mucosa"
-    middle, high = c("m") >= 2.5, c("m") >= 5.0
-    dark = c("pale") < 800
-
-    def surface(least: int) -> Column:
-        return F.when(suspicious, F.when(c("pale") > least, good).otherwise(unsure)).when(plain, F.when(dark, bad).otherwise(unsure)).otherwise(no)
-
-    cap = F.when(middle, F.when((c("pale") > st.pale_high) & (c("s") >= 4), good).otherwise(unsure)).otherwise(no)
-    disorder = F.when((c("risk") >= 5) & (c("tissue") > 6000) & (c("pale") > 1500), good).when(c("risk") >= 3, unsure).otherwise(no)
-    atypia = (c("s") >= 5) & (c("tissue") > 7000) & (c("pale") < 1200)
-    some = c("tissue") > 4000
-    nuclei = F.when(high, F.when(atypia, good).when(some, unsure).otherwise(no)).otherwise(no)
-    crowding = F.when(high & (atypia | some), unsure).otherwise(no)
-    return {
-        "serrated_surface_pattern": surface(st.pale), "mucus_rich_surface": surface(st.pale_high),
-        "serrated_lesion_context": F.when(suspicious, good).when(plain, bad).otherwise(no),
-        "basal_dilatation": F.when(middle, disorder).otherwise(no), "crypt_branching": F.when(middle, disorder).otherwise(no),
-        "horizontal_growth": F.when(high, disorder).otherwise(no), "boot_l_t_shaped_crypt": F.when(high, disorder).otherwise(no),
-        "serration_to_base": cap, "mucus_cap": cap, "abnormal_maturation": cap,
-        "nuclear_enlargement_stratification": nuclei, "hyperchromasia": nuclei,
-        "mitotic_activity_atypia": crowding, "architectural_crowding": crowding,
-    }
+def rule(criterion: str, settings: Settings) -> Column:
+    """Status of a criterion: that of its first condition that holds, else not assessed, as for a criterion without conditions.
+
+    A condition that is null does not hold. One over columns that a view lacks fails when the plan is made; an unknown
+    setting or status is an error here.
+    """
+    numbers = {k: v for k, v in vars(settings).items() if isinstance(v, (int, float))}
+    status = None
+    for condition, said in dict(settings.rules).get(criterion, ()):
+        if said not in STATUSES:
+            raise ValueError(f"{criterion}: unknown status {said!r}")
+        try:
+            holds = F.expr(condition.format_map(numbers))
+        except KeyError as e:
+            raise ValueError(f"{criterion}: no setting {e} with a number") from None
+        status = (F if status is None else status).when(holds, F.lit(said))
+    return F.lit("not_assessed") if status is None else status.otherwise(F.lit("not_assessed"))
 
 
 def hits(seen: DataFrame, settings: Settings) -> DataFrame:
-    """A row for each step and criterion: layer, criterion, status."""
-    rules = _rules(settings)
-    rows = F.array(*[F.struct(F.lit(LAYER_OF[n]).alias("layer"), F.lit(n).alias("criterion"), v.alias("status")) for n, v in rules.items()])
+    """A row for each step and criterion of the settings: layer, criterion, status."""
+    rows = F.array(*[F.struct(F.lit(layer).alias("layer"), F.lit(n).alias("criterion"), rule(n, settings).alias("status")) for layer, names in settings.layers for n in names])
     return seen.withColumn("__h", F.explode(rows)).select(*seen.columns, "__h.layer", "__h.criterion", "__h.status")
 
 
@@ -123,7 +110,7 @@ def reasoning_state(seen: DataFrame, case: str = "case_id", most: int = 8) -> Da
         F.filter(ordered(heavy), lambda t: t.isNotNull()).alias("conflicts"), F.count("*").alias("observations"))
 
 
-def text_driven(texts: DataFrame, key: str, goal: str, column: str = "text") -> DataFrame:
+def text_driven(texts: DataFrame, key: str, goal: str, column: str = "text", settings: Settings = Settings()) -> DataFrame:
     """What a provider's text says of a step: (key, goal, observation, reasoning, next_step, stage_decision, findings of each layer, confidence).
 
     The decision is the goal's own, whatever the findings; the confidence is fixed.
@@ -134,26 +121,19 @@ def text_driven(texts: DataFrame, key: str, goal: str, column: str = "text") ->
     then = (F.when(g == "serrated_lesion_assessment", "Proceed to structural crypt review if the lesion remains within the serrated pathway.")
             .when(g == "ssl_like_architecture_assessment", "Proceed to high-magnification cytology review after structural crypt review.")
             .otherwise("Integrate the layered impression and finalize the report."))
-    found = keyword_hits(texts, key, column).withColumn("layer", _layer_of(F.col("criterion")))
-    names = step_findings(found, key).drop("support").na.fill("", [f"{layer}_findings" for layer in LAYERS])
+    listed = [(F.lit(c), F.lit(layer)) for layer, names in settings.layers for c in names]
+    layer_of = F.create_map(*[x for pair in listed for x in pair]) if listed else F.create_map().cast("map<string,string>")
+    found = keyword_hits(texts, key, column, dict(settings.keywords)).withColumn("layer", F.try_element_at(layer_of, "criterion"))
+    names = step_findings(found, key, layers=dict(settings.layers)).drop("support").na.fill("", [f"{layer}_findings" for layer in LAYERS])
     said = texts.select(
         key, goal, last_line(F.coalesce(column, F.lit(""))).alias("observation"), F.lit("Local Patho-R1 textual evidence was used to summarize the requested diagnostic layer.").alias("reasoning"),
         then.alias("next_step"), decided.alias("stage_decision"), F.lit(0.62).alias("confidence"))
     return said.join(names, key)
 
 
-def _layer_of(criterion: Column) -> Column:
-    layer = F.lit(None).cast("string")
-    for name, found in LAYER_OF.items():
-        layer = F.when(criterion == name, F.lit(found)).otherwise(layer)
-    return layer
-
-
-def step_findings(rows: DataFrame, *keys: str) -> DataFrame:
+def step_findings(rows: DataFrame, *keys: str, layers: dict = LAYERS) -> DataFrame:
     """Supporting criteria of each layer, in order of the criteria, as joined strings."""
-    order = F.lit(None)
-    for i, name in enumerate(LAYER_OF):
-        order = F.when(F.col("criterion") == name, F.lit(i)).otherwise(order)
+    order = F.array_position(F.array(*[F.lit(c) for names in layers.values() for c in names]).cast("array<string>"), F.col("criterion"))
     listed = rows.filter("status = 'supporting'").withColumn("__o", order)
     names = [
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("layer") == layer, F.struct("__o", "criterion")))), lambda x: x["criterion"]), ",").alias(f"{layer}_findings")

@@ -96,13 +96,17 @@ class Chain:
         return keep(path.trajectory(full_size(self.top), FULL, FULL, SETTINGS), "steps")
 
     @cached_property
-    def hits(self) -> DataFrame:
-        """Findings of steps, with the shares of the vector that stands for the crop."""
+    def seen(self) -> DataFrame:
+        """Steps with the shares of the vector that stands for the crop."""
         shares = raster.crop_statistics(crop_pixels(self.spark, self.d), "vec_id")
         n = table(self.spark, self.d, "embeddings").agg(F.count("*").alias("n"))  # one row
         walked = evidence.drop_stops(self.steps).select("case_id", "step_id", "ord").join(F.broadcast(n)).withColumn("vec_id", (F.col("case_id") * 9 + F.col("ord")) % F.col("n"))
         crops = walked.join(shares, "vec_id").select("case_id", "step_id", "background", "tissue", "pale")
-        return keep(evidence.hits(evidence.observed(self.steps, crops, self.top), SETTINGS), "hits")
+        return evidence.observed(self.steps, crops, self.top)
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        return keep(evidence.hits(self.seen, SETTINGS), "hits")
 
     @cached_property
     def faulty(self) -> DataFrame:
@@ -142,6 +146,11 @@ class Chain:
         return self.top.groupBy("case_id").agg(F.bool_or(F.col("l") == "serrated_suspicious_mucosa").alias("suspicious"))
 
 
+#: Criteria as another runtime file might list them: one known, one with a rule of its own, one that no rule finds.
+OTHER = {"layers": {"serrated": ["serrated_lesion_context", "pale_rim"], "dysplasia": ["unseen"]},
+         "rules": {"pale_rim": [["pale > {pale_high} AND tissue < 5000", "supporting"], ["m >= 5 AND pale <= {pale}", "opposing"], ["pale > {pale}", "uncertain"]]}}
+
+
 def event_hits(spark, d) -> DataFrame:
     """Hits of users: event types as criteria, status by the value's band, in order of time."""
     v = F.col("value")

@@ -10,7 +10,7 @@ from ..functions import geometry as geo
 from ..functions import pixels
 from ..operators import assess, audit, evidence, faults, labels, memo, metrics, path, raster, timeline
 from ..operators import regions as regions_op
-from ..settings import LAYERS
+from ..settings import LAYERS, adapted
 from ..sources import io, providers, store
 from . import bindings as b
 from . import staging
@@ -121,6 +121,12 @@ def event_checklist(spark, d):
     return evidence.merge(b.event_hits(spark, d), "case_id")
 
 
+def other_criteria(spark, d):
+    """The checklist under a runtime file with other criteria and rules."""
+    chain, st = b.Chain(spark, d), adapted(b.SETTINGS, b.OTHER)
+    return evidence.checklist(chain.everyone, evidence.merge(evidence.hits(chain.seen, st), "case_id"), evidence.criteria(spark, st))
+
+
 def completeness(spark, d):
     return evidence.counts(b.Chain(spark, d).checklist).select("case_id", "layer", metrics.four(F.col("assessed"), F.col("criteria")).alias("completeness"))
 
@@ -327,7 +333,7 @@ QUERIES = {
     "case_targets": case_targets, "last_order": last_order, "pilot_subset": pilot_subset, "pixel_masks": pixel_masks, "array_block_stats": array_block_stats, "grid_cells": b.cells, "regions": regions,
     "region_fallback": b.proposals, "hint_overlap": hint_overlap, "region_scores": region_scores, "top_regions": top_regions, "trajectory": trajectory, "box_geometry": box_geometry, "tiles": tiles,
     "crop_window": crop_window, "gate_order": gate_order, "hits_long": hits_long, "step_findings": step_findings, "confidence": confidence, "keyword_hits": keyword_hits, "event_checklist": event_checklist,
-    "checklist": checklist, "completeness": completeness, "assessment": assessment, "report_text": report_text, "violations": violations, "audit_status": audit_status, "run_summary": run_summary,
+    "checklist": checklist, "other_criteria": other_criteria, "completeness": completeness, "assessment": assessment, "report_text": report_text, "violations": violations, "audit_status": audit_status, "run_summary": run_summary,
     "layer_metrics": layer_metrics, "predictions": predictions, "timeline": timelines, "json_payload": json_payload, "content_cache": content_cache, "fallback_chain": fallback_chain, "retry_log": retry_log,
     "step_bounds": step_bounds, "reasoning_state": reasoning_state, "text_observation": text_observation, "backend_clusters": backend_clusters, "crop_manifest": crop_manifest, "map_merge": map_merge,
     "latency_sum": latency_sum, "typed_ingest": typed_ingest, "trajectory_text": trajectory_text, "mode_plan": mode_plan, "box_spec": box_spec, "event_metrics": event_metrics, "last_line": last_line,

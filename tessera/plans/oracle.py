@@ -124,6 +124,18 @@ _CHECKLIST = _HITS + """,
 merged AS (SELECT case_id, criterion, CASE WHEN bool_or(status = 'supporting') THEN 'supporting' ELSE arg_max(status, ord) END AS status, string_agg(step_id, ',' ORDER BY ord) AS evidence_steps
   FROM hits WHERE status <> 'not_assessed' GROUP BY ALL),
 everyone AS (SELECT c_custkey AS case_id FROM customer UNION SELECT case_id FROM proposals),
+checklist AS (SELECT e.case_id, layer, c.criterion, coalesce(status, 'not_assessed') AS status, coalesce(evidence_steps, '') AS evidence_steps
+  FROM everyone e CROSS JOIN criteria c LEFT JOIN merged m ON m.case_id = e.case_id AND m.criterion = c.criterion)"""
+#: The checklist of three criteria: one known, one with a rule of its own, one without a rule.
+_OTHER = _SEEN + """,
+criteria AS (SELECT * FROM (VALUES ('serrated', 'serrated_lesion_context'), ('serrated', 'pale_rim'), ('dysplasia', 'unseen')) v(layer, criterion)),
+hits AS (SELECT case_id, step_id, ord, criterion, CASE criterion
+  WHEN 'serrated_lesion_context' THEN CASE l WHEN 'serrated_suspicious_mucosa' THEN 'supporting' WHEN 'non_serrated_mucosa' THEN 'opposing' END
+  WHEN 'pale_rim' THEN CASE WHEN pale > 1800 AND tissue < 5000 THEN 'supporting' WHEN m >= 5 AND pale <= 1000 THEN 'opposing' WHEN pale > 1000 THEN 'uncertain' END END AS status
+  FROM seen CROSS JOIN criteria),
+merged AS (SELECT case_id, criterion, CASE WHEN bool_or(status = 'supporting') THEN 'supporting' ELSE arg_max(status, ord) END AS status, string_agg(step_id, ',' ORDER BY ord) AS evidence_steps
+  FROM hits WHERE status IS NOT NULL GROUP BY ALL),
+everyone AS (SELECT c_custkey AS case_id FROM customer UNION SELECT case_id FROM proposals),
 checklist AS (SELECT e.case_id, layer, c.criterion, coalesce(status, 'not_assessed') AS status, coalesce(evidence_steps, '') AS evidence_steps
   FROM everyone e CROSS JOIN criteria c LEFT JOIN merged m ON m.case_id = e.case_id AND m.criterion = c.criterion)"""
 _ASSESSED = _CHECKLIST + f""",
@@ -283,6 +295,7 @@ SQL = {
       SELECT user_id AS case_id, event_type AS criterion, CASE WHEN bool_or(status = 'supporting') THEN 'supporting' ELSE arg_max(status, (ts, event_id)) END AS status,
         string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) AS evidence_steps FROM h WHERE status <> 'not_assessed' GROUP BY ALL""",
     "checklist": f"{_w} {_CHECKLIST} SELECT * FROM checklist",
+    "other_criteria": f"{_w} {_OTHER} SELECT * FROM checklist",
     "completeness": f"{_w} {_CHECKLIST} SELECT case_id, layer, {_four('count(*) FILTER (status <> ' + chr(39) + 'not_assessed' + chr(39) + ')', 'count(*)')} AS completeness FROM checklist GROUP BY ALL",
     "assessment": f"{_w} {_ASSESSED} SELECT * FROM assessed",
     "report_text": f"""{_w} {_LINES} SELECT a.case_id, concat_ws(chr(10), 'Integrated Pathological Report', 'Task: serrated lesion -> SSL-like architecture -> dysplasia', '',

@@ -183,7 +183,7 @@ def run(cases: DataFrame, pixels: DataFrame, hints: DataFrame, crop_pixels: Data
     suspicious = clusters.groupBy("case_id").agg(F.bool_or(F.col("l") == "serrated_suspicious_mucosa").alias("suspicious"))
     made = assess.assess(counts, suspicious)
     assessed = keep(made.join(assess.report(made, assess.supporting_lines(listed)), "case_id"), "assessed")
-    observed = keep(_observations(hits), "observations")
+    observed = keep(_observations(hits, settings), "observations")
     done_with("observe")
     # boxes that hold no whole patch export nothing: that is what an export fails by
     exported = boxes.select("case_id").distinct().join(patches.groupBy("case_id").agg(F.count("*").alias("n")), "case_id", "left")
@@ -202,10 +202,10 @@ def run(cases: DataFrame, pixels: DataFrame, hints: DataFrame, crop_pixels: Data
     return Run(cases, clusters, steps, hits, listed, assessed, found_bad, status, results, log, faults.outcomes(everyone, bad), tried, patches, windows)
 
 
-def _observations(hits: DataFrame) -> DataFrame:
+def _observations(hits: DataFrame, settings: Settings) -> DataFrame:
     """One row a step: what was seen, why, what follows, findings and confidence."""
     keys = ("case_id", "step_id", "ord", "review_goal", "background", "tissue", "pale", "s", "d")
-    out = evidence.step_findings(hits, *keys).na.fill("", [f"{layer}_findings" for layer in LAYERS]).na.fill(0, ["support"])
+    out = evidence.step_findings(hits, *keys, layers=dict(settings.layers)).na.fill("", [f"{layer}_findings" for layer in LAYERS]).na.fill(0, ["support"])
     c, goal = F.col, F.col("review_goal")
     mine = F.when(goal == "serrated_lesion_assessment", c("serrated_findings")).when(goal == "ssl_like_architecture_assessment", c("ssl_like_findings")).otherwise(c("dysplasia_findings"))
     return out.select(

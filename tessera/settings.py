@@ -23,6 +23,7 @@ def _fixed(v):
 _DEFAULTS = _defaults()
 TRACE_LABELS, STATUSES, STRUCTURAL = (_fixed(_DEFAULTS[k]) for k in ("trace_labels", "statuses", "structural"))
 LAYERS, KEYWORDS = ({k: tuple(v) for k, v in _DEFAULTS[name].items()} for name in ("layers", "keywords"))
+RULES = {k: _fixed(v) for k, v in _DEFAULTS["rules"].items()}
 SSL_LIKE, HIGH_GRADE = (_fixed(_DEFAULTS[k]) for k in ("ssl_like_labels", "dysplasia_grades"))
 
 
@@ -51,6 +52,8 @@ class Settings:
     trace_labels: tuple[str, ...] = TRACE_LABELS
     layers: tuple[tuple[str, tuple[str, ...]], ...] = _fixed(LAYERS)
     keywords: tuple[tuple[str, tuple[str, ...]], ...] = _fixed(KEYWORDS)
+    #: Criterion to its ordered (condition, status); what a runtime file says of a criterion replaces that criterion's alone.
+    rules: tuple[tuple[str, tuple[tuple[str, str], ...]], ...] = _fixed(RULES)
     #: Names of the providers that a stage asks, in order.
     chains: tuple[tuple[str, tuple[str, ...]], ...] = ()
     serrated_labels: tuple[str, ...] = ()
@@ -69,6 +72,16 @@ def env(name: str, default: str | None = None) -> str | None:
     return os.environ.get(name) or default
 
 
+def adapted(settings: Settings, found: dict) -> Settings:
+    """``settings`` with the fields of ``found``; rules are replaced one criterion at a time."""
+    if unknown := set(found) - {f.name for f in fields(Settings)}:
+        raise ValueError(f"unknown settings: {sorted(unknown)}")
+    made = {k: _fixed(v) for k, v in found.items()}
+    if "rules" in found:
+        made["rules"] = tuple({**dict(settings.rules), **dict(_fixed(found["rules"] or {}))}.items())
+    return replace(settings, **made)
+
+
 def load(runtime: str | None = None, budget: str | None = None) -> Settings:
     """Explicit path, then TESSERA_RUNTIME / TESSERA_BUDGET, then defaults. Keys are Settings' fields."""
     import yaml
@@ -78,7 +91,4 @@ def load(runtime: str | None = None, budget: str | None = None) -> Settings:
         if path:
             with open(path, encoding="utf-8") as f:
                 found |= yaml.safe_load(f) or {}
-    names = {f.name for f in fields(Settings)}
-    if unknown := set(found) - names:
-        raise ValueError(f"unknown settings: {sorted(unknown)}")
-    return replace(Settings(), **{k: _fixed(v) for k, v in found.items()})
+    return adapted(Settings(), found)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators import audit, evidence, faults, raster, regions
 from tessera.plans import run as plan
 from tessera.plans.staging import keep
-from tessera.settings import Settings, load
+from tessera.settings import Settings, adapted, load
 from tessera.sources import io, providers
 from tessera.sources.store import Store
 
@@ -177,6 +177,20 @@ def test_a_runtime_file_adds_a_criterion(spark, tmp_path):
     assert [(r.criterion, r.status) for r in evidence.keyword_hits(texts, "k", keywords=dict(made.keywords)).collect()] == [("glow", "supporting")]
 
 
+def test_a_runtime_file_brings_its_rules(spark, tmp_path):
+    """A condition is SQL over the view and the settings' numbers; the first that holds decides, a null one does not hold."""
+    (tmp_path / "r.yaml").write_text("layers: {serrated: [glow, serrated_lesion_context, dull]}\npale: 700\nrules: {glow: [['pale > {pale} AND s >= 2', supporting], ['pale > {pale}', uncertain], ['m >= 5', opposing]]}\n")
+    made = load(str(tmp_path / "r.yaml"))
+    rows = [(1, "s", 5.0, 3, 1, 701, 0), (2, None, 5.0, None, 1, 701, 0), (3, "non_serrated_mucosa", 5.0, 3, 1, 700, 0), (4, "s", 1.0, 3, 1, None, 0)]
+    seen = spark.createDataFrame(rows, "k int, l string, m double, s int, risk int, pale int, tissue int")
+    got = {(r.k, r.criterion): r.status for r in evidence.hits(seen, made).collect()}
+    assert [got[k, "glow"] for k in (1, 2, 3, 4)] == ["supporting", "uncertain", "opposing", "not_assessed"]
+    assert [got[k, "serrated_lesion_context"] for k in (1, 3)] == ["not_assessed", "opposing"] and {got[k, "dull"] for k in (1, 2, 3, 4)} == {"not_assessed"}
+    for rules, word in (({"glow": [["pale > {glare}", "supporting"]]}, "glare"), ({"glow": [["pale > 1", "maybe"]]}, "maybe")):
+        with pytest.raises(ValueError, match=word):
+            evidence.hits(seen, adapted(made, {"rules": rules}))
+
+
 def test_boxes_meet_once(spark):
     import random
 
