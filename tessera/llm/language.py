@@ -15,7 +15,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, slices
@@ -23,10 +23,10 @@ from .common import read_table, slices
 UNKNOWN = "und"
 #: Hashed n-grams of one to NGRAM characters; letters as such, the rest as one space.
 BUCKETS, NGRAM = 1 << 15, 3
-#: Rows that the classifier is fitted on, by a draw in which each language gets an equal part; twice as many at most, if the draw falls so.
-MAX_TRAIN = 4_000
-#: More values of lang than this are an error: the weights are BUCKETS times as many numbers.
-MAX_LANGUAGES = 500
+#: Rows that the classifier is fitted on at most, of each language an equal part, and n-grams of such a row, those of most
+#: weight. A language takes two rows, one to learn from and one aside, so half as many languages are learned; of more, those
+#: with the most rows.
+MAX_TRAIN, MAX_FEATURES = 4_000, 4_096
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.002, 0.001
 #: One row in this many of the sample is kept aside to fit the temperature.
@@ -82,24 +82,45 @@ def _document_frequencies(batches):
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at], pa.int32()), pa.array(np.r_[n, df[at]], pa.int64())], ["bucket", "n"])
 
 
+@dataclass
+class Sparse:
+    """Weights other than zero, bucket by bucket: those of bucket b are at starts[b] to starts[b + 1]."""
+    starts: np.ndarray
+    classes: np.ndarray
+    values: np.ndarray
+
+    def times(self, at: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+        n = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(n)
+        where = np.repeat(self.starts[at] - ends + n, n) + np.arange(ends[-1] if len(at) else 0)
+        return np.bincount(self.classes[where], self.values[where] * np.repeat(x, n), minlength=k)
+
+
 @dataclass
 class Model:
     languages: list[str]
     idf: np.ndarray
-    weights: np.ndarray  # BUCKETS x languages
-    bias: np.ndarray
+    sparse: Sparse | None = None
+    bias: np.ndarray | None = None
     temperature: float = 1.0
 
+    @property
+    def weights(self) -> np.ndarray:
+        """All weights, BUCKETS x languages, those that are zero included."""
+        out = np.zeros((BUCKETS, len(self.languages)), np.float32)
+        out[np.repeat(np.arange(BUCKETS), np.diff(self.sparse.starts)), self.sparse.classes] = self.sparse.values
+        return out
+
     def features(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(counts)
         x = (1 + np.log(counts[at])) * self.idf[at]
         return at, (x / max(np.linalg.norm(x), 1e-12)).astype(np.float32)
 
     def logits(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
-        return x @ self.weights[at] + self.bias
+        return self.sparse.times(at, x, len(self.languages)) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.languages or (counts := ngram_counts(text)) is None:
+        if not self.languages or self.sparse is None or (counts := ngram_counts(text)) is None:
             return UNKNOWN, 0.0
         p = softmax(self.logits(*self.features(counts)) / self.temperature)
         return self.languages[int(p.argmax())], float(p.max())
@@ -114,8 +135,8 @@ class Ftrl:
     """Per-coordinate follow-the-regularised-leader with L1 and L2 penalties."""
 
     def __init__(self, rows: int, classes: int):
-        self.z = np.zeros((rows, classes))
-        self.n = np.zeros((rows, classes))
+        self.z = np.zeros((rows, classes), np.float32)
+        self.n = np.zeros((rows, classes), np.float32)
 
     def weights(self, at=slice(None)) -> np.ndarray:
         z, n = self.z[at], self.n[at]
@@ -127,6 +148,17 @@ class Ftrl:
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w
         self.n[at] = n + g * g
 
+    def sparse(self, rows: int, block: int = 1024) -> Sparse:
+        """The weights of the first ``rows`` buckets, a block of them at a time."""
+        n, classes, values = [], [], []
+        for a in range(0, rows, block):
+            w = self.weights(slice(a, min(rows, a + block)))
+            i, j = np.nonzero(w)
+            n.append(np.bincount(i, minlength=len(w)))
+            classes.append(j.astype(np.int32))
+            values.append(w[i, j].astype(np.float32))
+        return Sparse(np.r_[0, np.cumsum(np.concatenate(n))], np.concatenate(classes), np.concatenate(values))
+
 
 def train(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
     """Fit weights and temperature on rows of (buckets, values, class)."""
@@ -144,8 +176,7 @@ def train(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model
             miss = softmax(x @ w)
             miss[y] -= 1
             leader.update(at, x[:, None] * miss[None, :], w)
-    w = leader.weights().astype(np.float32)
-    model.weights, model.bias = w[:-1], w[-1]
+    model.sparse, model.bias = leader.sparse(BUCKETS), leader.weights(BUCKETS).astype(np.float32)
     if aside and k > 1:
         z = np.array([model.logits(at, x) for at, x, _ in aside], dtype=float)
         y = np.array([c for _, _, c in aside])
@@ -158,15 +189,40 @@ def train(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model
     return model
 
 
-def _sample_rows(batches):
-    for b in batches:
-        out = []
-        for lang, text, order in zip(*(b.column(i).to_pylist() for i in range(3))):
-            if (c := ngram_counts(text)) is not None:
-                at = np.flatnonzero(c)
-                out.append((lang, at.astype("<u4").tobytes(), c[at].astype("<u4").tobytes(), order))
-        kinds = (pa.string(), pa.binary(), pa.binary(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["lang", "at", "n", "__o"])
+def _features(idf: np.ndarray):
+    """Arrow rows (lang, text, __o) as (lang, at, x, __o): the MAX_FEATURES n-grams of most weight in order, and their weights."""
+    model = Model([], idf)
+
+    def rows(batches):
+        for b in batches:
+            out = []
+            for lang, text, order in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if (c := ngram_counts(text)) is not None:
+                    at, x = model.features(c)
+                    most = np.sort(np.argsort(-x, kind="stable")[:MAX_FEATURES])
+                    out.append((lang, at[most].astype("<u4").tobytes(), x[most].astype("<f4").tobytes(), order))
+            kinds = (pa.string(), pa.binary(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["lang", "at", "x", "__o"])
+
+    return rows
+
+
+def sample(rows: DataFrame, idf: np.ndarray) -> tuple[list[str], list]:
+    """(languages in order of name, MAX_TRAIN rows (lang, at, x, __o) at most) of (doc_id, lang, text), of each language equally many if it has them.
+
+    A hash of doc_id and text draws a few more than needed, and of those the ones of least hash are taken; so rows that
+    repeat are no more than their language's part. Rows equal in both are drawn together or not at all.
+    """
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_TRAIN // 2).collect()
+    if not counts:
+        return [], []
+    part = MAX_TRAIN // len(counts)
+    shares = rows.sparkSession.createDataFrame([(r.lang, min(1.0, (2 * part + 8) / r["count"])) for r in counts], "lang string, __share double")
+    drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1_000_000)) / F.lit(1e6) < F.col("__share")
+    picked = rows.join(F.broadcast(shares), "lang").filter(drawn).select("lang", "text", F.xxhash64(F.lit("order"), "doc_id", "text").alias("__o"))
+    seen = picked.mapInArrow(_features(idf), "lang string, at binary, x binary, __o long")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("__o", "at", "x"))
+    return sorted(r.lang for r in counts), seen.withColumn("__r", rank).filter(F.col("__r") <= part).drop("__r").orderBy("__o", "at", "x", "lang").collect()
 
 
 def fit(docs: DataFrame) -> Model:
@@ -179,37 +235,25 @@ def fit(docs: DataFrame) -> Model:
             total = r.n
         else:
             df[r.bucket] = r.n
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    languages = sorted(counts)
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"lang has {len(languages)} values; the model holds {MAX_LANGUAGES} at most")
-    model = Model(languages, np.log((1 + total) / (1 + df)) + 1, np.zeros((BUCKETS, len(languages)), np.float32), np.zeros(len(languages), np.float32))
-    if not languages:
-        return model
-    part = MAX_TRAIN // len(languages)
-    share = F.create_map(*[x for c in languages for x in (F.lit(c), F.lit(min(1.0, part / counts[c])))])
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) / F.lit(1e6)
-    picked = rows.filter(draw < share[F.col("lang")]).select("lang", "text", F.xxhash64(F.lit("order"), "doc_id").alias("__o"))
-    sample = picked.mapInArrow(_sample_rows, "lang string, at binary, n binary, __o long").orderBy("__o", "at").limit(2 * MAX_TRAIN).collect()
-    seen = []
-    for r in sample:
-        counted = np.zeros(BUCKETS, np.int64)
-        counted[np.frombuffer(r.at, "<u4")] = np.frombuffer(r.n, "<u4")
-        seen.append((*model.features(counted), languages.index(r.lang)))
-    return train(model, seen)
+    idf = np.log((1 + total) / (1 + df)) + 1
+    languages, found = sample(rows, idf)
+    number = {lang: i for i, lang in enumerate(languages)}
+    seen = [(np.frombuffer(r.at, "<u4").astype(np.int64), np.frombuffer(r.x, "<f4"), number[r.lang]) for r in found]
+    return train(Model(languages, idf), seen) if languages else Model([], idf)
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1), from the text alone.
 
     lang_pred is "und", with score 0, for a null text, one without a letter, or
-    if nothing could be learned. Of languages with one score the first by name is
+    if nothing could be learned. Any number of languages may occur; at most
+    MAX_TRAIN / 2 are learned, those with the most rows. Of languages with one score the first by name is
     taken. Texts are read whole; each row is answered, also where rows repeat a
     doc_id or a text. Columns named lang_pred or score are replaced, all others
     pass. An empty table gives no rows.
     """
     model = model or fit(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its weights other than zero
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(text: pd.Series) -> pd.DataFrame:

@@ -76,6 +76,74 @@ def test_penalty_leaves_weights_zero():
     assert (m.weights == 0).mean() > 0.9 and m.weights[600, 0] > 0 > m.weights[601, 0]
 
 
+def test_weights_as_by_plain_ftrl():
+    """Three classes, number by number in double precision."""
+    import math
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(60):
+        y = i % 3
+        at = np.unique(np.r_[rng.choice(40, 6), 50 + 10 * y + rng.choice(10, 4)])
+        rows.append((at, rng.random(len(at)).astype(np.float32), y))
+    m = language.train(language.Model(["a", "b", "c"], np.ones(language.BUCKETS)), rows)
+    z, n, turn = Counter(), Counter(), Counter()
+
+    def weight(i, k):
+        if abs(z[i, k]) <= language.L1:
+            return 0.0
+        return -(z[i, k] - math.copysign(language.L1, z[i, k])) / ((language.BETA + math.sqrt(n[i, k])) / language.ALPHA + language.L2)
+
+    learned = []
+    for r in rows:
+        if turn[r[2]] % language.ASIDE:
+            learned.append(r)
+        turn[r[2]] += 1
+    for _ in range(language.EPOCHS):
+        for at, x, y in learned:
+            xs = [*zip(at.tolist(), x.tolist()), ("bias", 1.0)]
+            w = {(i, k): weight(i, k) for i, _ in xs for k in range(3)}
+            score = [sum(v * w[i, k] for i, v in xs) for k in range(3)]
+            e = [math.exp(v - max(score)) for v in score]
+            for k in range(3):
+                for i, v in xs:
+                    g = v * (e[k] / sum(e) - (k == y))
+                    z[i, k] += g - (math.sqrt(n[i, k] + g * g) - math.sqrt(n[i, k])) / language.ALPHA * w[i, k]
+                    n[i, k] += g * g
+    want = np.array([[weight(i, k) for k in range(3)] for i in range(80)])
+    assert m.weights[:80] == pytest.approx(want, abs=1e-4) and not m.weights[80:].any()
+    assert m.bias == pytest.approx([weight("bias", k) for k in range(3)], abs=1e-4)
+    at, x, _ = rows[0]
+    assert m.logits(at, x) == pytest.approx(x @ m.weights[at] + m.bias, abs=1e-5)
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    """700 languages, each with words of its own; of more than MAX_TRAIN / 2 those with the most rows are learned."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(chr(0x4E00 + c) for c in rng.integers(0, 3000, 4))
+    rows = []
+    for i in range(700):
+        own = [word() for _ in range(6)]
+        rows += [(8 * i + j, f"l{i:03d}", " ".join(rng.choice(own, 12))) for j in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = language.identify(docs).collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95 and len({r.lang_pred for r in got}) > 650
+    monkeypatch.setattr(language, "MAX_TRAIN", 20)
+    more = docs.filter("lang < 'l020'").union(docs.filter("lang < 'l010'"))
+    names, found = language.sample(more, np.ones(language.BUCKETS))
+    assert names == [f"l{i:03d}" for i in range(10)] and set(Counter(r.lang for r in found).values()) == {2}
+
+
+def test_sample_has_equal_parts_where_ids_repeat(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_TRAIN", 40)
+    rows = [(1, "a", f"first text {i}") for i in range(300)] + [(2, "b", "one text, many times")] * 300 + [(i, "c", f"other {i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    names, found = language.sample(docs, np.ones(language.BUCKETS))
+    assert names == ["a", "b", "c"] and {k: v for k, v in Counter(r.lang for r in found).items() if k != "b"} == {"a": 13, "c": 12}
+    assert sum(r.lang == "b" for r in found) in (0, 13)  # equal rows are drawn together
+    assert all(len(r.at) == len(r.x) <= 4 * language.MAX_FEATURES for r in found)
+
+
 # -- token store
 
 
