@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geometry
 from ..operators import assess, audit, evidence, faults, labels, memo, metrics, path, raster, regions, timeline
 from ..settings import LAYERS, Settings
 from ..sources import io, providers
@@ -112,6 +113,40 @@ def _asked_trace(scored: DataFrame, chain, keep, store, settings: Settings):
     return found, requests.select("case_id", "key").join(asked.attempts, "key"), regions.unknown_answers(scored, told)
 
 
+#: What a provider answers about a case's path; numbers as text, as above. A step without a size has that of its magnification.
+NAVIGATE_ANSWER = ("struct<steps:array<struct<step_id:string,x:string,y:string,m:string,o:string,review_goal:string,stage_gate:string,"
+                   "metadata:struct<cluster_id:string,action:string,region_size_level0:string>>>>")
+
+
+def _walkable(output):
+    """Is an answer well formed: steps of different ids, each with a goal, a gate, whole coordinates, a magnification, and a size or none?"""
+    steps = F.from_json(output, NAVIGATE_ANSWER)["steps"]
+    like = lambda v, pattern: F.coalesce(v.rlike(pattern), F.lit(False))
+    size = lambda x: F.coalesce(x["metadata"]["region_size_level0"].rlike("^[1-9][0-9]{0,8}$"), F.lit(True))
+    named = lambda x: x["step_id"].isNotNull() & x["review_goal"].isNotNull() & x["stage_gate"].isNotNull()
+    fine = lambda x: F.coalesce(named(x), F.lit(False)) & like(x["x"], "^-?[0-9]{1,9}$") & like(x["y"], "^-?[0-9]{1,9}$") & like(x["m"], "^[0-9]{1,4}([.][0-9]{1,6})?$") & size(x)
+    ids = F.transform(steps, lambda x: x["step_id"])
+    return F.coalesce((F.size(steps) > 0) & F.forall(steps, fine) & (F.size(F.array_distinct(ids)) == F.size(ids)), F.lit(False))
+
+
+def _asked_navigate(steps: DataFrame, large: DataFrame, chain, keep, store, settings: Settings):
+    """(steps as the providers plan them where they answer, else ``steps``; attempts a case). Bounds, gates and missing words are the audit's."""
+    one = F.struct("rank", "cluster_id", "x1", "y1", "x2", "y2", "l", "s", "d", "risk")
+    about = large.groupBy("case_id", "full_w", "full_h").agg(F.sort_array(F.collect_list(one)).alias("clusters"))
+    request = F.to_json(F.struct(F.lit("navigate").alias("stage"), F.col("case_id").cast("string").alias("case_id"), "full_w", "full_h", "clusters"))
+    requests = keep(about.withColumn("request", request).withColumn("key", memo.content_key("request")).select("case_id", "full_w", "full_h", "key", "request"), "navigate_keys")
+    asked = providers.ask("navigate", requests, chain, keep, store, settings.max_attempts, _walkable)
+    told = requests.join(asked.answers, "key").select("case_id", "full_w", "full_h", F.posexplode(F.from_json("output", NAVIGATE_ANSWER)["steps"]).alias("ord", "e"))
+    told = told.select("case_id", "full_w", "full_h", "ord", "e.step_id", *[F.col(f"e.{c}").cast("int").alias(c) for c in ("x", "y")], F.col("e.m").cast("double").alias("m"), "e.review_goal", "e.stage_gate",
+                       F.col("e.metadata.region_size_level0").cast("int").alias("size"), "e.metadata.cluster_id", "e.metadata.action", F.col("e.o").alias("need_to_see"))
+    span = F.lit(settings.default_region)
+    for m, size in settings.regions:
+        span = F.when(F.col("m") == m, size).otherwise(span)
+    told = told.withColumns({"size": F.coalesce("size", span), "x_millionths": geometry.millionths(F.col("x"), F.col("full_w")), "y_millionths": geometry.millionths(F.col("y"), F.col("full_h"))})
+    told = keep(told.select([F.col(f.name).cast(f.dataType) for f in steps.schema]), "navigate_told")
+    return faults.set_aside(steps, told).unionByName(told), requests.select("case_id", "key").join(asked.attempts, "key")
+
+
 def _asked_observe(seen: DataFrame, hits: DataFrame, chain, keep, store, settings: Settings):
     """(hits, read from the providers' texts where they answer, attempts a case)."""
     about = F.struct(F.lit("observe_step").alias("stage"), F.col("case_id").cast("string").alias("case_id"), "step_id", "m", "cluster_id", "review_goal", "background", "tissue", "pale")
@@ -129,8 +164,8 @@ def run(cases: DataFrame, pixels: DataFrame, hints: DataFrame, crop_pixels: Data
     """Triage ``cases`` from thumbnail pixels (case_id, y, x, r, g, b), hint boxes and full-size pixels (case_id, py, px, r, g, b).
 
     Images have the sizes of their case (SIZES), of its hints, or ``thumb`` and
-    ``full``. ``backends`` has for "trace" and "observe" the providers to ask, in
-    order; what none answers goes by rule. ``store`` (:class:`tessera.sources.store.Store`)
+    ``full``. ``backends`` has for "trace", "navigate" and "observe" the providers to
+    ask, in order; what none answers goes by rule. ``store`` (:class:`tessera.sources.store.Store`)
     keeps their answers across runs. ``keep(df, name)`` writes a stage's table and
     reads it back, so that the stages after it do not repeat it. Each stage's time
     is that of all cases. A case without a size, listed twice, with a pixel outside
@@ -166,7 +201,11 @@ def run(cases: DataFrame, pixels: DataFrame, hints: DataFrame, crop_pixels: Data
     patches = keep(raster.tiles(boxes, keep=PATCHES, order=("x1", "y1", "x2", "y2")).select("case_id", "tile", "tx", "ty"), "patches")
     done_with("export")
     large = clusters.join(sizes.select("case_id", "full_w", "full_h"), "case_id").withColumns({c: on_full(c, i) for i, c in enumerate(("x1", "y1", "x2", "y2"))})
-    steps = keep(path.trajectory(large, "full_w", "full_h", settings), "steps")
+    steps = path.trajectory(large, "full_w", "full_h", settings)
+    if backends.get("navigate"):
+        steps, tried = _asked_navigate(steps, large, backends["navigate"], keep, store, settings)
+        attempts.append(keep(tried, "navigate_attempts"))
+    steps = keep(steps, "steps")
     done_with("navigate")
     windows = raster.crop_window(crop_pixels, evidence.drop_stops(steps).select("case_id", "step_id", "m", "x", "y", "size"))
     crops = raster.crop_statistics(windows, "case_id", "step_id")

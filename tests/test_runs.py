@@ -91,6 +91,35 @@ def test_providers_in_a_run(spark, tmp_path):
     assert {r.case_id: r.cost.trace_attempts for r in again.results.collect()} == {"a": 0, "b": 0}
 
 
+def test_providers_plan_paths(spark, tmp_path):
+    """The first valid path holds; one with a repeated id, a coordinate that is no number, or no step is an error; the rest goes by rule."""
+    case = F.get_json_object("request", "$.case_id")
+    step = lambda i, x, **more: {"step_id": f"step_{i:02d}", "x": x, "y": 2000, "m": 2.5, "o": "Look.", "review_goal": "dysplasia_assessment", "stage_gate": "level_3", **more}
+    stop = step(1, 900, m=1.0, review_goal="integrated_impression", stage_gate="end", metadata={"action": "stop", "region_size_level0": 256})
+    said = {"a": [step(0, 900, metadata={"cluster_id": "cluster_00", "action": "inspect"}), stop], "b": [step(0, 1), step(0, 2)], "c": [step(0, "far")], "e": []}
+    answers = F.create_map(*[x for k, v in said.items() for x in (F.lit(k), F.lit(json.dumps({"steps": v})))])
+    asked = []
+
+    def planner(rows):
+        asked.append(1)
+        return rows.select("key", F.lit("ok").alias("status"), F.element_at(answers, case).alias("output"), F.lit(3).cast("long").alias("latency_ms"))
+
+    names, store = ("a", "b", "c", "e"), Store(spark, str(tmp_path / "store"))
+    plain = plan.run(*tables(spark, names), S, None, None, keep)
+    done = plan.run(*tables(spark, names), S, None, None, keep, backends={"navigate": [("planner", planner)]}, store=store)
+    assert done.steps.schema.simpleString() == plain.steps.schema.simpleString()
+    got = [(r.step_id, r.x, r.y, r.m, r.size, r.cluster_id, r.action, r.need_to_see, r.x_millionths) for r in done.steps.filter("case_id = 'a'").orderBy("ord").collect()]
+    assert got == [("step_00", 900, 2000, 2.5, 512, "cluster_00", "inspect", "Look.", 225000), ("step_01", 900, 2000, 1.0, 256, None, "stop", "Look.", 225000)]
+    rest = lambda run: sorted(map(str, run.steps.filter("case_id <> 'a'").collect()))
+    assert rest(done) == rest(plain)
+    assert {(r.case_id, r.status, r.n) for r in done.attempts.groupBy("case_id", "status").agg(F.count("*").alias("n")).collect()} == {("a", "ok", 1), *((k, "error", 2) for k in "bce")}
+    bad = {r.rule for r in done.violations.filter("case_id = 'a'").collect()}
+    assert "gate_order" in bad  # the third level without the second: the audit says so
+    assert {r.case_id: r.cost.observation_steps for r in done.results.collect()}["a"] == 1
+    again = plan.run(*tables(spark, ("a",)), S, None, None, keep, backends={"navigate": [("planner", planner)]}, store=store)
+    assert again.attempts.count() == 0 and again.steps.filter("x = 900").count() == 2
+
+
 def entries(spark, *rows):
     return spark.createDataFrame(list(rows), "key string, stage string, output string")
 
