@@ -114,36 +114,47 @@ def fallback(cases: DataFrame, found: DataFrame, width: int | str, height: int |
     return found.unionByName(made)
 
 
-#: Side of the tiles in which regions and hints meet.
+#: Side of the least tiles in which regions and hints meet.
 HINT_TILE = 256
 
 
-def _tiled(boxes: DataFrame, prefix: str, tile: int) -> DataFrame:
-    """A row for each tile (tx, ty) that a box touches; an empty box touches none."""
-    at = lambda c, less: F.floor((F.col(f"{prefix}{c}") - less) / tile).cast("int")
-    steps = lambda a, b: F.sequence(at(a, 0), at(b, 1))
-    some = boxes.filter((F.col(f"{prefix}x2") > F.col(f"{prefix}x1")) & (F.col(f"{prefix}y2") > F.col(f"{prefix}y1")))
-    return some.withColumn("tx", F.explode(steps("x1", "x2"))).withColumn("ty", F.explode(steps("y1", "y2")))
+def _placed(hints: DataFrame, tile: int) -> DataFrame:
+    """Hints with their level, at which a tile is no smaller than the box (null for an empty one), and the tile (tx, ty) of their first corner."""
+    wide, high = (F.col(f"h{v}2").cast("long") - F.col(f"h{v}1") for v in "xy")
+    q = F.floor((F.greatest(wide, high) - 1) / tile)
+    level = F.when((wide > 0) & (high > 0), F.when(q < 1, 0).otherwise(F.length(F.bin(q))))  # digits of q: it is below 2 ** level
+    side = F.lit(float(tile)) * F.pow(F.lit(2.0), F.col("level"))
+    return hints.withColumn("level", level).withColumns({f"t{v}": F.floor(F.col(f"h{v}1") / side).cast("int") for v in "xy"})
+
+
+def _reached(regions: DataFrame, tile: int) -> DataFrame:
+    """A row for each level of the mask ``levels`` and each of its tiles (tx, ty) in which a box that meets the region may begin; an empty region has none."""
+    side = F.lit(float(tile)) * F.pow(F.lit(2.0), F.col("level"))
+    span = lambda v: F.explode(F.sequence((F.floor((F.col(f"{v}1") + 1) / side) - 1).cast("int"), F.floor((F.col(f"{v}2") - 1) / side).cast("int")))
+    some = regions.filter((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
+    each = some.withColumn("level", F.explode(F.expr("filter(sequence(0, 32), l -> shiftright(levels, l) % 2 = 1)"))).drop("levels")
+    return each.withColumn("tx", span("x")).withColumn("ty", span("y"))
 
 
 def with_hints(regions: DataFrame, hints: DataFrame, case: str = "case_id", tile: int = HINT_TILE) -> DataFrame:
     """Regions with their greatest overlap with a hint box (ten-thousandths) and the case's greatest score, 0 without hints.
 
     ``hints`` has (case, hx1, hy1, hx2, hy2, score). The score is the greatest of
-    all boxes of the case, overlapping or not. Boxes meet in the tiles that both
-    touch; a pair counts in the tile of its common part's first corner alone.
+    all boxes of the case, overlapping or not. Hints are far more than regions, so
+    each moves once, to the tile of its first corner; regions go to all tiles in
+    which a hint that reaches them may begin. Large boxes have larger tiles.
     """
     a = geo.box(*[F.col(c) for c in geo.SIDES])
     b = geo.box(*[F.col(f"h{c}") for c in geo.SIDES])
     ratio = ten_thousandths(geo.area(geo.intersection(a, b)), F.greatest(F.lit(1), F.least(geo.area(a), geo.area(b))))
-    here = lambda t, c: F.col(t) == F.floor(F.greatest(c, f"h{c}") / tile)
-    ours = _tiled(regions.select(case, "cluster_id", *geo.SIDES), "", tile)
-    theirs = _tiled(hints.select(case, *[f"h{c}" for c in geo.SIDES]), "h", tile)
-    met = ours.join(theirs, [case, "tx", "ty"]).filter(here("tx", "x1") & here("ty", "y1"))
-    best = met.groupBy(case, "cluster_id").agg(F.max(ratio).alias("hint_overlap"))
-    scores = hints.groupBy(case).agg(F.max("score").alias("hint_score"))
+    placed, at = _placed(hints, tile), [case, "level", "tx", "ty"]
+    facts = placed.groupBy(case).agg(F.max("score").alias("hint_score"), F.bit_or(F.pow(F.lit(2.0), F.col("level")).cast("long")).alias("levels"))
+    about = regions.join(facts, case, "left")
+    ours = _reached(about.select(case, "cluster_id", *geo.SIDES, "levels"), tile)
+    theirs = placed.filter("level IS NOT NULL").select(*at, *[f"h{c}" for c in geo.SIDES])
+    best = ours.join(theirs, at).groupBy(case, "cluster_id").agg(F.max(ratio).alias("hint_overlap"))
     return (
-        regions.join(best, [case, "cluster_id"], "left").join(scores, case, "left")
+        about.drop("levels").join(best, [case, "cluster_id"], "left")
         .withColumn("hint_overlap", F.coalesce("hint_overlap", F.lit(0)).cast("long"))
         .withColumn("hint_score", F.coalesce("hint_score", F.lit(0.0)))
     )

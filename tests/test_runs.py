@@ -220,6 +220,27 @@ def test_a_runtime_file_brings_its_rules(spark, tmp_path):
             evidence.hits(seen, adapted(made, {"rules": rules}))
 
 
+def test_hints_of_all_sizes_move_once(spark):
+    """Boxes from a point to a million wide, empty ones, and corners below zero: greatest overlap as by brute force, and one row a hint."""
+    import random
+
+    rnd = random.Random(4)
+    box = lambda most: (x := rnd.randint(-most, 900), y := rnd.randint(-most, 900), x + rnd.randint(-1, most), y + rnd.randint(-1, most))
+    ours = [box(300) for _ in range(30)]
+    theirs = [box(most) for most in (1, 2, 31, 32, 33, 64, 65, 500, 1_000_000) for _ in range(8)] + [(x, y, x + n, y + n) for n in (32, 64, 128, 1 << 20) for x, y in ((0, 0), (-n, 64), (31, 1 - n))]
+    cases = [(c, v) for v in theirs for c in ((1, 2) if v[0] < 500 else (1,))]
+    found = spark.createDataFrame([(c, f"k{i:02d}", *v) for c in (1, 2, 3) for i, v in enumerate(ours)], "case_id int, cluster_id string, x1 int, y1 int, x2 int, y2 int")
+    hints = spark.createDataFrame([(c, *v, 0.5) for c, v in cases] + [(3, 5, 5, 5, 9, 0.25)], "case_id int, hx1 int, hy1 int, hx2 int, hy2 int, score double")
+    area = lambda b: max(0, b[2] - b[0]) * max(0, b[3] - b[1])
+    common = lambda a, b: area((max(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), min(a[3], b[3])))
+    part = lambda a, b: (common(a, b) * 20000 + (n := max(1, min(area(a), area(b))))) // (2 * n)
+    want = {(c, f"k{i:02d}"): max((part(a, b) for k, b in cases if k == c), default=0) for c in (1, 2, 3) for i, a in enumerate(ours)}
+    got = regions.with_hints(found, hints, tile=32).collect()
+    assert {(r.case_id, r.cluster_id): r.hint_overlap for r in got} == want
+    assert {(r.case_id, r.hint_score) for r in got} == {(1, 0.5), (2, 0.5), (3, 0.25)}
+    assert regions._placed(hints, 32).count() == hints.count()
+
+
 def test_boxes_meet_once(spark):
     import random
 
