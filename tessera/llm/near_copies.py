@@ -1,9 +1,11 @@
 """SimHash near-dedup at a similarity: texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-At 0.8 the fingerprints of :mod:`simhash` differ in some ten of 64 bits, where its
-grid join would compare nearly all texts. So here candidates share one of 20 bands
-of five MinHash values (all but 0.04 % of pairs at 0.8 do), SimHash fingerprints of
-256 bits pass those that can be that similar, and the shingles themselves decide.
+Close copies come from the grid join of :mod:`simhash` over fingerprints of 64 bits:
+the texts that its links connect are one cell. At 0.8 fingerprints differ in some ten
+bits, where the grid would compare nearly all texts. So besides, candidates share one
+of 20 bands of five MinHash values (all but 0.04 % of pairs at 0.8 do). Of both kinds,
+SimHash fingerprints of 256 bits pass those that can be that similar, and the shingles
+themselves decide.
 
 Of a cell's texts each meets the most central one first, that which shares most
 cells with others: of many copies of one text, that text. Where this leaves a cell
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, attach, bucketed, discard, group_facts, lower_words_of, salt_of, staged, staged_at
 from .components import components
 from .exact_dedup import in_filter, repeated_filter
+from .simhash import links as grid_links
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
@@ -100,6 +103,17 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], ["node", "set"])
 
 
+def _grid_cells(nodes: DataFrame) -> DataFrame:
+    """(cell, node): nodes whose first 64 bits of fingerprint the grid join connects share a cell; their Hamming distance is bounded by their popcounts'."""
+    prints_, scratch = nodes.select(F.col("p")[0].alias("fp"), "node").withColumn("__salt", salt_of("node")), Scratch()
+    facts = scratch.keep(group_facts(prints_, "fp", "__salt", []), "prints")
+    labels = components(grid_links(facts.select("fp"), keep=scratch.keep)).withColumnRenamed("node", "fp")
+    near = facts.join(labels, "fp", "left").withColumn("cell", F.xxhash64(F.lit(BANDS), F.coalesce("label", "fp"))).drop("label")
+    found = staged(attach(prints_, near, "fp", "__salt").select("cell", "node"), "grid")
+    scratch.clear()
+    return found
+
+
 def _alike(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes that can be similar enough, by their sizes and fingerprints."""
     about = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("p").alias(f"p_{c}"))
@@ -202,7 +216,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     nodes = marked.groupBy(F.col("__node").alias("node")).agg(first, F.min("__n").alias("n"), F.first("__print").alias("p"), F.first("__cells").alias("cells"))
     nodes = scratch.keep(nodes, "nodes")
 
-    placed = nodes.select(F.explode("cells").alias("cell"), "node").withColumn("__salt", salt_of("node"))
+    placed = nodes.select(F.explode("cells").alias("cell"), "node").unionByName(_grid_cells(nodes)).withColumn("__salt", salt_of("node"))
     facts = scratch.keep(group_facts(placed, "cell", "__salt", [F.count("*").alias("m")]).filter("m > 1"), "shared")
     members = scratch.keep(attach(placed, facts, "cell", "__salt"), "members")
     weights = members.groupBy("node").agg(F.sum("m").alias("w"))

@@ -121,19 +121,19 @@ def _midpoints(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part, len(flips))), pa.array(mid.ravel())], ["fp", "mid"])
 
 
-def links(distinct: DataFrame, groups: int | None = None) -> DataFrame:
+def links(distinct: DataFrame, groups: int | None = None, keep=staged) -> DataFrame:
     """Links (a, b) between distinct fingerprints that join all that lie within DISTANCE bits.
 
     Ordinary cells give all their pairs. Of those that share a midpoint, and so
     lie within DISTANCE bits of each other, each links to the least: a star
-    connects what the pairs would.
+    connects what the pairs would. ``keep`` writes the cells and reads them back.
     """
     if groups is None:
         n = distinct.count()
         groups = next(g for most, g in GROUPS if n <= most)
-    placed = staged(cells(distinct, groups), "cells")
+    placed = keep(cells(distinct, groups), "cells")
     crowded = placed.groupBy("i", "v").count().filter(F.col("count") > CELL).drop("count")
-    crowded = staged(crowded, "crowded")
+    crowded = keep(crowded, "crowded")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
     if crowded.isEmpty():
         return bounded(placed).filter(near)

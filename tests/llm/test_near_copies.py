@@ -82,3 +82,21 @@ def test_rows_not_ids_decide(spark):
     docs = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "doc_id int, text string, a int").withColumn("node", near_copies.F.lit("x"))
     assert near_copies.drop_near_copies(docs).columns == docs.columns and near_copies.drop_near_copies(docs).count() == 2
     assert near_copies.drop_near_copies(docs.limit(0)).collect() == []
+
+
+def test_the_grid_join_finds_close_copies_without_a_common_band(spark, monkeypatch):
+    """No two texts share a band: copies whose fingerprints lie within four bits still meet, in the grid."""
+    def apart(found):
+        return np.array([near_copies.xxhash.xxh64_intdigest(found.tobytes(), i) for i in range(20)], np.uint64)
+
+    monkeypatch.setattr(near_copies, "bands", apart)
+    rnd = np.random.default_rng(7)
+    rows = []
+    for i in range(20):
+        words = [f"w{k}" for k in rnd.integers(0, 5_000, 3_000)]
+        for r in range(3):
+            words[40 * r] = f"x{i}"
+            rows.append((10 * i + r, " ".join(words)))
+    marks = [near_copies.prints(near_copies.shingles(t.encode().split()))[0] for _, t in rows]
+    assert all(int(marks[3 * i] ^ marks[3 * i + r]).bit_count() <= 4 for i in range(20) for r in (1, 2))
+    assert kept(spark, rows) == kept_by_brute_force(rows) and len(kept(spark, rows)) == 20
