@@ -34,7 +34,7 @@ END = 1
 CUT_BITS, LEAST, MOST = 8, 64, 1024
 FANOUT = 256
 #: Encoded words that a Python worker remembers, in each of two generations.
-MEMO = 900_000
+MEMO = 500_000
 #: Rows that are encoded at once.
 _SLICE = 2_000
 #: deal: by what a row is dealt over the tasks; chunks by their key, recipes evenly, as one text may recur without end.
