@@ -151,7 +151,8 @@ def with_hints(regions: DataFrame, hints: DataFrame, case: str = "case_id", tile
     facts = placed.groupBy(case).agg(F.max("score").alias("hint_score"), F.bit_or(F.pow(F.lit(2.0), F.col("level")).cast("long")).alias("levels"))
     about = regions.join(facts, case, "left")
     ours = _reached(about.select(case, "cluster_id", *geo.SIDES, "levels"), tile)
-    theirs = placed.filter("level IS NOT NULL").select(*at, *[f"h{c}" for c in geo.SIDES])
+    # kept by the corners, with keys that can't be null: a test of the keys themselves is pushed to the scan and works each out many times
+    theirs = placed.filter("hx2 > hx1 AND hy2 > hy1").select(case, *[F.coalesce(k, F.lit(0)).alias(k) for k in at[1:]], *[f"h{c}" for c in geo.SIDES])
     best = ours.join(theirs, at).groupBy(case, "cluster_id").agg(F.max(ratio).alias("hint_overlap"))
     return (
         about.drop("levels").join(best, [case, "cluster_id"], "left")
