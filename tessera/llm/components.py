@@ -15,18 +15,25 @@ def _least_neighbour(sides: DataFrame) -> DataFrame:
     return attach(salted, facts, "u", "__salt").drop("__salt")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Has each node of (u, v), u above v, one neighbour below it, or neighbours above it only? Then v is the least node of its component."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    return ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter("below + above > 1").isEmpty()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) of every node of ``links``; label is the least node it reaches.
 
     Large-star and small-star steps in turn: neighbours move to the least of
-    them until every component is a star. The number of steps grows with the
-    logarithm of a component's size. Each step is written to the shared folder,
-    and removed once the next but one is.
+    them until every component is a star; links that are stars need none. The
+    number of steps grows with the logarithm of a component's size. Each step is
+    written to the shared folder, and removed once the next is.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    now, before = Scratch(), Scratch()
+    now = Scratch()
     edges = now.keep(edges, "links")
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least_neighbour(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = now.keep(large, "large")
@@ -34,16 +41,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = small.select("u", "v", "m")
         moved = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         after = Scratch()
-        moved = after.keep(moved.filter("u <> v").distinct(), "small")
-        # a fixed point is a set of stars: no step changes it
-        changed = moved.exceptAll(edges).isEmpty() and edges.exceptAll(moved).isEmpty()
-        edges = moved
-        before.clear()
-        now, before = after, now
-        if changed:
-            break
+        edges = after.keep(moved.filter("u <> v").distinct(), "small")
+        now.clear()
+        now = after
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("label", F.col("node"))
     found = staged(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots), "components")
     now.clear()
-    before.clear()
     return found

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -207,8 +208,16 @@ def _features(idf: np.ndarray):
     return rows
 
 
+class Drawn(NamedTuple):
+    """A row of the sample: little-endian buckets and weights, and its place in the order."""
+    lang: str
+    at: bytes
+    x: bytes
+    order: int
+
+
 def sample(rows: DataFrame, idf: np.ndarray) -> tuple[list[str], list]:
-    """(languages in order of name, MAX_TRAIN rows (lang, at, x, __o) at most) of (doc_id, lang, text), of each language equally many if it has them.
+    """(languages in order of name, MAX_TRAIN rows at most) of (doc_id, lang, text), of each language equally many if it has them.
 
     A hash of doc_id and text draws a few more than needed, and of those the ones of least hash are taken; so rows that
     repeat are no more than their language's part. Rows equal in both are drawn together or not at all.
@@ -222,7 +231,9 @@ def sample(rows: DataFrame, idf: np.ndarray) -> tuple[list[str], list]:
     picked = rows.join(F.broadcast(shares), "lang").filter(drawn).select("lang", "text", F.xxhash64(F.lit("order"), "doc_id", "text").alias("__o"))
     seen = picked.mapInArrow(_features(idf), "lang string, at binary, x binary, __o long")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("__o", "at", "x"))
-    return sorted(r.lang for r in counts), seen.withColumn("__r", rank).filter(F.col("__r") <= part).drop("__r").orderBy("__o", "at", "x", "lang").collect()
+    # as Arrow columns: rows would be objects twice on the driver, in the JVM and here
+    found = seen.withColumn("__r", rank).filter(F.col("__r") <= part).drop("__r").orderBy("__o", "at", "x", "lang").toArrow()
+    return sorted(r.lang for r in counts), [Drawn(*r) for r in zip(*(c.to_pylist() for c in found.columns))]
 
 
 def fit(docs: DataFrame) -> Model:
@@ -230,11 +241,12 @@ def fit(docs: DataFrame) -> Model:
     rows = docs.filter(~held_out()).filter("lang IS NOT NULL").select("doc_id", "lang", "text")
     df = np.zeros(BUCKETS)
     total = 0
-    for r in rows.select("text").mapInArrow(_document_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        if r.bucket < 0:
-            total = r.n
+    found = rows.select("text").mapInArrow(_document_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    for bucket, n in zip(found["bucket"].to_pylist(), found["n"].to_pylist()):
+        if bucket < 0:
+            total = n
         else:
-            df[r.bucket] = r.n
+            df[bucket] = n
     idf = np.log((1 + total) / (1 + df)) + 1
     languages, found = sample(rows, idf)
     number = {lang: i for i, lang in enumerate(languages)}

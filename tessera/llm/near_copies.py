@@ -144,9 +144,8 @@ def _verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _counts(sets: DataFrame) -> np.ndarray:
     """How many sets have a shingle in each of BUCKETS buckets of shingles: what comes to the driver is bounded by them."""
     found = sets.select(F.explode("set").alias("s")).groupBy(F.pmod("s", F.lit(BUCKETS)).alias("at")).agg(F.count("*").alias("n"))
-    n = np.zeros(BUCKETS, np.int64)
-    for r in found.toLocalIterator():
-        n[r["at"]] = r["n"]
+    found, n = found.toArrow(), np.zeros(BUCKETS, np.int64)
+    n[found["at"].to_numpy()] = found["n"].to_numpy()
     return n
 
 

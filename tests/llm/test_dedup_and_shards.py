@@ -219,6 +219,19 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(n)}
 
 
+def test_components_of_stars_take_no_step(spark, monkeypatch):
+    kept, keep = [], components.Scratch.keep
+    monkeypatch.setattr(components.Scratch, "keep", lambda self, df, name: kept.append(name) or keep(self, df, name))
+    stars = [(1, 5), (9, 1), (2, 7), (5, 1)]
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {1: 1, 5: 1, 9: 1, 2: 2, 7: 2} and kept == ["links"]
+    del kept[:]
+    path = [(1, 5), (5, 9), (2, 7)]  # one pair of steps, and none to see that nothing moves
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(path, "a long, b long")).collect()}
+    assert got == {1: 1, 5: 1, 9: 1, 2: 2, 7: 2} and kept == ["links", "large", "small"]
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_mixing(spark, edge, nothing, small):
     rows = mixing.plan_copies(edge).collect()
     assert len(rows) == len(EDGE) and all(r.copies * r.size <= 2 * r.size for r in rows)
