@@ -299,6 +299,31 @@ def test_files_of_cases_all_or_none(spark, tmp_path):
     assert {os.path.relpath(os.path.join(d, n), out) for d, _, names in os.walk(out) for n in names} == there
 
 
+def test_files_of_a_task_that_outlives_its_job(tmp_path):
+    """A job fails while a task is at work, or before it begins: what the task writes then does not stay."""
+    import os
+
+    import pyarrow as pa
+
+    from tessera.sources import files
+
+    out = str(tmp_path / "out")
+    writer = files.CaseFiles({"path": out, "job": f"{out}/.job-1"}).writer(None, True)
+    os.makedirs(writer.job)
+    part = lambda case: pa.RecordBatch.from_pydict({"folder": ["0a"], "case_id": [case], "name": ["1.png"], "body": [b"x"]})
+
+    def rows():
+        yield part("a")
+        assert os.listdir(writer.job)
+        writer.abort([])
+        yield part("b")
+
+    for late in (rows(), iter([part("c")])):
+        with pytest.raises(OSError):
+            writer.write(late)
+        assert os.listdir(out) == []
+
+
 def test_command_line_run(spark, tmp_path):
     import os
 
